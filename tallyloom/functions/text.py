@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Character classes that mean the same in Java and RE2 regular expressions.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
+# The members of SPACE one by one, for trimming.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -30,7 +32,7 @@ def group(c: Column | str, pattern: str, index: int = 1) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space at both ends."""
-    return sub(c, rf"\A{SPACE}+|{SPACE}+\z")
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def contains_any(c: Column | str, words) -> Column:

@@ -192,20 +192,28 @@ def session_context(messages: DataFrame) -> DataFrame:
         zero(F.sum("thought")).alias("thinking_tokens"),
         zero(F.sum("answered")).alias("thinking_output_tokens"),
     )
+    # Wanted rows are ranked first and filtered after the rank: a filter below it would be pushed to the
+    # scan and repeat the whole text preparation inside its condition.
     second = (
-        ordered.first_rows(df.filter("real").select("conversation_id", "message_index", "said"), ["conversation_id"], ["message_index"], 2)
+        ordered.first_rows(
+            df.select("conversation_id", "message_index", "real", "said"),
+            ["conversation_id"],
+            [F.desc("real"), F.asc("message_index")],
+            2,
+        )
         .groupBy("conversation_id")
-        .agg(F.max_by("said", "message_index").alias("_second"), F.count(F.lit(1)).alias("_said"))
+        .agg(F.max_by("said", F.when(F.col("real"), index)).alias("_second"), F.count_if("real").alias("_said"))
         .select("conversation_id", F.when(F.col("_said") > 1, F.col("_second")).alias("second_msg"))
     )
     # at most SIZES_KEPT rows per session reach the list
     sizes = (
         ordered.first_rows(
-            df.filter("sized").select("conversation_id", "message_index", "role", "est"),
+            df.select("conversation_id", "message_index", "role", "est", "sized"),
             ["conversation_id"],
-            ["message_index"],
+            [F.desc("sized"), F.asc("message_index")],
             SIZES_KEPT,
         )
+        .filter("sized")
         .groupBy("conversation_id")
         .agg(F.sort_array(F.collect_list(F.struct("message_index", "role", "est"))).alias("_sizes"))
         .select(

@@ -1,21 +1,15 @@
-"""Schemas of the tables the operators work on."""
+"""Schemas of the tables the operators work on, as DDL text."""
 
-from pyspark.sql import types as T
 
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-MESSAGES = _schema(
+MESSAGES = (
     "conversation_id string, message_index bigint, role string, content string, "
     "content_type string, model string, ts timestamp"
 )
-CALLS = _schema(
+CALLS = (
     "conversation_id string, call_index bigint, input bigint, cache_read bigint, cache_write bigint, "
     "output bigint, total_tokens bigint, model string, provider string, role string, ts timestamp"
 )
-SESSIONS = _schema(
+SESSIONS = (
     "id string, source string, source_id string, title string, model string, total_input_tokens bigint, "
     "total_output_tokens bigint, total_cache_read_tokens bigint, api_call_count bigint, "
     "input_output_ratio double, message_count bigint, cost_estimate double, accuracy string, "
@@ -25,25 +19,25 @@ SESSIONS = _schema(
     "message_sizes:array<struct<role:string,estimated_tokens:bigint>>, thinking_tokens:bigint, "
     "thinking_output_tokens:bigint>"
 )
-REQUEST_LOG = _schema(
+REQUEST_LOG = (
     "request_id string, model string, channel_header string, port int, user_agent string, body string, "
     "response_time_ms bigint, ts timestamp, stream boolean"
 )
-LINES = _schema("doc_id string, path string, line_no bigint, line string")
-TASKS = _schema(
+LINES = ("doc_id string, path string, line_no bigint, line string")
+TASKS = (
     "project string, seq bigint, module string, content string, task_type string, section_path string, "
     "line_num bigint, raw_text string"
 )
-CALIBRATION = _schema(
+CALIBRATION = (
     "task_content string, task_type string, module string, predicted_days double, actual_days double, "
     "recorded_at timestamp"
 )
 
 # One nullable struct that covers every transcript record type.
-TRANSCRIPT_RECORD = _schema(
+TRANSCRIPT_RECORD = (
     "type string, timestamp string, key string, kind string, channel string, modelId string, provider string, "
     "customType string, data struct<modelId:string>, "
     "message struct<role:string, content:string, model:string, "
-    "usage:struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,totalTokens:bigint>>"
+    "usage:struct<input:bigint,output:bigint,cacheRead:bigint,cacheWrite:bigint,totalTokens:bigint>>, _corrupt string"
 )
 CONTENT_PARTS = "array<struct<type:string,text:string>>"

@@ -44,8 +44,7 @@ def parse_transcripts(raw: DataFrame, min_ts: str | None = None) -> DataFrame:
     raw = raw.filter(F.trim("value") != "")
     # position in a partition follows the position in the file
     numbered = raw.withColumn("_n", F.monotonically_increasing_id())
-    schema = TRANSCRIPT_RECORD.add("_corrupt", "string")
-    rec = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rec = F.from_json("value", TRANSCRIPT_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     df = numbered.select(
         F.regexp_replace("file", r"\.jsonl$", "").alias("session"),
         F.col("_n").alias("record_no"),
