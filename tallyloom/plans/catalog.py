@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["usage"]
+MODULES = ["usage", "advice"]
 
 
 def _merge(attr: str) -> dict:
