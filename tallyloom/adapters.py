@@ -21,6 +21,10 @@ MODELS = [
     "claude-3.5-sonnet-latest",
     "other-model",
 ]
+REPEATED = (
+    "请检查登录接口的返回值: the login endpoint returns the same failure as in the last run, "
+    "the full log and the steps are below. "
+)
 AGENTS = {
     "view": "python-requests/2.31",
     "signup": "Mozilla/5.0 vscode/1.9",
@@ -54,7 +58,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             (answer & (kind == 4), F.concat(F.lit("<thinking>"), text, F.lit("</thinking>\nOK, done.\n"))),
             (answer & (kind == 5), F.concat(text, text, F.lit("\n\n回答: "), F.substring(text, 1, 60))),
             (answer & (kind == 6), F.concat(text, F.lit("\n```python\nprint(1)\n```\n"))),
-            (user & (kind == 7), F.concat(F.lit("请检查登录接口的返回值: "), text)),
+            (user & (F.col("conv_id") % 6 == 1), F.concat(F.lit(REPEATED), text)),
         ],
         text,
     )
@@ -169,3 +173,75 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         F.col("doc_id").alias("n"),
     )
+
+
+# -- source files ---------------------------------------------------------------
+
+JAVA_LINES = [
+    'stmt.executeQuery("SELECT * FROM t WHERE id=" + id);',
+    'new ProcessBuilder("sh -c " + cmd);',
+    'new FileInputStream(base + name);',
+    'String password = "letmein1";',
+    "Random r = new Random();",
+    "document.write(userText);",
+    "conn.setHostnameVerifier(ALLOW_ALL);",
+    "public class order {",
+    "    public static void run(String a) {",
+    "public static final max_size = 3;",
+    'if (count > 42) { stop(); }',
+    's = a + "x" + "y" + b;',
+    "BufferedReader in = new BufferedReader(src);",
+    "new ArrayList(xs).get(0);",
+    "} catch (Exception e) { }",
+    "for (int i : ids) { db.executeQuery(q); }",
+    "// String password = \"kept out\";",
+    "public class Order {",
+]
+PYTHON_LINES = [
+    'cursor.execute(f"SELECT * FROM t WHERE id={i} DELETE")',
+    'os.system("rm " + name)',
+    'open("../etc/" + name)',
+    "api_key = 'abc123'",
+    "pickle.loads(blob)",
+    "x = eval(text)",
+    "n = random.randint(1, 6)",
+    "requests.get(url, verify=False)",
+    "\tx = 1",
+    "def load(path):",
+    "import os",
+    "AB = 3",
+    "f = open(path)",
+    "if x in [1, 2, 3]:",
+    "except:",
+    "    global total",
+    "# password = 'kept out'",
+    "    value = compute(x)  # " + "long " * 30,
+]
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files: one line of code in front, one behind, some behind a rule switch."""
+    df = document_texts(spark, sf_dir)
+    n = F.col("n")
+    java = n % 2 == 0
+
+    def pick(lines, i):
+        return F.get(F.array(*[F.lit(x) for x in lines]), (i % len(lines)).cast("int"))
+
+    half = F.floor(n / 2)
+    first = F.when(java, pick(JAVA_LINES, half)).otherwise(pick(PYTHON_LINES, half))
+    second = F.when(java, pick(JAVA_LINES, half * 5 + 3)).otherwise(pick(PYTHON_LINES, half * 5 + 3))
+    off = F.when(
+        n % 4 == 1, F.lit("# code-reviewer: disable=PY-STYLE-002\n")
+    ).otherwise(F.lit(""))
+    on = F.when(n % 4 == 1, F.lit("\n# code-reviewer: enable=PY-STYLE-002")).otherwise(F.lit(""))
+    body = F.concat(first, F.lit("\n"), off, F.col("text"), on, F.lit("\n"), second)
+    ext = F.when(java, F.lit(".java")).otherwise(F.lit(".py"))
+    return df.select(
+        "doc_id",
+        "project",
+        F.concat(F.col("project"), F.lit("/src/f"), n.cast("string"), ext).alias("path"),
+        F.when(java, F.lit("java")).otherwise(F.lit("python")).alias("language"),
+        body.alias("text"),
+        "n",
+    )

@@ -259,7 +259,8 @@ def advise(
     if _NEEDS_OVERLAP & set(chosen):
         sessions = message_overlap(sessions)
     found = F.filter(F.array(*[table[r] for r in chosen]), lambda a: a.isNotNull())
-    return sessions.select(F.col("id").alias("session_id"), F.explode(found).alias("a")).select("session_id", "a.*")
+    df = sessions.select(F.col("id").alias("session_id"), F.explode_outer(found).alias("a"))
+    return df.filter(F.col("a").isNotNull()).select("session_id", "a.*")
 
 
 def fragmentation(sessions: DataFrame, as_of, *, days: int = 30, thresholds: Mapping[str, Any] | None = None) -> DataFrame:

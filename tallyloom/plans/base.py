@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..adapters import AGENTS, MODELS
+from ..adapters import AGENTS, JAVA_LINES, MODELS, PYTHON_LINES, REPEATED
 from ..rules import models as M
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -155,7 +155,7 @@ cte(
       THEN text || text || {_NL} || {_NL} || '回答: ' || substr(text, 1, 60)
     WHEN role = 'assistant' AND (conv_id * 3 + turn) % 10 = 6
       THEN text || {_NL} || '```python' || {_NL} || 'print(1)' || {_NL} || '```' || {_NL}
-    WHEN role = 'user' AND (conv_id * 3 + turn) % 10 = 7 THEN '请检查登录接口的返回值: ' || text
+    WHEN role = 'user' AND conv_id % 6 = 1 THEN {lit(REPEATED)} || text
     ELSE text END AS content,
   CASE WHEN role = 'assistant' AND conv_id % 11 = 3 THEN 'thinking' ELSE 'text' END AS content_type,
   {pick('conv_id % 7', MODELS)} AS model,
@@ -352,3 +352,87 @@ cte(
   {half_up(f"pt / 1e6 * {price('model', 'price_in')} + ct / 1e6 * {price('model', 'price_out')}", 8)} AS cost
 FROM used_requests WHERE has_usage""",
 )
+
+# source files -------------------------------------------------------------------
+
+
+def text(s: str) -> str:
+    """A literal that may hold line breaks and tabs."""
+    return lit(s).replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+
+
+def pick_text(index: str, items) -> str:
+    return f"list_extract([{', '.join(text(i) for i in items)}], CAST({index} AS INTEGER) + 1)"
+
+
+def _line(index: str) -> str:
+    return (
+        f"CASE WHEN doc_id % 2 = 0 THEN {pick_text(f'({index}) % {len(JAVA_LINES)}', JAVA_LINES)} "
+        f"ELSE {pick_text(f'({index}) % {len(PYTHON_LINES)}', PYTHON_LINES)} END"
+    )
+
+
+cte(
+    "code_files",
+    (),
+    f"""SELECT 'd' || doc_id AS doc_id, source AS project,
+  source || '/src/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.java' ELSE '.py' END AS path,
+  CASE WHEN doc_id % 2 = 0 THEN 'java' ELSE 'python' END AS language,
+  {_line('doc_id // 2')} || chr(10)
+    || CASE WHEN doc_id % 4 = 1 THEN '# code-reviewer: disable=PY-STYLE-002' || chr(10) ELSE '' END || text
+    || CASE WHEN doc_id % 4 = 1 THEN chr(10) || '# code-reviewer: enable=PY-STYLE-002' ELSE '' END
+    || chr(10) || {_line('doc_id // 2 * 5 + 3')} AS text
+FROM documents""",
+)
+
+
+def line_table(source: str, columns: str, text_column: str = "text") -> str:
+    """Lines of a text column, numbered from 1."""
+    clean = f"replace(replace(coalesce({text_column}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return (
+        f"SELECT {columns}, unnest(string_split({clean}, chr(10))) AS line, "
+        f"generate_subscripts(string_split({clean}, chr(10)), 1) AS line_no FROM {source}"
+    )
+
+
+cte("code_lines", ("code_files",), line_table("code_files", "doc_id, project, path, language"))
+
+
+def re2(pattern: str) -> str:
+    """A rule pattern for an engine whose classes are ASCII only and that knows no look-ahead."""
+    if pattern.startswith("\\b"):
+        pattern = rf"(?:\A|[^\p{{L}}\p{{N}}_]){pattern[2:]}"
+    pattern = pattern.replace(
+        r"(?!\s*with)", r"\s*(?:\z|[^w\s]|w(?:\z|[^i])|wi(?:\z|[^t])|wit(?:\z|[^h]))"
+    )
+    pattern = pattern.replace(r"[^w\s]", rf"[^w\t-\r\x1c-\x20\x{{85}}\p{{Z}}]")
+    return pattern.replace(r"\s", SPACE).replace(r"\w", WORD)
+
+
+def _rule_arms() -> str:
+    from ..rules.code import RULES
+
+    arms = []
+    for rule_id, severity, kind, cwe, _, pattern in RULES:
+        flag = "'c'" if kind == "style" else "'i'"
+        lang = "java" if rule_id.startswith("JAVA") else "python"
+        arms.append(
+            f"SELECT *, {lit(rule_id)} AS rule_id, {lit(severity)} AS severity, {lit(kind)} AS type, {lit(cwe)} AS cwe "
+            f"FROM plain_lines WHERE language = '{lang}' AND regexp_matches(line, {lit(re2(pattern)).replace(chr(10), '')}, {flag})"
+        )
+    return " UNION ALL ".join(arms)
+
+
+cte(
+    "plain_lines",
+    ("code_lines",),
+    f"""SELECT * FROM (SELECT *, {strip('line')} AS bare FROM code_lines) WHERE NOT (
+  language = 'java' AND (starts_with(bare, '//') OR starts_with(bare, '*') OR starts_with(bare, '/*'))
+  OR language = 'python' AND starts_with(bare, '#'))""",
+)
+cte(
+    "findings",
+    ("plain_lines",),
+    f"""SELECT rule_id || '-' || line_no AS finding_id, project, doc_id, path, language, line_no, rule_id, severity, type,
+  cwe, substr(bare, 1, 100) AS code FROM ({_rule_arms()})""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["usage", "advice"]
+MODULES = ["usage", "advice", "scan"]
 
 
 def _merge(attr: str) -> dict:
