@@ -245,3 +245,106 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         body.alias("text"),
         "n",
     )
+
+
+# -- technical documents ----------------------------------------------------------
+
+FULL_DOC = """# 备份服务技术方案
+
+**版本**: v1.2
+**创建时间**: 2024-01-15
+
+## 1.1 备份记录查询 🆕新增
+
+### 备份记录列表接口
+**工作量**: 2.5 人天
+**优先级**: P1
+**依赖**: 用户中心登录接口
+
+业务背景：用户需要查看每天的备份记录。
+接口地址 URL: (POST /api/backup/list)
+| 接口名称 | 请求方式 | 说明 |
+|---|---|---|
+| 备份记录列表 | POST | 分页 |
+| 备份记录详情 | GET | 单条 |
+请求参数 page，返回 records，错误码 40001。
+第1步：新增备份记录查询接口；第2步：查询备份记录表并返回数据
+【新增】备份开关配置接口 POST /api/backup/switch
+
+### 实现说明
+路径 backup-api/src/main/java/com/demo/BackupController.java，方法 list()
+1.2 数据清理
+新增定时任务清理过期备份数据
+更新用户权限校验逻辑，支持角色管理
+### 验收标准
+- [ ] 返回 HTTP 200，耗时 < 200 ms
+"""
+NO_DEPS_DOC = """# 渠道配置方案
+**版本**: v0.9
+## 2.1 渠道列表 优化
+接口地址 URL：GET /api/channel/list
+请求参数 type，响应 list，错误码 500
+```
+新增接口不应计入
+```
+a.更新渠道配置接口的参数校验
+提供渠道列表查询接口给前端页⾯
+时序图：
+第1步：接收请求
+第2步：返回渠道列表数据
+```python
+def run(x):
+```
+2.2 缓存刷新
+配置Redis缓存刷新任务，对接消息队列
+已有缓存无需改动
+| 字段 | 类型 |
+|---|---|
+| name | string |
+### 说明
+python 脚本 jobs/channel/refresh.py
+"""
+NO_API_DOC = """# 会话迁移方案
+3.1 数据迁移
+### 历史数据迁移 新增
+**依赖**: 无
+迁移历史会话数据到新表，创建索引
+实现会话管理模块的数据同步功能
+开发对话列表导出功能，支持分页查询
+3.1.1 回滚
+删除临时表和缓存
+| 功能名称 | 说明 |
+|---|---|
+| 会话导出 | 全量 |
+验收条件
+1. 数据条数一致
+**工作量**: 3 人天
+"""
+VAGUE_DOC = """# 查询优化方案
+### 优化一下查询
+大概需要几个接口，性能优化后很快。
+一、背景
+基于用户列表提供查询接口
+(一) 处理异常
+相关的配置等等，加个方法即可，通常还行。
+### 列表列表管理
+把/api/us
+er/list 的⽤⼾数据整理，见下文
+返回列表数据
+TODO 更新接口文档
+"""
+TEMPLATES = [FULL_DOC, NO_DEPS_DOC, NO_API_DOC, VAGUE_DOC]
+
+
+def technical_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four of five documents framed by a technical document, the fifth as it is."""
+    df = document_texts(spark, sf_dir)
+    n = F.col("n")
+    template = first_match([(n % 5 == i, F.lit(t)) for i, t in enumerate(TEMPLATES)])
+    mark = F.concat(F.lit("编号 "), n.cast("string"), F.lit("\n"))
+    body = F.when(
+        n % 5 == 4, F.col("text")
+    ).otherwise(
+        F.when(n % 2 == 0, F.concat(template, mark, F.col("text"))).otherwise(F.concat(mark, template, F.col("text")))
+    )
+    return df.select("doc_id", "project", body.alias("text"), "n")

@@ -36,8 +36,14 @@ def strip(c: Column | str) -> Column:
 
 
 def contains_any(c: Column | str, words) -> Column:
-    """True when any of ``words`` occurs; short-circuits in list order."""
+    """True when any of ``words`` occurs.
+
+    Longer lists become one alternation, so that the text expression appears
+    only once however the optimizer moves the condition.
+    """
     words = list(words)
+    if len(words) > 3:
+        return matches(c, "|".join(rf"\Q{w}\E" for w in words))
     out = col(c).contains(words[0])
     for w in words[1:]:
         out = out | col(c).contains(w)

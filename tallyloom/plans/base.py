@@ -405,8 +405,21 @@ def re2(pattern: str) -> str:
     pattern = pattern.replace(
         r"(?!\s*with)", r"\s*(?:\z|[^w\s]|w(?:\z|[^i])|wi(?:\z|[^t])|wit(?:\z|[^h]))"
     )
-    pattern = pattern.replace(r"[^w\s]", rf"[^w\t-\r\x1c-\x20\x{{85}}\p{{Z}}]")
-    return pattern.replace(r"\s", SPACE).replace(r"\w", WORD)
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        two, one = pattern[i : i + 2], pattern[i]
+        if two in (r"\s", r"\w"):
+            members = SPACE if two == r"\s" else WORD
+            out.append(members[1:-1] if inside else members)
+            i += 2
+        elif one == "\\":
+            out.append(two)
+            i += 2
+        else:
+            inside = one == "[" or (inside and one != "]")
+            out.append(one)
+            i += 1
+    return "".join(out)
 
 
 def _rule_arms() -> str:
@@ -436,3 +449,85 @@ cte(
     f"""SELECT rule_id || '-' || line_no AS finding_id, project, doc_id, path, language, line_no, rule_id, severity, type,
   cwe, substr(bare, 1, 100) AS code FROM ({_rule_arms()})""",
 )
+
+# technical documents ------------------------------------------------------------
+from ..adapters import TEMPLATES  # noqa: E402
+
+cte(
+    "tech_docs",
+    (),
+    f"""SELECT 'd' || doc_id AS doc_id, source AS project, CASE
+  WHEN doc_id % 5 = 4 THEN text
+  WHEN doc_id % 2 = 0 THEN tpl || '编号 ' || doc_id || chr(10) || text
+  ELSE '编号 ' || doc_id || chr(10) || tpl || text END AS text
+FROM (SELECT *, CASE doc_id % 5 {' '.join(f"WHEN {i} THEN {text(t)}" for i, t in enumerate(TEMPLATES))} END AS tpl FROM documents)""",
+)
+cte("tech_lines", ("tech_docs",), line_table("tech_docs", "doc_id, project"))
+
+
+def captured(x: str, patterns) -> str:
+    """Trimmed group of the first matching pattern."""
+    arms = " ".join(
+        f"WHEN regexp_matches({x}, {lit(re2(p))}) THEN {strip(f'regexp_extract({x}, {lit(re2(p))}, 1)')}" for p in patterns
+    )
+    return f"CASE {arms} END"
+
+
+def _check_arms() -> str:
+    from ..rules import documents as D
+
+    def row(name, required, passed, value):
+        weight = D.REQUIRED_WEIGHT if required else D.BONUS_WEIGHT
+        return (
+            f"SELECT doc_id, project, {lit(name)} AS \"check\", {lit(required)} AS required, {passed} AS passed, "
+            f"CAST({value} AS VARCHAR) AS value, CASE WHEN {passed} THEN {weight} ELSE 0 END AS score FROM tech_docs"
+        )
+
+    mark = "CASE " + " ".join(f"WHEN contains(text, {lit(m)}) THEN {lit(m)}" for m in D.TASK_MARKS) + " END"
+    missing = "list_filter([" + ", ".join(
+        f"CASE WHEN NOT {any_contains('text', w)} THEN {lit(p)} END" for p, w in D.API_PARTS.items()
+    ) + "], lambda x: x IS NOT NULL)"
+    has_path = "(" + " OR ".join(f"regexp_matches(text, {lit(re2(p))})" for p in D.PATHS) + ")"
+    listed = "(" + " OR ".join(f"regexp_matches(text, {lit('(?m)' + re2(p))})" for p in D.CHECKLIST) + ")"
+    accepted = f"({any_contains('text', D.ACCEPTANCE)} AND {listed})"
+    dep, eff, pri = captured("text", D.DEPENDENCY), captured("text", D.EFFORT), captured("text", D.PRIORITY)
+    bg = any_contains("text", D.BACKGROUND)
+    return " UNION ALL ".join(
+        [
+            row("task_type", True, f"({mark}) IS NOT NULL", mark),
+            row("dependencies", True, f"({dep}) IS NOT NULL", dep),
+            row("api_definition", True, f"len({missing}) = 0",
+                f"CASE WHEN len({missing}) = 0 THEN '完整' ELSE '缺少：' || array_to_string({missing}, ', ') END"),
+            row("implementation", True, has_path,
+                f"CASE WHEN {has_path} AND {any_contains('text', D.METHODS)} THEN '具体' WHEN {has_path} THEN '较具体' END"),
+            row("acceptance_criteria", True, accepted, f"CASE WHEN {accepted} THEN '可执行' END"),
+            row("effort", False, f"({eff}) IS NOT NULL", eff),
+            row("priority", False, f"({pri}) IS NOT NULL", pri),
+            row("background", False, bg, f"CASE WHEN {bg} THEN '有业务背景说明' END"),
+        ]
+    )
+
+
+cte("doc_checks", ("tech_docs",), _check_arms())
+cte(
+    "doc_scores",
+    ("doc_checks",),
+    """SELECT *, CASE WHEN score >= 90 THEN '优秀' WHEN score >= 80 THEN '良好' WHEN score >= 70 THEN '合格'
+  WHEN score >= 60 THEN '需改进' ELSE '不合格' END AS level FROM (
+SELECT doc_id, project, CAST(least(sum(score), 100) AS INTEGER) AS score,
+  CAST(count(*) FILTER (WHERE required AND passed) AS INTEGER) AS passed_checks FROM doc_checks GROUP BY doc_id, project)""",
+)
+
+
+def _vague() -> str:
+    from ..rules import documents as D
+
+    return values("vague", "phrase, hint", D.VAGUE + D.VAGUE_JAVA)
+
+
+cte("vague", (), _vague())
+cte(
+    "vague_hits",
+    ("tech_lines", "vague"),
+    f"""SELECT doc_id, line_no, phrase, hint, {strip('line')} AS context FROM tech_lines JOIN vague ON contains(line, phrase)""",
+)
