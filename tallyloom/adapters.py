@@ -348,3 +348,115 @@ def technical_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 2 == 0, F.concat(template, mark, F.col("text"))).otherwise(F.concat(mark, template, F.col("text")))
     )
     return df.select("doc_id", "project", body.alias("text"), "n")
+
+
+# -- tasks, calibration, runs -------------------------------------------------------
+
+SENTENCES = [
+    "新增用户列表查询接口",
+    "查询用户列表",
+    "创建备份记录表和索引",
+    "设计数据库架构",
+    "开发前端页面展示对话列表",
+    "配置Redis缓存参数",
+    "对接第三方支付接口",
+    "优化技能搜索性能",
+    "删除历史数据和临时表",
+    "实现定时任务推送消息",
+    "编写接口文档",
+    "测试渠道配置功能",
+    "批量导入历史数据并保证一致性",
+    "部署K8s容器和监控告警",
+    "重构模型训练算法",
+    "做一些系统改进",
+    "更新渠道列表接口",
+    "渠道列表接口",
+    "新增用户权限和角色管理",
+    "查询失败文件不存在",
+    "开始 初始化对账",
+    "提供技能安装接口。支持批量安装",
+    "扣费失败时回滚",
+    "列表",
+]
+EVENT_MODULES = {
+    "view": ("用户中心", "3.用户中心 > 3.1 用户列表接口设计"),
+    "signup": ("技能中心", "4.技能中心 > 4.2 技能安装功能"),
+    "error": ("数据库模块", "5.数据 > 5.1备份开关状态"),
+    "click": ("渠道模块", "二、渠道管理说明"),
+    "purchase": ("支付模块", ""),
+}
+TYPES = ["接口任务", "数据库任务", "前端任务", "配置任务", "功能任务", "其他任务"]
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work items of one project per user; a third of them carry a number of their own."""
+    df = table(spark, sf_dir, "events")
+    n, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    base = F.get(F.array(*[F.lit(s) for s in SENTENCES]), (n % len(SENTENCES)).cast("int"))
+    variant = F.floor(n / len(SENTENCES)) % 3
+    content = F.when(variant == 0, base).when(variant == 1, F.concat(base, k)).otherwise(
+        F.concat(base, F.lit("，编号"), n.cast("string"))
+    )
+    module = first_match([(F.col("event_type") == t, F.lit(m)) for t, (m, _) in EVENT_MODULES.items()])
+    section = first_match([(F.col("event_type") == t, F.lit(s)) for t, (_, s) in EVENT_MODULES.items()])
+    kind = F.get(F.array(*[F.lit(t) for t in TYPES]), (n % len(TYPES)).cast("int"))
+    raw = (
+        F.when(n % 10 == 0, F.lit("TODO 其他说明"))
+        .when(n % 10 == 1, F.concat(F.lit("第1步："), content, F.lit("；"), F.repeat(base, 30)))
+        .otherwise(F.concat(F.lit("a. "), content))
+    )
+    return df.select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"),
+        n.alias("seq"),
+        module.alias("module"),
+        content.alias("content"),
+        kind.alias("task_type"),
+        section.alias("section_path"),
+        (k.cast("long") % 97).alias("line_num"),
+        raw.alias("raw_text"),
+    )
+
+
+def plan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items as a plan: every fourth depends on the item before it, some also on a missing one."""
+    df = ordered.neighbours(tasks(spark, sf_dir), ["project"], "seq", ["seq"], previous="_before", following=None)
+    before = F.col("_before.seq")
+    none = F.array().cast("array<bigint>")
+    deps = (
+        F.when((F.col("seq") % 4 == 0) & (F.col("seq") % 3 == 0) & before.isNotNull(), F.array(before, F.lit(-1).cast("long")))
+        .when((F.col("seq") % 4 == 0) & before.isNotNull(), F.array(before))
+        .otherwise(none)
+    )
+    return df.select("project", "seq", F.col("content").alias("description"), deps.alias("dependencies"))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Past estimates: one record per order line."""
+    df = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "接口任务").when(F.col("l_returnflag") == "N", "数据库任务").otherwise("前端任务")
+    return df.select(
+        F.concat_ws("-", F.lit("task"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("task_content"),
+        kind.alias("task_type"),
+        F.concat(F.lit("m"), (F.col("l_suppkey") % 20).cast("string")).alias("module"),
+        F.col("l_quantity").alias("predicted_days"),
+        (F.col("l_quantity") * (F.lit(1.0) + F.col("l_discount")) + F.col("l_tax")).alias("actual_days"),
+        F.col("l_shipdate").alias("recorded_at"),
+    )
+
+
+RUN_STATUS = {"view": "pass", "click": "pass", "purchase": "pass", "signup": "skip", "error": "fail"}
+RUN_TYPES = ["unit", "integration", "api", "regression", "scenario"]
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test results, one per event."""
+    df = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    return df.select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"),
+        F.concat(F.lit("t"), n.cast("string")).alias("case_id"),
+        F.get(F.array(*[F.lit(t) for t in RUN_TYPES]), (n % 5).cast("int")).alias("type"),
+        first_match([(F.col("event_type") == e, F.lit(s)) for e, s in RUN_STATUS.items()], F.lit("error")).alias("status"),
+        F.when(n % 20 == 0, F.lit("old")).otherwise(F.lit("new")).alias("cohort"),
+        F.col("value").alias("duration"),
+    )

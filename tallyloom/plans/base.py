@@ -531,3 +531,42 @@ cte(
     ("tech_lines", "vague"),
     f"""SELECT doc_id, line_no, phrase, hint, {strip('line')} AS context FROM tech_lines JOIN vague ON contains(line, phrase)""",
 )
+
+# tasks ----------------------------------------------------------------------------
+from ..adapters import EVENT_MODULES, RUN_STATUS, RUN_TYPES, SENTENCES, TYPES  # noqa: E402
+
+cte(
+    "tasks",
+    (),
+    f"""SELECT project, seq, module, content, task_type, section_path, k % 97 AS line_num,
+  CASE WHEN seq % 10 = 0 THEN 'TODO 其他说明' WHEN seq % 10 = 1 THEN '第1步：' || content || '；' || repeat(base, 30)
+    ELSE 'a. ' || content END AS raw_text
+FROM (SELECT *, CASE (seq // {len(SENTENCES)}) % 3 WHEN 0 THEN base WHEN 1 THEN base || k ELSE base || '，编号' || seq END AS content
+FROM (SELECT 'p' || user_id AS project, event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  {pick(f'event_id % {len(SENTENCES)}', SENTENCES)} AS base,
+  CASE event_type {' '.join(f"WHEN {lit(t)} THEN {lit(m)}" for t, (m, _) in EVENT_MODULES.items())} END AS module,
+  CASE event_type {' '.join(f"WHEN {lit(t)} THEN {lit(s)}" for t, (_, s) in EVENT_MODULES.items())} END AS section_path,
+  {pick(f'event_id % {len(TYPES)}', TYPES)} AS task_type FROM events))""",
+)
+cte(
+    "plan_tasks",
+    ("tasks",),
+    """SELECT project, seq, content AS description, CASE WHEN seq % 4 = 0 AND prev IS NOT NULL THEN
+    CASE WHEN seq % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END AS links
+FROM (SELECT *, lag(seq) OVER (PARTITION BY project ORDER BY seq) AS prev FROM tasks)""",
+)
+cte(
+    "records",
+    (),
+    """SELECT 'task-' || l_orderkey || '-' || l_linenumber AS task_content,
+  CASE l_returnflag WHEN 'A' THEN '接口任务' WHEN 'N' THEN '数据库任务' ELSE '前端任务' END AS task_type,
+  'm' || (l_suppkey % 20) AS module, l_quantity AS predicted_days,
+  l_quantity * (CAST(1.0 AS DOUBLE) + l_discount) + l_tax AS actual_days, l_shipdate AS recorded_at FROM lineitem""",
+)
+cte(
+    "runs",
+    (),
+    f"""SELECT 'p' || user_id AS project, 't' || event_id AS case_id, {pick('event_id % 5', RUN_TYPES)} AS type,
+  CASE event_type {' '.join(f"WHEN {lit(e)} THEN {lit(s)}" for e, s in RUN_STATUS.items())} ELSE 'error' END AS status,
+  CASE WHEN event_id % 20 = 0 THEN 'old' ELSE 'new' END AS cohort, value AS duration FROM events""",
+)
