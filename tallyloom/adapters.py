@@ -460,3 +460,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 20 == 0, F.lit("old")).otherwise(F.lit("new")).alias("cohort"),
         F.col("value").alias("duration"),
     )
+
+
+def whitelist(spark: SparkSession, sf_dir: str, modules: tuple[str, ...] = ("数据库模块",)) -> DataFrame:
+    """Known tasks: the texts of some modules, in order of first appearance."""
+    df = tasks(spark, sf_dir).filter(F.col("module").isin(*modules))
+    return df.groupBy("module", "content").agg(F.min("seq").alias("ord"))

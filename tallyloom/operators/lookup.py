@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.text import SPACE, first_match, matches, strip, sub
+from ..functions.text import first_match, matches, strip
 from ..rules import models as M
 
 RuleList = Sequence[tuple]
@@ -142,11 +142,6 @@ def section_paths(sections: DataFrame, max_level: int = 6) -> DataFrame:
 # -- whitelists ---------------------------------------------------------------
 
 
-def standard_form(c: Column | str) -> Column:
-    """Comparison form of a task name: no white space or brackets, lower case."""
-    return F.lower(sub(c, rf"(?:{SPACE}|[（）()\[\]【】])+"))
-
-
 def merge_whitelists(official: DataFrame, user: DataFrame) -> DataFrame:
     """Union of both lists, one row per (module, content), the official row first."""
     both = official.withColumn("origin", F.lit("official")).unionByName(user.withColumn("origin", F.lit("user")))
