@@ -38,9 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly text work on an input of few files; an input with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages; every tenth kind of turn is dressed as a relay, command, thought or code message."""
-    df = table(spark, sf_dir, "conversations")
+    df = spread(table(spark, sf_dir, "conversations"))
     text, kind = F.col("text"), (F.col("conv_id") * 3 + F.col("turn")) % 10
     user, answer = F.col("role") == "user", F.col("role") == "assistant"
     content = first_match(
@@ -167,7 +173,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),
         F.col("source").alias("project"),
         "text",

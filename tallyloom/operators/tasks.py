@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.containment import contained_pairs, one_edit_pairs
+from ..functions.staging import staged
 from ..functions.text import (
     SPACE,
     any_of,
@@ -157,15 +158,21 @@ def task_candidates(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     diagram meet the diagram zones.
     """
     keep = [c for c in ("project",) if c in lines.columns]
-    df = lines.select(*keep, "doc_id", "line_no", strip("line").alias("raw_text"))
+    # every point of the score needs a CJK character or one of the Latin words, so prose in other scripts stops here
+    latin = [w for w in R.TECH if w.isascii()] + ["POST", "GET", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
+    possible = rf"[\x{{4e00}}-\x{{9fff}}]|```|~~~|(?i:step)|{'|'.join(latin)}"
+    df = lines.filter(matches("line", possible))
+    df = df.select(*keep, "doc_id", "line_no", strip("line").alias("raw_text"))
     t = F.col("raw_text")
     fence = any_of([t.startswith(f) for f in R.FENCES])
-    df = df.withColumns(
-        {"_fence": fence, "_enum": _hit(t, R.ENUM_PREFIX), "_bare": strip(sub(t, "(?dU)" + R.ENUM_PREFIX))}
+    df = staged(
+        df, {"_fence": fence, "_enum": _hit(t, R.ENUM_PREFIX), "_bare": strip(sub(t, "(?dU)" + R.ENUM_PREFIX))}
     )
     bare, is_enum = F.col("_bare"), F.col("_enum")
-    score = F.when(~F.col("_fence") & ~_rejected(t, bare, is_enum), _score(t, bare, is_enum))
-    df = df.select(*keep, "doc_id", "line_no", "raw_text", "_fence", score.alias("score"))
+    df = staged(df, {"_scorable": ~F.col("_fence") & ~_rejected(t, bare, is_enum)})
+    df = df.filter(F.col("_fence") | F.col("_scorable"))
+    df = staged(df, {"score": F.when(F.col("_scorable"), _score(t, bare, is_enum))})
+    df = df.select(*keep, "doc_id", "line_no", "raw_text", "_fence", "score")
     picked = df.filter(F.col("_fence") | (F.col("score") >= 2))
     picked = ordered.running_sum(
         picked, ["doc_id"], "line_no", {"_open": _flag(F.col("_fence"))}, inclusive=False, size=size
@@ -185,10 +192,9 @@ def task_candidates(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
 
 def clean_content(raw: Column) -> Column:
     """Task text of one part: prefixes off, first sentence, edges trimmed."""
-    text = raw
-    for p in R.PREFIXES:
-        text = sub(text, U + p)
-    text = strip(text)
+    # optional groups in a row take their parts off in the same order, in one pass
+    steps = "".join(f"(?:{p[1:]})?" for p in R.PREFIXES)
+    text = strip(sub(raw, rf"{U}\A{steps}"))
     cuts = []
     for end in R.SENTENCE_ENDS:
         at = F.instr(text, F.lit(end))
@@ -216,8 +222,10 @@ def extract_tasks(candidates: DataFrame) -> DataFrame:
     pieces = F.when(by_step, F.split(raw, U + R.SPLIT_STEP)).when(by_enum, F.split(raw, U + R.SPLIT_ENUM)).otherwise(F.array(raw))
     parts = F.filter(F.transform(pieces, strip), lambda p: p != "")
     df = candidates.select(*keep, "raw_text", F.posexplode_outer(parts).alias("part_no", "_part"))
-    df = df.filter(F.length("_part") >= 4).withColumn("_part", sub("_part", r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]"))
-    df = df.withColumn("_content", clean_content(F.col("_part"))).filter(F.length("_content") >= 3)
+    df = df.filter(F.length("_part") >= 4)
+    df = staged(df, {"_clean": sub("_part", r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]")}).drop("_part")
+    df = df.withColumnRenamed("_clean", "_part")
+    df = staged(df, {"_content": clean_content(F.col("_part"))}).filter(F.length("_content") >= 3)
     df = df.withColumns({"_api": endpoint("_part"), "task_type": first_type(F.col("_content"), F.col("_part"))})
     path = F.col("_api.path")
     shown = F.when(F.col("_api.method") != "", F.concat_ws(" ", "_api.method", path)).otherwise(path)
@@ -427,6 +435,13 @@ def _filled(t: Column, pattern: str, template: str) -> Column:
     return F.concat(*pieces, F.lit(rest))
 
 
+def _rule_hit(t: Column, pattern: str) -> Column:
+    """A rule test; rules of the form "anything, then a word" look for the word first."""
+    if pattern.startswith("(.+"):
+        return t.contains(pattern[3:-1]) & _hit(t, pattern)
+    return _hit(t, pattern)
+
+
 def clean_rule_text(c: Column) -> Column:
     """Doubled words, prefixes and over-long detail off."""
     out = c
@@ -445,15 +460,17 @@ def legacy_tasks(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     carry-forward.
     """
     t = F.col("raw_text")
-    df = lines.select("doc_id", "line_no", strip("line").alias("raw_text")).filter(t != "")
+    # all rules name a CJK word or radical, an API path, a chapter number or one of two products
+    possible = r"[\x{2e80}-\x{9fff}]|/api/|1\.[23]|(?i:m-?claw)|LLM"
+    df = lines.filter(matches("line", possible)).select("doc_id", "line_no", strip("line").alias("raw_text"))
     module = first_match([(_hit(t, p), F.lit(m)) for p, m in R.LINE_MODULES])
     rule = first_match(
         [
-            (_hit(t, p), F.struct(F.lit(kind).alias("task_type"), _filled(t, p, text).alias("content")))
+            (_rule_hit(t, p), F.struct(F.lit(kind).alias("task_type"), _filled(t, p, text).alias("content")))
             for p, kind, text in R.LINE_RULES
         ]
     )
-    df = df.select("doc_id", "line_no", "raw_text", module.alias("_module"), rule.alias("_rule"))
+    df = staged(df, {"_module": module, "_rule": rule})
     df = df.filter(F.col("_module").isNotNull() | F.col("_rule").isNotNull())
     df = ordered.carry_forward(df, ["doc_id"], "line_no", {"module": F.col("_module")}, size=size)
     df = df.filter(F.col("_rule").isNotNull())

@@ -373,6 +373,10 @@ def _fill(p: str, text: str) -> str:
 
 def _tidied(x: str) -> str:
     for p, v in R.RULE_CLEANUP:
+        if p.endswith(r"\1"):
+            for w in p[1:-3].split("|"):
+                x = f"replace({x}, {lit(w + w)}, {lit(w)})"
+            continue
         x = f"regexp_replace({x}, {lit(re2(p))}, {lit(v.replace('$', chr(92)))}, 'g')"
         if p == r"\s+":
             x = strip(x)
@@ -518,8 +522,16 @@ def chk_task(spark, sf):
     return C.check_tasks(A.tasks(spark, sf))
 
 
+# Edit distance over characters (the engine's own function counts bytes): one row of the distance table per character
+# of the second text; the inner minimum replaces the left-neighbour dependency of the usual recurrence.
+_DISTANCE = """list_reduce(range(1, length(nx) + 1), lambda prev, i: list_transform([list_transform(range(0, length(content) + 1),
+    lambda j: CASE WHEN j = 0 THEN i ELSE least(prev[j + 1] + 1, prev[j] + CASE WHEN substr(content, j, 1) = substr(nx, i, 1) THEN 0 ELSE 1 END) END)],
+    lambda t: list_transform(range(0, length(content) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k: t[k + 1] + j - k))))[1],
+    range(0, length(content) + 1))[length(content) + 1]"""
+
+
 @query("chk_adjacent", sql("tasks", f"""SELECT project, seq, next_seq, {half_up('d', 4)} AS distance FROM (
-  SELECT project, seq, next_seq, CAST(levenshtein(content, nx) AS DOUBLE) / greatest(length(content), length(nx)) AS d FROM (
+  SELECT project, seq, next_seq, CAST({_DISTANCE} AS DOUBLE) / greatest(length(content), length(nx)) AS d FROM (
     SELECT *, lead(content) OVER (PARTITION BY project ORDER BY seq) AS nx, lead(seq) OVER (PARTITION BY project ORDER BY seq) AS next_seq FROM tasks)
   WHERE content <> '' AND nx <> '') WHERE d < 0.3"""))
 def chk_adjacent(spark, sf):
