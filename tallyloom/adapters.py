@@ -119,9 +119,9 @@ def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """API request log with JSON and event-stream response bodies."""
-    df = table(spark, sf_dir, "events")
+    df = table(spark, sf_dir, "events") if events is None else events
     k = F.get_json_object("props", "$.k").cast("long")
     p = F.floor(F.col("value") * 10).cast("long")
     usage = F.concat(
@@ -172,8 +172,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select(
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # event time must be a timestamp with time zone
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+
+
+def document_texts(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    df = spread(table(spark, sf_dir, "documents")) if documents is None else documents
+    return df.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),
         F.col("source").alias("project"),
         "text",
@@ -225,9 +234,9 @@ PYTHON_LINES = [
 ]
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_files(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Documents as source files: one line of code in front, one behind, some behind a rule switch."""
-    df = document_texts(spark, sf_dir)
+    df = document_texts(spark, sf_dir, documents)
     n = F.col("n")
     java = n % 2 == 0
 
@@ -472,3 +481,79 @@ def whitelist(spark: SparkSession, sf_dir: str, modules: tuple[str, ...] = ("数
     """Known tasks: the texts of some modules, in order of first appearance."""
     df = tasks(spark, sf_dir).filter(F.col("module").isin(*modules))
     return df.groupBy("module", "content").agg(F.min("seq").alias("ord"))
+
+
+# -- transcripts ---------------------------------------------------------------------
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcript records: ``(session, record_no, value)``.
+
+    A session record comes first, then a model change (every third
+    conversation) or a model snapshot (the next third); fourth messages are
+    preceded by another model change in every fourth conversation.
+    """
+    m = messages(spark, sf_dir).select("conversation_id", "message_index", "role", "content", "ts", "model", "conv_id")
+    used = calls(spark, sf_dir).select(
+        "conversation_id",
+        F.col("call_index").alias("message_index"),
+        F.struct(
+            "input",
+            "output",
+            F.col("cache_read").alias("cacheRead"),
+            F.col("cache_write").alias("cacheWrite"),
+            F.col("total_tokens").alias("totalTokens"),
+        ).alias("usage"),
+    )
+    m = m.join(used, ["conversation_id", "message_index"], "left")
+    n, at = F.col("conv_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    sid = F.col("conversation_id").alias("session")
+    parts = F.array(
+        F.struct(F.lit("text").alias("type"), F.col("content").alias("text")),
+        F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")),
+    )
+    body = F.struct("role", F.col("content"), "model", "usage")
+    listed = F.struct("role", parts.alias("content"), "model", "usage")
+    said = m.select(
+        sid,
+        (F.col("message_index") * 2 + 10).alias("record_no"),
+        F.when(
+            n % 2 == 0, F.to_json(F.struct(sid, F.lit("message").alias("type"), at.alias("timestamp"), body.alias("message")))
+        )
+        .otherwise(F.to_json(F.struct(sid, F.lit("message").alias("type"), at.alias("timestamp"), listed.alias("message"))))
+        .alias("value"),
+    )
+    heads = m.groupBy("conversation_id", "conv_id").agg(F.min("ts").alias("ts"))
+    opened = heads.select(
+        sid,
+        F.lit(1).cast("long").alias("record_no"),
+        F.to_json(
+            F.struct(
+                sid,
+                F.lit("session").alias("type"),
+                at.alias("timestamp"),
+                F.concat(F.lit("agent:a:feishu:"), n.cast("string")).alias("key"),
+                F.lit("direct").alias("kind"),
+            )
+        ).alias("value"),
+    )
+    change = F.struct(
+        sid, F.lit("model_change").alias("type"), at.alias("timestamp"), F.lit("deepseek-chat").alias("modelId"), F.lit("p1").alias("provider")
+    )
+    snap = F.struct(
+        sid,
+        F.lit("custom").alias("type"),
+        F.lit("model-snapshot").alias("customType"),
+        F.struct(F.lit("glm-4").alias("modelId")).alias("data"),
+    )
+    models = heads.filter(n % 3 != 2).select(
+        sid, F.lit(2).cast("long").alias("record_no"), F.when(n % 3 == 0, F.to_json(change)).otherwise(F.to_json(snap)).alias("value")
+    )
+    later = m.filter((n % 4 == 0) & (F.col("message_index") == 3)).select(
+        sid,
+        (F.col("message_index") * 2 + 9).alias("record_no"),
+        F.to_json(
+            F.struct(sid, F.lit("model_change").alias("type"), at.alias("timestamp"), F.lit("gpt-4o").alias("modelId"), F.lit("p2").alias("provider"))
+        ).alias("value"),
+    )
+    return said.unionByName(opened).unionByName(models).unionByName(later)

@@ -75,9 +75,24 @@ def _num(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
-_IN, _OUT = _num(F.col("total_input_tokens")), _num(F.col("total_output_tokens"))
-_USERS, _REPLIES = _num(_ctx("user_turns")), _num(_ctx("assistant_turns"))
-_MODEL = F.lower(F.coalesce(F.col("model"), F.lit("")))
+def _inputs() -> Column:
+    return _num(F.col("total_input_tokens"))
+
+
+def _outputs() -> Column:
+    return _num(F.col("total_output_tokens"))
+
+
+def _users() -> Column:
+    return _num(_ctx("user_turns"))
+
+
+def _replies() -> Column:
+    return _num(_ctx("assistant_turns"))
+
+
+def _model() -> Column:
+    return F.lower(F.coalesce(F.col("model"), F.lit("")))
 
 
 def message_overlap(sessions: DataFrame) -> DataFrame:
@@ -116,8 +131,8 @@ def rule_a1(t: Mapping) -> Column:
 def rule_a2(t: Mapping) -> Column:
     """Messages are long on average, by characters or by tokens."""
     limit = t["avg_msg_token"]
-    chars, tokens = _num(_ctx("total_chars")) / _USERS, _IN / _USERS
-    fires = (_USERS > 0) & ((chars > limit * 4) | (tokens > limit))
+    chars, tokens = _num(_ctx("total_chars")) / _users(), _inputs() / _users()
+    fires = (_users() > 0) & ((chars > limit * 4) | (tokens > limit))
     mild = (chars <= limit * 4 * 1.5) & (tokens <= limit * 1.5)
     return _fire("A2", fires, F.when(mild, "info").otherwise("warning"), tokens)
 
@@ -131,10 +146,10 @@ def rule_a3(t: Mapping) -> Column:
         mine = F.filter(head, lambda m: m["role"] == role)
         return F.aggregate(mine, F.lit(0).cast("long"), lambda s, m: s + F.coalesce(m["estimated_tokens"], F.lit(0)))
 
-    asked, answered = of("user") / _IN, of("assistant") / F.greatest(_OUT, F.lit(1))
+    asked, answered = of("user") / _inputs(), of("assistant") / F.greatest(_outputs(), F.lit(1))
     fires = (
         (F.size(sizes) >= 3)
-        & (_IN > 0)
+        & (_inputs() > 0)
         & (asked >= t["first3_input_ratio"])
         & (answered < t["first3_waste_ratio"])
     )
@@ -143,16 +158,16 @@ def rule_a3(t: Mapping) -> Column:
 
 def rule_b1(t: Mapping) -> Column:
     """System prompts make up much of the input."""
-    r = _num(_ctx("system_tokens")) / _IN
+    r = _num(_ctx("system_tokens")) / _inputs()
     level = F.when(r > 0.50, "critical").when(r > 0.35, "warning").otherwise("info")
-    return _fire("B1", (_IN > 0) & (_num(_ctx("system_tokens")) > 0) & (r > t["system_prompt_ratio"]), level, r)
+    return _fire("B1", (_inputs() > 0) & (_num(_ctx("system_tokens")) > 0) & (r > t["system_prompt_ratio"]), level, r)
 
 
 def rule_b2(t: Mapping, prices) -> Column:
     """Thinking is long next to the answer; saving per month of daily use."""
     thought, said = _num(_ctx("thinking_tokens")), _num(_ctx("thinking_output_tokens"))
     r = thought / F.greatest(said, F.lit(1))
-    reasoning = contains_any(_MODEL, REASONING) | (thought > 0)
+    reasoning = contains_any(_model(), REASONING) | (thought > 0)
     price = F.coalesce(name_lookup(F.col("model"), prices, ["price_in", "price_out"])["price_out"], F.lit(0.0))
     fires = reasoning & (thought > 0) & (said > 0) & (r > t["thinking_ratio"])
     return _fire(
@@ -162,9 +177,9 @@ def rule_b2(t: Mapping, prices) -> Column:
 
 def rule_b3(t: Mapping) -> Column:
     """The user writes far more often than the assistant."""
-    silent = (_USERS > t["imbalance_turns"]) & (_REPLIES == 0)
-    uneven = (_USERS > 0) & (_REPLIES > 0) & (_USERS / _REPLIES > t["imbalance_ratio"])
-    value = _USERS / F.greatest(_REPLIES, F.lit(1))
+    silent = (_users() > t["imbalance_turns"]) & (_replies() == 0)
+    uneven = (_users() > 0) & (_replies() > 0) & (_users() / _replies() > t["imbalance_ratio"])
+    value = _users() / F.greatest(_replies(), F.lit(1))
     return _fire("B3", silent | uneven, F.when(silent, "warning").otherwise("info"), value)
 
 
@@ -173,10 +188,10 @@ def rule_c1(t: Mapping, specs) -> Column:
     spec = name_lookup(F.col("model"), specs, ["context_window", "max_tokens"])
     window = F.coalesce(spec["context_window"], F.lit(M.DEFAULT_SPEC[0]))
     most = F.coalesce(spec["max_tokens"], F.lit(M.DEFAULT_SPEC[1]))
-    r = _OUT / most
-    cut = _OUT % most < most * F.lit(0.05)
+    r = _outputs() / most
+    cut = _outputs() % most < most * F.lit(0.05)
     level = F.when(cut | (r > 0.95), "warning").otherwise("info")
-    fires = (most > 0) & (_OUT > 0) & (r >= t["output_capped_ratio"])
+    fires = (most > 0) & (_outputs() > 0) & (r >= t["output_capped_ratio"])
     return _fire("C1", fires, level, r, tokens=F.least(most * 2, window) - most)
 
 
@@ -185,9 +200,9 @@ def rule_c2(t: Mapping, prices) -> Column:
     fields = ["price_in", "price_out"]
     now = F.coalesce(name_lookup(F.col("model"), prices, fields)["price_in"], F.lit(0.0))
     then = F.coalesce(name_lookup(F.lit(CHEAPER), prices, fields)["price_in"], F.lit(0.0))
-    known = _MODEL.contains("flash") & _MODEL.contains("deepseek")
-    saved = (now - then) / F.lit(1e6) * _IN
-    fires = contains_any(_MODEL, COSTLY) & (_IN <= t["small_task_max_tokens"]) & known
+    known = _model().contains("flash") & _model().contains("deepseek")
+    saved = (now - then) / F.lit(1e6) * _inputs()
+    fires = contains_any(_model(), COSTLY) & (_inputs() <= t["small_task_max_tokens"]) & known
     return _fire("C2", fires, "info", saved * F.lit(1e6), usd=saved * F.lit(100))
 
 
@@ -202,8 +217,8 @@ def rule_d1(t: Mapping, as_of) -> Column:
     """An old session still holds a large context."""
     start = F.unix_micros(_ctx("time_start"))
     idle = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - start) / 86_400_000_000)
-    fires = (idle >= t["zombie_days"]) & (_IN >= t["zombie_token"])
-    return _fire("D1", fires, F.when(_IN > 100_000, "warning").otherwise("info"), idle, tokens=_IN)
+    fires = (idle >= t["zombie_days"]) & (_inputs() >= t["zombie_token"])
+    return _fire("D1", fires, F.when(_inputs() > 100_000, "warning").otherwise("info"), idle, tokens=_inputs())
 
 
 def rule_d2(t: Mapping) -> Column:
@@ -214,11 +229,11 @@ def rule_d2(t: Mapping) -> Column:
 
 def rule_d3(t: Mapping) -> Column:
     """A short session with a normal ratio: possibly a fragment."""
-    turns = _USERS + _REPLIES
+    turns = _users() + _replies()
     fires = (
         (turns < t["fragmentation_avg_turns"])
         & (_num(F.col("input_output_ratio")) < t["waste_ratio"])
-        & (_IN >= t["fragment_min_tokens"])
+        & (_inputs() >= t["fragment_min_tokens"])
     )
     return _fire("D3", fires, "info", turns)
 
@@ -270,7 +285,7 @@ def fragmentation(sessions: DataFrame, as_of, *, days: int = 30, thresholds: Map
     recent = sessions.filter((F.col("start_time") > now - F.make_dt_interval(F.lit(days))) & (F.col("start_time") <= now))
     return (
         recent.groupBy("source")
-        .agg(F.count(F.lit(1)).alias("sessions"), F.avg(_USERS + _REPLIES).alias("_avg"))
+        .agg(F.count(F.lit(1)).alias("sessions"), F.avg(_users() + _replies()).alias("_avg"))
         .filter((F.col("sessions") > t["fragmentation_threshold"]) & (F.col("_avg") < t["fragmentation_avg_turns"]))
         .select(
             "source",

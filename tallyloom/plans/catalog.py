@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["usage", "advice", "scan", "docs", "effort", "tasks"]
+MODULES = ["usage", "advice", "scan", "docs", "effort", "tasks", "store"]
 
 
 def _merge(attr: str) -> dict:

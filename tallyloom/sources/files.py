@@ -13,14 +13,17 @@ from ..rules import code as C
 
 
 def read_sources(
-    spark: SparkSession, root: str, language: str, exclude: Sequence[str] = tuple(C.EXCLUDED)
+    spark: SparkSession,
+    root: str,
+    language: str,
+    exclude: Sequence[str] = tuple(C.EXCLUDED),
+    extension: str | None = None,
 ) -> DataFrame:
     """Text files of a language below ``root``; a path holding an excluded word is left out."""
     df = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{C.EXTENSIONS[language]}")
-        .text(root)
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", f"*{extension or C.EXTENSIONS[language]}")
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     if exclude:

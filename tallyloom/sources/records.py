@@ -14,42 +14,46 @@ _COUNTS = "prompt_tokens bigint, input_tokens bigint, completion_tokens bigint,
 _BODY = f"usage struct<{_COUNTS.replace(' bigint', ':bigint')}>"
 
 
-def read_transcripts(spark: SparkSession, path: str, min_ts: str | None = None) -> DataFrame:
+def located(scan: DataFrame) -> DataFrame:
+    """Lines of a text scan or text stream with their file name and file split."""
+    return scan.select("value", "_metadata.file_name", "_metadata.file_block_start")
+
+
+def transcript_text(df: DataFrame) -> DataFrame:
+    """``(session, record_no, value)`` of located lines, of a batch scan or one micro-batch.
+
+    The session is the ``session`` field of the record, else the file name.
+    ``record_no`` joins the place of the file split with the row number inside
+    the task: it grows along a file although large files are read in splits.
+    """
+    name = F.col("file_name")
+    split = F.shiftright(F.col("file_block_start"), 20)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    df = df.filter(~name.contains(".reset.") & ~name.contains(".deleted."))
+    return df.select(
+        F.coalesce(F.get_json_object("value", "$.session"), F.regexp_replace(name, r"\.[^.]*$", "")).alias("session"),
+        (F.shiftleft(split, 33) + row).alias("record_no"),
+        "value",
+    )
+
+
+def read_transcripts(spark: SparkSession, path: str, min_ts: str | None = None, glob: str = "*.jsonl") -> DataFrame:
     """JSON-lines session files as typed records.
 
     Cleared files (``.reset.`` or ``.deleted.`` in the name) are left out, empty
     files have no lines. Bad lines keep their text in ``corrupt``. A time floor
     drops usage, not the record, so message counts stay whole.
     """
-    raw = (
-        spark.read.option("pathGlobFilter", "*.jsonl")
-        .option("recursiveFileLookup", "true")
-        .text(path)
-        .select(
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            "value",
-        )
-    )
-    return parse_transcripts(raw, min_ts)
+    raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    return parse_transcripts(transcript_text(located(raw)), min_ts)
 
 
 def parse_transcripts(raw: DataFrame, min_ts: str | None = None) -> DataFrame:
-    """Typed records from ``(file, _block, value)`` lines.
-
-    ``record_no`` combines the block offset with the position in the block, so
-    it grows along the file without a global sort.
-    """
-    raw = raw.filter(~F.col("file").contains(".reset.") & ~F.col("file").contains(".deleted."))
+    """Typed records from ``(session, record_no, value)`` lines."""
     raw = raw.filter(F.trim("value") != "")
-    # position in a partition follows the position in the file
-    numbered = raw.withColumn("_n", F.monotonically_increasing_id())
     rec = F.from_json("value", TRANSCRIPT_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    df = numbered.select(
-        F.regexp_replace("file", r"\.jsonl$", "").alias("session"),
-        F.col("_n").alias("record_no"),
-        rec.alias("r"),
-        F.get_json_object("value", "$.message.content").alias("_content"),
+    df = raw.select(
+        "session", "record_no", rec.alias("r"), F.get_json_object("value", "$.message.content").alias("_content")
     )
     parts = F.from_json("_content", CONTENT_PARTS)
     text = F.when(F.col("_content").startswith("["), clean_parts(parts)).otherwise(F.col("_content"))
@@ -137,7 +141,7 @@ def transcript_origins(records: DataFrame, source: str = "transcript") -> DataFr
         F.coalesce(
             F.nullif(F.max_by("key", first), F.lit("")),
             F.nullif(F.max_by("channel", first), F.lit("")),
-            F.first("session"),
+            F.min("session"),
         ).alias("source_id"),
         F.coalesce(F.nullif(F.max_by("kind", first), F.lit("")), F.lit("direct")).alias("kind"),
     )
