@@ -121,7 +121,7 @@ def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """API request log with JSON and event-stream response bodies."""
-    df = table(spark, sf_dir, "events") if events is None else events
+    df = spread(table(spark, sf_dir, "events")) if events is None else events
     k = F.get_json_object("props", "$.k").cast("long")
     p = F.floor(F.col("value") * 10).cast("long")
     usage = F.concat(
@@ -405,7 +405,7 @@ TYPES = ["接口任务", "数据库任务", "前端任务", "配置任务", "功
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work items of one project per user; a third of them carry a number of their own."""
-    df = table(spark, sf_dir, "events")
+    df = spread(table(spark, sf_dir, "events"))
     n, k = F.col("event_id"), F.get_json_object("props", "$.k")
     base = F.get(F.array(*[F.lit(s) for s in SENTENCES]), (n % len(SENTENCES)).cast("int"))
     variant = F.floor(n / len(SENTENCES)) % 3

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
+    CJK,
     SPACE,
     WORD,
     any_of,
@@ -113,8 +114,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 def vague_phrases(docs: DataFrame, phrases: Sequence[tuple[str, str]] = tuple(D.VAGUE + D.VAGUE_JAVA)) -> DataFrame:
     """One row per line and vague phrase. Documents without any phrase are dropped before lines are made."""
-    hit = docs.select("doc_id", "text").filter(contains_any("text", [p for p, _ in phrases]))
-    lines = document_lines(hit)
+    words = [p for p, _ in phrases]
+    # texts in other scripts are told apart by one character class before any phrase is tried
+    cjk = all(any("\u4e00" <= ch <= "\u9fff" for ch in p) for p in words)
+
+    def possible(c: str) -> Column:
+        return matches(c, CJK) & contains_any(c, words) if cjk else contains_any(c, words)
+
+    hit = docs.select("doc_id", "text").filter(possible("text"))
+    lines = document_lines(hit).filter(possible("line"))
     table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(h).alias("hint")) for p, h in phrases])
     found = F.filter(table, lambda p: F.contains(F.col("line"), p["phrase"]))
     df = lines.select("doc_id", "line_no", "line", F.explode_outer(found).alias("p")).filter(F.col("p").isNotNull())

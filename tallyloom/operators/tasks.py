@@ -33,6 +33,11 @@ def _hit(c: Column | str, pattern: str, flags: str = U) -> Column:
     return matches(c, flags + pattern)
 
 
+def _hit_any(c: Column | str, patterns: Sequence[str]) -> Column:
+    """Any of the patterns, in one pass."""
+    return _hit(c, "|".join(f"(?:{p})" for p in patterns))
+
+
 def _starts_any(c: Column, words: Sequence[str]) -> Column:
     return matches(c, r"\A(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")")
 
@@ -84,24 +89,21 @@ def _rejected(t: Column, bare: Column, is_enum: Column) -> Column:
     """Hard filters on a trimmed line."""
     words = F.split(t, f"{SPACE}+")
     technical = F.size(F.filter(words, lambda w: contains_any(w, R.NOUNS)))
+    nouns = contains_any(t, R.NOUNS)
     negation = "|".join(rf"\Q{w}\E" for w in R.NEGATIONS)
-    set_off = rf"[，,。、；;：:\s](?:{negation})(?:[，,。、；;：:\s]|$)"
+    edge = r"[，,。、；;：:\s]"
     marked = contains_any(t, ["【新增】", "【更新】", "【删除】"])
     return any_of(
         [
             F.length(t) < 6,
-            any_of([_hit(t, p) for p in R.RESIDUE]),
-            is_enum & ((F.length(bare) < 6) | ~(contains_any(bare, R.VERBS) | _tech_any(bare))),
-            _starts_any(t, R.NEGATIONS),
-            _ends_any(t, R.NEGATIONS),
-            _hit(t, set_off),
             contains_any(t, R.MARKERS),
-            any_of([_hit(t, p) for p in R.DIAGRAMS]),
-            _hit(t, r"^[\d\s\.\-\|]+$"),
-            (count_contained(t, R.NOUNS) >= 3) & (F.length(t) >= 15),
-            (F.size(words) >= 4) & (technical >= 3) & (technical / F.size(words) >= 0.4),
-            _hit(t, R.NUMBERED) & ~marked,
             _ends_any(t, R.SUFFIXES),
+            _hit(t, rf"\A(?:{negation})|(?:{negation})\z|{edge}(?:{negation})(?:{edge}|$)"),
+            _hit_any(t, [*R.RESIDUE, *R.DIAGRAMS, r"^[\d\s\.\-\|]+$"]),
+            _hit(t, R.NUMBERED) & ~marked,
+            nouns & (F.length(t) >= 15) & (count_contained(t, R.NOUNS) >= 3),
+            nouns & (F.size(words) >= 4) & (technical >= 3) & (technical / F.size(words) >= 0.4),
+            is_enum & ((F.length(bare) < 6) | ~(contains_any(bare, R.VERBS) | _tech_any(bare))),
         ]
     )
 
@@ -110,10 +112,9 @@ def _flag(c: Column, points: int = 1) -> Column:
     return F.when(c, points).otherwise(0)
 
 
-def _score(t: Column, bare: Column, is_enum: Column) -> Column:
+def _score(t: Column, bare: Column, is_enum: Column, verbs: Column, tech: Column) -> Column:
     """Points of a line that passed the hard filters."""
-    verbs, tech = count_contained(t, R.VERBS), count_contained(t, R.TECH)
-    verb_any, tech_any = contains_any(t, R.VERBS), _tech_any(t)
+    verb_any, tech_any = verbs > 0, _tech_any(t)
     build = contains_any(t, R.BUILD_VERBS)
     variable = ~build & _hit(t, R.RAW_VARIABLE)
     descriptive = _starts_any(t, R.DESCRIPTIVE)
@@ -129,7 +130,7 @@ def _score(t: Column, bare: Column, is_enum: Column) -> Column:
     )
     equals, question = F.instr(t, F.lit("=")), F.instr(t, F.lit("?"))
     assigned = (equals > 0) & ~t.startswith("POST") & ~t.startswith("GET") & ~((question > 0) & (question < equals))
-    flow = ~build & any_of([_hit(t, p) | (is_enum & _hit(bare, p)) for p in R.FLOW])
+    flow = ~build & (_hit_any(t, R.FLOW) | (is_enum & _hit_any(bare, R.FLOW)))
     mixed = _starts_any(t, R.MIXED)
     return (
         _flag(verbs > 0)
@@ -160,7 +161,7 @@ def task_candidates(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     keep = [c for c in ("project",) if c in lines.columns]
     # every point of the score needs a CJK character or one of the Latin words, so prose in other scripts stops here
     latin = [w for w in R.TECH if w.isascii()] + ["POST", "GET", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
-    possible = rf"[\x{{4e00}}-\x{{9fff}}]|```|~~~|(?i:step)|{'|'.join(latin)}"
+    possible = rf"[\x{{4e00}}-\x{{9fff}}]|```|~~~|(?i:step)|{'|'.join(latin)}|alt|\["
     df = lines.filter(matches("line", possible))
     df = df.select(*keep, "doc_id", "line_no", strip("line").alias("raw_text"))
     t = F.col("raw_text")
@@ -171,7 +172,9 @@ def task_candidates(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     bare, is_enum = F.col("_bare"), F.col("_enum")
     df = staged(df, {"_scorable": ~F.col("_fence") & ~_rejected(t, bare, is_enum)})
     df = df.filter(F.col("_fence") | F.col("_scorable"))
-    df = staged(df, {"score": F.when(F.col("_scorable"), _score(t, bare, is_enum))})
+    df = staged(df, {"_verbs": count_contained(t, R.VERBS), "_tech": count_contained(t, R.TECH)})
+    score = _score(t, bare, is_enum, F.col("_verbs"), F.col("_tech"))
+    df = staged(df, {"score": F.when(F.col("_scorable"), score)})
     df = df.select(*keep, "doc_id", "line_no", "raw_text", "_fence", "score")
     picked = df.filter(F.col("_fence") | (F.col("score") >= 2))
     picked = ordered.running_sum(
@@ -179,8 +182,7 @@ def task_candidates(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     )
     found = picked.filter(~F.col("_fence") & (F.col("_open") % 2 == 0))
     found = found.withColumn("_step", _hit(t, R.STEP) & ~contains_any(t, R.BUILD_VERBS))
-    text = strip("line")
-    marks = lines.filter(any_of([_hit(text, p) for p in R.FLOW_MARKERS]))
+    marks = lines.filter(matches("line", possible) | F.col("line").contains("-->>")).filter(_hit_any(strip("line"), R.FLOW_MARKERS))
     around = F.sequence(F.col("line_no") - R.FLOW_REACH, F.col("line_no") + R.FLOW_REACH)
     zone = marks.select("doc_id", F.explode(around).alias("line_no")).distinct().withColumn("_step", F.lit(True))
     found = found.join(zone, ["doc_id", "line_no", "_step"], "left_anti")
@@ -256,7 +258,7 @@ def drop_noise(tasks: DataFrame) -> DataFrame:
     """
     text, raw = strip("content"), F.coalesce(F.col("raw_text"), F.lit(""))
     short = (F.length(text) <= 5) & ~contains_any(text, R.DEV_VERBS)
-    conditional = any_of([_hit(raw, p) for p in R.CONDITIONS])
+    conditional = _hit_any(raw, R.CONDITIONS)
     whole = (
         (F.length(text) >= 4)
         & (strip(raw) != "")

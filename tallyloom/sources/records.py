@@ -169,7 +169,9 @@ def _usage(u: Column) -> Column:
 
 def parse_usage(df: DataFrame, body: str) -> DataFrame:
     """Add ``usage`` (prompt, completion, total) from a JSON body; NULL without a usage object."""
-    return df.withColumn("usage", _usage(F.from_json(F.col(body), _BODY)["usage"]))
+    # parsed in a column of its own: the counts refer to it several times
+    parsed = df.withColumn("_usage", F.from_json(F.col(body), _BODY)["usage"])
+    return parsed.withColumn("usage", _usage(F.col("_usage"))).drop("_usage")
 
 
 def parse_sse_usage(df: DataFrame, body: str) -> DataFrame:
@@ -182,4 +184,5 @@ def parse_sse_usage(df: DataFrame, body: str) -> DataFrame:
     tagged = F.filter(lines, lambda x: x.startswith("data: ") & x.contains('"usage"'))
     parsed = F.transform(tagged, lambda x: F.from_json(F.substring(x, F.lit(7), F.length(x)), _BODY)["usage"])
     found = F.filter(parsed, lambda u: u.isNotNull())
-    return df.withColumn("usage", _usage(F.try_element_at(found, F.lit(-1))))
+    last = df.withColumn("_usage", F.try_element_at(found, F.lit(-1)))
+    return last.withColumn("usage", _usage(F.col("_usage"))).drop("_usage")
