@@ -71,7 +71,7 @@ def scan(lines: DataFrame, rules: Sequence[tuple] | DataFrame = C.RULES, familie
 def _scan_with_table(lines: DataFrame, rules: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Join form. ``rules``: language, rule_id, severity, type, cwe, pattern (flags included)."""
     comment = any_of([(F.col("language") == lang) & is_comment(F.col("line"), lang) for lang in C.EXTENSIONS])
-    df = lines.filter(~comment).join(rules, "language").filter(F.col("line").rlike(F.col("pattern")))
+    df = lines.filter(~comment).join(rules, "language").filter(F.regexp_like(F.col("line"), F.col("pattern")))
     return df.select(
         F.concat_ws("-", "rule_id", "line_no").alias("finding_id"),
         *keep,
