@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import salted_join
 from ..functions.text import contains_any, first_match, half_up, matches, strip
 from ..rules import effort as R
 
@@ -123,7 +124,7 @@ def estimate_days(tasks: DataFrame, records: DataFrame | None = None) -> DataFra
     df = features(tasks)
     if records is not None:
         factors = calibration_factors(records).select("task_type", "factor", "records")
-        df = df.join(factors, "task_type", "left")
+        df = salted_join(df, factors, ["task_type"], "content")
         factor = F.coalesce("factor", F.lit(1.0))
     else:
         df = df.withColumn("records", F.lit(0).cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.containment import contained_pairs
+from ..functions.joins import salted_join
 from ..functions.text import SPACE, col, contains_any, first_match, half_up, strip, sub
 from ..rules import tasks as R
 
@@ -201,7 +202,7 @@ def split_modules(tasks: DataFrame, most: int = 10) -> DataFrame:
     """Tasks of modules with more than ``most`` tasks get a sub-module. Counts are pre-aggregated, not windowed."""
     sizes = tasks.groupBy("project", "module").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > most).select("project", "module", F.lit(True).alias("_large"))
-    df = tasks.join(large, ["project", "module"], "left")
+    df = salted_join(tasks, large, ["project", "module"], "content")
     return df.select(
         *[c for c in tasks.columns if c != "module"],
         F.when(F.col("_large"), sub_module(F.col("module"), F.col("content"))).otherwise(F.col("module")).alias("module"),
@@ -217,7 +218,8 @@ def sequence_tasks(tasks: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     counts = tasks.groupBy("project", "module").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("project").orderBy("module").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("project", "module", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    df = ordered.row_numbers(tasks, ["project", "module"], "seq", "_rn", size=size).join(offsets, ["project", "module"])
+    df = ordered.row_numbers(tasks, ["project", "module"], "seq", "_rn", size=size)
+    df = salted_join(df, offsets, ["project", "module"], "seq", "inner")
 
     def task_id(n: Column) -> Column:
         text = n.cast("string")
