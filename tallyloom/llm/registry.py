@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["host_rules"]
+MODULES = ["host_rules", "url_model", "pseudonyms"]
 
 
 def _merge(attr: str) -> dict:
