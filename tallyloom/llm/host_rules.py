@@ -110,7 +110,7 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     mean, weight = prior.select("_mean", between_known).first()
     mean, weight = float(mean or 0.0), float(weight or 1.0)
     shrunk = (F.col("host_failed") + mean * weight) / (F.col("host_docs") + weight)
-    return hosts.join(F.broadcast(prior)).select(
+    return hosts.select(
         "source", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_rejected")
     )
 
