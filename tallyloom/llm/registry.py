@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["host_rules", "url_model", "pseudonyms"]
+MODULES = ["host_rules", "url_model", "pseudonyms", "quality_fm", "toxicity"]
 
 
 def _merge(attr: str) -> dict:
