@@ -2,9 +2,10 @@
 
 A word is the bag of its character n-grams (``MIN_N`` to ``MAX_N`` bytes, word ends
 marked), hashed to ``BUCKETS`` vectors. A word is the mean of its n-gram vectors, a
-document the mean of its words, and a softmax layer reads that mean. Vectors and
-layer are trained together, so a misspelling never seen before still has most of
-the n-grams of the word that it stands for. Fitted on a bounded sample of labelled
+passage of a document the mean of its words, and a softmax layer reads that mean; a
+document is as toxic as its most toxic passage. Vectors and layer are trained
+together, so a misspelling never seen before still has most of the n-grams of the
+word that it stands for. Fitted on a bounded sample of labelled
 documents (``SAMPLE`` rows, both classes equally); every text is scored as a whole.
 
 Nulls and edge cases: a null, empty or blank text has no words and gets the
@@ -37,6 +38,8 @@ SCALE = 30.0
 DECAY = 1e-6
 THRESHOLD = 0.7
 BLOCK = 1 << 20
+PASSAGE = 16
+PASSAGE_ROUNDS = 2
 
 
 def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -66,7 +69,7 @@ def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of a text's mean; the weights add up to 1."""
+    """Buckets and weights of the mean over all words of a text; the weights add up to 1."""
     total, n = np.zeros(BUCKETS), 0
     for bucket, owner, words in grams(text or ""):
         per_word = np.bincount(owner, minlength=words)
@@ -76,6 +79,30 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return index, total[index] / max(1, n)
 
 
+def passages(text: str | None, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per block of a text: mean weight of each passage, then buckets, words and n-gram counts of the block.
+
+    A passage is ``PASSAGE`` words; a shorter one at the end counts as filled up
+    with words of weight 0, so a few words alone do not weigh more.
+    """
+    for bucket, owner, words in grams(text or ""):
+        count = np.maximum(1, np.bincount(owner, minlength=words))
+        per_word = np.bincount(owner, weights[bucket], words) / count
+        yield np.add.reduceat(per_word, np.arange(0, words, PASSAGE)) / PASSAGE, bucket, owner, count
+
+
+def strongest_passage(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of the passage with the highest mean."""
+    best, out = -np.inf, (np.empty(0, np.int64), np.empty(0))
+    for means, bucket, owner, count in passages(text, weights):
+        k = int(means.argmax())
+        if means[k] > best:
+            best, chosen = means[k], owner // PASSAGE == k
+            index, spot = np.unique(bucket[chosen], return_inverse=True)
+            out = index, np.bincount(spot, 1 / count[owner[chosen]]) / PASSAGE
+    return out
+
+
 def train(y: np.ndarray, borders: np.ndarray, index: np.ndarray, value: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
     """Log-odds weight of every bucket and the bias, from jointly trained vectors and softmax layer (AdaGrad)."""
     draw = np.random.default_rng(seed)
@@ -107,22 +134,39 @@ def train(y: np.ndarray, borders: np.ndarray, index: np.ndarray, value: np.ndarr
 
 
 def log_odds(text: str | None, weights: np.ndarray, bias: float) -> float:
-    """Log-odds of toxicity: the softmax layer is linear, so each word adds the mean weight of its n-grams."""
-    total, n = 0.0, 0
-    for bucket, owner, words in grams(text or ""):
-        per_word = np.bincount(owner, weights[bucket], words) / np.maximum(1, np.bincount(owner, minlength=words))
-        total += float(per_word.sum())
-        n += words
-    return bias + total / max(1, n)
+    """Log-odds of the most toxic passage; that of the bias alone for a text without words.
+
+    The softmax layer is linear, so each word adds the mean weight of its n-grams.
+    """
+    return bias + max((float(means.max()) for means, *_ in passages(text, weights)), default=0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
+    """Bucket weights and bias.
+
+    The first model learns from means over whole documents. Labels hold for
+    documents, but a few words make one toxic, so the next models learn from the
+    passage of each document that the model before found most toxic: the toxic
+    words of the one class, the most misleading words of the other.
+    """
     chosen = choose(labels.filter(F.col(label).isin(0, 1)), label, (0, 1), sample)
-    y, borders, index, value = features(
-        docs, chosen, lambda b: [bag(t) for t in b.column("text").to_pylist()], [F.col("text").cast("string")]
-    )
-    y = np.array(y, float)
-    return train(y, borders, index.astype(np.int64), value.astype(float)) if len(set(y)) == 2 else None
+    model, parts = None, []
+    for step in range(1 + PASSAGE_ROUNDS):
+        weights = None if model is None else model[0]
+
+        def make(batch: pa.RecordBatch, weights=weights) -> list:
+            rows = batch.column("text").to_pylist()
+            return [bag(t) if weights is None else strongest_passage(t, weights) for t in rows]
+
+        y, borders, index, value = features(docs, chosen, make, [F.col("text").cast("string")])
+        if len(set(y)) < 2:
+            return None
+        if step:  # passages of all rounds, so that no round forgets what misled the one before
+            parts.append((np.array(y, float), np.diff(borders), index, value))
+            y, sizes, index, value = (np.concatenate(x) for x in zip(*parts))
+            borders = np.concatenate([[0], np.cumsum(sizes)])
+        model = train(np.array(y, float), borders, index.astype(np.int64), value.astype(float))
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
