@@ -31,9 +31,9 @@ SAMPLE = 6000
 MIN_N, MAX_N = 3, 5
 BUCKETS = 1 << 17
 WIDTH = 8
-EPOCHS = 8
+EPOCHS = 6
 BATCH = 64
-RATE = 0.3
+RATE = 0.2
 SCALE = 30.0
 DECAY = 1e-6
 THRESHOLD = 0.7
@@ -42,18 +42,24 @@ PASSAGE = 16
 PASSAGE_ROUNDS = 2
 
 
-def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """N-gram buckets of a text, the word (from 0) of each, and the words, in blocks that end between words."""
+def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """N-gram buckets of a text, the word of each, and the passage of each word, in blocks of whole passages.
+
+    A passage is ``PASSAGE`` words in a row of which repeats are left out, so one
+    repeated word cannot fill it.
+    """
     words = text.lower().encode("utf-8", "replace").split()
     at = 0
     while at < len(words):
-        size, end = 0, at
-        while end < len(words) and (size < BLOCK or end == at):
-            size += len(words[end]) + 1
-            end += 1
-        raw = np.frombuffer(b" " + b" ".join(words[at:end]) + b" ", np.uint8)
-        space = raw == 32
-        before = np.concatenate([[0], np.cumsum(space)])
+        block, passage, size, k = [], [], 0, 0
+        while at < len(words) and size < BLOCK:
+            part = dict.fromkeys(words[at : at + PASSAGE])
+            block.extend(part)
+            passage.extend([k] * len(part))
+            size += sum(map(len, part))
+            at, k = at + PASSAGE, k + 1
+        raw = np.frombuffer(b" " + b" ".join(block) + b" ", np.uint8)
+        before = np.concatenate([[0], np.cumsum(raw == 32)])
         code, buckets, owners = raw.astype(np.uint64), [], []
         for n in range(2, MAX_N + 1):
             code = code[:-1] * np.uint64(1000003) + raw[n - 1 :] + np.uint64(1)
@@ -64,40 +70,39 @@ def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             mixed = (code[inner] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)
             buckets.append(mixed.astype(np.int64))
             owners.append(before[inner + 1] - 1)
-        yield np.concatenate(buckets), np.concatenate(owners), end - at
-        at = end
+        yield np.concatenate(buckets), np.concatenate(owners), np.array(passage)
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of the mean over all words of a text; the weights add up to 1."""
     total, n = np.zeros(BUCKETS), 0
-    for bucket, owner, words in grams(text or ""):
-        per_word = np.bincount(owner, minlength=words)
+    for bucket, owner, passage in grams(text or ""):
+        per_word = np.bincount(owner, minlength=len(passage))
         total += np.bincount(bucket, 1 / per_word[owner], BUCKETS)
-        n += words
+        n += len(passage)
     index = np.flatnonzero(total)
     return index, total[index] / max(1, n)
 
 
-def passages(text: str | None, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block of a text: mean weight of each passage, then buckets, words and n-gram counts of the block.
+def passages(text: str | None, weights: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per block of a text: mean weight of each passage, then buckets, words, n-gram counts and passages.
 
-    A passage is ``PASSAGE`` words; a shorter one at the end counts as filled up
-    with words of weight 0, so a few words alone do not weigh more.
+    A passage with fewer than ``PASSAGE`` distinct words counts as filled up with
+    words of weight 0, so a few words alone do not weigh more.
     """
-    for bucket, owner, words in grams(text or ""):
-        count = np.maximum(1, np.bincount(owner, minlength=words))
-        per_word = np.bincount(owner, weights[bucket], words) / count
-        yield np.add.reduceat(per_word, np.arange(0, words, PASSAGE)) / PASSAGE, bucket, owner, count
+    for bucket, owner, passage in grams(text or ""):
+        count = np.maximum(1, np.bincount(owner, minlength=len(passage)))
+        per_word = np.bincount(owner, weights[bucket], len(passage)) / count
+        yield np.bincount(passage, per_word) / PASSAGE, bucket, owner, count, passage
 
 
 def strongest_passage(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of the passage with the highest mean."""
     best, out = -np.inf, (np.empty(0, np.int64), np.empty(0))
-    for means, bucket, owner, count in passages(text, weights):
+    for means, bucket, owner, count, passage in passages(text, weights):
         k = int(means.argmax())
         if means[k] > best:
-            best, chosen = means[k], owner // PASSAGE == k
+            best, chosen = means[k], passage[owner] == k
             index, spot = np.unique(bucket[chosen], return_inverse=True)
             out = index, np.bincount(spot, 1 / count[owner[chosen]]) / PASSAGE
     return out
