@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["host_rules", "url_model", "pseudonyms", "quality_fm", "toxicity", "byte_lm", "language_id", "packing", "tiling"]
+MODULES = ["host_rules", "url_model", "pseudonyms", "quality_fm", "toxicity", "byte_lm", "language_id", "packing", "tiling", "jaccard_join"]
 
 
 def _merge(attr: str) -> dict:
