@@ -30,6 +30,14 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(df, row_bytes) else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held(name: str, make: Callable):
     """A value made once per Python process (tokenizer, power tables), across tasks."""
     store = sys.modules.setdefault("_tallyloom_held", types.ModuleType("_tallyloom_held")).__dict__

@@ -23,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import free_name
+
 ROUNDS = 10
 
 # Possessive and anchored at the run's start, so a long run of word characters is read once.
@@ -276,18 +278,17 @@ def pseudonymise(df: DataFrame, key: str, column: str = "text", count: str | Non
 
     Keep ``key`` secret: whoever knows it can invert the permutation.
     """
-    text = F.col(column)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    df = df.withColumn("_found", found)
-    df = df.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    text, values, new = F.col(column), free_name(df, "_values"), free_name(df, "_pseudonyms")
+    out = df.withColumn(values, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    out = out.withColumn(new, F.transform(values, lambda m: pseudonym(m, key)))
     rebuilt = F.array_join(
-        F.zip_with(F.split(text, ANY, -1), "_new", lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""
+        F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""
     )
-    df = df.withColumn(column, F.when(F.size("_found") > 0, rebuilt).otherwise(text))
-    if count:
-        changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-        df = df.withColumn(count, F.coalesce(F.when(F.size("_found") > 0, changed), F.lit(0)))
-    return df.drop("_found", "_new")
+    out = out.withColumn(column, F.when(F.size(values) > 0, rebuilt).otherwise(text))
+    if not count:
+        return out.select(*df.columns)
+    changed = F.size(F.filter(F.zip_with(values, new, lambda a, b: a != b), lambda x: x))
+    return out.select(*df.columns, F.coalesce(F.when(F.size(values) > 0, changed), F.lit(0)).alias(count))
 
 
 def op10_pseudonyms(spark, sf_dir: str) -> DataFrame:

@@ -153,10 +153,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, metadata: Sequence[str]
     return machine
 
 
-def score(docs: DataFrame, machine: Machine | None, metadata: Sequence[str] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; all its columns are carried through."""
+def score(
+    docs: DataFrame,
+    machine: Machine | None,
+    metadata: Sequence[str] = (),
+    threshold: float = THRESHOLD,
+    names: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
+    """``docs`` with a score and a prediction under ``names``; all its columns are carried through."""
     if machine is None:
-        return docs.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
+        return docs.withColumn(names[0], F.lit(0.5)).withColumn(names[1], F.lit(1))
     parts = (machine.bias, machine.linear, machine.factors, machine.mean, machine.scale)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
@@ -165,12 +171,12 @@ def score(docs: DataFrame, machine: Machine | None, metadata: Sequence[str] = ()
         here.bias, here.linear, here.factors, here.mean, here.scale = shared.value
         for batch in source:
             s = here.scores(inputs(batch, metadata))
-            yield batch.append_column("score", pa.array(s, pa.float64())).append_column(
-                "predicted", pa.array((s >= threshold).astype(np.int32), pa.int32())
+            yield batch.append_column(names[0], pa.array(s, pa.float64())).append_column(
+                names[1], pa.array((s >= threshold).astype(np.int32), pa.int32())
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(batches, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(batches, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
 
 
 def learnable(labels: DataFrame) -> DataFrame:
