@@ -89,7 +89,7 @@ def signatures(found: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarra
     out, own = [], bands.of(len(found))
     place = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
     rare = common[place] != found if len(common) else np.ones(len(found), bool)
-    total = np.concatenate([[0], np.cumsum(mix(found + np.uint64(0x5851F42D4C957F2D)))]).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(0x5851F42D4C957F2D)))])
     rares = np.concatenate([[0], np.cumsum(rare)])
     for band in (own, own + 1):
         differences = bands.differences(band)
