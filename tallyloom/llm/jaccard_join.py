@@ -34,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +44,20 @@ from pyspark.sql import functions as F
 from tallyloom.functions.shipping import by_value
 from tallyloom.llm.common import groups, small_side, texts
 from tallyloom.llm.components import components
-from tallyloom.llm.words import mix, windows, word_hashes
+from tallyloom.llm.words import mix, window_lists
 from tallyloom.session import materialise
 
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 SAMPLE = 10_000
 COMMON_SHARE = 0.001
 SPARE_PARTS = 1.2
-MU = 0.01
 
 
-def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; ASCII letters in lower case."""
-    return np.unique(windows(word_hashes(text.lower()), n))
+def shingles(texts: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; ASCII letters in lower case."""
+    for found in window_lists([t.lower() for t in texts], n):
+        found = np.sort(found)
+        yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 class Bands:
@@ -107,35 +108,38 @@ def signatures(found: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarra
     return np.concatenate(out)
 
 
-def occurrences(query: np.ndarray, lists: dict[int, list[int]], least: int) -> Iterator[int]:
-    """Entries that occur in at least ``least`` of the query's inverted lists, by DivideSkip."""
-    found = sorted((x for x in map(lists.get, query.tolist()) if x), key=len)
-    if len(found) < least:
-        return
-    longest = len(found[-1])
-    set_aside = min(least - 1, int(least / (MU * np.log2(longest + 1) + 1)))
-    cut = len(found) - set_aside
-    short, long = found[:cut], found[cut:]
-    merged, count, last = heapq.merge(*short), 0, -1
-
-    def reaches(entry: int, n: int) -> bool:
-        for k, x in enumerate(long):
-            if n >= least:
-                return True
-            if n + len(long) - k < least:
-                return False
+def occurrences(
+    query: list[int],
+    lists: dict[int, list[int]],
+    least: int,
+    heads: dict[int, list[int]] | None = None,
+    settled: Callable[[int], bool] = lambda entry: False,
+    need: Callable[[int], int] | None = None,
+) -> Iterator[int]:
+    """Entries that occur in at least ``least`` of the query's inverted lists, by DivideSkip.
+
+    ``query`` is ordered from the shortest list to the longest. The ``least - 1``
+    longest lists are set aside, so what is wanted occurs in one of the short ones;
+    these are merged with a heap and each entry is looked up in the others by
+    binary search until it has occurred often enough or missed too often. ``heads``
+    may hold shorter lists for the merge, entries with ``settled`` are left out, and
+    ``need`` may ask more than ``least`` of an entry.
+    """
+    heads = lists if heads is None else heads
+    short = [heads[t] for t in query[: max(0, len(query) - least + 1)] if t in heads]
+    probes, last = [lists.get(t, ()) for t in query], -1
+    for entry in heapq.merge(*short):
+        if entry == last or settled(entry):
+            continue
+        last, missing = entry, len(query) - (need(entry) if need else least)
+        for x in probes:
             at = bisect_left(x, entry)
-            n += at < len(x) and x[at] == entry
-        return n >= least
-
-    for entry in merged:
-        if entry != last:
-            if last >= 0 and count >= least - set_aside and reaches(last, count):
-                yield last
-            last, count = entry, 0
-        count += 1
-    if last >= 0 and count >= least - set_aside and reaches(last, count):
-        yield last
+            if at == len(x) or x[at] != entry:
+                missing -= 1
+                if missing < 0:
+                    break
+        else:
+            yield entry
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -148,6 +152,7 @@ def search(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
 
     ``role`` 0 rows are only indexed, 1 rows only asked, 2 rows both.
     """
+    rows = sorted(rows, key=lambda r: (len(r["found"]), r["node"]))
     sets = [np.frombuffer(r["found"], "<u8") for r in rows]
     parent: dict[int, int] = {r["node"]: r["node"] for r in rows}
 
@@ -162,16 +167,43 @@ def search(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
         if r["role"] != 1:
             for t in sets[i].tolist():
                 lists.setdefault(t, []).append(i)
+    # Each set from its rarest shingle on: two sets that share T shingles share one of the first a - T + 1 of both.
+    ordered = [sorted(x.tolist(), key=lambda t: (len(lists.get(t, ())), t)) for x in sets]
+    # Where all rows ask and are held, each is compared with the smaller ones before it, which must share more of
+    # their own shingles than the larger one of its.
+    alike = all(r["role"] == 2 for r in rows)
+    heads: dict[int, list[int]] = {}
+
+    def hold(i: int) -> None:
+        a = len(sets[i])
+        least = -(-2 * num * a // (num + den)) if alike else -(-num * a // den)
+        for t in ordered[i][: a - max(1, least) + 1]:
+            heads.setdefault(t, []).append(i)
+
+    if not alike:
+        for i, r in enumerate(rows):
+            if r["role"] != 1:
+                hold(i)
     out = []
     for i, r in enumerate(rows):
         if r["role"] == 0:
             continue
-        least = max(1, -(-len(sets[i]) * num // den))
-        for j in occurrences(sets[i], lists, least):
-            a, b = root(r["node"]), root(rows[j]["node"])
-            if a != b and linked(sets[i], sets[j], num, den):
-                parent[max(a, b)] = min(a, b)
-                out.append((r["node"], rows[j]["node"]))
+        own, a = r["node"], len(sets[i])
+        found = occurrences(
+            ordered[i],
+            lists,
+            max(1, -(-num * a // den)),
+            heads,
+            lambda j: root(rows[j]["node"]) == root(own),
+            lambda j: -(-num * (a + len(sets[j])) // (num + den)),
+        )
+        for j in found:
+            x, y = root(own), root(rows[j]["node"])
+            if x != y and linked(sets[i], sets[j], num, den):
+                parent[max(x, y)] = min(x, y)
+                out.append((own, rows[j]["node"]))
+        if alike:
+            hold(i)
     return out
 
 
@@ -180,7 +212,7 @@ def measure(docs: DataFrame, n: int) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = [shingles(t, n) for t in texts(batch)]
+            found = list(shingles(texts(batch), n))
             prints = np.frombuffer(b"".join(hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found), "<i8")
             sizes = pa.array([len(f) for f in found], pa.int64())
             prints = prints.reshape(-1, 2)
@@ -196,7 +228,7 @@ def common_shingles(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = [shingles(t, n) for t in texts(batch)]
+            found = list(shingles(texts(batch), n))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], ["shingle"])
 
@@ -214,8 +246,7 @@ def part_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -
         bands, seen = Bands(num, den), set()
         for batch in source:
             ids, parts = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                found = shingles(text, n)
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingles(texts(batch), n)):
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if len(found) and key not in seen:
                     seen.add(key)
@@ -235,7 +266,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = [shingles(t, n).astype("<u8").tobytes() for t in texts(batch)]
+            found = [x.astype("<u8").tobytes() for x in shingles(texts(batch), n)]
             yield batch.drop_columns(["text"]).append_column("found", pa.array(found, pa.binary()))
 
     rows = docs.withColumnRenamed("doc_id", "node").join(small_side(nodes, 32), "node").select(*nodes.columns, "text")

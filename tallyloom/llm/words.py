@@ -8,6 +8,7 @@ word, not by the text.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -51,14 +52,15 @@ def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _block_hashes(block: bytes) -> np.ndarray:
+def _block_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word."""
     raw = np.frombuffer(block, np.uint8)
     first, end = spans(raw)
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     value = (total[end] - total[first]) * down[first]
-    return mix(value + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(value + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -69,7 +71,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         if end < len(text):
             gap = re.compile(rb"[\x20\x09-\x0D]").search(text, end)
             end = gap.start() if gap else len(text)
-        parts.append(_block_hashes(text[at:end]))
+        parts.append(_block_hashes(text[at:end])[0])
         at = end
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
@@ -86,4 +88,25 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def window_lists(texts: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
+    """The windows of each text; short texts are hashed together, which saves most of the numpy calls."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size + len(texts[end]) <= BLOCK // 4:
+            size += len(texts[end]) + 1
+            end += 1
+        if end == at:  # a long text on its own
+            yield windows(word_hashes(texts[at]), n)
+            at += 1
+            continue
+        hashes, first = _block_hashes(b" ".join(texts[at:end]))
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts[at:end]])
+        borders = np.searchsorted(first, starts).tolist()
+        whole = windows(hashes, n) if len(hashes) >= n else None
+        for a, b in zip(borders[:-1], borders[1:]):
+            yield whole[a : b - n + 1] if b - a >= n else windows(hashes[a:b], n)
+        at = end
+
+
 by_value(__name__)
