@@ -16,25 +16,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 CHUNK = 1 << 16
 _CHUNK = "_chunk"
 
 
-def _split(df: DataFrame, order: str, size: int) -> DataFrame:
-    return df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(size)).cast("long"))
+def _split(df: DataFrame, keys: Sequence[str], order: str, size: int) -> DataFrame:
+    """Add the place (group, chunk) that windows and joins are dealt out by, so rows move once.
+
+    Group and chunk are one struct: structs with equal null fields are equal, so
+    groups with null keys need no null-safe join, which would not fit the window's
+    partitioning.
+    """
+    chunk = F.floor(F.col(order) / F.lit(size)).cast("long")
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk"))
+    return df.withColumn(_CHUNK, place)
+
+
+def _across(keys: Sequence[str]) -> WindowSpec:
+    """Window over the chunks of a group, in order."""
+    return W.partitionBy(*[F.col(f"{_CHUNK}.k{i}") for i in range(len(keys))]).orderBy(f"{_CHUNK}.chunk")
 
 
-def _attach(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join chunk state back; both sides hash on (keys, chunk)."""
-    on = [*keys, _CHUNK]
-    left, right = df.alias("_l"), carried.alias("_r")
-    cond = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in on]
-    condition = cond[0]
-    for c in cond[1:]:
-        condition = condition & c
-    extra = [F.col(f"_r.{c}") for c in carried.columns if c not in on]
-    return left.join(right, condition, "left").select("_l.*", *extra)
+def _attach(df: DataFrame, carried: DataFrame) -> DataFrame:
+    """Join chunk state back; ``df`` already lies by (group, chunk)."""
+    return df.join(carried, _CHUNK, "left")
 
 
 def running_sum(
@@ -47,20 +54,20 @@ def running_sum(
     size: int = CHUNK,
 ) -> DataFrame:
     """Add ``name -> running sum`` columns, without (``inclusive=False``) or with the row itself."""
-    df = _split(df, order, size)
+    df = _split(df, keys, order, size)
     for name, value in values.items():
         df = df.withColumn(f"_v_{name}", value)
-    totals = df.groupBy(*keys, _CHUNK).agg(
+    totals = df.groupBy(_CHUNK).agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]
     )
-    across = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    across = _across(keys).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
-        *keys, _CHUNK, *[F.sum(f"_t_{n}").over(across).alias(f"_c_{n}") for n in values]
+        _CHUNK, *[F.sum(f"_t_{n}").over(across).alias(f"_c_{n}") for n in values]
     )
     last = W.currentRow if inclusive else -1
-    inside = W.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+    inside = W.partitionBy(_CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, last)
     df = df.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_s_{n}") for n in values])
-    df = _attach(df, carried, keys)
+    df = _attach(df, carried)
     for name in values:
         both = F.coalesce(F.col(f"_s_{name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
         df = df.withColumn(name, both)
@@ -85,28 +92,27 @@ def carry_forward(
     size: int = CHUNK,
 ) -> DataFrame:
     """Add ``name -> latest non-null value`` at or before the row."""
-    df = _split(df, order, size)
+    df = _split(df, keys, order, size)
     for name, value in values.items():
         df = df.withColumn(f"_v_{name}", value)
-    ends = df.groupBy(*keys, _CHUNK).agg(
+    ends = df.groupBy(_CHUNK).agg(
         *[
             F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_t_{n}")
             for n in values
         ]
     )
-    across = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    across = _across(keys).rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(
-        *keys,
         _CHUNK,
         *[F.last(f"_t_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values],
     )
     last = W.currentRow if inclusive else -1
-    inside = W.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+    inside = W.partitionBy(_CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, last)
     df = df.select(
         "*",
         *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(f"_s_{n}") for n in values],
     )
-    df = _attach(df, carried, keys)
+    df = _attach(df, carried)
     for name in values:
         df = df.withColumn(name, F.coalesce(F.col(f"_s_{name}"), F.col(f"_c_{name}")))
     drop = [_CHUNK] + [f"{p}{n}" for n in values for p in ("_v_", "_s_", "_c_")]
@@ -124,12 +130,12 @@ def neighbours(
     size: int = CHUNK,
 ) -> DataFrame:
     """Add structs holding ``columns`` of the row before and after (null at the ends)."""
-    df = _split(df, order, size).withColumn("_row", F.struct(*columns))
-    ends = df.groupBy(*keys, _CHUNK).agg(
+    df = _split(df, keys, order, size).withColumn("_row", F.struct(*columns))
+    ends = df.groupBy(_CHUNK).agg(
         F.max_by("_row", order).alias("_last"), F.min_by("_row", order).alias("_first")
     )
-    across = W.partitionBy(*keys).orderBy(_CHUNK)
-    inside = W.partitionBy(*keys, _CHUNK).orderBy(order)
+    across = _across(keys)
+    inside = W.partitionBy(_CHUNK).orderBy(order)
     edge, local, drop = [], [], [_CHUNK, "_row"]
     if previous:
         edge.append(F.lag("_last").over(across).alias("_c_prev"))
@@ -137,8 +143,8 @@ def neighbours(
     if following:
         edge.append(F.lead("_first").over(across).alias("_c_next"))
         local.append(F.lead("_row").over(inside).alias("_s_next"))
-    carried = ends.select(*keys, _CHUNK, *edge)
-    df = _attach(df.select("*", *local), carried, keys)
+    carried = ends.select(_CHUNK, *edge)
+    df = _attach(df.select("*", *local), carried)
     if previous:
         df = df.withColumn(previous, F.coalesce("_s_prev", "_c_prev"))
         drop += ["_s_prev", "_c_prev"]
