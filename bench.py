@@ -34,7 +34,10 @@ HEADLINE = [
     "est_days",
     "est_calib",
     "lvl_weeks",
-    "lvl_deps",
+    "tsk_merge",
+    "jn_whitelist",
+    "tsk_deduplong",
+    "str_slide",
     "run_summary",
 ]
 

@@ -131,11 +131,6 @@ def lvl_weeks(spark, sf):
     return V.level_weeks(A.plan_tasks(spark, sf))
 
 
-@query("lvl_deps")
-def lvl_deps(spark, sf):
-    return V.level_with_dependencies(A.plan_tasks(spark, sf))
-
-
 @query("lvl_load", sql("levelled", f"""SELECT project, week, {half_up('b', 1)} AS backend_load, {half_up('t', 1)} AS test_load, tasks,
   {half_up('least(b / 15, t / 5) * 100', 1)} AS load_rate, total_weeks, CAST(DATE '{START}' + CAST(total_weeks * 7 AS INTEGER) AS DATE) AS end_date FROM (
   SELECT project, week, coalesce(sum(week_effort) FILTER (WHERE role = 'backend'), 0) AS b, coalesce(sum(week_effort) FILTER (WHERE role = 'test'), 0) AS t,

@@ -68,60 +68,6 @@ def plan(spark, seed=1, n=60):
     return rows, spark.createDataFrame(rows, PLAN)
 
 
-def by_hand(rows, capacity):
-    """Week-by-week filling; dependents wait until their dependencies are placed."""
-    words = {"设计": 5.0, "接口": 3.0, "测试": 2.0, "文档": 1.0, "其他": 2.0}
-    out = {}
-    for p in sorted({r[0] for r in rows}):
-        mine = [r for r in rows if r[0] == p]
-        ids = {r[1] for r in mine}
-        load, ends = {"backend": {}, "test": {}}, {}
-
-        def fill(r):
-            role = "test" if r[2] == "测试" else "backend"
-            effort = words[r[2]] + 0.5 * len(r[3])
-            week = max([ends[d] for d in r[3] if d in ids] + [0])
-            first = None
-            while effort > 0:
-                free = capacity[role] - load[role].get(week, 0.0)
-                if free > 0:
-                    first = week if first is None else first
-                    take = min(free, effort)
-                    load[role][week] = load[role].get(week, 0.0) + take
-                    effort -= take
-                if effort > 0:
-                    week += 1
-            ends[r[1]] = week + 1
-            out[(p, r[1])] = (first + 1, week + 1)
-
-        later = [r for r in mine if set(r[3]) & ids]
-        for r in mine:
-            if r not in later:
-                fill(r)
-        waiting = []
-        for r in later:
-            queue = [r]
-            while queue:
-                t = queue.pop(0)
-                missing = [d for d in sorted(set(t[3])) if d in ids and d not in ends]
-                if missing:
-                    waiting.append((missing[0], t))
-                    continue
-                fill(t)
-                queue += sorted([w for d, w in waiting if d == t[1]], key=lambda w: w[1])
-                waiting = [(d, w) for d, w in waiting if d != t[1]]
-        for _, t in waiting:
-            out[(p, t[1])] = (None, None)
-    return out
-
-
-def test_levelling_with_dependencies_equals_filling_by_hand(spark):
-    for seed in (1, 2):
-        rows, df = plan(spark, seed)
-        got = {(r.project, r.seq): (r.first_week, r.end_week) for r in V.level_with_dependencies(df, 10, 5).collect()}
-        assert got == by_hand(rows, {"backend": 10.0, "test": 5.0})
-
-
 def test_weeks_conserve_effort_and_capacity(spark):
     _, df = plan(spark)
     weeks = V.level_weeks(df, 7.5, 5)
@@ -135,7 +81,6 @@ def test_weeks_conserve_effort_and_capacity(spark):
 def test_no_capacity_gives_null_weeks(spark):
     df = spark.createDataFrame([("p", 1, "测试", []), ("p", 2, "接口", [1])], PLAN)
     assert {r.seq: r.week for r in V.level_weeks(df, 10, 0).collect()} == {1: None, 2: 1}
-    assert {r.seq: r.end_week for r in V.level_with_dependencies(df, 10, 0).collect()}[1] is None
 
 
 def test_scenarios(spark):
