@@ -247,9 +247,9 @@ def code_files(spark: SparkSession, sf_dir: str, documents: DataFrame | None = N
     first = F.when(java, pick(JAVA_LINES, half)).otherwise(pick(PYTHON_LINES, half))
     second = F.when(java, pick(JAVA_LINES, half * 5 + 3)).otherwise(pick(PYTHON_LINES, half * 5 + 3))
     off = F.when(
-        n % 4 == 1, F.lit("# code-reviewer: disable=PY-STYLE-002\n")
+        n % 4 == 1, F.lit("# scan-rules: disable=PY-STYLE-002\n")
     ).otherwise(F.lit(""))
-    on = F.when(n % 4 == 1, F.lit("\n# code-reviewer: enable=PY-STYLE-002")).otherwise(F.lit(""))
+    on = F.when(n % 4 == 1, F.lit("\n# scan-rules: enable=PY-STYLE-002")).otherwise(F.lit(""))
     body = F.concat(first, F.lit("\n"), off, F.col("text"), on, F.lit("\n"), second)
     ext = F.when(java, F.lit(".java")).otherwise(F.lit(".py"))
     return df.select(

@@ -119,19 +119,20 @@ def with_section(lines: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def section_paths(sections: DataFrame, max_level: int = 6) -> DataFrame:
+def section_paths(sections: DataFrame) -> DataFrame:
     """``parent > title`` per section; the parent is the nearest earlier section of a smaller level.
 
-    Levels are few, so the last heading of every level is carried forward as one
-    column each and the parent is the latest of the columns below the own level.
+    The last heading of every level that occurs is carried forward as one column
+    each, and the parent is the latest of the columns below the own level. Which
+    levels occur is read first: as many rows as the deepest nesting has levels.
     """
+    levels = sorted(r[0] for r in sections.select("level").distinct().collect() if r[0] is not None)
     own = F.struct(F.col("line_no").alias("line"), F.col("title").alias("title"))
-    last_of = {f"_l{n}": F.when(F.col("level") == n, own) for n in range(1, max_level)}
-    last_of["_l0"] = F.when(F.col("level") < 1, own)
+    last_of = {f"_l{i}": F.when(F.col("level") == n, own) for i, n in enumerate(levels)} or {"_l0": F.when(F.lit(False), own)}
     carried = ordered.carry_forward(sections, ["doc_id"], "line_no", last_of, inclusive=False)
     smaller = F.array_max(
         F.filter(
-            F.array(*[F.when(F.col("level") > n, F.col(f"_l{n}")) for n in range(0, max_level)]),
+            F.array(*[F.when(F.col("level") > n, F.col(f"_l{i}")) for i, n in enumerate(levels or [0])]),
             lambda s: s.isNotNull(),
         )
     )

@@ -64,7 +64,7 @@ def scan(lines: DataFrame, rules: Sequence[tuple] | DataFrame = C.RULES, familie
         *keep,
         "line_no",
         "r.*",
-        F.substring(strip(line), 1, 100).alias("code"),
+        strip(line).alias("code"),
     )
 
 
@@ -80,7 +80,7 @@ def _scan_with_table(lines: DataFrame, rules: DataFrame, keep: Sequence[str]) ->
         "severity",
         "type",
         "cwe",
-        F.substring(strip("line"), 1, 100).alias("code"),
+        strip("line").alias("code"),
     )
 
 
@@ -135,10 +135,13 @@ def findings_by_file(findings: DataFrame) -> DataFrame:
     )
 
 
-def scan_gate(findings: DataFrame) -> DataFrame:
-    """Fail flag per project: any critical or high finding."""
-    bad = F.col("severity").isin("critical", "high")
-    return findings.groupBy("project").agg(F.bool_or(bad).alias("failed"), F.count_if(bad).alias("blocking"))
+def scan_gate(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """Fail flag per project of ``files``: any critical or high finding. A project without findings passes."""
+    bad = findings.filter(F.col("severity").isin("critical", "high")).groupBy("project").agg(F.count("*").alias("blocking"))
+    blocking = F.coalesce("blocking", F.lit(0).cast("long"))
+    return files.select("project").distinct().join(bad, "project", "left").select(
+        "project", (blocking > 0).alias("failed"), blocking.alias("blocking")
+    )
 
 
 def with_deadline(findings: DataFrame, deadlines: Sequence[tuple] = C.DEADLINES) -> DataFrame:

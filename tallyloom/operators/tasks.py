@@ -393,9 +393,9 @@ def match_whitelist(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
     )
 
 
-def merge_tasks(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
+def merge_tasks(tasks: DataFrame, whitelist: DataFrame, head: int | None = None) -> DataFrame:
     """Standard names for listed tasks, then repeats off: same key, and for unlisted tasks also containment in
-    either direction or the same first 20 characters of an earlier task of the project.
+    either direction, or the same first ``head`` characters if asked for, of an earlier task of the project.
     """
     df = match_whitelist(tasks, whitelist)
     df = df.withColumn("key", F.coalesce(norm_key("std_content"), F.col("key"))).filter(F.col("key") != "")
@@ -407,10 +407,12 @@ def merge_tasks(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
         ["project"],
     ).filter("s_id <> l_id")
     later = pairs.select("project", F.greatest("s_id", "l_id").alias("seq"))
-    long = first.filter(F.length("key") > 20).withColumn("_head", F.substring("key", 1, 20))
-    heads = long.groupBy("project", "_head").agg(F.min("seq").alias("_first"))
-    same_head = long.join(heads, ["project", "_head"]).filter("seq > _first").select("project", "seq")
-    dropped = later.unionByName(same_head).distinct()
+    dropped = later.distinct()
+    if head:
+        long = first.filter(F.length("key") > head).withColumn("_head", F.substring("key", 1, head))
+        heads = long.groupBy("project", "_head").agg(F.min("seq").alias("_first"))
+        same_head = long.join(heads, ["project", "_head"]).filter("seq > _first").select("project", "seq")
+        dropped = dropped.unionByName(same_head).distinct()
     unlisted = first.filter(~F.col("listed")).join(dropped, ["project", "seq"], "left_anti")
     kept = first.filter("listed").unionByName(unlisted).select("project", "seq")
     df = df.join(kept, ["project", "seq"], "left_semi")
@@ -444,15 +446,17 @@ def _rule_hit(t: Column, pattern: str) -> Column:
     return _hit(t, pattern)
 
 
-def clean_rule_text(c: Column) -> Column:
-    """Doubled words, prefixes and over-long detail off."""
+def clean_rule_text(c: Column, longest: int | None = None) -> Column:
+    """Doubled words and prefixes off; over-long detail only if ``longest`` is given."""
     out = c
     for pattern, value in R.RULE_CLEANUP:
         out = sub(out, U + pattern, value)
         if pattern == r"\s+":
             out = strip(out)
-    shortened = F.when(out.contains("。"), F.substring_index(out, ".", 1)).otherwise(F.substring(out, 1, 60))
-    return F.when(F.length(out) > 60, shortened).otherwise(out)
+    if longest is None:
+        return out
+    shortened = F.when(out.contains("。"), F.substring_index(out, ".", 1)).otherwise(F.substring(out, 1, longest))
+    return F.when(F.length(out) > longest, shortened).otherwise(out)
 
 
 def legacy_tasks(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
@@ -462,8 +466,8 @@ def legacy_tasks(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     carry-forward.
     """
     t = F.col("raw_text")
-    # all rules name a CJK word or radical, an API path, a chapter number or one of two products
-    possible = r"[\x{2e80}-\x{9fff}]|/api/|1\.[23]|(?i:m-?claw)|LLM"
+    # all rules name a CJK word or radical, an API path or a language model
+    possible = r"[\x{2e80}-\x{9fff}]|/api/|LLM"
     df = lines.filter(matches("line", possible)).select("doc_id", "line_no", strip("line").alias("raw_text"))
     module = first_match([(_hit(t, p), F.lit(m)) for p, m in R.LINE_MODULES])
     rule = first_match(

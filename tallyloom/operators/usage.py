@@ -246,12 +246,15 @@ def session_context(messages: DataFrame) -> DataFrame:
     )
 
 
-def session_title(first_msg: Column, channel: Column, kind: Column, total_tokens: Column) -> Column:
-    """First message on one line, else channel and kind; shortened to 120, large totals appended."""
+def session_title(
+    first_msg: Column, channel: Column, kind: Column, total_tokens: Column, longest: int | None = None
+) -> Column:
+    """First message on one line, else channel and kind, large totals appended; cut to ``longest`` only if asked for."""
     flat = strip(sub(first_msg, f"{SPACE}+", " "))
     kind = F.when(F.coalesce(kind, F.lit("direct")).isin("", "direct"), F.lit(None)).otherwise(kind)
     title = F.when(first_msg != "", flat).otherwise(F.concat_ws(" · ", channel, kind))
-    title = F.when(F.length(title) > 120, F.concat(F.substring(title, 1, 117), F.lit("..."))).otherwise(title)
+    if longest:
+        title = F.when(F.length(title) > longest, F.concat(F.substring(title, 1, longest - 3), F.lit("..."))).otherwise(title)
     return F.when(
         total_tokens > 10_000, F.concat(title, F.lit(" (输入"), readable(total_tokens), F.lit(")"))
     ).otherwise(title)

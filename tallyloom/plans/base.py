@@ -286,7 +286,7 @@ cte(
   conversation_id, first_msg, second_msg, last_msg, user_turns, assistant_turns, total_messages, total_chars,
   time_start, time_end, system_tokens, thinking_tokens, thinking_output_tokens, sizes, n_sizes, first6_user,
   first6_assistant
-FROM (SELECT *, CASE WHEN length(long_title) > 120 THEN substr(long_title, 1, 117) || '...' ELSE long_title END AS short
+FROM (SELECT *, long_title AS short
 FROM (SELECT *, CASE WHEN first_msg <> '' THEN {strip(f"regexp_replace(first_msg, '{SPACE}+', ' ', 'g')")}
     WHEN kind IN ('', 'direct') OR kind IS NULL THEN channel ELSE channel || ' · ' || kind END AS long_title
 FROM (SELECT u.*, c.* EXCLUDE (conversation_id), o.* EXCLUDE (conversation_id),
@@ -379,8 +379,8 @@ cte(
   source || '/src/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.java' ELSE '.py' END AS path,
   CASE WHEN doc_id % 2 = 0 THEN 'java' ELSE 'python' END AS language,
   {_line('doc_id // 2')} || chr(10)
-    || CASE WHEN doc_id % 4 = 1 THEN '# code-reviewer: disable=PY-STYLE-002' || chr(10) ELSE '' END || text
-    || CASE WHEN doc_id % 4 = 1 THEN chr(10) || '# code-reviewer: enable=PY-STYLE-002' ELSE '' END
+    || CASE WHEN doc_id % 4 = 1 THEN '# scan-rules: disable=PY-STYLE-002' || chr(10) ELSE '' END || text
+    || CASE WHEN doc_id % 4 = 1 THEN chr(10) || '# scan-rules: enable=PY-STYLE-002' ELSE '' END
     || chr(10) || {_line('doc_id // 2 * 5 + 3')} AS text
 FROM documents""",
 )
@@ -447,7 +447,7 @@ cte(
     "findings",
     ("plain_lines",),
     f"""SELECT rule_id || '-' || line_no AS finding_id, project, doc_id, path, language, line_no, rule_id, severity, type,
-  cwe, substr(bare, 1, 100) AS code FROM ({_rule_arms()})""",
+  cwe, bare AS code FROM ({_rule_arms()})""",
 )
 
 # technical documents ------------------------------------------------------------

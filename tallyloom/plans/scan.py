@@ -74,10 +74,11 @@ def scan_file(spark, sf):
     return S.findings_by_file(findings(spark, sf))
 
 
-@query("scan_gate", sql("findings", """SELECT project, bool_or(severity IN ('critical', 'high')) AS failed,
-  count(*) FILTER (WHERE severity IN ('critical', 'high')) AS blocking FROM findings GROUP BY project"""))
+@query("scan_gate", sql(("findings", "code_files"), """SELECT project, count(severity) > 0 AS failed, count(severity) AS blocking
+  FROM (SELECT DISTINCT project FROM code_files) LEFT JOIN (SELECT project, severity FROM findings
+    WHERE severity IN ('critical', 'high')) USING (project) GROUP BY project"""))
 def scan_gate(spark, sf):
-    return S.scan_gate(findings(spark, sf))
+    return S.scan_gate(A.code_files(spark, sf), findings(spark, sf))
 
 
 _SLA = "VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in C.DEADLINES)
@@ -90,9 +91,9 @@ def scan_sla(spark, sf):
 
 
 @query("scan_suppress", sql(("findings", "code_lines"), """SELECT f.* FROM findings f WHERE NOT coalesce((
-  SELECT arg_max(regexp_extract(line, 'code-reviewer: (disable|enable)=', 1) = 'disable', l.line_no) FROM code_lines l
-  WHERE l.path = f.path AND l.line_no <= f.line_no AND contains(l.line, 'code-reviewer: ')
-    AND regexp_extract(line, 'code-reviewer: (?:disable|enable)=([-A-Za-z0-9_]+)', 1) = f.rule_id), FALSE)"""))
+  SELECT arg_max(regexp_extract(line, 'scan-rules: (disable|enable)=', 1) = 'disable', l.line_no) FROM code_lines l
+  WHERE l.path = f.path AND l.line_no <= f.line_no AND contains(l.line, 'scan-rules: ')
+    AND regexp_extract(line, 'scan-rules: (?:disable|enable)=([-A-Za-z0-9_]+)', 1) = f.rule_id), FALSE)"""))
 def scan_suppress(spark, sf):
     return S.suppress(findings(spark, sf), lines(spark, sf))
 

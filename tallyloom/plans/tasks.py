@@ -324,8 +324,7 @@ FROM wl_tasks GROUP BY 1, 2""",
 
 @query("tsk_merge", sql(("merge_keys", "wl_tasks"), f"""SELECT t.project, t.seq, coalesce(std_module, module) AS module, coalesce(std_content, {_C}) AS content,
   task_type, std_content IS NOT NULL AS listed FROM wl_tasks t JOIN merge_keys x ON x.project = t.project AND x.seq = t.seq WHERE x.mk <> '' AND (x.listed OR NOT EXISTS (
-  SELECT 1 FROM merge_keys y WHERE y.project = x.project AND y.seq < x.seq AND (contains(y.mk, x.mk) OR contains(x.mk, y.mk)
-    OR (length(x.mk) > 20 AND length(y.mk) > 20 AND substr(x.mk, 1, 20) = substr(y.mk, 1, 20)))))"""))
+  SELECT 1 FROM merge_keys y WHERE y.project = x.project AND y.seq < x.seq AND (contains(y.mk, x.mk) OR contains(x.mk, y.mk))))"""))
 def tsk_merge(spark, sf):
     return T.merge_tasks(A.tasks(spark, sf), A.whitelist(spark, sf))
 
@@ -384,7 +383,7 @@ def _tidied(x: str) -> str:
 
 
 @query("tsk_legacy", sql("bare_lines", f"""SELECT doc_id, line_no, module, task_type, content, t AS raw_text,
-  CASE WHEN length(tidy) <= 60 THEN tidy WHEN contains(tidy, '。') THEN split_part(tidy, '.', 1) ELSE substr(tidy, 1, 60) END AS short_content FROM (
+  tidy AS short_content FROM (
   SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '未分类') AS module,
     {_tidied('content')} AS tidy FROM (SELECT *,
     CASE {' '.join(f"WHEN {rx('t', p)} THEN {lit(m)}" for p, m in R.LINE_MODULES)} END AS m,

@@ -80,5 +80,5 @@ COMMENT_STARTS = {"java": ["//", "*", "/*"], "python": ["#"]}
 EXCLUDED = ["node_modules", ".git", "build", "dist", "venv", "__pycache__", ".idea", "target"]
 EXTENSIONS = {"java": ".java", "python": ".py"}
 # Fixed value: marker in front of disable= and enable= switches.
-SWITCH = "code-reviewer: "
+SWITCH = "scan-rules: "
 SCENARIOS = ["normal", "boundary", "exception"]

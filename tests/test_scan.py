@@ -52,7 +52,7 @@ def test_families_and_rule_table(spark):
 
 @pytest.mark.parametrize("size", [1, 2, 1 << 16])
 def test_suppression_between_switches(spark, size):
-    text = ["eval(a)", "# code-reviewer: disable=PY-SEC-006", "eval(b)", "x = {}", "# code-reviewer: enable=PY-SEC-006", "eval(c)"]
+    text = ["eval(a)", "# scan-rules: disable=PY-SEC-006", "eval(b)", "x = {}", "# scan-rules: enable=PY-SEC-006", "eval(c)"]
     df = lines(spark, text, "python")
     left = S.suppress(S.scan(df), df, size=size)
     assert sorted(r.line_no for r in left.collect() if r.rule_id == "PY-SEC-006") == [1, 6]
