@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ordered
 from ..functions.containment import contained_pairs, one_edit_pairs
 from ..functions.staging import staged
+from ..functions.survivors import ruled_out
 from ..functions.text import (
     SPACE,
     any_of,
@@ -24,6 +25,7 @@ from ..functions.text import (
 )
 from ..rules import documents as D
 from ..rules import tasks as R
+from ..session import materialise
 from .docs import endpoint, norm_key
 
 U = "(?dU)"
@@ -333,10 +335,8 @@ def _distinct_contents(tasks: DataFrame) -> DataFrame:
 
 
 def dedup_tasks(tasks: DataFrame) -> DataFrame:
-    """Drop a task when an earlier one of its project has the same text, contains it or lies in it (at least
-    half as long; not for step titles), or is one edit away when both have at most ten characters.
-
-    Earlier tasks count whether or not they are kept themselves.
+    """Drop a task when an earlier one that is kept has the same text, contains it or lies in it (at least half
+    as long; not for step titles), or is one edit away when both have at most ten characters; per project.
     """
     texts = _distinct_contents(tasks)
     pairs = contained_pairs(
@@ -345,10 +345,12 @@ def dedup_tasks(tasks: DataFrame) -> DataFrame:
         ["project"],
         longest=2.0,
     ).filter("s_id <> l_id")
-    contained = pairs.select("project", F.greatest("s_id", "l_id").alias("seq")).distinct()
-    contained = contained.join(texts.filter(~F.col("step")).select("project", "seq"), ["project", "seq"])
+    plain = texts.filter(~F.col("step")).select("project", F.col("seq").alias("late"))
+    contained = pairs.select("project", F.least("s_id", "l_id").alias("early"), F.greatest("s_id", "l_id").alias("late"))
+    contained = contained.join(plain, ["project", "late"])
     near = one_edit_pairs(texts.select("project", F.col("seq").alias("id"), F.col("content").alias("text")), ["project"], 10)
-    dropped = contained.unionByName(near.select("project", F.col("b_id").alias("seq")))
+    near = near.select("project", F.col("a_id").alias("early"), F.col("b_id").alias("late"))
+    dropped = ruled_out(contained.unionByName(near), ["project"])
     kept = texts.select("project", "seq").join(dropped, ["project", "seq"], "left_anti")
     return tasks.join(kept, ["project", "seq"], "left_semi")
 
@@ -395,26 +397,28 @@ def match_whitelist(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 def merge_tasks(tasks: DataFrame, whitelist: DataFrame, head: int | None = None) -> DataFrame:
     """Standard names for listed tasks, then repeats off: same key, and for unlisted tasks also containment in
-    either direction, or the same first ``head`` characters if asked for, of an earlier task of the project.
+    either direction, or the same first ``head`` characters if asked for, of an earlier kept task of the project.
     """
-    df = match_whitelist(tasks, whitelist)
+    df = materialise(match_whitelist(tasks, whitelist), "whitelisted")
     df = df.withColumn("key", F.coalesce(norm_key("std_content"), F.col("key"))).filter(F.col("key") != "")
     listed = F.col("std_content").isNotNull()
-    first = df.groupBy("project", "key").agg(F.min("seq").alias("seq"), F.min_by(listed, "seq").alias("listed"))
+    first = materialise(
+        df.groupBy("project", "key").agg(F.min("seq").alias("seq"), F.min_by(listed, "seq").alias("listed")), "merge_keys"
+    )
     pairs = contained_pairs(
         first.select("project", F.col("seq").alias("s_id"), F.col("key").alias("s_text")),
         first.select("project", F.col("seq").alias("l_id"), F.col("key").alias("l_text")),
         ["project"],
     ).filter("s_id <> l_id")
-    later = pairs.select("project", F.greatest("s_id", "l_id").alias("seq"))
-    dropped = later.distinct()
+    pairs = pairs.select("project", F.least("s_id", "l_id").alias("early"), F.greatest("s_id", "l_id").alias("late"))
     if head:
         long = first.filter(F.length("key") > head).withColumn("_head", F.substring("key", 1, head))
-        heads = long.groupBy("project", "_head").agg(F.min("seq").alias("_first"))
-        same_head = long.join(heads, ["project", "_head"]).filter("seq > _first").select("project", "seq")
-        dropped = dropped.unionByName(same_head).distinct()
-    unlisted = first.filter(~F.col("listed")).join(dropped, ["project", "seq"], "left_anti")
-    kept = first.filter("listed").unionByName(unlisted).select("project", "seq")
+        heads = long.groupBy("project", "_head").agg(F.min("seq").alias("early"))
+        same_head = long.join(heads, ["project", "_head"]).filter("seq > early").select("project", "early", F.col("seq").alias("late"))
+        pairs = pairs.unionByName(same_head)
+    unlisted = first.filter(~F.col("listed")).select("project", F.col("seq").alias("late"))
+    dropped = ruled_out(pairs.join(unlisted, ["project", "late"]), ["project"])
+    kept = first.select("project", "seq").join(dropped, ["project", "seq"], "left_anti")
     df = df.join(kept, ["project", "seq"], "left_semi")
     return df.select(
         "project",

@@ -276,11 +276,24 @@ _STEP_TITLE = "^第[0-9一二三四五六七八九十百]+[步、]"
 cte("firsts", ("tasks",), f"SELECT project, content, min(seq) AS seq, arg_min({rx('raw_text', _STEP_TITLE)}, seq) AS step FROM tasks GROUP BY 1, 2")
 
 
-@query("tsk_dedup", sql("firsts", """SELECT t.project, t.seq, t.content FROM tasks t JOIN firsts x ON t.project = x.project AND t.seq = x.seq WHERE NOT EXISTS (
-  SELECT 1 FROM firsts y WHERE y.project = x.project AND y.seq < x.seq AND (
-    (NOT x.step AND (contains(x.content, y.content) OR contains(y.content, x.content))
-      AND CAST(least(length(x.content), length(y.content)) AS DOUBLE) / greatest(length(x.content), length(y.content)) >= 0.5)
-    OR (length(x.content) <= 10 AND length(y.content) <= 10 AND levenshtein(x.content, y.content) <= 1)))"""))
+def _survivors(rows: str, hit: str) -> str:
+    """``project`` and ``seq`` of the rows (project, seq, x) that no earlier survivor ``y`` of the project rules out."""
+    return f"""(WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq) AS i FROM ({rows})),
+  walk AS (SELECT project, CAST(0 AS BIGINT) AS i, list_filter([x], lambda e: FALSE) AS kept, list_filter([seq], lambda e: FALSE) AS seqs
+      FROM numbered WHERE i = 1
+    UNION ALL SELECT n.project, n.i, CASE WHEN out THEN kept ELSE list_append(kept, n.x) END, CASE WHEN out THEN seqs ELSE list_append(seqs, n.seq) END
+      FROM (SELECT n.*, w.kept, w.seqs, len(list_filter(w.kept, lambda y: {hit})) > 0 AS out
+        FROM walk w JOIN numbered n ON n.project = w.project AND n.i = w.i + 1) n)
+  SELECT project, unnest(seqs) AS seq FROM (SELECT project, arg_max(seqs, i) AS seqs FROM walk GROUP BY project))"""
+
+
+_NEAR = """(NOT n.x.step AND (contains(n.x.content, y.content) OR contains(y.content, n.x.content))
+      AND CAST(least(length(n.x.content), length(y.content)) AS DOUBLE) / greatest(length(n.x.content), length(y.content)) >= 0.5)
+    OR (length(n.x.content) <= 10 AND length(y.content) <= 10 AND levenshtein(n.x.content, y.content) <= 1)"""
+
+
+@query("tsk_dedup", sql("firsts", f"""SELECT t.project, t.seq, t.content FROM tasks t
+  JOIN {_survivors("SELECT project, seq, {'content': content, 'step': step} AS x FROM firsts", _NEAR)} s USING (project, seq)"""))
 def tsk_dedup(spark, sf):
     return T.dedup_tasks(A.tasks(spark, sf)).select("project", "seq", "content")
 
@@ -323,8 +336,9 @@ FROM wl_tasks GROUP BY 1, 2""",
 
 
 @query("tsk_merge", sql(("merge_keys", "wl_tasks"), f"""SELECT t.project, t.seq, coalesce(std_module, module) AS module, coalesce(std_content, {_C}) AS content,
-  task_type, std_content IS NOT NULL AS listed FROM wl_tasks t JOIN merge_keys x ON x.project = t.project AND x.seq = t.seq WHERE x.mk <> '' AND (x.listed OR NOT EXISTS (
-  SELECT 1 FROM merge_keys y WHERE y.project = x.project AND y.seq < x.seq AND (contains(y.mk, x.mk) OR contains(x.mk, y.mk))))"""))
+  task_type, std_content IS NOT NULL AS listed FROM wl_tasks t
+  JOIN {_survivors("SELECT project, seq, {'mk': mk, 'listed': listed} AS x FROM merge_keys WHERE mk <> ''",
+                   "NOT n.x.listed AND (contains(y.mk, n.x.mk) OR contains(n.x.mk, y.mk))")} s USING (project, seq)"""))
 def tsk_merge(spark, sf):
     return T.merge_tasks(A.tasks(spark, sf), A.whitelist(spark, sf))
 

@@ -91,3 +91,12 @@ def test_tables(spark):
         assert rows == [(1, 3, ["登录", "POST"]), (1, 4, ["GET"]), (2, 7, ["a", "b"])]
     got = [(r.kind, r.content) for r in X.interface_tasks(tables).orderBy("line_no").collect()]
     assert got == [("interface", "登录"), ("interface", "GET"), ("module", "a")]
+
+
+def test_whole_lines_and_clean_projects(spark):
+    df = lines(spark, ["x = eval(" + "a" * 300 + ")"], "python")
+    assert all(len(r.code) > 300 for r in S.scan(df).collect() if r.rule_id == "PY-SEC-006")
+    files = spark.createDataFrame([("p",), ("clean",), ("p",)], "project string")
+    found = spark.createDataFrame([("p", "critical"), ("p", "info")], "project string, severity string")
+    got = {r.project: (r.failed, r.blocking) for r in S.scan_gate(files, found).collect()}
+    assert got == {"p": (True, 1), "clean": (False, 0)}

@@ -54,6 +54,9 @@ def test_sections_and_paths(spark):
     df = lines(spark, "# A", "## B", "x", "### C", "## D", "1.2.3 n", "一、t")
     s = T.sections(df, "markdown")
     assert [r.section_path for r in L.section_paths(s).orderBy("line_no").collect()] == ["# A", "# A > ## B", "## B > ### C", "# A > ## D"]
+    deep = spark.createDataFrame([(1, n, "#" * n, n) for n in range(1, 10)], "doc_id long, line_no int, title string, level int")
+    paths = [r.section_path for r in L.section_paths(deep).orderBy("line_no").collect()]
+    assert paths == ["#"] + ["#" * n + " > " + "#" * (n + 1) for n in range(1, 9)]
     at = {r.line_no: r.section_title for r in L.with_section(df, s).collect()}
     assert at[3] == "## B" and at[7] == "## D"
     assert [(r.title, r.level) for r in T.sections(df).collect()] == [("1.2.3 n", 3)]
@@ -68,14 +71,39 @@ def kept(df):
 
 def test_dedup(spark):
     df = tasks(spark, "查询列表", "新增查询列表接口", "查询列表", "查询列裱", "查询列表项", ("查询列表项目", "第1步、查询列表项目", "m", "s"))
-    # equal, one edit away, and contained at half the length or more are dropped; a step title is not tested for containment
-    assert kept(T.dedup_tasks(df)) == ["查询列表"]
+    # equal, one edit away, and contained at half the length or more are dropped; a step title is not tested for
+    # containment, and one edit away from a dropped text does not count
+    assert kept(T.dedup_tasks(df)) == ["查询列表", "查询列表项目"]
     longer = tasks(spark, "查询用户列表接口和分页", "用户列表接口和分页", ("用户列表接口和分页甲乙丙", "第1步、用户", "m", "s"))
     assert kept(T.dedup_tasks(longer)) == ["查询用户列表接口和分页", "用户列表接口和分页甲乙丙"]
     assert kept(T.dedup_keep_longer(longer)) == ["查询用户列表接口和分页", "用户列表接口和分页甲乙丙"]
     assert kept(T.dedup_exact(df)) == ["查询列表", "新增查询列表接口", "查询列裱", "查询列表项", "查询列表项目"]
 
 
+def test_only_kept_tasks_rule_others_out(spark):
+    df = tasks(spark, "用户列表查询接口新增", "列表查询接口", "列表查询接口导出数据")
+    assert kept(T.dedup_tasks(df)) == ["用户列表查询接口新增", "列表查询接口导出数据"]
+    wl = spark.createDataFrame([(0, "其他", "没有")], "ord int, module string, content string")
+    assert kept(T.merge_tasks(df, wl)) == ["用户列表查询接口新增", "列表查询接口导出数据"]
+    long = tasks(spark, "对账单明细列表的查询接口与导出任务甲乙丙丁戊", "对账单明细列表的查询接口与导出任务甲乙丙丁己")
+    assert len(kept(T.merge_tasks(long, wl))) == 2 and len(kept(T.merge_tasks(long, wl, head=20))) == 1
+
+
+def test_survivors_equal_a_loop(spark):
+    import random
+
+    from tallyloom.functions.survivors import ruled_out
+
+    draw = random.Random(3)
+    pairs = sorted({("p", *sorted(draw.sample(range(40), 2))) for _ in range(70)})
+    gone = set()
+    for late in range(40):
+        if any(b == late and a not in gone for _, a, b in pairs):
+            gone.add(late)
+    df = spark.createDataFrame(pairs, "project string, early long, late long")
+    assert {r.seq for r in ruled_out(df, ["project"]).collect()} == gone
+
+
 def test_merge_with_whitelist(spark):
     wl = spark.createDataFrame([(0, "用户中心", "用户列表接口"), (1, "其他", "列表接口")], "ord int, module string, content string")
     df = tasks(spark, "新增用户列表接口", "更新用户列表接口", "支付回调", "实现支付回调", "导出")
