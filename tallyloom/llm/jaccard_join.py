@@ -51,6 +51,9 @@ BLOCK_SHINGLES = 100_000
 SAMPLE = 10_000
 COMMON_SHARE = 0.001
 SPARE_PARTS = 1.2
+# Bits and slices of the filter of shared parts: 16 MB whatever the input.
+FILTER_BITS = 27
+FILTER_SLICE_BITS = 6
 
 
 def shingles(texts: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
@@ -238,19 +241,50 @@ def common_shingles(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
     return np.sort(found.astype(np.uint64))
 
 
-def part_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """``part`` and ``doc_id``: a row for every part of every set, equal sets once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def shared_filter(parts: DataFrame) -> bytes:
+    """One bit per hash range of ``part``, set where a part lies; each slice of the bits is filled by one task."""
+    slice_size = 1 << (FILTER_BITS - FILTER_SLICE_BITS)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), set()
+        filled: dict[int, np.ndarray] = {}
+        for batch in source:
+            at = batch.column("part").to_numpy().astype(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            slices = (at >> np.uint64(FILTER_BITS - FILTER_SLICE_BITS)).astype(np.int64)
+            for k in np.unique(slices).tolist():
+                bits = filled.setdefault(k, np.zeros(slice_size, bool))
+                bits[(at[slices == k] & np.uint64(slice_size - 1)).astype(np.int64)] = True
+        if filled:
+            packed = [np.packbits(b).tobytes() for b in filled.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(filled)), pa.array(packed, pa.binary())], ["slice", "bits"])
+
+    place = F.shiftrightunsigned("part", 64 - FILTER_SLICE_BITS)
+    found = parts.select("part").repartition(1 << FILTER_SLICE_BITS, place).mapInArrow(batches, "slice long, bits binary")
+    empty = bytes(slice_size // 8)
+    by_slice = {r["slice"]: bytes(r["bits"]) for r in found.collect()}
+    return b"".join(by_slice.get(k, empty) for k in range(1 << FILTER_SLICE_BITS))
+
+
+def part_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, wanted: bytes | None = None) -> DataFrame:
+    """``part`` and ``doc_id``: a row for every part of every set, equal sets once per task.
+
+    ``wanted``, a filter of ``shared_filter``, leaves out most of the parts that it was not made from.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((common, wanted))
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen, common = Bands(num, den), set(), shared.value[0]
+        bits = None if shared.value[1] is None else np.frombuffer(shared.value[1], np.uint8)
         for batch in source:
             ids, parts = [], []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingles(texts(batch), n)):
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if len(found) and key not in seen:
                     seen.add(key)
-                    parts.append(signatures(found, bands, shared.value).astype(np.int64))
+                    own = signatures(found, bands, common)
+                    if bits is not None:
+                        at = own >> np.uint64(64 - FILTER_BITS)
+                        own = own[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+                    parts.append(own.astype(np.int64))
                     ids.append(np.full(len(parts[-1]), doc_id, np.int64))
                 if len(parts) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(ids))], ["part", "doc_id"])
@@ -310,9 +344,12 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     named = docs.filter("doc_id is not null")
     sampled = members.filter("doc_id = node").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    parts = part_rows(named, n, num, den, common_shingles(named, sampled, n))
-    met = parts.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    met = parts.join(met.select("part", "first"), "part").select("doc_id", "first").filter("doc_id != first").distinct()
+    common = common_shingles(named, sampled, n)
+    # Most parts belong to one document only. A first pass finds the others, so that the second one only sends those.
+    met = part_rows(named, n, num, den, common).groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    met = materialise(met.filter("first < last").select("part", "first"), "shared_parts")
+    parts = part_rows(named, n, num, den, common, shared_filter(met))
+    met = parts.join(met, "part").select("doc_id", "first").filter("doc_id != first").distinct()
     met = materialise(met, "candidates")
     # From documents to their classes.
     nodes = members.filter("node is not null").select("doc_id", "node").distinct()
