@@ -3,13 +3,14 @@
 Every job takes a streaming DataFrame, runs what is available and leaves its
 result in files below the shared folder. Results of a micro-batch go to a folder
 named by the batch, so a batch that runs again after a failure replaces its own
-output. Rows later than the watermark are dropped; this is a choice of ours.
+output. Usage and distinct requests keep no state: every batch leaves its own sums
+or rows, and reading adds them up, so a row counts however late it comes. Activity
+runs do need to know that a gap has closed; they have a watermark, and later rows
+are dropped there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -38,14 +39,6 @@ def _batches(df: DataFrame, path: str, checkpoint: str, mode: str) -> None:
     _run(df.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
 
 
-def latest(spark, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest version of every key from the written batches; one map-side combined aggregate."""
-    df = spark.read.parquet(path)
-    values = [c for c in df.columns if c not in (*keys, "batch")]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return best.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
-
-
 def _paths(spark, name: str) -> tuple[str, str]:
     base = new_path(spark, name)
     return f"{base}/out", f"{base}/checkpoint"
@@ -81,45 +74,46 @@ def stored_sessions(spark, path: str) -> DataFrame:
 
 # -- usage ------------------------------------------------------------------------
 
-def _windowed(requests: DataFrame, length: str, slide: str | None, delay: str) -> DataFrame:
-    """Requests, tokens and cost per window and channel. ``requests`` is priced."""
-    span = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return (
-        requests.withWatermark("ts", delay)
-        .groupBy(span.alias("span"), "channel")
-        .agg(
-            F.count(F.lit(1)).alias("requests"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("cost").alias("cost"),
-        )
-        .select(
-            F.col("span.start").alias("start"),
-            F.col("span.end").alias("end"),
-            "channel",
-            "requests",
-            "input_tokens",
-            "output_tokens",
-            "cost",
-        )
+_SUMS = ("requests", "input_tokens", "output_tokens", "cost")
+
+
+def _step_sums(requests: DataFrame, step: str) -> DataFrame:
+    """Requests, tokens and cost per step of time and channel. ``requests`` is priced."""
+    return requests.groupBy(F.window("ts", step)["start"].alias("step"), "channel").agg(
+        F.count(F.lit(1)).alias("requests"), *[F.sum(c).alias(c) for c in _SUMS[1:]]
     )
 
 
-def usage_by_window(requests: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Run the windowed usage job and read its current result."""
-    spark = requests.sparkSession
+def usage_by_window(requests: DataFrame, length: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Run the windowed usage job and read its current result.
+
+    Each micro-batch writes its sums per step (``slide``, or the window itself).
+    Reading adds the batches up per step first and only then spreads a step over
+    the windows that hold it, so a request is never multiplied by the windows.
+    """
+    spark, step = requests.sparkSession, slide or length
     path, checkpoint = _paths(spark, "usage")
-    _batches(_windowed(requests, length, slide, delay), path, checkpoint, "update")
-    return latest(spark, path, ["start", "end", "channel"]).withColumn("cost", half_up("cost", 6))
+
+    def write(batch: DataFrame, number: int) -> None:
+        _step_sums(batch, step).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    _run(requests.writeStream.foreachBatch(write), checkpoint)
+    steps = spark.read.parquet(path).groupBy("step", "channel").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    span = F.window("step", length, slide) if slide else F.window("step", length)
+    out = steps.groupBy(span.alias("span"), "channel").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return out.select(
+        F.col("span.start").alias("start"), F.col("span.end").alias("end"), "channel", *_SUMS[:3], half_up("cost", 6).alias("cost")
+    )
 
 
-def distinct_requests(requests: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per request id although files are delivered twice."""
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """One row per request id, the earliest, although files are delivered twice and at any time."""
     spark = requests.sparkSession
     path, checkpoint = _paths(spark, "distinct")
-    df = requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
-    _run(df.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
-    return spark.read.schema(df.schema).parquet(path)
+    _batches(requests, path, checkpoint, "append")
+    rest = [c for c in requests.columns if c not in ("request_id", "ts")]
+    first = spark.read.parquet(path).groupBy("request_id").agg(F.min(F.struct("ts", *rest)).alias("_r"))
+    return first.select("request_id", "_r.*").select(*requests.columns)
 
 
 def activity_sessions(events: DataFrame, key: str, gap: str, delay: str) -> DataFrame:

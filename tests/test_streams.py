@@ -41,6 +41,17 @@ def test_usage_is_summed_over_micro_batches(spark):
     assert got == {("x", 2, 11, 0.6), ("y", 1, 1, 0.1)}
 
 
+def test_late_requests_count(spark):
+    folder, day = new_path(spark, "l"), datetime(2024, 6, 1, 1)
+    _requests(spark, folder, [("a", "x", day, 1, 2, 0.1)])
+    stream = _requests(spark, folder, [("b", "x", day - timedelta(days=90), 10, 20, 0.5), ("a", "x", day, 1, 2, 0.1)])
+    got = {(r.start.month, r.requests, r.input_tokens) for r in J.usage_by_window(stream).collect()}
+    assert got == {(6, 2, 2), (3, 1, 10)}
+    sliding = J.usage_by_window(stream, "3 days", "1 day").collect()
+    assert len(sliding) == 6 and {r.end - r.start for r in sliding} == {timedelta(days=3)}
+    assert sorted(r.request_id for r in J.distinct_requests(stream).collect()) == ["a", "b"]
+
+
 def test_repeated_requests_count_once(spark):
     folder, day = new_path(spark, "d"), datetime(2024, 1, 1)
     rows = [("a", "x", day, 1, 2, 0.1), ("b", "x", day, 1, 2, 0.1)]
