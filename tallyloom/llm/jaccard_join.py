@@ -47,7 +47,7 @@ from tallyloom.llm.components import components
 from tallyloom.llm.words import mix, window_lists
 from tallyloom.session import materialise
 
-BLOCK_SHINGLES = 100_000
+BLOCK_SHINGLES = 400_000
 SAMPLE = 10_000
 COMMON_SHARE = 0.001
 SPARE_PARTS = 1.2
@@ -309,10 +309,16 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _links(blocks: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """T-occurrence search in every block of ``keys``."""
+    """T-occurrence search in every block of ``keys``.
+
+    A row with ``role`` 3 carries the set from which the sets of its block differ, see ``difference``.
+    """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(source, keys):
+            base = next((np.frombuffer(r["found"], "<u8") for r in rows if r["role"] == 3), None)
+            if base is not None:
+                rows = [r | {"found": restored(base, r["found"])} for r in rows if r["role"] != 3]
             found = search(rows, num, den)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
@@ -320,17 +326,30 @@ def _links(blocks: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     return blocks.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(batches, "a long, b long")
 
 
+def difference(base: np.ndarray, found: np.ndarray) -> bytes:
+    """``found`` as what it lacks of ``base`` (places) and what it has besides; short for near copies."""
+    lacks = np.flatnonzero(~np.isin(base, found, assume_unique=True)).astype("<u4")
+    return np.array([len(lacks)], "<u4").tobytes() + lacks.tobytes() + np.setdiff1d(found, base, assume_unique=True).tobytes()
+
+
+def restored(base: np.ndarray, change: bytes) -> bytes:
+    n = int(np.frombuffer(change, "<u4", 1)[0])
+    kept = np.delete(base, np.frombuffer(change, "<u4", n, 4))
+    return np.sort(np.concatenate([kept, np.frombuffer(change, "<u8", -1, 4 + 4 * n)])).astype("<u8").tobytes()
+
+
 def _pivot_links(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """``node`` and whether it links with its block's ``pivot`` (columns ``found``, ``pivot_found``)."""
+    """Whether each ``node`` links with its block's ``pivot``, and its set as the difference from the pivot's."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             both = zip(batch.column("found").to_pylist(), batch.column("pivot_found").to_pylist())
-            hit = [linked(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), num, den) for a, b in both]
-            kept = batch.select(["block", "node", "pivot"])
-            yield kept.append_column("settled", pa.array(hit, pa.bool_()))
+            both = [(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for a, b in both]
+            kept = batch.select(["block", "node", "pivot", "chunks"])
+            kept = kept.append_column("settled", pa.array([linked(a, b, num, den) for a, b in both], pa.bool_()))
+            yield kept.append_column("found", pa.array([difference(b, a) for a, b in both], pa.binary()))
 
-    return blocks.mapInArrow(batches, "block long, node long, pivot long, settled boolean")
+    return blocks.mapInArrow(batches, "block long, node long, pivot long, chunks long, settled boolean, found binary")
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -374,18 +393,21 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         )
         pivot_sets = large.select("node", F.col("found").alias("pivot_found")).dropDuplicates(["node"])
         pivots = pivots.join(pivot_sets.withColumnRenamed("node", "pivot"), "pivot")
-        compared = _pivot_links(large.join(pivots, "block").select("block", "node", "pivot", "found", "pivot_found"), num, den)
+        compared = _pivot_links(
+            large.join(pivots, "block").select("block", "node", "pivot", "chunks", "found", "pivot_found"), num, den
+        )
         compared = materialise(compared, "pivot_links")
-        chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-        large = large.withColumn("chunk", chunk)
+        large = compared.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-        held = large.withColumn("asked", every).select("block", F.col("chunk").alias("held"), "asked", "node", "found", F.lit(0).alias("role"))
-        open_nodes = compared.filter("not settled").select("block", "node").distinct()
-        asking = large.join(open_nodes, ["block", "node"], "left_semi").withColumn("held", every)
-        asking = asking.select("block", "held", F.col("chunk").alias("asked"), "node", "found", F.lit(1).alias("role"))
+        place = ["block", "held", "asked", "node", "found"]
+        held = large.withColumn("asked", every).withColumn("held", F.col("chunk")).select(*place, F.lit(0).alias("role"))
+        asking = large.filter("not settled").withColumn("held", every).withColumn("asked", F.col("chunk"))
+        asking = asking.select(*place, F.lit(1).alias("role"))
         # A chunk that nobody asks about is not sent.
         held = held.join(asking.select("block", "asked").distinct(), ["block", "asked"], "left_semi").select(held.columns)
-        wide = _links(held.unionByName(asking), ["block", "held", "asked"], num, den)
+        bases = asking.select("block", "held", "asked").distinct().join(pivots, "block")
+        bases = bases.select("block", "held", "asked", F.col("pivot").alias("node"), F.col("pivot_found").alias("found"), F.lit(3).alias("role"))
+        wide = _links(held.unionByName(asking).unionByName(bases), ["block", "held", "asked"], num, den)
         star = compared.filter("settled and node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         links = links.unionByName(star).unionByName(wide)
     joined = components(links)
