@@ -11,8 +11,8 @@ Spark brings those documents together that can link at all:
 
 1. Equal sets form a class, found by fingerprint; one member stands for it.
 2. Each set is cut into more parts than two linking sets can have differences, so
-   linking sets agree in a whole part. Parts that say nothing (made of few or of
-   very common shingles) are left out where enough others remain; a document with
+   linking sets agree in a whole part. Parts that say nothing (empty, or of common
+   shingles only) are left out where enough others remain; a document with
    too few of them gives all. Documents that share a part are candidates.
 3. Connected candidates form a block. A block with more shingles than ``BLOCK_SHINGLES``
    is split: first all its documents are compared with the one that most others met,
@@ -49,7 +49,7 @@ from tallyloom.session import materialise
 
 BLOCK_SHINGLES = 400_000
 SAMPLE = 10_000
-COMMON_SHARE = 0.001
+COMMON_SHARE = 0.0005
 SPARE_PARTS = 1.2
 # Bits and slices of the filter of shared parts: 16 MB whatever the input.
 FILTER_BITS = 27
@@ -101,8 +101,7 @@ def signatures(found: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarra
         # Parts are equal ranges of hash values, so each is a run of the sorted set.
         borders = np.searchsorted(found >> np.uint64(24), np.arange(k + 1, dtype=np.uint64) * np.uint64((1 << 40) // k))
         borders[0], borders[k] = 0, len(found)
-        size, said = np.diff(borders), np.diff(rares[borders])
-        telling = (said > 0) & (size > 1)
+        telling = np.diff(rares[borders]) > 0
         if telling.sum() <= differences:
             telling[:] = True
         sums = total[borders[1:]] - total[borders[:-1]]
@@ -391,8 +390,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
         pivots = large.select("block", "node").join(degree, "node").groupBy("block").agg(
             F.max_by("node", F.struct("k", -F.col("node"))).alias("pivot")
         )
-        pivot_sets = large.select("node", F.col("found").alias("pivot_found")).dropDuplicates(["node"])
-        pivots = pivots.join(pivot_sets.withColumnRenamed("node", "pivot"), "pivot")
+        pivot_sets = large.select(F.col("node").alias("pivot"), F.col("found").alias("pivot_found"))
+        pivots = pivot_sets.join(small_side(pivots, 32), "pivot").dropDuplicates(["block"])
         compared = _pivot_links(
             large.join(pivots, "block").select("block", "node", "pivot", "chunks", "found", "pivot_found"), num, den
         )
