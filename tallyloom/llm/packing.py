@@ -12,13 +12,15 @@ Spark counts the lengths, numbers the pieces of each length (in buckets, so that
 frequent length is spread over many tasks) and looks up their places.
 
 Nulls and edge cases: a null text counts as empty and becomes the end id alone;
-repeated rows are packed as often as they occur; a text of any length is cut; an
-empty table gives an empty result; further columns are not read.
+repeated rows are packed as often as they occur; a text of any length is cut, runs of
+white space of any length included; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +40,10 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BUCKET_ROWS = 20_000
 
+LONG_RUN = 1 << 16  # characters of white space that are split off before the pattern, whose backtracking ends near a million
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # what the pattern takes as white space
+LONG_SPACE = re.compile(f"(?<![{SPACES}])[{SPACES}]{{{LONG_RUN},}}")
+
 
 def encoder(vocabulary: str = VOCABULARY):
     """A byte-level BPE from a public vocabulary file of ranks, loaded once per process.
@@ -55,6 +61,22 @@ def encoder(vocabulary: str = VOCABULARY):
     return held(f"encoder-{vocabulary}", load)
 
 
+def encoded(bpe, text: str) -> np.ndarray:
+    """The ids of a text.
+
+    The pattern makes one piece of a run of white space, without its last character
+    if more text follows. Long runs are cut out as that piece, so it never sees them.
+    """
+    if len(text) < LONG_RUN:
+        return bpe.encode_to_numpy(text)
+    parts, start = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        parts += [bpe.encode_to_numpy(text[start : run.start()]), np.array(bpe._encode_single_piece(text[run.start() : end]), np.uint32)]
+        start = end
+    return np.concatenate([*parts, bpe.encode_to_numpy(text[start:])])
+
+
 def cut(ids: bytes, size: int = SIZE) -> list[tuple[int, int, int]]:
     """Start, length and CRC-32 of full windows and the rest."""
     n = len(ids) // 4
@@ -70,7 +92,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY) -> D
         for batch in source:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                whole = bpe.encode_to_numpy(text or "").astype("<u4").tobytes() + end
+                whole = encoded(bpe, text or "").astype("<u4").tobytes() + end
                 rows += [(doc_id, *p, len(whole) // 4) for p in cut(whole, size)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names)

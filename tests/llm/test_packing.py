@@ -24,6 +24,15 @@ def test_ids_equal_those_of_the_tokenizer_file():
     assert [packing.encoder().encode_to_numpy(t).tolist() for t in texts] == want
 
 
+def test_long_runs_of_white_space(spark):
+    n = 1_100_000
+    texts = [" " * n, "a" + "\n" * n + "b", "a" + " " * n + "b " + "\u3000\t\x85 " * (n // 4) + "12", "\x1c" * 70_000 + " " * 70_000 + "\n", prose(1, 20_000)]
+    want = [e.ids for e in reference().encode_batch(texts, add_special_tokens=False)]
+    assert [packing.encoded(packing.encoder(), t).tolist() for t in texts] == want
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(ids) + 1 for i, ids in enumerate(want)}
+
+
 def test_plan_equals_packing_piece_by_piece():
     draw = random.Random(3)
     for _ in range(200):
