@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.messages import clean_message, code_chars, is_machine_made, split_thinking, strip_wrapper
+from ..functions.staging import staged
 from ..functions.text import (
     SPACE,
     col,
@@ -24,7 +25,7 @@ from ..functions.text import (
 from ..rules import models as M
 from .lookup import source_channel, with_pricing
 
-SIZES_KEPT = 100  # message sizes kept per session, as many as the advice rules may look at
+SIZES_KEPT = 100  # message sizes in the list of a session's context; ``message_sizes`` has all of them
 
 
 def zero(c: Column | str) -> Column:
@@ -156,8 +157,8 @@ def session_usage(calls: DataFrame, prices=M.PRICES, cache_discount: float = 0.5
     )
 
 
-def session_context(messages: DataFrame) -> DataFrame:
-    """First, second and last real user message, turns, characters, sizes and time span per session."""
+def _measured(messages: DataFrame) -> DataFrame:
+    """What counts of every message: said text, estimated tokens, characters, thinking."""
     df = prepare_messages(messages)
     real = (F.col("role") == "user") & ~F.col("machine_made") & (F.col("text") != "")
     system = (F.col("role") == "system") & (F.col("text") != "")
@@ -165,7 +166,7 @@ def session_context(messages: DataFrame) -> DataFrame:
     used = F.when(real, F.col("body")).when(system | answer, F.col("text"))
     third = F.floor(F.length(used) / 3).cast("long")
     thought = F.floor(F.length("thinking") / 3).cast("long")
-    df = df.select(
+    return df.select(
         "conversation_id",
         "message_index",
         "role",
@@ -178,6 +179,22 @@ def session_context(messages: DataFrame) -> DataFrame:
         F.when(answer, thought).alias("thought"),
         F.when(answer & (F.col("thinking") != ""), F.floor(F.length("answer") / 3)).cast("long").alias("answered"),
     )
+
+
+def message_sizes(messages: DataFrame) -> DataFrame:
+    """Estimated tokens of every message that counts, one row each: a session of any length is whole."""
+    df = staged(_measured(messages), {"estimated_tokens": F.col("est")})
+    return df.filter(F.col("estimated_tokens").isNotNull()).select(
+        "conversation_id", "message_index", "role", "estimated_tokens"
+    )
+
+
+def session_context(messages: DataFrame) -> DataFrame:
+    """First, second and last real user message, turns, characters, sizes and time span per session.
+
+    ``message_sizes`` lists the first ``SIZES_KEPT`` sizes; all are rows of the operator of that name.
+    """
+    df = _measured(messages)
     index = F.col("message_index")
     totals = df.groupBy("conversation_id").agg(
         F.min_by("said", F.when(F.col("real"), index)).alias("first_msg"),

@@ -253,6 +253,12 @@ def agg_context(spark, sf):
     return df.withColumn("message_sizes", F.array_join(sizes, ","))
 
 
+@query("agg_sizes", sql("said", """SELECT conversation_id, message_index, role, length(used) // 3 AS estimated_tokens
+  FROM said WHERE used IS NOT NULL"""))
+def agg_sizes(spark, sf):
+    return U.message_sizes(A.messages(spark, sf))
+
+
 @query("agg_totals", sql("sessions", f"""SELECT count(*) AS total_conversations,
   CAST(coalesce(sum(total_input_tokens), 0) AS BIGINT) AS total_input, CAST(coalesce(sum(total_output_tokens), 0) AS BIGINT) AS total_output,
   CAST(coalesce(sum(total_cache_read_tokens), 0) AS BIGINT) AS total_cache_read, CAST(coalesce(sum(api_call_count), 0) AS BIGINT) AS total_api_calls,

@@ -7,6 +7,7 @@ from tallyloom.functions.messages import code_chars, is_machine_made, split_thin
 from tallyloom.functions.text import estimate_tokens, rough_tokens
 from tallyloom.operators import lookup as L
 from tallyloom.operators import usage as U
+from tallyloom.schemas import MESSAGES
 from tallyloom.sources import records as R
 from tallyloom.sources import sinks as K
 
@@ -125,6 +126,16 @@ def test_transcripts(spark, tmp_path):
     assert sessions.total_input_tokens == 9 and sessions.input_output_ratio == 3.0
 
 
+def test_all_message_sizes_are_rows(spark):
+    roles = ["user", "assistant", "system", "tool"]
+    rows = [("a", i, roles[i % 4], "x" * (i + 3), "text", "m", datetime(2024, 1, 1)) for i in range(300)]
+    df = spark.createDataFrame([*rows, ("b", 0, "user", "", "text", "m", None)], MESSAGES)
+    got = sorted(tuple(r) for r in U.message_sizes(df).collect())
+    assert got == [("a", i, roles[i % 4], (i + 3) // 3) for i in range(300) if i % 4 < 3]
+    listed = U.session_context(df).filter("conversation_id = 'a'").first().context.message_sizes
+    assert [tuple(s) for s in listed] == [g[2:] for g in got[: len(listed)]] and len(listed) >= 6
+
+
 SESSION = "id string, source string, source_id string, model string, total_input_tokens bigint, total_output_tokens bigint, " \
     "input_output_ratio double, message_count bigint, cost_estimate double, start_time timestamp, context struct<total_messages:bigint>"
 
