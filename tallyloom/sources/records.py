@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..functions.joins import salted_join
 from ..functions.messages import clean_parts
 from ..functions.text import col
 from ..schemas import CONTENT_PARTS, TRANSCRIPT_RECORD
@@ -15,12 +19,18 @@ _BODY = f"usage struct<{_COUNTS.replace(' bigint', ':bigint')}>"
 
 
 def located(scan: DataFrame) -> DataFrame:
-    """Lines of a text scan or text stream with their file name and file split."""
-    return scan.select("value", "_metadata.file_name", "_metadata.file_block_start")
+    """Lines of a text scan or text stream with their file and file split."""
+    return scan.select(
+        "value",
+        "_metadata.file_name",
+        "_metadata.file_block_start",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+    )
 
 
-def transcript_text(df: DataFrame) -> DataFrame:
-    """``(session, record_no, value)`` of located lines, of a batch scan or one micro-batch.
+def transcript_text(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``(session, record_no, value)`` of located lines, of a batch scan or one micro-batch, and columns to ``keep``.
 
     The session is the ``session`` field of the record, else the file name.
     ``record_no`` joins the place of the file split with the row number inside
@@ -34,6 +44,7 @@ def transcript_text(df: DataFrame) -> DataFrame:
         F.coalesce(F.get_json_object("value", "$.session"), F.regexp_replace(name, r"\.[^.]*$", "")).alias("session"),
         (F.shiftleft(split, 33) + row).alias("record_no"),
         "value",
+        *keep,
     )
 
 
@@ -48,12 +59,12 @@ def read_transcripts(spark: SparkSession, path: str, min_ts: str | None = None,
     return parse_transcripts(transcript_text(located(raw)), min_ts)
 
 
-def parse_transcripts(raw: DataFrame, min_ts: str | None = None) -> DataFrame:
-    """Typed records from ``(session, record_no, value)`` lines."""
+def parse_transcripts(raw: DataFrame, min_ts: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed records from ``(session, record_no, value)`` lines, with the columns to ``keep``."""
     raw = raw.filter(F.trim("value") != "")
     rec = F.from_json("value", TRANSCRIPT_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     df = raw.select(
-        "session", "record_no", rec.alias("r"), F.get_json_object("value", "$.message.content").alias("_content")
+        "session", "record_no", rec.alias("r"), F.get_json_object("value", "$.message.content").alias("_content"), *keep
     )
     parts = F.from_json("_content", CONTENT_PARTS)
     text = F.when(F.col("_content").startswith("["), clean_parts(parts)).otherwise(F.col("_content"))
@@ -79,7 +90,30 @@ def parse_transcripts(raw: DataFrame, min_ts: str | None = None) -> DataFrame:
         F.col("r.message.model").alias("message_model"),
         usage.alias("usage"),
         F.col("r._corrupt").alias("corrupt"),
+        *keep,
+    )
+
+
+def joined_parts(records: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Records of sessions that came in several parts, each once, numbered on over the parts.
+
+    ``part``: the columns that name a part, in the order of arrival. ``digest``
+    is the text of the record. A record with a time that comes again in a later
+    part is a repeated delivery; those without a time are all kept. Equal records
+    inside one part are told apart by their place among each other.
+    """
+    same = ["session", "digest"]
+    copy = F.row_number().over(W.partitionBy(*same, *part).orderBy("record_no"))
+    timed = ordered.first_by(records.filter("ts IS NOT NULL").withColumn("_copy", copy), [*same, "_copy"], part)
+    df = timed.drop("_copy").unionByName(records.filter("ts IS NULL"))
+    # One row per part of a session.
+    spans = df.groupBy("session", *part).agg(F.min("record_no").alias("_from"), F.max("record_no").alias("_to"))
+    before = F.sum(F.col("_to") - F.col("_from") + 1).over(
+        W.partitionBy("session").orderBy(*part).rowsBetween(W.unboundedPreceding, -1)
     )
+    shifts = spans.select("session", *part, (F.coalesce(before, F.lit(0)) - F.col("_from")).alias("_shift"))
+    df = salted_join(df, shifts, ["session", *part], "record_no", "inner")
+    return df.withColumn("record_no", F.col("record_no") + F.col("_shift")).drop("_shift", "digest", *part)
 
 
 def usage_calls(records: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Every job takes a streaming DataFrame, runs what is available and leaves its
 result in files below the shared folder. Results of a micro-batch go to a folder
 named by the batch, so a batch that runs again after a failure replaces its own
-output. Usage and distinct requests keep no state: every batch leaves its own sums
-or rows, and reading adds them up, so a row counts however late it comes. Activity
+output. Sessions, usage and distinct requests keep no state: every batch leaves its own
+records, sums or rows, and reading adds them up, so a row counts however late it comes. Activity
 runs do need to know that a gap has closed; they have a watermark, and later rows
 are dropped there.
 """
@@ -19,9 +19,8 @@ from ..functions.text import half_up
 from ..operators import scan as S
 from ..operators import usage as U
 from ..rules import models as M
-from ..session import new_path
+from ..session import materialise, new_path
 from ..sources import records as R
-from ..sources import sinks
 from ..sources.files import document_lines
 
 
@@ -47,29 +46,36 @@ def _paths(spark, name: str) -> tuple[str, str]:
 # -- sessions ---------------------------------------------------------------------
 
 
-def ingest_sessions(lines: DataFrame, path: str, checkpoint: str, *, prices=M.PRICES) -> None:
-    """New transcript files become session versions, one folder per micro-batch.
+_FILE = ["modified", "file"]
+
+
+def ingest_sessions(lines: DataFrame, path: str, checkpoint: str) -> None:
+    """Records of new transcript files, one folder per micro-batch.
 
     ``lines``: streaming text scan. The store is append-only; ``stored_sessions``
-    folds the versions, so a batch never rewrites earlier sessions.
+    builds the sessions from all of it, so a session may come in any number of
+    files and batches.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        records = R.parse_transcripts(R.transcript_text(batch)).persist()
-        try:
-            built = U.build_sessions(
-                R.usage_calls(records), R.transcript_messages(records), prices, origins=R.transcript_origins(records)
-            )
-            built.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        finally:
-            records.unpersist()
+        text = R.transcript_text(batch, _FILE).withColumn("digest", F.sha2("value", 256))
+        records = R.parse_transcripts(text, keep=[*_FILE, "digest"])
+        records.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     _run(R.located(lines).writeStream.foreachBatch(write), checkpoint)
 
 
-def stored_sessions(spark, path: str) -> DataFrame:
+def stored_records(spark, path: str) -> DataFrame:
+    """The transcript records of an ingest folder, numbered over all files of a session."""
+    return R.joined_parts(spark.read.parquet(path), ["batch", *_FILE])
+
+
+def stored_sessions(spark, path: str, *, prices=M.PRICES) -> DataFrame:
     """The session table of an ingest folder."""
-    return sinks.fold_sessions(spark.read.parquet(path).withColumnRenamed("batch", "version"))
+    records = materialise(stored_records(spark, path), "records")
+    return U.build_sessions(
+        R.usage_calls(records), R.transcript_messages(records), prices, origins=R.transcript_origins(records)
+    )
 
 
 # -- usage ------------------------------------------------------------------------

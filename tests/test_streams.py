@@ -1,7 +1,9 @@
 """Streams against their batch results."""
 
+import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import adapters as A
@@ -27,6 +29,36 @@ def test_ingest_equals_batch_and_is_idempotent(spark):
     assert key(J.stored_sessions(spark, f"{base}/out")) == key(batch)
 
 
+def _said(session, minute, role, content, tokens=0):
+    usage = f', "usage": {{"input": {tokens}, "output": 1, "totalTokens": {tokens + 1}}}' if tokens else ""
+    head = f'"session": "{session}", "type": "message", "timestamp": "2024-01-01T00:{minute:02}:00Z"'
+    return f'{{{head}, "message": {{"role": "{role}", "content": "{content}"{usage}}}}}'
+
+
+@pytest.mark.parametrize("per_batch", [1, 10])
+def test_session_in_several_files_is_whole(spark, tmp_path, per_batch):
+    parts = [
+        ['{"session": "s", "type": "session", "timestamp": "2024-01-01T00:00:00Z", "key": "agent:a:main:1"}',
+         '{"session": "s", "type": "model_change", "modelId": "gpt-4o"}', _said("s", 1, "user", "first"), _said("s", 2, "assistant", "a", 100)],
+        [_said("s", 3, "user", "second"), _said("s", 4, "assistant", "b", 30), _said("s", 4, "assistant", "b", 30), _said("t", 1, "assistant", "c", 7)],
+        [_said("s", 1, "user", "first"), _said("s", 2, "assistant", "a", 100), _said("s", 5, "user", "third")],  # two lines again
+    ]
+    for i, lines in enumerate(parts):
+        (tmp_path / f"{i}.jsonl").write_text("\n".join(lines) + "\n")
+        os.utime(tmp_path / f"{i}.jsonl", (1_700_000_000 + i,) * 2)
+    base = new_path(spark, "parts")
+    stream = spark.readStream.option("maxFilesPerTrigger", per_batch).text(str(tmp_path))
+    J.ingest_sessions(stream, f"{base}/out", f"{base}/checkpoint")
+    got = {r.id: r for r in J.stored_sessions(spark, f"{base}/out").collect()}
+    assert set(got) == {"transcript_s", "transcript_t"} and got["transcript_t"].total_input_tokens == 7
+    s = got["transcript_s"]
+    assert (s.total_input_tokens, s.api_call_count, s.message_count, s.model) == (160, 3, 6, "gpt-4o")
+    assert (s.context.first_msg, s.context.second_msg, s.context.last_msg) == ("first", "second", "third")
+    numbers = [r.record_no for r in J.stored_records(spark, f"{base}/out").filter("session = 's'").collect()]
+    assert len(numbers) == len(set(numbers)) == 8
+    assert U.message_sizes(R.transcript_messages(J.stored_records(spark, f"{base}/out"))).count() == 7
+
+
 def _requests(spark, folder, rows):
     schema = "request_id string, channel string, ts timestamp, input_tokens bigint, output_tokens bigint, cost double"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
