@@ -2,7 +2,7 @@
 
 A word is the bag of its character n-grams (``MIN_N`` to ``MAX_N`` bytes, word ends
 marked), hashed to ``BUCKETS`` vectors. A word is the mean of its n-gram vectors, a
-passage of a document the mean of its words, and a softmax layer reads that mean; a
+passage (one starts at every word of a document) the mean of its words, and a softmax layer reads that mean; a
 document is as toxic as its most toxic passage. Vectors and layer are trained
 together, so a misspelling never seen before still has most of the n-grams of the
 word that it stands for. Fitted on a bounded sample of labelled
@@ -42,67 +42,86 @@ PASSAGE = 16
 PASSAGE_ROUNDS = 2
 
 
-def grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """N-gram buckets of a text, the word of each, and the passage of each word, in blocks of whole passages.
+def split(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").split()
 
-    A passage is ``PASSAGE`` words in a row of which repeats are left out, so one
-    repeated word cannot fill it.
+
+def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram buckets of words and the word of each."""
+    raw = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    before = np.concatenate([[0], np.cumsum(raw == 32)])
+    code, buckets, owners = raw.astype(np.uint64), [], []
+    for n in range(2, MAX_N + 1):
+        code = code[:-1] * np.uint64(1000003) + raw[n - 1 :] + np.uint64(1)
+        if n < MIN_N or not len(code):
+            continue
+        i = np.arange(len(code))
+        inner = np.flatnonzero(before[i + n - 1] == before[i + 1])
+        mixed = (code[inner] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)
+        buckets.append(mixed.astype(np.int64))
+        owners.append(before[inner + 1] - 1)
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of the mean over the words of a text; the weights add up to 1.
+
+    Words are taken ``PASSAGE`` at a time without repeats, so one repeated word cannot fill a text.
     """
-    words = text.lower().encode("utf-8", "replace").split()
-    at = 0
+    words, total, n, at = split(text), np.zeros(BUCKETS), 0, 0
     while at < len(words):
-        block, passage, size, k = [], [], 0, 0
+        block, size = [], 0
         while at < len(words) and size < BLOCK:
             part = dict.fromkeys(words[at : at + PASSAGE])
             block.extend(part)
-            passage.extend([k] * len(part))
             size += sum(map(len, part))
-            at, k = at + PASSAGE, k + 1
-        raw = np.frombuffer(b" " + b" ".join(block) + b" ", np.uint8)
-        before = np.concatenate([[0], np.cumsum(raw == 32)])
-        code, buckets, owners = raw.astype(np.uint64), [], []
-        for n in range(2, MAX_N + 1):
-            code = code[:-1] * np.uint64(1000003) + raw[n - 1 :] + np.uint64(1)
-            if n < MIN_N or not len(code):
-                continue
-            i = np.arange(len(code))
-            inner = np.flatnonzero(before[i + n - 1] == before[i + 1])
-            mixed = (code[inner] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)
-            buckets.append(mixed.astype(np.int64))
-            owners.append(before[inner + 1] - 1)
-        yield np.concatenate(buckets), np.concatenate(owners), np.array(passage)
-
-
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of the mean over all words of a text; the weights add up to 1."""
-    total, n = np.zeros(BUCKETS), 0
-    for bucket, owner, passage in grams(text or ""):
-        per_word = np.bincount(owner, minlength=len(passage))
+            at += PASSAGE
+        bucket, owner = hashed(block)
+        per_word = np.bincount(owner, minlength=len(block))
         total += np.bincount(bucket, 1 / per_word[owner], BUCKETS)
-        n += len(passage)
+        n += len(block)
     index = np.flatnonzero(total)
     return index, total[index] / max(1, n)
 
 
 def passages(text: str | None, weights: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per block of a text: mean weight of each passage, then buckets, words, n-gram counts and passages.
+    """Per block of a text: mean weight of the passage from each word on, then buckets, words, n-gram counts.
 
-    A passage with fewer than ``PASSAGE`` distinct words counts as filled up with
-    words of weight 0, so a few words alone do not weigh more.
+    A passage is ``PASSAGE`` words in a row of which repeats count once, so one
+    repeated word cannot fill it; with fewer words it counts as filled up with
+    words of weight 0, so a few words alone do not weigh more. Blocks overlap by
+    what a passage needs. The last column is the place of the same word before.
     """
-    for bucket, owner, passage in grams(text or ""):
-        count = np.maximum(1, np.bincount(owner, minlength=len(passage)))
-        per_word = np.bincount(owner, weights[bucket], len(passage)) / count
-        yield np.bincount(passage, per_word) / PASSAGE, bucket, owner, count, passage
+    words, at = split(text), 0
+    while at < len(words):
+        stop, size = at, 0
+        while stop < len(words) and (size < BLOCK or stop - at < 2 * PASSAGE):
+            size += len(words[stop])
+            stop += 1
+        block, seen = words[at:stop], {}
+        n, k = len(block), np.arange(len(block))
+        bucket, owner = hashed(block)
+        count = np.maximum(1, np.bincount(owner, minlength=n))
+        per_word = np.bincount(owner, weights[bucket], n) / count
+        earlier = np.empty(n, np.int64)
+        for i, word in enumerate(block):
+            earlier[i] = seen.get(word, -1)
+            seen[word] = i
+        # Word k counts in the passages that start behind its repeat, at most PASSAGE - 1 words back, and up to k.
+        first = np.maximum(np.maximum(k - PASSAGE + 1, earlier + 1), 0)
+        means = np.cumsum(np.bincount(first, per_word, n + 1) - np.bincount(k + 1, per_word, n + 1))[:n] / PASSAGE
+        whole = n if stop == len(words) else n - PASSAGE + 1
+        yield means[:whole], bucket, owner, count, earlier
+        at = at + whole
 
 
 def strongest_passage(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of the passage with the highest mean."""
     best, out = -np.inf, (np.empty(0, np.int64), np.empty(0))
-    for means, bucket, owner, count, passage in passages(text, weights):
+    for means, bucket, owner, count, earlier in passages(text, weights):
         k = int(means.argmax())
         if means[k] > best:
-            best, chosen = means[k], passage[owner] == k
+            best, chosen = means[k], (owner >= k) & (owner < k + PASSAGE) & (earlier[owner] < k)
             index, spot = np.unique(bucket[chosen], return_inverse=True)
             out = index, np.bincount(spot, 1 / count[owner[chosen]]) / PASSAGE
     return out

@@ -118,6 +118,22 @@ def test_toxicity_finds_unseen_misspellings(spark):
     assert toxicity.score(docs.filter("false"), model).count() == 0
 
 
+def test_toxicity_passages_start_at_every_word():
+    weights, text = np.random.default_rng(2).normal(size=toxicity.BUCKETS), prose(6, 90) + " same same other same"
+    words = text.lower().encode().split()
+
+    def mean(part):
+        found = [toxicity.hashed([w])[0] for w in dict.fromkeys(part)]
+        return sum(weights[b].mean() for b in found) / toxicity.PASSAGE
+
+    want = max(mean(words[k : k + toxicity.PASSAGE]) for k in range(len(words)))
+    assert math.isclose(toxicity.log_odds(text, weights, 0.0), want)
+    index, share = toxicity.strongest_passage(text, weights)
+    assert math.isclose((weights[index] * share).sum(), want)
+    for n in range(1, 20):
+        assert toxicity.log_odds("clean " * n + text, weights, 0.0) >= want - 1e-9
+
+
 def test_toxicity_blocks_do_not_matter(monkeypatch):
     weights, text = np.random.default_rng(1).normal(size=toxicity.BUCKETS), prose(5, 500)
     whole = toxicity.log_odds(text, weights, 0.1)
