@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.shipping import by_value
 
 BROADCAST_BYTES = 64 << 20
+SLICE_ROWS = 256
 
 
 def fold(doc_id: str, mod: int) -> Column:
@@ -51,6 +52,13 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [v or b"" for v in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, which bounds what a worker makes of one batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Runs of rows with equal ``keys`` in a sorted partition, across batch borders."""
     last, rows = None, []
