@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["host_rules", "url_model", "pseudonyms", "quality_fm", "toxicity", "byte_lm", "language_id", "packing", "tiling", "jaccard_join"]
+MODULES = [
+    "host_rules",
+    "url_model",
+    "pseudonyms",
+    "quality_fm",
+    "toxicity",
+    "byte_lm",
+    "language_id",
+    "packing",
+    "tiling",
+    "jaccard_join",
+    "merkle",
+    "curriculum",
+    "lexical",
+]
 
 
 def _merge(attr: str) -> dict:
