@@ -491,7 +491,8 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A session record comes first, then a model change (every third
     conversation) or a model snapshot (the next third); fourth messages are
-    preceded by another model change in every fourth conversation.
+    preceded by another model change in every fourth conversation, fifth ones by an
+    empty change in every fifth.
     """
     m = messages(spark, sf_dir).select("conversation_id", "message_index", "role", "content", "ts", "model", "conv_id")
     used = calls(spark, sf_dir).select(
@@ -556,4 +557,15 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(sid, F.lit("model_change").alias("type"), at.alias("timestamp"), F.lit("gpt-4o").alias("modelId"), F.lit("p2").alias("provider"))
         ).alias("value"),
     )
-    return said.unionByName(opened).unionByName(models).unionByName(later)
+    # The model is taken back, and every other time named anew by a snapshot.
+    taken = m.filter((n % 5 == 0) & (F.col("message_index") == 4)).select(
+        sid,
+        (F.col("message_index") * 2 + 9).alias("record_no"),
+        F.to_json(
+            F.struct(sid, F.lit("model_change").alias("type"), at.alias("timestamp"), F.lit("").alias("modelId"), F.lit("").alias("provider"))
+        ).alias("value"),
+    )
+    anew = m.filter((n % 10 == 0) & (F.col("message_index") == 5)).select(
+        sid, (F.col("message_index") * 2 + 9).alias("record_no"), F.to_json(snap).alias("value")
+    )
+    return said.unionByName(opened).unionByName(models).unionByName(later).unionByName(taken).unionByName(anew)

@@ -119,6 +119,34 @@ def carry_forward(
     return df.drop(*drop)
 
 
+def first_since(
+    df: DataFrame, keys: Sequence[str], order: str, reset: Column, value: Column, name: str, *, size: int = CHUNK
+) -> DataFrame:
+    """Add ``name``: the first non-null ``value`` after the latest row with ``reset``, at or before the row.
+
+    ``reset`` must not be null. A chunk carries whether it has a reset and the first
+    value after its last one, or the first of all when it has none.
+    """
+    df = _split(df, keys, order, size).withColumn("_reset", reset.cast("int")).withColumn("_value", value)
+    inside = W.partitionBy(_CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumn("_span", F.sum("_reset").over(inside))
+    within = W.partitionBy(_CHUNK, "_span").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumn("_own", F.first("_value", ignorenulls=True).over(within))
+    ends = df.groupBy(_CHUNK).agg(
+        F.max("_span").alias("_resets"), F.max_by("_own", order).alias("_last")
+    )
+    across = _across(keys)
+    upto = across.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = ends.withColumn("_span", F.sum("_resets").over(upto))
+    same = W.partitionBy(*[F.col(f"{_CHUNK}.k{i}") for i in range(len(keys))], "_span").orderBy(f"{_CHUNK}.chunk")
+    ends = ends.withColumn("_after", F.first("_last", ignorenulls=True).over(same.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    carried = ends.select(_CHUNK, F.lag("_after").over(across).alias("_before"))
+    df = _attach(df, carried)
+    before = F.when(F.col("_span") == 0, F.col("_before"))
+    df = df.withColumn(name, F.coalesce(before, "_own"))
+    return df.drop(_CHUNK, "_reset", "_value", "_span", "_own", "_before")
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],

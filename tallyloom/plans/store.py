@@ -12,8 +12,9 @@ from ..session import new_path
 from ..sources import files as X
 from ..sources import records as R
 from ..sources import sinks as K
+from ..sources.growing import Transcripts
 from ..streaming import jobs as J
-from .base import cte, half_up, ratio2, sql
+from .base import CTES, cte, half_up, ratio2, sql
 from .scan import ORACLES as SCAN_ORACLES
 from .scan import findings
 from .usage import sessions
@@ -45,33 +46,63 @@ cte(
     NULL, NULL, NULL, NULL, NULL, CASE conv_id % 3 WHEN 0 THEN 'deepseek-chat' END, CASE conv_id % 3 WHEN 0 THEN 'p1' END, CASE conv_id % 3 WHEN 1 THEN 'glm-4' END, conv_id
     FROM messages WHERE conv_id % 3 <> 2 GROUP BY conversation_id, conv_id
   UNION ALL SELECT conversation_id, message_index * 2 + 9, 'model_change', NULL, NULL, ts, NULL, NULL, NULL, NULL, NULL, 'gpt-4o', 'p2', NULL, conv_id FROM messages
-    WHERE conv_id % 4 = 0 AND message_index = 3""",
+    WHERE conv_id % 4 = 0 AND message_index = 3
+  UNION ALL SELECT conversation_id, message_index * 2 + 9, 'model_change', NULL, NULL, ts, NULL, NULL, NULL, NULL, NULL, '', '', NULL, conv_id FROM messages
+    WHERE conv_id % 5 = 0 AND message_index = 4
+  UNION ALL SELECT conversation_id, message_index * 2 + 9, 'custom', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'glm-4', conv_id FROM messages
+    WHERE conv_id % 10 = 0 AND message_index = 5""",
+)
+# The latest model change counts; after an empty one, or before any, the first model that a snapshot or a call names.
+cte(
+    "transcript_calls",
+    ("transcript",),
+    """SELECT * EXCLUDE (model), coalesce(nullif(last_changed, ''), first_value(named IGNORE NULLS) OVER (PARTITION BY session, changes ORDER BY record_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS model FROM (
+  SELECT *, CASE WHEN total_tokens > 0 THEN nullif(model, '') ELSE nullif(snap, '') END AS named, count(changed) OVER w AS changes,
+    last_value(changed IGNORE NULLS) OVER w AS last_changed, last_value(provider IGNORE NULLS) OVER w AS last_provider FROM transcript
+  WINDOW w AS (PARTITION BY session ORDER BY record_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+)
+cte(
+    "ingested_usage0",
+    ("transcript_calls",),
+    """SELECT session AS conversation_id, CAST(sum(input) AS BIGINT) AS input_uncached, CAST(sum(cache_read) AS BIGINT) AS cache_read,
+  CAST(sum(output) AS BIGINT) AS output, count(*) AS api_calls, coalesce(nullif(max_by(model, record_no), ''), 'unknown') AS model,
+  min(ts) AS first_ts, max(ts) AS last_ts FROM transcript_calls WHERE total_tokens > 0 GROUP BY session""",
+)
+cte("ingested_usage", ("ingested_usage0", "prices"), CTES["usage"][1].removeprefix("usage AS (")[:-1].replace("FROM usage0", "FROM ingested_usage0"))
+cte("ingested_origins", (), """SELECT DISTINCT 'c' || conv_id AS conversation_id, 'transcript' AS source, 'agent:a:feishu:' || conv_id AS source_id,
+  'direct' AS kind FROM conversations""")
+cte(
+    "ingested",
+    ("ingested_usage", "context", "ingested_origins"),
+    CTES["sessions"][1].removeprefix("sessions AS (")[:-1].replace("FROM usage u", "FROM ingested_usage u").replace("JOIN origins o", "JOIN ingested_origins o"),
 )
 
 
-def _written(spark, sf, files: int = 4) -> str:
-    """Transcript files of the conversations, whole sessions per file."""
-    path = new_path(spark, "transcripts")
-    df = A.transcript_lines(spark, sf)
-    df.repartition(files, "session").sortWithinPartitions("session", "record_no").select("value").write.text(path)
-    return path
+def _written(spark, sf, path: str, wave: int, files: int = 4) -> None:
+    """Transcript files of the conversations: the first records of all sessions, or the rest."""
+    first = F.col("record_no") <= 14
+    df = A.transcript_lines(spark, sf).filter(first if wave == 0 else ~first)
+    df = df.repartition(files, "session").sortWithinPartitions("session", "record_no")
+    df.select("value").write.text(f"{path}/wave={wave}")
 
 
-@query("src_transcript", sql("transcript", """SELECT session, type, ts, role, CASE WHEN conv_id % 2 = 0 THEN content ELSE
-  trim(content, ' ' || chr(10)) END AS content, changed AS changed_model, snap AS snapshot_model, total_tokens FROM transcript"""))
+@query("src_transcript", sql("transcript", """SELECT session, row_number() OVER (PARTITION BY session ORDER BY record_no) - 1 AS record_no, type, ts, role,
+  CASE WHEN conv_id % 2 = 0 THEN content ELSE trim(content, ' ' || chr(10)) END AS content, changed AS changed_model, snap AS snapshot_model,
+  total_tokens FROM transcript"""))
 def src_transcript(spark, sf):
-    df = R.read_transcripts(spark, _written(spark, sf), glob="*.txt")
+    path = new_path(spark, "transcripts")
+    for wave in (0, 1):
+        _written(spark, sf, path, wave)
+    df = R.read_transcripts(spark, path, glob="*.txt")
     return df.select(
-        "session", "type", "ts", "role", "content", "changed_model", "snapshot_model",
+        "session", "record_no", "type", "ts", "role", "content", "changed_model", "snapshot_model",
         F.col("usage.totalTokens").alias("total_tokens"),
     )
 
 
-@query("src_calls", sql("transcript", """SELECT session AS conversation_id, record_no AS call_index, input, cache_read, output, total_tokens,
-  coalesce(changed_before, snap_before, model, '') AS model, coalesce(provider_before, '') AS provider FROM (
-  SELECT *, last_value(changed IGNORE NULLS) OVER w AS changed_before, last_value(provider IGNORE NULLS) OVER w AS provider_before,
-    first_value(snap IGNORE NULLS) OVER w AS snap_before FROM transcript
-  WINDOW w AS (PARTITION BY session ORDER BY record_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE total_tokens > 0"""))
+@query("src_calls", sql("transcript_calls", """SELECT session AS conversation_id, record_no AS call_index, input, cache_read, output, total_tokens,
+  model, coalesce(last_provider, '') AS provider FROM transcript_calls WHERE total_tokens > 0"""))
 def src_calls(spark, sf):
     df = R.usage_calls(R.parse_transcripts(A.transcript_lines(spark, sf)))
     return df.select("conversation_id", "call_index", "input", "cache_read", "output", "total_tokens", "model", "provider")
@@ -196,11 +227,15 @@ def _priced_stream(spark, sf):
     )
 
 
-@query("str_ingest")
+@query("str_ingest", sql("ingested", """SELECT id, source, source_id, title, model, total_input_tokens, total_output_tokens, api_call_count,
+  message_count, cost_estimate, start_time, end_time FROM ingested"""))
 def str_ingest(spark, sf):
-    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(_written(spark, sf))
-    base = new_path(spark, "ingest")
-    J.ingest_sessions(lines, f"{base}/out", f"{base}/checkpoint")
+    spark.dataSource.register(Transcripts)
+    path, base = new_path(spark, "transcripts"), new_path(spark, "ingest")
+    for wave in (0, 1):  # the second run meets the rest of the sessions
+        _written(spark, sf, path, wave)
+        lines = spark.readStream.format("transcripts").option("glob", "*.txt").load(path)
+        J.ingest_sessions(lines, f"{base}/out", f"{base}/checkpoint")
     df = J.stored_sessions(spark, f"{base}/out")
     return df.select(
         "id", "source", "source_id", "title", "model", "total_input_tokens", "total_output_tokens", "api_call_count",

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.joins import salted_join
 from ..functions.messages import clean_parts
 from ..functions.text import col
 from ..schemas import CONTENT_PARTS, TRANSCRIPT_RECORD
@@ -18,53 +17,76 @@ _COUNTS = "prompt_tokens bigint, input_tokens bigint, completion_tokens bigint,
 _BODY = f"usage struct<{_COUNTS.replace(' bigint', ':bigint')}>"
 
 
+# The place of a line: its file, a part of the file, its row in that part.
+PLACE = ["file", "block", "row"]
+# Lines of a growing file are counted in parts of so many bytes.
+BLOCK_BYTES = 64 << 20
+
+
 def located(scan: DataFrame) -> DataFrame:
-    """Lines of a text scan or text stream with their file and file split."""
+    """Lines of a text scan, a text stream or the ``transcripts`` source with their place and the file's time.
+
+    A text scan reads large files in splits and numbers the rows of a task, so a row's place
+    is its split and that number; the source gives the line's first byte.
+    """
+    if "at" in scan.columns:
+        return scan.select("value", "file", "modified", F.floor(F.col("at") / BLOCK_BYTES).alias("block"), F.col("at").alias("row"))
     return scan.select(
         "value",
-        "_metadata.file_name",
-        "_metadata.file_block_start",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("_metadata.file_block_start").alias("block"),
     )
 
 
-def transcript_text(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``(session, record_no, value)`` of located lines, of a batch scan or one micro-batch, and columns to ``keep``.
+def transcript_text(df: DataFrame) -> DataFrame:
+    """``(session, value, modified, file, block, row)`` of located lines, of a batch scan or one micro-batch.
 
-    The session is the ``session`` field of the record, else the file name.
-    ``record_no`` joins the place of the file split with the row number inside
-    the task: it grows along a file although large files are read in splits.
+    The session is the ``session`` field of the record, else the file name. Cleared files
+    (``.reset.`` or ``.deleted.`` in the name) and blank lines are left out.
     """
-    name = F.col("file_name")
-    split = F.shiftright(F.col("file_block_start"), 20)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    df = df.filter(~name.contains(".reset.") & ~name.contains(".deleted."))
-    return df.select(
-        F.coalesce(F.get_json_object("value", "$.session"), F.regexp_replace(name, r"\.[^.]*$", "")).alias("session"),
-        (F.shiftleft(split, 33) + row).alias("record_no"),
-        "value",
-        *keep,
-    )
+    name = F.regexp_extract("file", r"([^/]*)$", 1)
+    df = df.filter(~name.contains(".reset.") & ~name.contains(".deleted.") & (F.trim("value") != ""))
+    if "row" not in df.columns:
+        df = df.withColumn("row", F.monotonically_increasing_id())
+    session = F.coalesce(F.get_json_object("value", "$.session"), F.regexp_replace(name, r"\.[^.]*$", ""))
+    return df.select(session.alias("session"), "value", "modified", *PLACE)
+
+
+def numbered(records: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Add ``record_no``: 0, 1, 2, ... in each session over all its files.
+
+    Files come in the order of their first ``arrival`` (columns), then by name; inside a file
+    rows come by block and row. Only one count for each session, file and block is put in
+    order over a session, so a session of any size is numbered in parts.
+    """
+    place = ["session", *PLACE[:-1]]
+    inside = F.row_number().over(W.partitionBy(*place).orderBy(PLACE[-1])) - 1
+    counts = records.groupBy(*place).agg(F.count("*").alias("_n"), F.min(F.struct(*arrival)).alias("_came"))
+    counts = counts.withColumn("_came", F.min("_came").over(W.partitionBy("session", "file")))
+    before = F.sum("_n").over(W.partitionBy("session").orderBy("_came", *PLACE[:-1]).rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(*place, F.coalesce(before, F.lit(0)).alias("_start"))
+    df = records.withColumn("_inside", inside).join(starts, place)
+    return df.withColumn("record_no", F.col("_start") + F.col("_inside")).drop("_start", "_inside")
 
 
 def read_transcripts(spark: SparkSession, path: str, min_ts: str | None = None, glob: str = "*.jsonl") -> DataFrame:
-    """JSON-lines session files as typed records.
+    """JSON-lines session files as typed records, numbered over the files of a session by time, then name.
 
-    Cleared files (``.reset.`` or ``.deleted.`` in the name) are left out, empty
-    files have no lines. Bad lines keep their text in ``corrupt``. A time floor
+    Empty files have no lines. Bad lines keep their text in ``corrupt``. A time floor
     drops usage, not the record, so message counts stay whole.
     """
     raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-    return parse_transcripts(transcript_text(located(raw)), min_ts)
+    return parse_transcripts(numbered(transcript_text(located(raw)), ["modified"]), min_ts)
 
 
 def parse_transcripts(raw: DataFrame, min_ts: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Typed records from ``(session, record_no, value)`` lines, with the columns to ``keep``."""
     raw = raw.filter(F.trim("value") != "")
+    number = ["record_no"] if "record_no" in raw.columns else []
     rec = F.from_json("value", TRANSCRIPT_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     df = raw.select(
-        "session", "record_no", rec.alias("r"), F.get_json_object("value", "$.message.content").alias("_content"), *keep
+        "session", *number, rec.alias("r"), F.get_json_object("value", "$.message.content").alias("_content"), *keep
     )
     parts = F.from_json("_content", CONTENT_PARTS)
     text = F.when(F.col("_content").startswith("["), clean_parts(parts)).otherwise(F.col("_content"))
@@ -74,7 +96,7 @@ def parse_transcripts(raw: DataFrame, min_ts: str | None = None, keep: Sequence[
         usage = F.when(ts.isNull() | (ts >= F.lit(min_ts).cast("timestamp")), usage)
     return df.select(
         "session",
-        "record_no",
+        *number,
         F.col("r.type").alias("type"),
         ts.alias("ts"),
         F.col("r.key").alias("key"),
@@ -94,52 +116,41 @@ def parse_transcripts(raw: DataFrame, min_ts: str | None = None, keep: Sequence[
     )
 
 
-def joined_parts(records: DataFrame, part: Sequence[str]) -> DataFrame:
-    """Records of sessions that came in several parts, each once, numbered on over the parts.
+def joined_parts(records: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Records of sessions that came in several files and batches, each once, numbered over all of them.
 
-    ``part``: the columns that name a part, in the order of arrival. ``digest``
-    is the text of the record. A record with a time that comes again in a later
-    part is a repeated delivery; those without a time are all kept. Equal records
-    inside one part are told apart by their place among each other.
+    ``arrival``: the columns that say when a row came. ``digest`` is the text of the
+    record. A place of a file is read once, so rows are told apart by it. A record with
+    a time that comes again in another file is a repeated delivery; a record without a time
+    is one wherever it lies. Equal records inside a file are told apart by their order.
     """
     same = ["session", "digest"]
-    copy = F.row_number().over(W.partitionBy(*same, *part).orderBy("record_no"))
-    timed = ordered.first_by(records.filter("ts IS NOT NULL").withColumn("_copy", copy), [*same, "_copy"], part)
+    copy = F.row_number().over(W.partitionBy(*same, "file").orderBy(*PLACE[1:]))
+    timed = records.filter("ts IS NOT NULL").withColumn("_copy", copy)
+    timed = ordered.first_by(timed, [*same, "_copy"], [*arrival, *PLACE])
     df = timed.drop("_copy").unionByName(records.filter("ts IS NULL"))
-    # One row per part of a session.
-    spans = df.groupBy("session", *part).agg(F.min("record_no").alias("_from"), F.max("record_no").alias("_to"))
-    before = F.sum(F.col("_to") - F.col("_from") + 1).over(
-        W.partitionBy("session").orderBy(*part).rowsBetween(W.unboundedPreceding, -1)
-    )
-    shifts = spans.select("session", *part, (F.coalesce(before, F.lit(0)) - F.col("_from")).alias("_shift"))
-    df = salted_join(df, shifts, ["session", *part], "record_no", "inner")
-    return df.withColumn("record_no", F.col("record_no") + F.col("_shift")).drop("_shift", "digest", *part)
+    return numbered(df, arrival).drop("digest", *arrival, *PLACE)
 
 
 def usage_calls(records: DataFrame) -> DataFrame:
-    """API calls: records with ``usage.totalTokens > 0``.
+    """API calls: records with a role and ``usage.totalTokens > 0``.
 
-    The model is the latest ``model_change`` before the call, else the first
-    snapshot, else the model of the message itself. Carry-forward is chunked, so
-    one very long session does not land in one task.
+    The model is that of the latest ``model_change``. When that is empty, or there was none,
+    it is the first one named since, by a snapshot or by a call itself. Both are carried
+    forward in chunks, so one very long session does not land in one task.
     """
-    df = records.withColumn("_snap", F.nullif("snapshot_model", F.lit("")))
+    is_call = F.coalesce((F.col("role") != "") & (F.col("usage.totalTokens") > 0), F.lit(False))
+    named = F.nullif(F.when(is_call, F.col("message_model")).otherwise(F.col("snapshot_model")), F.lit(""))
+    changed = F.col("changed_model").isNotNull()
     df = ordered.carry_forward(
-        df,
+        records,
         ["session"],
         "record_no",
-        {
-            "_model": F.nullif("changed_model", F.lit("")),
-            "_provider": F.nullif("changed_provider", F.lit("")),
-        },
-    )
-    firsts = df.filter(F.col("_snap").isNotNull()).groupBy("session").agg(
-        F.min_by("_snap", "record_no").alias("_first_snap"), F.min("record_no").alias("_snap_no")
+        {"_changed": F.when(changed, F.struct("changed_model", "changed_provider"))},
     )
-    calls = df.filter((F.col("role") != "") & (F.col("usage.totalTokens") > 0)).join(firsts, "session", "left")
-    snap = F.when(F.col("_snap_no") < F.col("record_no"), F.col("_first_snap"))
+    df = ordered.first_since(df, ["session"], "record_no", changed, named, "_named")
     zero = lambda f: F.coalesce(F.col(f"usage.{f}"), F.lit(0)).cast("long")
-    return calls.select(
+    return df.filter(is_call).select(
         F.col("session").alias("conversation_id"),
         F.col("record_no").alias("call_index"),
         zero("input").alias("input"),
@@ -147,8 +158,8 @@ def usage_calls(records: DataFrame) -> DataFrame:
         zero("cacheWrite").alias("cache_write"),
         zero("output").alias("output"),
         zero("totalTokens").alias("total_tokens"),
-        F.coalesce("_model", snap, F.nullif("message_model", F.lit("")), F.lit("")).alias("model"),
-        F.coalesce("_provider", F.lit("")).alias("provider"),
+        F.coalesce(F.nullif("_changed.changed_model", F.lit("")), "_named", F.lit("")).alias("model"),
+        F.coalesce("_changed.changed_provider", F.lit("")).alias("provider"),
         "role",
         "ts",
     )

@@ -46,20 +46,18 @@ def _paths(spark, name: str) -> tuple[str, str]:
 # -- sessions ---------------------------------------------------------------------
 
 
-_FILE = ["modified", "file"]
-
-
 def ingest_sessions(lines: DataFrame, path: str, checkpoint: str) -> None:
-    """Records of new transcript files, one folder per micro-batch.
+    """Records of new transcript lines, one folder per micro-batch.
 
-    ``lines``: streaming text scan. The store is append-only; ``stored_sessions``
+    ``lines``: a stream of the ``transcripts`` source, which also sees what is appended
+    to a known file, or of text files. The store is append-only; ``stored_sessions``
     builds the sessions from all of it, so a session may come in any number of
     files and batches.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        text = R.transcript_text(batch, _FILE).withColumn("digest", F.sha2("value", 256))
-        records = R.parse_transcripts(text, keep=[*_FILE, "digest"])
+        text = R.transcript_text(batch).withColumn("digest", F.sha2("value", 256))
+        records = R.parse_transcripts(text, keep=["modified", *R.PLACE, "digest"])
         records.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     _run(R.located(lines).writeStream.foreachBatch(write), checkpoint)
@@ -67,7 +65,7 @@ def ingest_sessions(lines: DataFrame, path: str, checkpoint: str) -> None:
 
 def stored_records(spark, path: str) -> DataFrame:
     """The transcript records of an ingest folder, numbered over all files of a session."""
-    return R.joined_parts(spark.read.parquet(path), ["batch", *_FILE])
+    return R.joined_parts(spark.read.parquet(path), ["batch", "modified"])
 
 
 def stored_sessions(spark, path: str, *, prices=M.PRICES) -> DataFrame:
