@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..functions.batches import runs, table
+from ..functions.shipping import by_value
 from ..functions.text import first_match, matches, strip
 from ..rules import models as M
+from ..session import materialise
 
 RuleList = Sequence[tuple]
 
@@ -119,25 +123,86 @@ def with_section(lines: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def section_paths(sections: DataFrame) -> DataFrame:
+class Open:
+    """Headings that are open: levels grow from bottom to top, a heading closes those of its level and deeper."""
+
+    def __init__(self):
+        self.levels: list[int] = []
+        self.titles: list = []
+
+    def above(self, level: int) -> int:
+        """How many open headings are above ``level``."""
+        return bisect_left(self.levels, level)
+
+    def add(self, level: int, title) -> None:
+        keep = self.above(level)
+        del self.levels[keep:], self.titles[keep:]
+        self.levels.append(level)
+        self.titles.append(title)
+
+
+_HEADINGS = pa.schema(
+    [("doc_id", pa.string()), ("chunk", pa.int64()), ("line_no", pa.int64()), ("title", pa.string()), ("level", pa.int64()),
+     ("parent", pa.string()), ("settled", pa.bool_()), ("stays", pa.bool_())]
+)
+_PARENTS = pa.schema([("doc_id", pa.string()), ("chunk", pa.int64()), ("level", pa.int64()), ("above", pa.string())])
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parents found inside a chunk, and which headings are open at its end."""
+    for _, rows in runs(batches, ["doc_id", "chunk"]):
+        now = Open()
+        for r in rows:
+            r |= {"parent": None, "settled": r["level"] is None, "stays": False}
+            if r["level"] is not None:
+                if above := now.above(r["level"]):
+                    r |= {"parent": now.titles[above - 1]["title"], "settled": True}
+                now.add(r["level"], r)
+        for r in now.titles:
+            r["stays"] = True
+        yield table(rows, _HEADINGS)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The heading above a level before the start of a chunk, from the open headings of the chunks before it."""
+    for (doc,), rows in runs(batches, ["doc_id"]):
+        now, out = Open(), []
+        for r in rows:
+            if r["asked"]:
+                if above := now.above(r["level"]):
+                    out.append({"doc_id": doc, "chunk": r["chunk"], "level": r["level"], "above": now.titles[above - 1]})
+            else:
+                now.add(r["level"], r["title"])
+        if out:
+            yield table(out, _PARENTS)
+
+
+def section_paths(sections: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     """``parent > title`` per section; the parent is the nearest earlier section of a smaller level.
 
-    The last heading of every level that occurs is carried forward as one column
-    each, and the parent is the latest of the columns below the own level. Which
-    levels occur is read first: as many rows as the deepest nesting has levels.
+    A chunk of a document's lines is gone through with a stack of open headings. What is open
+    at its end sums it up; a second pass over these few rows answers which heading lies
+    above a level where a chunk starts. Levels may be any numbers and as many as occur.
     """
-    levels = sorted(r[0] for r in sections.select("level").distinct().collect() if r[0] is not None)
-    own = F.struct(F.col("line_no").alias("line"), F.col("title").alias("title"))
-    last_of = {f"_l{i}": F.when(F.col("level") == n, own) for i, n in enumerate(levels)} or {"_l0": F.when(F.lit(False), own)}
-    carried = ordered.carry_forward(sections, ["doc_id"], "line_no", last_of, inclusive=False)
-    smaller = F.array_max(
-        F.filter(
-            F.array(*[F.when(F.col("level") > n, F.col(f"_l{i}")) for i, n in enumerate(levels or [0])]),
-            lambda s: s.isNotNull(),
-        )
+    spec = sections.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.floor(F.col("line_no") / size).cast("long").alias("chunk"),
+        F.col("line_no").cast("long").alias("line_no"), "title", F.col("level").cast("long").alias("level"),
     )
-    path = F.concat(F.coalesce(F.concat(smaller["title"], F.lit(" > ")), F.lit("")), F.col("title"))
-    return carried.select("doc_id", "line_no", "title", "level", path.alias("section_path"))
+    spec = spec.repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "line_no")
+    kinds = "doc_id string, chunk long, line_no long, title string, level long, parent string, settled boolean, stays boolean"
+    found = materialise(spec.mapInArrow(_inside, kinds), "headings")
+    asked = found.filter("NOT settled").select("doc_id", "chunk", "level").distinct()
+    asked = asked.select("doc_id", "chunk", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("title"), "level", F.lit(True).alias("asked"))
+    still = found.filter("stays").select("doc_id", "chunk", "line_no", "title", "level", F.lit(False).alias("asked"))
+    # Questions have no line and come before the headings of their chunk.
+    both = still.unionByName(asked).repartition("doc_id").sortWithinPartitions("doc_id", "chunk", F.col("line_no").asc_nulls_first())
+    above = both.mapInArrow(_across, "doc_id string, chunk long, level long, above string")
+    out = found.join(above, ["doc_id", "chunk", "level"], "left")
+    parent = F.when(F.col("settled"), F.col("parent")).otherwise(F.col("above"))
+    path = F.concat(F.coalesce(F.concat(parent, F.lit(" > ")), F.lit("")), F.col("title"))
+    kept = {f.name: f.dataType for f in sections.schema}
+    out = out.withColumn("section_path", path)
+    return out.select(*[F.col(c).cast(kept[c]).alias(c) for c in ("doc_id", "line_no", "title", "level")], "section_path")
 
 
 # -- whitelists ---------------------------------------------------------------
@@ -160,3 +225,6 @@ def whitelist_stats(whitelist: DataFrame) -> DataFrame:
     return whitelist.groupBy("origin").agg(
         F.countDistinct("module").alias("modules"), F.count(F.lit(1)).alias("tasks")
     )
+
+
+by_value(__name__)

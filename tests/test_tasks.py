@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,23 @@ def test_checks(spark):
 def test_intent(spark):
     df = tasks(spark, ("新增支付接口", "", "支付", ""), ("测试支付接口", "", "支付", ""), ("新增页面", "", "支付", ""), ("新增接口", "", "x", ""))
     assert kept(T.filter_tasks(df, exclude=["测试"], focus=["支付"], types=["api"])) == ["新增支付接口"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 100_000])
+def test_section_paths_of_forty_levels(spark, size):
+    draw, rows = random.Random(size), []
+    for doc in ("a", "b"):
+        at = 0
+        for _ in range(250):
+            at += draw.randint(1, 5)
+            rows.append((doc, at, f"t{at}", draw.choice([draw.randint(1, 40), 40, 2])))
+    rows += [("c", 1, "x", None), ("c", 2, None, 3), ("c", 3, "y", 9), ("c", 4, "z", -1)]
+    want = {}
+    for doc, at, title, level in rows:
+        above = [(n, t) for d, n, t, o in rows if d == doc and n < at and o is not None and level is not None and o < level]
+        parent = max(above)[1] if above else None
+        want[doc, at] = None if title is None else title if parent is None else f"{parent} > {title}"
+    df = spark.createDataFrame(rows, "doc_id string, line_no int, title string, level int").repartition(3)
+    got = L.section_paths(df, size)
+    assert {(r.doc_id, r.line_no): r.section_path for r in got.collect()} == want
+    assert got.schema["line_no"].dataType == df.schema["line_no"].dataType
