@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.needles import containing
 from ..functions.text import (
     CJK,
     SPACE,
@@ -112,8 +113,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def vague_phrases(docs: DataFrame, phrases: Sequence[tuple[str, str]] = tuple(D.VAGUE + D.VAGUE_JAVA)) -> DataFrame:
-    """One row per line and vague phrase. Documents without any phrase are dropped before lines are made."""
+def vague_phrases(
+    docs: DataFrame, phrases: Sequence[tuple[str, str]] | DataFrame = tuple(D.VAGUE + D.VAGUE_JAVA)
+) -> DataFrame:
+    """One row per line and vague phrase. Documents without any phrase are dropped before lines are made.
+
+    ``phrases`` may be a table (phrase, hint) of any size, which is then met through an index.
+    """
+    if isinstance(phrases, DataFrame):
+        lines = document_lines(docs.select("doc_id", "text")).select("doc_id", "line_no", "line")
+        df = containing(lines, "line", phrases.select("phrase", "hint"), "phrase")
+        return df.select("doc_id", "line_no", "phrase", "hint", strip("line").alias("context"))
     words = [p for p, _ in phrases]
     # texts in other scripts are told apart by one character class before any phrase is tried
     cjk = all(any("\u4e00" <= ch <= "\u9fff" for ch in p) for p in words)

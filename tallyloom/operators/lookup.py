@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.batches import runs, table
+from ..functions.joins import salted_join
+from ..functions.needles import containing
 from ..functions.shipping import by_value
 from ..functions.text import first_match, matches, strip
 from ..rules import models as M
@@ -37,18 +39,15 @@ def name_lookup(name: Column, rules: RuleList, fields: Sequence[str]) -> Column:
 def _from_table(df: DataFrame, name: str, rules: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Same look-up for a rule table ``(key, ord, *fields)`` of any size.
 
-    Only the distinct names meet the rules, then an ordinary equi-join brings
-    the result back, so rows are never multiplied by rules.
+    Only the distinct names meet the rules, through an index of the keys; then an ordinary
+    equi-join brings the result back, with hot names split.
     """
-    names = df.select(F.col(name).alias("_name")).distinct()
-    low = F.lower("_name")
-    hit = names.join(rules, low.contains(F.col("key")), "inner")
+    names = df.select(F.col(name).alias("_name")).distinct().withColumn("_low", F.lower("_name"))
+    hit = containing(names, "_low", rules.select("key", "ord", *fields), "key")
     best = hit.groupBy("_name").agg(
-        F.min_by(F.struct(*fields), F.struct((F.lower("_name") != F.col("key")).alias("part"), F.col("ord"))).alias(
-            "_hit"
-        )
+        F.min_by(F.struct(*fields), F.struct((F.col("_low") != F.col("key")).alias("part"), F.col("ord"))).alias("_hit")
     )
-    return df.join(best, df[name] == best["_name"], "left").drop("_name")
+    return salted_join(df.withColumn("_name", F.col(name)), best, ["_name"], F.monotonically_increasing_id()).drop("_name")
 
 
 def _lookup(df, name, rules, fields, defaults) -> DataFrame:

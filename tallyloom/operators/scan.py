@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..functions.needles import meetings, required, rule_rows, slices
 from ..functions.text import WORD, any_of, first_match, matches, strip
 from ..rules import code as C
 
 
+# Rules without required text that one expression holds.
+OPEN_RULES = 64
+
+
 def rules_for(language: str, families: Sequence[str] = ("SEC", "STYLE", "PERF"), rules=C.RULES) -> list[tuple]:
     """The rules of one language, limited to families (security, style, performance)."""
     prefix = {"java": "JAVA", "python": "PY"}[language]
@@ -44,8 +49,7 @@ def scan(lines: DataFrame, rules: Sequence[tuple] | DataFrame = C.RULES, familie
     """One finding per (line, rule). ``lines``: doc_id, path, language, line_no, line, ...
 
     The packaged rules run as one array expression per line. A rule table given
-    as a DataFrame is joined line by line instead, for user rules too many for
-    one expression.
+    as a DataFrame may hold any number of rules, see ``functions/needles.py``.
     """
     keep = [c for c in ("project", "doc_id", "path", "language") if c in lines.columns]
     if isinstance(rules, DataFrame):
@@ -69,19 +73,39 @@ def scan(lines: DataFrame, rules: Sequence[tuple] | DataFrame = C.RULES, familie
 
 
 def _scan_with_table(lines: DataFrame, rules: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Join form. ``rules``: language, rule_id, severity, type, cwe, pattern (flags included)."""
+    """Scan with a table: language, rule_id, severity, type, cwe, pattern (flags included), any number of rules.
+
+    A line meets the rules of whose required text it holds some; only such pairs try the pattern. Rules
+    that require no text run as expressions over every line, as the packaged ones do.
+    """
+    columns = ["rule_id", "severity", "type", "cwe"]
+    rules = rules.select("language", *columns, "pattern")
     comment = any_of([(F.col("language") == lang) & is_comment(F.col("line"), lang) for lang in C.EXTENSIONS])
-    df = lines.filter(~comment).join(rules, "language").filter(F.regexp_like(F.col("line"), F.col("pattern")))
-    return df.select(
-        F.concat_ws("-", "rule_id", "line_no").alias("finding_id"),
-        *keep,
-        "line_no",
-        "rule_id",
-        "severity",
-        "type",
-        "cwe",
-        strip("line").alias("code"),
-    )
+    chosen = lines.filter(~F.coalesce(comment, F.lit(False))).select(*dict.fromkeys([*keep, "language", "line_no", "line"]))
+    out = None
+    for part in slices(rules, "pattern"):
+        needles = {r["_rule"]: required(r["pattern"]) for r in part if r["pattern"] is not None}
+        met = meetings(chosen.withColumn("_language", F.col("language")), "line", [(k, *n) for k, n in needles.items() if n])
+        met = rule_rows(met.drop("language"), part, rules)
+        met = met.filter((F.col("_language") == F.col("language")) & F.regexp_like("line", "pattern"))
+        found = [met.select(*[F.col("_language").alias(c) if c == "language" else F.col(c) for c in chosen.columns], *columns)]
+        open_rules = [r for r in part if r["_rule"] in needles and not needles[r["_rule"]]]
+        for at in range(0, len(open_rules), OPEN_RULES):
+            tests = [
+                F.when(
+                    (F.col("language") == r["language"]) & F.regexp_like("line", F.lit(r["pattern"])),
+                    F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in columns]),
+                )
+                for r in open_rules[at : at + OPEN_RULES]
+            ]
+            hits = F.filter(F.array(*tests), lambda r: r.isNotNull())
+            hit = chosen.select("*", F.explode_outer(hits).alias("r")).filter(F.col("r").isNotNull())
+            found.append(hit.select(*chosen.columns, "r.*"))
+        for df in found:
+            out = df if out is None else out.unionByName(df)
+    if out is None:
+        out = rule_rows(meetings(chosen, "line", []).drop("language"), [], rules).select(*chosen.columns, *columns)
+    return out.select(F.concat_ws("-", "rule_id", "line_no").alias("finding_id"), *keep, "line_no", *columns, strip("line").alias("code"))
 
 
 def severity_order(c: Column | str) -> Column:

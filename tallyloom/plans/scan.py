@@ -49,6 +49,14 @@ def scan_rules(spark, sf):
     return findings(spark, sf)
 
 
+@query("scan_table", sql("findings", "SELECT * FROM findings"))
+def scan_table(spark, sf):
+    # the packaged rules as a rule table
+    rules = [(lang, r[0], r[1], r[2], r[3], S._pattern(r[2], r[5])) for lang in C.EXTENSIONS for r in S.rules_for(lang)]
+    kinds = "language string, rule_id string, severity string, type string, cwe string, pattern string"
+    return S.scan(lines(spark, sf), spark.createDataFrame(rules, kinds))
+
+
 @query("scan_stats", sql("findings", """SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(type) = 0 THEN 'type'
     WHEN grouping(rule_id) = 0 THEN 'rule' ELSE 'total' END AS level, coalesce(severity, type, rule_id, 'all') AS name,
   count(*) AS findings FROM findings GROUP BY GROUPING SETS ((severity), (type), (rule_id), ())"""))
