@@ -62,7 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Runs of rows with equal ``keys`` in a sorted partition, across batch borders."""
     last, rows = None, []
-    for batch in batches:
+    for batch in slices(batches):
         for row in batch.to_pylist():
             key = tuple(row[k] for k in keys)
             if rows and key != last:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.shipping import by_value
-from tallyloom.llm.common import groups, small_side, texts
+from tallyloom.llm.common import groups, slices, small_side, texts
 from tallyloom.llm.components import components
 from tallyloom.llm.words import mix, window_lists
 from tallyloom.session import materialise
@@ -51,9 +51,9 @@ BLOCK_SHINGLES = 400_000
 SAMPLE = 10_000
 COMMON_SHARE = 0.0005
 SPARE_PARTS = 1.2
-# Bits and slices of the filter of shared parts: 16 MB whatever the input.
-FILTER_BITS = 27
-FILTER_SLICE_BITS = 6
+# Parts that a map task collects before it sends them, and parts of a slice of the hash range, which one task compares.
+BLOCK_PARTS = 1 << 19
+SLICE_PARTS = 1 << 20
 
 
 def shingles(texts: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
@@ -149,6 +149,37 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(a) + len(b) - shared)
 
 
+class Lists:
+    """Inverted lists of the held sets: a number for each shingle and the sets that have it.
+
+    A shingle that could not be met in a second set has no list; it counts as missing.
+    """
+
+    def __init__(self, sets: list[np.ndarray], held: np.ndarray, alike: bool):
+        of = [i for i in range(len(sets)) if held[i]]
+        shingle = np.concatenate([sets[i] for i in of]) if of else np.empty(0, np.uint64)
+        owner = np.repeat(np.array(of, np.int32), [len(sets[i]) for i in of])
+        order = np.lexsort((owner, shingle))
+        shingle, owner = shingle[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.empty(0, np.int64)
+        self.names, self.sizes = shingle[starts], np.diff(np.append(starts, len(shingle)))
+        if alike:
+            wanted = self.sizes > 1
+        else:
+            asked = [sets[i] for i in range(len(sets)) if not held[i]]
+            wanted = np.isin(self.names, np.concatenate(asked)) if asked else np.zeros(len(self.names), bool)
+        self.lists = {k: owner[starts[k] : starts[k] + self.sizes[k]].tolist() for k in np.flatnonzero(wanted).tolist()}
+
+    def ordered(self, found: np.ndarray) -> list[int]:
+        """The numbers of a set's shingles, from the shortest list on; -1 where there is none."""
+        if not len(self.names):
+            return [-1] * len(found)
+        at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
+        known = self.names[at] == found
+        size = np.where(known, self.sizes[at], 0)
+        return np.where(known, at, -1)[np.lexsort((found, size))].tolist()
+
+
 def search(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
     """Links found in a block, reduced to a spanning forest.
 
@@ -164,35 +195,32 @@ def search(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    lists: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        if r["role"] != 1:
-            for t in sets[i].tolist():
-                lists.setdefault(t, []).append(i)
-    # Each set from its rarest shingle on: two sets that share T shingles share one of the first a - T + 1 of both.
-    ordered = [sorted(x.tolist(), key=lambda t: (len(lists.get(t, ())), t)) for x in sets]
     # Where all rows ask and are held, each is compared with the smaller ones before it, which must share more of
     # their own shingles than the larger one of its.
     alike = all(r["role"] == 2 for r in rows)
+    index = Lists(sets, np.array([r["role"] != 1 for r in rows], bool), alike)
+    lists = index.lists
     heads: dict[int, list[int]] = {}
 
-    def hold(i: int) -> None:
+    def hold(i: int, ordered: list[int]) -> None:
+        # Two sets that share T shingles share one of the first a - T + 1 of both, from the rarest shingle on.
         a = len(sets[i])
         least = -(-2 * num * a // (num + den)) if alike else -(-num * a // den)
-        for t in ordered[i][: a - max(1, least) + 1]:
-            heads.setdefault(t, []).append(i)
+        for t in ordered[: a - max(1, least) + 1]:
+            if t in lists:
+                heads.setdefault(t, []).append(i)
 
     if not alike:
         for i, r in enumerate(rows):
             if r["role"] != 1:
-                hold(i)
+                hold(i, index.ordered(sets[i]))
     out = []
     for i, r in enumerate(rows):
         if r["role"] == 0:
             continue
-        own, a = r["node"], len(sets[i])
+        own, a, ordered = r["node"], len(sets[i]), index.ordered(sets[i])
         found = occurrences(
-            ordered[i],
+            ordered,
             lists,
             max(1, -(-num * a // den)),
             heads,
@@ -205,7 +233,7 @@ def search(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
                 parent[max(x, y)] = min(x, y)
                 out.append((own, rows[j]["node"]))
         if alike:
-            hold(i)
+            hold(i, ordered)
     return out
 
 
@@ -213,7 +241,7 @@ def measure(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id``, set size and 128-bit fingerprint of every document's set."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             found = list(shingles(texts(batch), n))
             prints = np.frombuffer(b"".join(hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found), "<i8")
             sizes = pa.array([len(f) for f in found], pa.int64())
@@ -229,7 +257,7 @@ def common_shingles(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
     """Sorted shingles that many of the sampled documents have; ``ids`` is bounded by ``SAMPLE``."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             found = list(shingles(texts(batch), n))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], ["shingle"])
@@ -240,65 +268,116 @@ def common_shingles(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
     return np.sort(found.astype(np.uint64))
 
 
-def shared_filter(parts: DataFrame) -> bytes:
-    """One bit per hash range of ``part``, set where a part lies; each slice of the bits is filled by one task."""
-    slice_size = 1 << (FILTER_BITS - FILTER_SLICE_BITS)
+def slice_count(shingles_held: int, num: int, den: int) -> int:
+    """Slices of the hash range, such that each holds about ``SLICE_PARTS`` of all parts."""
+    parts = shingles_held * 6 * (den - num) * SPARE_PARTS / (den + num)
+    return max(16, int(parts / SLICE_PARTS))
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled: dict[int, np.ndarray] = {}
-        for batch in source:
-            at = batch.column("part").to_numpy().astype(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            slices = (at >> np.uint64(FILTER_BITS - FILTER_SLICE_BITS)).astype(np.int64)
-            for k in np.unique(slices).tolist():
-                bits = filled.setdefault(k, np.zeros(slice_size, bool))
-                bits[(at[slices == k] & np.uint64(slice_size - 1)).astype(np.int64)] = True
-        if filled:
-            packed = [np.packbits(b).tobytes() for b in filled.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(filled)), pa.array(packed, pa.binary())], ["slice", "bits"])
-
-    place = F.shiftrightunsigned("part", 64 - FILTER_SLICE_BITS)
-    found = parts.select("part").repartition(1 << FILTER_SLICE_BITS, place).mapInArrow(batches, "slice long, bits binary")
-    empty = bytes(slice_size // 8)
-    by_slice = {r["slice"]: bytes(r["bits"]) for r in found.collect()}
-    return b"".join(by_slice.get(k, empty) for k in range(1 << FILTER_SLICE_BITS))
-
-
-def part_rows(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, wanted: bytes | None = None) -> DataFrame:
-    """``part`` and ``doc_id``: a row for every part of every set, equal sets once per task.
-
-    ``wanted``, a filter of ``shared_filter``, leaves out most of the parts that it was not made from.
+
+def packed(part: np.ndarray, doc: np.ndarray, count: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Parts of a block of documents, one blob for each slice; documents that meet within the block as pairs.
+
+    A blob holds document ids, how many parts each has, and 32 bits of each part. Of the documents
+    that share a part only the first is sent with it, so a part of very many documents is a few rows
+    for a block. The others follow as pairs, under negative slices.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((common, wanted))
+    order = np.lexsort((doc, part))
+    part, doc = part[order], doc[order]
+    first = np.concatenate([[True], part[1:] != part[:-1]])
+    heads = doc[first][np.cumsum(first) - 1]
+    other = doc != heads
+    pairs = forest(doc[other], heads[other])
+    if pairs.shape[1]:
+        yield -1 - int(pairs[0, 0] & 0xFFFF), pairs[0].tobytes(), b"", pairs[1].tobytes()
+    part, doc = part[first], doc[first]
+    names, starts = np.unique((part >> np.uint64(32)) * np.uint64(count) >> np.uint64(32), return_index=True)
+    prints = part.astype("<u4")
+    for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        by_doc = np.argsort(doc[a:b], kind="stable")
+        ids, counts = np.unique(doc[a:b], return_counts=True)
+        yield name, ids.tobytes(), counts.astype("<u4").tobytes(), prints[a:b][by_doc].tobytes()
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs that connect what ``a`` and ``b`` connect, each document with the smallest one it hangs together with."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[above]
+        return x
+
+    for x, y in np.unique(np.stack([a, b]), axis=1).T.tolist():
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    found = [(x, root(x)) for x in parent]
+    return np.array([f for f in found if f[0] != f[1]], "<i8").reshape(-1, 2).T
+
+
+def meetings(rows: list[dict]) -> np.ndarray:
+    """Pairs that connect the documents with equal parts, from a slice's blobs."""
+    doc = np.concatenate([np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+    prints = np.concatenate([np.frombuffer(r["prints"], "<u4") for r in rows])
+    order = np.argsort(prints, kind="stable")
+    prints, doc = prints[order], doc[order]
+    first = np.concatenate([[True], prints[1:] != prints[:-1]])
+    heads = doc[first][np.cumsum(first) - 1]
+    other = doc != heads
+    return forest(doc[other], heads[other])
+
+
+def candidates(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, count: int) -> DataFrame:
+    """``doc_id`` and ``first``: pairs that connect all documents with equal parts; equal sets once per task.
+
+    Parts travel in blobs of about five bytes a part. Their 32 bits and the slice's name may
+    agree by chance for different parts, which adds a candidate and loses none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    columns = ["slice", "ids", "counts", "prints"]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen, common = Bands(num, den), set(), shared.value[0]
-        bits = None if shared.value[1] is None else np.frombuffer(shared.value[1], np.uint8)
-        for batch in source:
-            ids, parts = [], []
+        bands, seen, common = Bands(num, den), set(), shared.value
+        parts, ids, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for row in packed(np.concatenate(parts), np.concatenate(ids), count):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], columns
+                )
+
+        for batch in slices(source):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingles(texts(batch), n)):
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if len(found) and key not in seen:
                     seen.add(key)
-                    own = signatures(found, bands, common)
-                    if bits is not None:
-                        at = own >> np.uint64(64 - FILTER_BITS)
-                        own = own[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
-                    parts.append(own.astype(np.int64))
-                    ids.append(np.full(len(parts[-1]), doc_id, np.int64))
-                if len(parts) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(ids))], ["part", "doc_id"])
-                    ids, parts = [], []
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(ids))], ["part", "doc_id"])
-
-    return docs.mapInArrow(batches, "part long, doc_id long")
+                    parts.append(signatures(found, bands, common))
+                    ids.append(np.full(len(parts[-1]), doc_id, "<i8"))
+                    size += len(parts[-1])
+                if size >= BLOCK_PARTS:
+                    yield from flush()
+                    parts, ids, size = [], [], 0
+        if parts:
+            yield from flush()
+
+    def met(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name,), rows in groups(source, ["slice"]):
+            if name < 0:
+                found = np.concatenate([np.stack([np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["prints"], "<i8")]) for r in rows], 1)
+            else:
+                found = meetings(rows)
+            for at in range(0, found.shape[1], 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[:, at : at + (1 << 16)]], ["doc_id", "first"])
+
+    blobs = docs.mapInArrow(batches, "slice long, ids binary, counts binary, prints binary")
+    blobs = blobs.repartition(count, "slice").sortWithinPartitions("slice")
+    return blobs.mapInArrow(met, "doc_id long, first long").distinct()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """``nodes`` (with ``node`` = a document's id) and the sets ``found`` of those documents."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source, 64):
             found = [x.astype("<u8").tobytes() for x in shingles(texts(batch), n)]
             yield batch.drop_columns(["text"]).append_column("found", pa.array(found, pa.binary()))
 
@@ -363,12 +442,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     named = docs.filter("doc_id is not null")
     sampled = members.filter("doc_id = node").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
     common = common_shingles(named, sampled, n)
-    # Most parts belong to one document only. A first pass finds the others, so that the second one only sends those.
-    met = part_rows(named, n, num, den, common).groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    met = materialise(met.filter("first < last").select("part", "first"), "shared_parts")
-    parts = part_rows(named, n, num, den, common, shared_filter(met))
-    met = parts.join(met, "part").select("doc_id", "first").filter("doc_id != first").distinct()
-    met = materialise(met, "candidates")
+    held = classes.agg(F.sum("size")).first()[0] or 0
+    met = materialise(candidates(named, n, num, den, common, slice_count(held, num, den)), "candidates")
     # From documents to their classes.
     nodes = members.filter("node is not null").select("doc_id", "node").distinct()
     met = met.join(nodes, "doc_id").select("first", F.col("node").alias("a"))

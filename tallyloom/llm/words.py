@@ -15,7 +15,7 @@ import numpy as np
 from tallyloom.functions.shipping import by_value
 from tallyloom.llm.common import held
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,7 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64; at least ``n`` of each."""
+    """Powers of an odd base and of its inverse, modulo 2^64; at least ``n`` of each.
+
+    A process keeps one table, long enough for a block; a longer word has one made for itself.
+    """
     base = 0x9E3779B97F4A7C15
 
     def make(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,8 +38,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             down = np.cumprod(np.full(size, pow(base, -1, 1 << 64), np.uint64))
         return up, down
 
-    size = 1 << max(16, int(n).bit_length())
-    return held(f"powers{size}", lambda: make(size))
+    kept = BLOCK + (BLOCK >> 4)
+    return held("powers", lambda: make(kept)) if n <= kept else make(n)
 
 
 def _space() -> np.ndarray:
@@ -58,7 +61,10 @@ def _block_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     first, end = spans(raw)
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    total[1:] = raw
+    total[1:] += np.uint64(1)
+    total[1:] *= up[: len(raw)]
+    np.cumsum(total[1:], out=total[1:])
     value = (total[end] - total[first]) * down[first]
     return mix(value + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first
 
@@ -93,7 +99,7 @@ def window_lists(texts: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and size + len(texts[end]) <= BLOCK // 4:
+        while end < len(texts) and size + len(texts[end]) < BLOCK:
             size += len(texts[end]) + 1
             end += 1
         if end == at:  # a long text on its own

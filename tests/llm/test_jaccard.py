@@ -78,3 +78,22 @@ def test_components_of_paths_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
+
+
+def test_blobs_keep_all_meetings():
+    draw = np.random.default_rng(5)
+    part = draw.integers(0, 300, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    doc = draw.integers(0, 900, 4000).astype("<i8")
+    slices, pairs = {}, []
+    for at in (0, 1000, 2000, 3000):
+        for name, ids, counts, prints in jaccard_join.packed(part[at : at + 1000], doc[at : at + 1000], 7):
+            if name < 0:
+                pairs.append(np.stack([np.frombuffer(ids, "<i8"), np.frombuffer(prints, "<i8")]))
+            else:
+                assert 0 <= name < 7
+                slices.setdefault(name, []).append({"ids": ids, "counts": counts, "prints": prints})
+    pairs += [jaccard_join.meetings(rows) for rows in slices.values()]
+    a, b = np.concatenate(pairs, 1)
+    want = jaccard_join.forest(doc, np.array([doc[part == p].min() for p in part]))
+    got = jaccard_join.forest(a, b)
+    assert set(zip(*got.tolist())) == set(zip(*want.tolist()))
