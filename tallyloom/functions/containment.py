@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 GRAM = 4
+# Long texts of a piece that one task meets.
+HOT = 20_000
+# Characters of a listed text whose parts are joined one by one.
+LISTED = 80
 
 
 def substrings(c: Column, n: int) -> Column:
@@ -17,40 +23,95 @@ def substrings(c: Column, n: int) -> Column:
     return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+def _pieces(longs: DataFrame, keys: Sequence[str], n: int, small: float | None | bool) -> DataFrame:
+    """Every long text with each of its distinct pieces of ``n`` characters; below ``GRAM`` only if ``small`` is not False."""
+    text = F.col("l_text")
+    found = substrings(text, n)
+    if small is not False:
+        less = F.concat(*[substrings(text, k) for k in range(1, GRAM)])
+        if small is not None:
+            # texts below GRAM characters can only lie in texts up to this length
+            less = F.when(F.length(text) <= F.lit((GRAM - 1) * small), less).otherwise(F.array().cast("array<string>"))
+        found = F.concat(found, less)
+    return longs.select(*keys, "l_id", "l_text", F.explode(found).alias("piece"))
+
+
+def _met(anchors: DataFrame, pieces: DataFrame, keys: Sequence[str], hot: bool) -> DataFrame:
+    """Short and long texts with one piece; where a piece is ``hot``, both sides are cut by the long text's hash."""
+    keys = [*keys, "piece"]
+    if not hot:
+        return anchors.drop("_df").join(pieces, keys)
+    cuts = F.ceil(F.col("_df") / HOT).cast("long")
+    wide = anchors.filter(F.col("_df") > HOT).select(*keys, cuts.alias("_cuts")).distinct()
+    pieces = pieces.join(wide, keys, "left").withColumn("_cut", F.pmod(F.xxhash64("l_id", "l_text"), F.coalesce("_cuts", F.lit(1))))
+    anchors = anchors.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))).drop("_df")
+    return anchors.join(pieces.drop("_cuts"), [*keys, "_cut"]).drop("_cut")
+
+
 def contained_pairs(shorts: DataFrame, longs: DataFrame, keys: Sequence[str] = (), longest: float | None = None) -> DataFrame:
     """Pairs where ``s_text`` occurs in ``l_text``; both sides should hold distinct texts.
 
     ``shorts``: keys, s_id, s_text; ``longs``: keys, l_id, l_text. A text lies
-    inside another only if all its four-character pieces do, so each short text
-    meets the long ones through its rarest piece alone. The join key is (keys,
-    piece), which spreads a hot group over its pieces. ``longest`` limits the
-    long text to a multiple of the short one.
+    inside another only if all its pieces do, so each short text meets the long
+    ones through its rarest piece alone. Pieces have ``GRAM`` characters; short texts whose
+    rarest one lies in more than ``HOT`` long texts try again with pieces twice as long, as long
+    as they have such pieces. What is left with a hot piece meets its long texts in parts of ``HOT``.
+    ``longest`` limits the long text to a multiple of the short one.
     """
-    keys = list(keys)
-    text = F.col("l_text")
-    small = F.concat(*[substrings(text, n) for n in range(1, GRAM)])
-    if longest is not None:
-        # texts below GRAM characters can only lie in texts up to this length
-        small = F.when(F.length(text) <= F.lit((GRAM - 1) * longest), small).otherwise(F.array().cast("array<string>"))
-    pieces = longs.select(*keys, "l_id", "l_text", F.explode(F.concat(substrings(text, GRAM), small)).alias("piece"))
-    frequency = pieces.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("_df"))
-    own = F.when(F.length("s_text") >= GRAM, substrings(F.col("s_text"), GRAM)).otherwise(F.array("s_text"))
-    anchors = (
-        shorts.filter(F.col("s_text") != "")
-        .select(*keys, "s_id", "s_text", F.explode(own).alias("piece"))
-        .join(frequency, [*keys, "piece"], "left")
-        .groupBy(*keys, "s_id", "s_text")
-        .agg(
-            F.min_by("piece", F.struct("_df", "piece")).alias("piece"),
-            F.bool_and(F.col("_df").isNotNull()).alias("_possible"),
-        )
-        .filter("_possible")
-        .drop("_possible")
-    )
+    keys, size, small = list(keys), GRAM, longest
     inside = F.contains("l_text", "s_text")
     if longest is not None:
         inside = inside & (F.length("l_text") <= F.length("s_text") * F.lit(longest))
-    return anchors.join(pieces, [*keys, "piece"]).filter(inside).select(*keys, "s_id", "s_text", "l_id", "l_text")
+    shorts, out = shorts.filter(F.col("s_text") != ""), None
+    while True:
+        own = F.when(F.length("s_text") >= size, substrings(F.col("s_text"), size)).otherwise(F.array("s_text"))
+        asked = shorts.select(*keys, "s_id", "s_text", F.explode(own).alias("piece"))
+        pieces = _pieces(longs, keys, size, small)
+        if size > GRAM:  # few texts are left, so only pieces that one of them has are counted
+            pieces = pieces.join(asked.select(*keys, "piece").distinct(), [*keys, "piece"], "left_semi")
+        frequency = pieces.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("_df"))
+        anchors = (
+            asked.join(frequency, [*keys, "piece"], "left")
+            .groupBy(*keys, "s_id", "s_text")
+            .agg(
+                F.min_by(F.struct("piece", "_df"), F.struct("_df", "piece")).alias("_rarest"),
+                F.bool_and(F.col("_df").isNotNull()).alias("_possible"),
+            )
+            .filter("_possible")
+            .select(*keys, "s_id", "s_text", "_rarest.*")
+        )
+        anchors = materialise(anchors, "anchors")
+        most = anchors.agg(F.max("_df")).first()[0] or 0
+        longer = (F.col("_df") > HOT) & (F.length("s_text") >= 2 * size)
+        met = _met(anchors.filter(~longer), pieces, keys, most > HOT).filter(inside)
+        met = met.select(*keys, "s_id", "s_text", "l_id", "l_text")
+        out = met if out is None else out.unionByName(met)
+        if most <= HOT or not anchors.filter(longer).limit(1).count():
+            return out
+        shorts, size, small = anchors.filter(longer).drop("piece", "_df"), 2 * size, False
+
+
+def contained_in_list(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
+    """``text`` and the smallest ``value`` of a listed text that contains it.
+
+    ``texts``: text (distinct); ``listed``: l_text, ``value``. A listed text is short, so its parts are
+    joined by equality: the smallest value is known for each part before the join, and no pair is made.
+    Listed texts above ``LISTED`` characters go through ``contained_pairs``. ``longest`` as there.
+    """
+    n = F.length("l_text")
+    shortest = F.lit(1) if longest is None else F.greatest(F.ceil(n / F.lit(longest)).cast("int"), F.lit(1))
+    starts = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("l_text"), i, k))
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(shortest, n), starts)))
+    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull())
+    near = listed.filter(n <= LISTED).select(value, F.explode(parts).alias("text")).groupBy("text").agg(F.min(value).alias(value))
+    found = texts.filter(F.col("text") != "").join(near, "text")
+    long = listed.filter(n > LISTED)
+    if long.limit(1).count():
+        shorts = texts.select(F.col("text").alias("s_id"), F.col("text").alias("s_text"))
+        pairs = contained_pairs(shorts, long.select(F.struct(value).alias("l_id"), "l_text"), (), longest)
+        found = found.unionByName(pairs.select(F.col("s_text").alias("text"), F.col(f"l_id.{value}").alias(value)))
+        found = found.groupBy("text").agg(F.min(value).alias(value))
+    return found.select("text", value)
 
 
 def one_edit_pairs(texts: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:

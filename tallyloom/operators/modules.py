@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.containment import contained_pairs
+from ..functions.containment import contained_in_list
 from ..functions.joins import salted_join
+from ..functions.needles import containing
 from ..functions.text import SPACE, col, contains_any, first_match, half_up, strip, sub
 from ..rules import tasks as R
+from ..session import materialise
 
 U = "(?dU)"
 
@@ -75,28 +77,24 @@ def whitelist_scores(contents: DataFrame, whitelist: DataFrame) -> DataFrame:
     ``contents``: content (distinct); ``whitelist``: ord, module, content.
     """
     order = whitelist.groupBy("module").agg(F.min("ord").alias("ord"))
-    words = whitelist.select("module", F.explode(core_words("content")).alias("word")).distinct()
+    words = materialise(whitelist.select("module", F.explode(core_words("content")).alias("word")).distinct().join(order, "module"), "core_words")
     mine = contents.select("content", core_words("content").alias("_w")).filter(F.size("_w") > 0)
+    mine = materialise(mine, "core_contents")
     shares = (
         mine.select("content", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
         .join(words, "word")
-        .groupBy("content", "module")
+        .groupBy("content", "module", "ord")
         .agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
     )
-    long_words = words.filter(F.length("word") >= 4).select("word").distinct()
-    texts = mine.select("content")
-    one = contained_pairs(
-        long_words.select(F.col("word").alias("s_id"), F.col("word").alias("s_text")),
-        texts.select(F.col("content").alias("l_id"), F.col("content").alias("l_text")),
-        longest=1.5,
-    ).select(F.col("s_id").alias("word"), F.col("l_id").alias("content"))
-    two = contained_pairs(
-        texts.select(F.col("content").alias("s_id"), F.col("content").alias("s_text")),
-        long_words.select(F.col("word").alias("l_id"), F.col("word").alias("l_text")),
-        longest=1.5,
-    ).select(F.col("l_id").alias("word"), F.col("s_id").alias("content"))
-    inside = one.unionByName(two).join(words, "word").select("content", "module", F.lit(0.5).alias("score")).distinct()
-    scored = shares.unionByName(inside).join(order, "module")
+    # A long word and a text of near equal length, one inside the other; the first module of a word stands for it.
+    first = words.filter(F.length("word") >= 4).groupBy("word").agg(F.min(F.struct("ord", "module")).alias("_m"))
+    first = materialise(first, "long_words")
+    near = F.length("content") <= F.length("word") * F.lit(1.5)
+    one = containing(mine.select("content"), "content", first, "word").filter(near).select("content", "_m")
+    two = contained_in_list(mine.select(F.col("content").alias("text")), first.withColumnRenamed("word", "l_text"), "_m", longest=1.5)
+    inside = one.unionByName(two.withColumnRenamed("text", "content")).groupBy("content").agg(F.min("_m").alias("_m"))
+    inside = inside.select("content", "_m.module", "_m.ord", F.lit(0.5).alias("score"))
+    scored = shares.unionByName(inside)
     best = scored.groupBy("content").agg(F.min_by(F.struct("module", "score"), F.struct(-F.col("score"), "ord")).alias("b"))
     return best.filter(F.col("b.score") > 0.3).select(
         "content", F.col("b.module").alias("wl_module"), F.least(F.col("b.score"), F.lit(0.9)).alias("wl_score")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.containment import contained_pairs, one_edit_pairs
+from ..functions.containment import contained_in_list, contained_pairs, one_edit_pairs
 from ..functions.staging import staged
+from ..functions.needles import containing
 from ..functions.survivors import ruled_out
 from ..functions.text import (
     SPACE,
@@ -372,24 +373,19 @@ def dedup_keep_longer(tasks: DataFrame) -> DataFrame:
 def match_whitelist(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Add the first whitelist entry whose key contains the task's key or lies in it.
 
-    ``whitelist``: ord, module, content. Distinct task keys meet the list, the
-    result returns by an equi-join.
+    ``whitelist``: ord, module, content. Distinct task keys meet the list through an index of
+    its keys and by equality with parts of them, the result returns by an equi-join.
     """
     df = tasks.withColumn("key", norm_key("content"))
-    keys = df.select("key").filter(F.col("key") != "").distinct()
-    listed = whitelist.select("ord", F.col("module").alias("std_module"), F.col("content").alias("std_content"), norm_key("content").alias("wl_key"))
+    keys = materialise(df.select("key").filter(F.col("key") != "").distinct(), "task_keys")
+    listed = whitelist.select(
+        F.struct("ord", F.col("module").alias("std_module"), F.col("content").alias("std_content")).alias("_w"), norm_key("content").alias("wl_key")
+    )
     listed = listed.filter(F.col("wl_key") != "")
-    entries = listed.select("wl_key").distinct()
-    one = contained_pairs(
-        entries.select(F.col("wl_key").alias("s_id"), F.col("wl_key").alias("s_text")),
-        keys.select(F.col("key").alias("l_id"), F.col("key").alias("l_text")),
-    ).select(F.col("s_id").alias("wl_key"), F.col("l_id").alias("key"))
-    two = contained_pairs(
-        keys.select(F.col("key").alias("s_id"), F.col("key").alias("s_text")),
-        entries.select(F.col("wl_key").alias("l_id"), F.col("wl_key").alias("l_text")),
-    ).select(F.col("l_id").alias("wl_key"), F.col("s_id").alias("key"))
-    hits = one.unionByName(two).join(listed, "wl_key")
-    best = hits.groupBy("key").agg(F.min_by(F.struct("std_module", "std_content"), "ord").alias("_w"))
+    first = materialise(listed.groupBy("wl_key").agg(F.min("_w").alias("_w")), "whitelist_keys")
+    one = containing(keys, "key", first, "wl_key").select("key", "_w")
+    two = contained_in_list(keys.withColumnRenamed("key", "text"), first.withColumnRenamed("wl_key", "l_text"), "_w")
+    best = one.unionByName(two.withColumnRenamed("text", "key")).groupBy("key").agg(F.min("_w").alias("_w"))
     return df.join(best, "key", "left").select(
         *tasks.columns, "key", F.col("_w.std_module").alias("std_module"), F.col("_w.std_content").alias("std_content")
     )

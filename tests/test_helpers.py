@@ -108,3 +108,57 @@ def test_shared_length_takes_whole_long_texts():
     a = "".join(rng.choice("abcdefgh") for _ in range(40_000)) + part
     b = part + "".join(rng.choice("ijklmnop") for _ in range(60_000))
     assert shared_length(a, b) == 3000
+
+
+def test_hot_and_lengthened_pieces_equal_all_pairs(spark, monkeypatch):
+    from tallyloom.functions import containment
+
+    monkeypatch.setattr(containment, "HOT", 5)
+    rng = random.Random(7)
+    hot = ["接口登录查询", "接口登录"]
+    texts = sorted({rng.choice(hot) * rng.randint(0, 3) + "".join(rng.choices("abc", k=rng.randint(0, 12))) + rng.choice(hot) for _ in range(90)} | set(hot))
+    texts += ["接口", "登", "接口登录查询接口登录查询接口登录"]
+    a = spark.createDataFrame(list(enumerate(texts)), "s_id bigint, s_text string")
+    b = spark.createDataFrame(list(enumerate(texts)), "l_id bigint, l_text string")
+    got = [(r.s_id, r.l_id) for r in containment.contained_pairs(a, b).collect()]
+    assert sorted(got) == sorted((i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t)
+
+
+@pytest.mark.parametrize("longest", [None, 1.5])
+def test_contained_in_list_equals_all_pairs(spark, longest, monkeypatch):
+    from tallyloom.functions import containment
+
+    monkeypatch.setattr(containment, "LISTED", 9)
+    rng = random.Random(9)
+    listed = [("".join(rng.choices("ab表", k=rng.randint(0, 14))), k) for k in range(60)] + [("表", None)]
+    texts = sorted({"".join(rng.choices("ab表", k=rng.randint(0, 6))) for _ in range(80)})
+    got = containment.contained_in_list(
+        spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(listed, "l_text string, v int"), "v", longest
+    )
+    want = {}
+    for t in texts:
+        found = [v for x, v in listed if v is not None and t and t in x and (longest is None or len(x) <= longest * len(t))]
+        if found:
+            want[t] = min(found)
+    assert {r.text: r.v for r in got.collect()} == want
+
+
+def test_survivors_of_long_chains_in_few_jobs(spark, monkeypatch):
+    from tallyloom.functions import survivors
+
+    df = spark.createDataFrame([(None, k, k + 1) for k in range(10_000)] + [("q", 1, 5), ("q", 5, 7), ("q", 2, 7)], "project string, early long, late long")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = jobs()
+    gone = {(r.project, r.seq) for r in survivors.ruled_out(df, ["project"]).collect()}
+    assert gone == {(None, k) for k in range(1, 10_001, 2)} | {("q", 5), ("q", 7)}
+    assert jobs() - before <= 10
+    # Cut into components, of which one is still too large for a task.
+    monkeypatch.setattr(survivors, "TASK_PAIRS", 30)
+    rng = random.Random(2)
+    pairs = sorted({("p", *sorted(rng.sample(range(40), 2))) for _ in range(60)}) + [("p", 100 + k, 101 + k) for k in range(20)] + [("q", 1, 2)]
+    gone = set()
+    for late in range(130):
+        if any(b == late and p == "p" and a not in gone for p, a, b in pairs):
+            gone.add(late)
+    got = {(r.project, r.seq) for r in survivors.ruled_out(spark.createDataFrame(pairs, df.schema), ["project"]).collect()}
+    assert got == {("p", k) for k in gone} | {("q", 2)}
