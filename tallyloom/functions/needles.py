@@ -81,7 +81,8 @@ def required(pattern: str) -> tuple[list[str], bool] | None:
 def slices(rules: DataFrame, text: str) -> Iterator[list[dict]]:
     """The rules in bounded slices, each rule with a ``_rule`` number; ``text`` is their long column."""
     part, size = [], 0
-    for row in rules.toLocalIterator(prefetchPartitions=True):
+    rows = rules.limit(SLICE_RULES + 1).collect()  # one job for a table of one slice
+    for row in rows if len(rows) <= SLICE_RULES else rules.toLocalIterator(prefetchPartitions=True):
         length = len(row[text] or "")
         if part and (len(part) >= SLICE_RULES or size + length > SLICE_CHARS):
             yield part

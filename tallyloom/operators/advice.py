@@ -298,18 +298,22 @@ def fragmentation(sessions: DataFrame, as_of, *, days: int = 30, thresholds: Map
     )
 
 
+def _gravest(advice: DataFrame) -> DataFrame:
+    """One row per session and rule: the gravest, then the smallest by the other columns."""
+    order = F.struct(_severity_rank(F.col("severity")).alias("rank"), "severity", "dimension", "value", "saved_tokens", "saved_usd")
+    once = advice.groupBy("session_id", "category").agg(F.min(order).alias("a"))
+    return once.select("session_id", "category", "a.*").drop("rank")
+
+
 def top_advice(advice: DataFrame, most: int = THRESHOLDS["max_per_session"]) -> DataFrame:
     """At most ``most`` rows per session, one of each dimension before a second of any.
 
     A session holds at most one row per rule after the first step, so its window
-    never exceeds the number of rules.
+    never exceeds the number of rules. Of several rows of a rule the gravest counts, then
+    the smallest by dimension, value and savings.
     """
     rank = _severity_rank(F.col("severity"))
-    kept = (
-        advice.groupBy("session_id", "category")
-        .agg(F.min_by(F.struct("severity", "dimension", "value", "saved_tokens", "saved_usd"), rank).alias("a"))
-        .select("session_id", "category", "a.*")
-    )
+    kept = _gravest(advice)
     by_rank = [rank.asc(), F.col("category").asc()]
     session = W.partitionBy("session_id")
     df = kept.withColumn("_n", F.count(F.lit(1)).over(session)).withColumn(
@@ -324,10 +328,9 @@ def top_advice(advice: DataFrame, most: int = THRESHOLDS["max_per_session"]) ->
 
 
 def advice_by_dimension(advice: DataFrame) -> DataFrame:
-    """Advice of a session as one list per dimension, in rank order (at most one entry per rule)."""
+    """Advice of a session as one list per dimension, in rank order (one entry per rule, as in ``top_advice``)."""
     item = F.struct(_severity_rank(F.col("severity")).alias("rank"), "category", "severity", "value")
-    once = advice.dropDuplicates(["session_id", "category"])
-    return once.groupBy("session_id", "dimension").agg(
+    return _gravest(advice).groupBy("session_id", "dimension").agg(
         F.count(F.lit(1)).alias("advices"), F.sort_array(F.collect_list(item)).alias("items")
     )
 

@@ -23,9 +23,10 @@ from ..functions.text import (
     sub,
 )
 from ..rules import models as M
+from ..session import materialise
 from .lookup import source_channel, with_pricing
 
-SIZES_KEPT = 100  # message sizes in the list of a session's context; ``message_sizes`` has all of them
+HEAD = 6  # messages at the start of a session that advice looks at; ``message_sizes`` has the sizes of all
 
 
 def zero(c: Column | str) -> Column:
@@ -190,11 +191,12 @@ def message_sizes(messages: DataFrame) -> DataFrame:
 
 
 def session_context(messages: DataFrame) -> DataFrame:
-    """First, second and last real user message, turns, characters, sizes and time span per session.
+    """First, second and last real user message, turns, characters, head and time span per session.
 
-    ``message_sizes`` lists the first ``SIZES_KEPT`` sizes; all are rows of the operator of that name.
+    ``message_sizes`` lists the sizes of the session's head, its first ``HEAD`` messages that count; all
+    sizes are rows of the operator of that name. Messages are measured once and written.
     """
-    df = _measured(messages)
+    df = materialise(_measured(messages), "measured_messages")
     index = F.col("message_index")
     totals = df.groupBy("conversation_id").agg(
         F.min_by("said", F.when(F.col("real"), index)).alias("first_msg"),
@@ -209,28 +211,16 @@ def session_context(messages: DataFrame) -> DataFrame:
         zero(F.sum("thought")).alias("thinking_tokens"),
         zero(F.sum("answered")).alias("thinking_output_tokens"),
     )
-    # Wanted rows are ranked first and filtered after the rank: a filter below it would be pushed to the
-    # scan and repeat the whole text preparation inside its condition.
+    real = df.filter("real").select("conversation_id", "message_index", "said")
     second = (
-        ordered.first_rows(
-            df.select("conversation_id", "message_index", "real", "said"),
-            ["conversation_id"],
-            [F.desc("real"), F.asc("message_index")],
-            2,
-        )
+        ordered.first_rows(real, ["conversation_id"], ["message_index"], 2)
         .groupBy("conversation_id")
-        .agg(F.max_by("said", F.when(F.col("real"), index)).alias("_second"), F.count_if("real").alias("_said"))
+        .agg(F.max_by("said", "message_index").alias("_second"), F.count(F.lit(1)).alias("_said"))
         .select("conversation_id", F.when(F.col("_said") > 1, F.col("_second")).alias("second_msg"))
     )
-    # at most SIZES_KEPT rows per session reach the list
+    sized = df.filter("sized").select("conversation_id", "message_index", "role", "est")
     sizes = (
-        ordered.first_rows(
-            df.select("conversation_id", "message_index", "role", "est", "sized"),
-            ["conversation_id"],
-            [F.desc("sized"), F.asc("message_index")],
-            SIZES_KEPT,
-        )
-        .filter("sized")
+        ordered.first_rows(sized, ["conversation_id"], ["message_index"], HEAD)
         .groupBy("conversation_id")
         .agg(F.sort_array(F.collect_list(F.struct("message_index", "role", "est"))).alias("_sizes"))
         .select(
@@ -457,7 +447,8 @@ def conversation_messages(messages: DataFrame, conversation_id: str) -> DataFram
 
 
 def usage_summary(sessions: DataFrame, threshold: float = 3.0, recent: int = 10) -> DataFrame:
-    """The newest sessions with a waste mark, next to the overall totals."""
+    """The newest sessions with a waste mark, next to the overall totals; the sessions are built once."""
+    sessions = materialise(sessions, "summed_sessions")
     totals = total_stats(sessions).select(
         "total_conversations",
         "total_messages",
