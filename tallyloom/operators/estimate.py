@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from ..functions.joins import salted_join
 from ..functions.text import contains_any, first_match, half_up, matches, strip
 from ..rules import effort as R
+from ..session import materialise
+
+
+# Distinct ratios of a type that one task ranks.
+RANKED = 1 << 16
 
 
 def _entity(low: Column, content: Column, name: str) -> Column:
@@ -45,12 +50,46 @@ def features(df: DataFrame, content: str = "content") -> DataFrame:
     ).drop("_hits")
 
 
+def _medians(ratios: DataFrame, buckets: int) -> DataFrame:
+    """``task_type`` and exact ``median_ratio``. ``ratios``: task_type, ratio (distinct), n.
+
+    A type with up to ``RANKED`` distinct ratios is ranked. The range of a larger one is cut into ``buckets``
+    parts, by logarithm first and evenly then, and only the bucket that holds the wanted rank goes on.
+    Buckets follow the order of the ratios whatever is lost in rounding, so the ranks stay exact.
+    """
+    total = ratios.groupBy("task_type").agg(
+        F.sum("n").alias("_records"), F.count("*").alias("rows"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi")
+    )
+    wanted = F.array_distinct(F.array(F.floor((F.col("_records") - 1) / 2), F.floor(F.col("_records") / 2)))
+    spec = total.select("task_type", "rows", "lo", "hi", F.posexplode(wanted).alias("target", "rank"))
+    rows, keys, scale = ratios, ["task_type"], lambda c: F.signum(c) * F.log1p(F.abs(c))
+    while (spec.agg(F.max("rows")).first()[0] or 0) > RANKED:
+        met = salted_join(rows, spec.drop("rows"), keys, "ratio", "inner")
+        width = scale(F.col("hi")) - scale(F.col("lo"))
+        share = F.when(width > 0, (scale(F.col("ratio")) - scale(F.col("lo"))) / width).otherwise(0.0)
+        met = materialise(met.withColumn("bucket", F.floor(share * buckets)), "calibration_rows")
+        keys = ["task_type", "target"]
+        counts = met.groupBy(*keys, "bucket").agg(
+            F.first("rank").alias("rank"), F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi")
+        )
+        sums = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+        counts = counts.withColumn("rank", F.col("rank") - F.sum("n").over(sums) + F.col("n"))
+        spec = materialise(counts.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))).drop("n"), "calibration_buckets")
+        rows = salted_join(met.drop("rank", "lo", "hi"), spec.select(*keys, "bucket"), [*keys, "bucket"], "ratio", "inner").drop("bucket")
+        spec, scale = spec.drop("bucket"), lambda c: c
+    inside = W.partitionBy(*keys).orderBy("ratio").rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.withColumn("_start", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    ranked = ranked.join(spec.drop("rows", "lo", "hi"), keys)
+    hit = ranked.filter((F.col("_start") <= F.col("rank")) & (F.col("_start") + F.col("n") > F.col("rank")))
+    middle = hit.groupBy("task_type").agg(F.max("ratio").alias("_up"), F.min("ratio").alias("_low"))
+    return middle.select("task_type", ((F.col("_low") + F.col("_up")) / 2).alias("median_ratio"))
+
+
 def calibration_factors(records: DataFrame, precision: int = 4) -> DataFrame:
     """Records, median of actual/predicted, smallest and largest ratio per type.
 
-    The median is exact and no group is gathered: equal ratios are counted
-    first, value buckets locate the middle, and only the rows of the middle
-    bucket are ranked.
+    The median is exact and no type is gathered, see ``_medians``; equal ratios are counted first. A round
+    of the search tells ``10 ** precision`` buckets apart.
     """
     ratios = (
         records.filter((F.col("predicted_days") > 0) & F.col("actual_days").isNotNull())
@@ -60,34 +99,12 @@ def calibration_factors(records: DataFrame, precision: int = 4) -> DataFrame:
         )
         .groupBy("task_type", "ratio")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.floor(F.col("ratio") * 10**precision))
-    )
-    buckets = ratios.groupBy("task_type", "bucket").agg(
-        F.sum("n").alias("n"), F.min("ratio").alias("low"), F.max("ratio").alias("high")
-    )
-    by_type = W.partitionBy("task_type")
-    before = F.coalesce(F.sum("n").over(by_type.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.select(
-        "task_type",
-        "bucket",
-        "n",
-        before.alias("before"),
-        F.sum("n").over(by_type).alias("records"),
-        F.min("low").over(by_type).alias("min_ratio"),
-        F.max("high").over(by_type).alias("max_ratio"),
     )
-    lower, upper = F.floor((F.col("records") - 1) / 2), F.floor(F.col("records") / 2)
-    middle = buckets.filter((F.col("before") <= upper) & (F.col("before") + F.col("n") > lower)).drop("n")
-    inside = W.partitionBy("task_type", "bucket").orderBy("ratio")
-    start = F.col("before") + F.coalesce(F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ratios.join(middle, ["task_type", "bucket"]).withColumn("start", start)
-    holds = lambda rank: F.when((F.col("start") <= rank) & (F.col("start") + F.col("n") > rank), F.col("ratio"))
-    found = ranked.groupBy("task_type").agg(
-        F.max("records").alias("records"),
-        ((F.max(holds(lower)) + F.max(holds(upper))) / 2).alias("median_ratio"),
-        F.max("min_ratio").alias("min_ratio"),
-        F.max("max_ratio").alias("max_ratio"),
+    ratios = materialise(ratios, "calibration_ratios")
+    found = ratios.groupBy("task_type").agg(
+        F.sum("n").alias("records"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio")
     )
+    found = found.join(_medians(ratios, 10**precision), "task_type")
     enough = F.col("records") >= R.MIN_RECORDS
     return found.select(
         "task_type",

@@ -28,6 +28,25 @@ def test_estimates(spark):
     }
 
 
+def test_median_of_large_types_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(E, "RANKED", 5)
+    rng = random.Random(4)
+    ratios = {
+        "wide": [10.0 ** rng.randint(-300, 300) * (1 + rng.random()) for _ in range(250)],
+        "gap": [1 + k * 1e-12 for k in range(40)] + [1000 + k * 1e-9 for k in range(40)],
+        "same": [2.0] * 50,
+        "below": [-rng.random() for _ in range(31)] + [0.0, 3.0],
+        "one": [7.0],
+    }
+    rows = [("c", t, "", 1.0, r, None) for t, found in ratios.items() for r in found]
+    for precision in (1, 4):
+        got = {r.task_type: r for r in E.calibration_factors(spark.createDataFrame(rows, RECORDS), precision).collect()}
+        assert {t: r.records for t, r in got.items()} == {t: len(found) for t, found in ratios.items()}
+    counted = spark.createDataFrame([(t, r, found.count(r)) for t, found in ratios.items() for r in set(found)], "task_type string, ratio double, n long")
+    medians = {r.task_type: r.median_ratio for r in E._medians(counted, 10).collect()}
+    assert medians == {t: (sorted(f)[(len(f) - 1) // 2] + sorted(f)[len(f) // 2]) / 2 for t, f in ratios.items()}
+
+
 def test_median_is_exact_over_buckets(spark):
     rng = random.Random(9)
     rows = [("c", t, "", 1.0 + rng.random(), 5 * rng.random(), None) for t in "ab" for _ in range(301 if t == "a" else 200)]
