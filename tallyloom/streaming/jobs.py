@@ -3,10 +3,8 @@
 Every job takes a streaming DataFrame, runs what is available and leaves its
 result in files below the shared folder. Results of a micro-batch go to a folder
 named by the batch, so a batch that runs again after a failure replaces its own
-output. Sessions, usage and distinct requests keep no state: every batch leaves its own
-records, sums or rows, and reading adds them up, so a row counts however late it comes. Activity
-runs do need to know that a gap has closed; they have a watermark, and later rows
-are dropped there.
+output. No job keeps state: every batch leaves its own records, sums, pieces or rows,
+and reading adds them up, so a row counts however late it comes.
 """
 
 from __future__ import annotations
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..functions import ordered
 from ..functions.text import half_up
 from ..operators import scan as S
 from ..operators import usage as U
@@ -121,17 +120,42 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
 
 
 def activity_sessions(events: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
-    """Runs of activity per key that an idle gap has closed. ``events``: key, ts."""
+    """Runs of activity per key that an idle gap has closed. ``events``: key, ts.
+
+    Two events less than a gap apart belong to one run. Time is cut into steps of one gap, so
+    what a key does in a step is one piece of a run: first and last time and a count, which add
+    up over batches in any order. Reading joins neighbouring pieces, so an event
+    that comes late still closes, extends or joins runs. A run is closed when its gap ended
+    ``delay`` before the latest event.
+    """
     spark = events.sparkSession
     path, checkpoint = _paths(spark, "activity")
-    df = (
-        events.withWatermark("ts", delay)
-        .groupBy(key, F.session_window("ts", gap).alias("span"))
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select(key, F.col("span.start").alias("start"), F.col("span.end").alias("end"), "events")
+    micros = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {gap}"))
+    step = F.floor(F.unix_micros("ts") / micros).cast("long").alias("step")
+
+    def write(batch: DataFrame, number: int) -> None:
+        pieces = batch.filter("ts IS NOT NULL").groupBy(key, step).agg(
+            F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events")
+        )
+        pieces.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    _run(events.writeStream.foreachBatch(write), checkpoint)
+    return _runs(spark.read.parquet(path), key, gap, delay)
+
+
+def _runs(pieces: DataFrame, key: str, gap: str, delay: str, size: int = ordered.CHUNK) -> DataFrame:
+    """Closed runs from the pieces of all batches; a key of any number of steps is gone through in chunks."""
+    pieces = pieces.groupBy(key, "step").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"))
+    pieces = materialise(pieces, "activity_pieces")
+    pause, latest = F.expr(f"INTERVAL {gap}"), pieces.agg(F.max("last")).first()[0]
+    joined = ordered.neighbours(pieces, [key], "step", ["last"], following=None, size=size)
+    opens = F.when(F.col("prev").isNull() | (F.col("first") >= F.col("prev.last") + pause), 1).otherwise(0).cast("long")
+    joined = ordered.running_sum(joined.withColumn("_opens", opens).drop("prev"), [key], "step", {"_run": F.col("_opens")}, size=size)
+    runs = joined.groupBy(key, "_run").agg(
+        F.min("first").alias("start"), (F.max("last") + pause).alias("end"), F.sum("events").alias("events")
     )
-    _run(df.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
-    return spark.read.schema(df.schema).parquet(path)
+    closed = F.col("end") <= F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+    return runs.filter(closed).select(key, "start", "end", "events")
 
 
 # -- scan -------------------------------------------------------------------------

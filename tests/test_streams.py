@@ -100,3 +100,29 @@ def test_activity_closes_after_the_gap(spark):
     got = sorted((r.events, (r.end - r.start) / timedelta(hours=1)) for r in J.activity_sessions(stream, "k", "4 hours", "1 hour").collect())
     assert got == [(1, 4.0), (2, 5.0)]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 16])
+def test_late_events_close_and_join_runs(spark, size):
+    import random
+
+    folder, t, draw = new_path(spark, "late"), datetime(2024, 1, 1), random.Random(5)
+    rows = [(draw.choice(["u", "v", None]), t + timedelta(minutes=draw.randint(0, 6000))) for _ in range(150)] + [("u", None)]
+    for part in (rows[:60], rows[60:61], rows[61:]):  # in no order of time
+        spark.createDataFrame(part, "k string, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    gap, want, last = timedelta(hours=2), [], max(x for _, x in rows if x)
+    for key in ("u", "v", None):
+        run = []
+        for at in [*sorted(x for k, x in rows if k == key and x), None]:
+            if run and (at is None or at - run[-1] >= gap):
+                if run[-1] + gap <= last - timedelta(hours=1):
+                    want.append((str(key), run[0], run[-1] + gap, len(run)))
+                run = []
+            run.append(at)
+    pieces = J.activity_sessions(stream, "k", "2 hours", "1 hour")
+    assert sorted((str(r.k), r.start, r.end, r.events) for r in pieces.collect()) == sorted(want)
+    step = F.floor(F.unix_micros("ts") / 7_200_000_000).alias("step")
+    direct = spark.read.parquet(folder).filter("ts is not null").groupBy("k", step).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("events"))
+    got = J._runs(direct, "k", "2 hours", "1 hour", size)
+    assert sorted((str(r.k), r.start, r.end, r.events) for r in got.collect()) == sorted(want)
