@@ -234,8 +234,11 @@ PYTHON_LINES = [
 ]
 
 
+PYTHON_PAIRS = ["import sys\nfrom os import path\n", "for x in xs:\n    out += [x]\n", "# for x in xs:\n    out += [x]\n"]
+
+
 def code_files(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
-    """Documents as source files: one line of code in front, one behind, some behind a rule switch."""
+    """Documents as source files: one line of code in front, one behind, some behind a rule switch or two lines that a rule spans."""
     df = document_texts(spark, sf_dir, documents)
     n = F.col("n")
     java = n % 2 == 0
@@ -250,7 +253,8 @@ def code_files(spark: SparkSession, sf_dir: str, documents: DataFrame | None = N
         n % 4 == 1, F.lit("# scan-rules: disable=PY-STYLE-002\n")
     ).otherwise(F.lit(""))
     on = F.when(n % 4 == 1, F.lit("\n# scan-rules: enable=PY-STYLE-002")).otherwise(F.lit(""))
-    body = F.concat(first, F.lit("\n"), off, F.col("text"), on, F.lit("\n"), second)
+    pair = F.when(n % 4 == 3, pick(PYTHON_PAIRS, F.floor(n / 4))).otherwise(F.lit(""))
+    body = F.concat(first, F.lit("\n"), pair, off, F.col("text"), on, F.lit("\n"), second)
     ext = F.when(java, F.lit(".java")).otherwise(F.lit(".py"))
     return df.select(
         "doc_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.needles import meetings, required, rule_rows, slices
-from ..functions.text import WORD, any_of, first_match, matches, strip
+from ..functions.text import WORD, any_of, first_match, matches, strip, sub
 from ..rules import code as C
 
 
@@ -72,6 +72,53 @@ def scan(lines: DataFrame, rules: Sequence[tuple] | DataFrame = C.RULES, familie
     )
 
 
+def spanning_rules(rules: Sequence[tuple] = C.RULES) -> list[tuple]:
+    """Rules that need more than one line; line by line they never fire."""
+    return [r for r in rules if r"\n" in r[5]]
+
+
+def scan_texts(files: DataFrame, rules: Sequence[tuple] | None = None) -> DataFrame:
+    """One finding per match of a rule in a whole text. ``files``: doc_id, path, language, text, ...
+
+    For rules that span lines, by default all of them. A text is cut at the matches; the line breaks in
+    the pieces before a match, added up, give its line. A match that starts in a comment line is left out.
+    Line breaks of all kinds count, the line that a match starts in is its ``code``.
+    """
+    keep = [c for c in ("project", "doc_id", "path", "language") if c in files.columns]
+    rules = spanning_rules() if rules is None else rules
+    df = files.select(*keep, sub(F.coalesce("text", F.lit("")), r"\r\n?", "\n").alias("text"))
+    out = None
+    for language in C.EXTENSIONS:
+        for rule_id, severity, kind, cwe, _, pattern in rules_for(language, rules=rules):
+            whole = "(?m)" + _pattern(kind, pattern)
+            hit = df.filter((F.col("language") == language) & matches("text", whole))
+            breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
+            found = F.zip_with(
+                F.split("text", whole, -1), F.regexp_extract_all("text", F.lit(whole), F.lit(0)),
+                lambda piece, match: F.struct(piece.alias("piece"), match.alias("match"), (breaks(piece) + breaks(F.coalesce(match, F.lit("")))).alias("breaks")),
+            )
+            hit = hit.select(*keep, found.alias("_found"))
+            before = F.aggregate(F.slice("_found", F.lit(1), F.col("_at")), F.lit(0), lambda n, x: n + x["breaks"])
+            hit = hit.select("*", F.posexplode("_found").alias("_at", "_m")).filter(F.col("_m.match").isNotNull())
+            start = F.concat(F.substring_index("_m.piece", "\n", -1), F.substring_index("_m.match", "\n", 1))
+            hit = hit.select(*keep, (before + breaks(F.col("_m.piece")) + 1).cast("long").alias("line_no"), start.alias("_line"))
+            hit = hit.filter(~is_comment(F.col("_line"), language)).select(
+                F.concat_ws("-", F.lit(rule_id), "line_no").alias("finding_id"), *keep, "line_no",
+                *[F.lit(v).alias(n) for n, v in (("rule_id", rule_id), ("severity", severity), ("type", kind), ("cwe", cwe))],
+                strip("_line").alias("code"),
+            )
+            out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+def with_messages(findings: DataFrame, messages: dict[str, tuple[str, str]] = C.MESSAGES) -> DataFrame:
+    """Add ``message`` and ``suggestion`` by rule; empty for rules without them."""
+    for place, name in enumerate(("message", "suggestion")):
+        table = F.create_map(*[F.lit(x) for rule, texts in messages.items() for x in (rule, texts[place])])
+        findings = findings.withColumn(name, F.coalesce(F.try_element_at(table, F.col("rule_id")), F.lit("")))
+    return findings
+
+
 def _scan_with_table(lines: DataFrame, rules: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Scan with a table: language, rule_id, severity, type, cwe, pattern (flags included), any number of rules.
 

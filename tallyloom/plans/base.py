@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..adapters import AGENTS, JAVA_LINES, MODELS, PYTHON_LINES, REPEATED
+from ..adapters import AGENTS, JAVA_LINES, MODELS, PYTHON_LINES, PYTHON_PAIRS, REPEATED
 from ..rules import models as M
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -379,6 +379,7 @@ cte(
   source || '/src/f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.java' ELSE '.py' END AS path,
   CASE WHEN doc_id % 2 = 0 THEN 'java' ELSE 'python' END AS language,
   {_line('doc_id // 2')} || chr(10)
+    || CASE WHEN doc_id % 4 = 3 THEN {pick_text(f'(doc_id // 4) % {len(PYTHON_PAIRS)}', PYTHON_PAIRS)} ELSE '' END
     || CASE WHEN doc_id % 4 = 1 THEN '# scan-rules: disable=PY-STYLE-002' || chr(10) ELSE '' END || text
     || CASE WHEN doc_id % 4 = 1 THEN chr(10) || '# scan-rules: enable=PY-STYLE-002' ELSE '' END
     || chr(10) || {_line('doc_id // 2 * 5 + 3')} AS text
@@ -450,6 +451,34 @@ cte(
   cwe, bare AS code FROM ({_rule_arms()})""",
 )
 
+
+
+def _spanning_arms() -> str:
+    from ..operators.scan import spanning_rules
+
+    arms = []
+    for rule_id, severity, kind, cwe, _, pattern in spanning_rules():
+        pattern = lit(("(?m)" if kind == "style" else "(?im)") + re2(pattern))
+        lang = "java" if rule_id.startswith("JAVA") else "python"
+        arms.append(
+            f"SELECT *, {lit(rule_id)} AS rule_id, {lit(severity)} AS severity, {lit(kind)} AS type, {lit(cwe)} AS cwe, "
+            f"string_split_regex(clean, {pattern}) AS pieces, regexp_extract_all(clean, {pattern}) AS found FROM clean_files WHERE language = '{lang}'"
+        )
+    return " UNION ALL ".join(arms)
+
+
+cte("clean_files", ("code_files",), "SELECT *, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS clean FROM code_files")
+cte(
+    "text_findings",
+    ("clean_files",),
+    f"""SELECT rule_id || '-' || line_no AS finding_id, project, doc_id, path, language, line_no, rule_id, severity, type, cwe, code FROM (
+  SELECT *, 1 + length(ahead) - length(replace(ahead, chr(10), '')) AS line_no,
+    {strip("string_split(ahead, chr(10))[-1] || string_split(found[nr], chr(10))[1]")} AS code FROM (
+  SELECT *, array_to_string(list_transform(range(1, nr), lambda j: pieces[j] || found[j]), '') || pieces[nr] AS ahead FROM (
+  SELECT *, unnest(generate_series(1, len(found))) AS nr FROM ({_spanning_arms()}) WHERE len(found) > 0)))
+WHERE NOT starts_with(code, '#')""",
+)
+
 # technical documents ------------------------------------------------------------
 from ..adapters import TEMPLATES  # noqa: E402
 

@@ -8,7 +8,7 @@ from .. import adapters as A
 from ..operators import scan as S
 from ..rules import code as C
 from ..sources import files as X
-from .base import sql
+from .base import lit, sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,23 @@ def scan_table(spark, sf):
     return S.scan(lines(spark, sf), spark.createDataFrame(rules, kinds))
 
 
+@query("scan_texts", sql("text_findings", "SELECT * FROM text_findings"))
+def scan_texts(spark, sf):
+    return S.scan_texts(A.code_files(spark, sf))
+
+
+def _message(place: int) -> str:
+    arms = " ".join(f"WHEN {lit(rule)} THEN {lit(texts[place])}" for rule, texts in C.MESSAGES.items())
+    return f"CASE rule_id {arms} ELSE '' END"
+
+
+@query("scan_messages", sql(("findings", "text_findings"), f"""SELECT finding_id, doc_id, rule_id, {_message(0)} AS message, {_message(1)} AS suggestion
+  FROM (SELECT * FROM findings UNION ALL SELECT * FROM text_findings)"""))
+def scan_messages(spark, sf):
+    both = findings(spark, sf).unionByName(S.scan_texts(A.code_files(spark, sf)))
+    return S.with_messages(both).select("finding_id", "doc_id", "rule_id", "message", "suggestion")
+
+
 @query("scan_stats", sql("findings", """SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(type) = 0 THEN 'type'
     WHEN grouping(rule_id) = 0 THEN 'rule' ELSE 'total' END AS level, coalesce(severity, type, rule_id, 'all') AS name,
   count(*) AS findings FROM findings GROUP BY GROUPING SETS ((severity), (type), (rule_id), ())"""))

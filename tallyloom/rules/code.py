@@ -64,6 +64,47 @@ RULES = [
     ("PY-PERF-004", "high", "bug", "", ":", r"except\s*:"),
     ("PY-PERF-005", "medium", "maintainability", "", "", r"^\s*global\s+\w+"),
 ]
+# What a finding means and what to do about it, by rule; own wording.
+MESSAGES = {
+    "JAVA-SEC-001": ("SQL text is put together from variables", "bind the values as parameters"),
+    "JAVA-SEC-002": ("a command line is put together from variables", "pass a fixed program and a list of arguments"),
+    "JAVA-SEC-003": ("a file path is put together from variables", "resolve the path and compare it with an allowed folder"),
+    "JAVA-SEC-004": ("a secret is written in the source", "read it from the environment or a vault"),
+    "JAVA-SEC-005": ("the random numbers can be guessed", "take SecureRandom where secrecy matters"),
+    "JAVA-SEC-006": ("text goes into a page unescaped", "escape it or set it as plain text"),
+    "JAVA-SEC-007": ("certificate checks are switched off", "keep the default checks and add the needed certificate"),
+    "JAVA-STYLE-001": ("a class name starts with a small letter", "start class names with a capital"),
+    "JAVA-STYLE-002": ("check the name of this method", "name methods by a verb in camel case"),
+    "JAVA-STYLE-003": ("a constant is written in small letters", "write constants in capitals with underscores"),
+    "JAVA-STYLE-004": ("check the length of this method", "split methods that do several things"),
+    "JAVA-STYLE-005": ("check the size of this class", "move separate duties to classes of their own"),
+    "JAVA-STYLE-006": ("a public class without a description nearby", "say in a comment what the class is for"),
+    "JAVA-STYLE-007": ("a bare number or text decides a branch", "give the value a name"),
+    "JAVA-PERF-001": ("strings are added one by one", "use a StringBuilder"),
+    "JAVA-PERF-002": ("a resource may stay open", "open it in a try-with-resources"),
+    "JAVA-PERF-003": ("a collection is made only to look something up", "keep the collection or take a fitting one"),
+    "JAVA-PERF-004": ("an exception is swallowed", "handle it or pass it on"),
+    "JAVA-PERF-005": ("a query runs in a loop", "fetch all rows with one query"),
+    "PY-SEC-001": ("SQL text is put together from variables", "bind the values as parameters"),
+    "PY-SEC-002": ("a shell command is put together from variables", "pass a list of arguments without a shell"),
+    "PY-SEC-003": ("a file path may leave its folder", "resolve the path and compare it with an allowed folder"),
+    "PY-SEC-004": ("a secret is written in the source", "read it from the environment or a vault"),
+    "PY-SEC-005": ("unpickling runs code from the data", "use JSON or another plain format"),
+    "PY-SEC-006": ("text is run as code", "parse the value instead"),
+    "PY-SEC-007": ("the random numbers can be guessed", "take the secrets module where secrecy matters"),
+    "PY-SEC-008": ("certificate checks are switched off", "keep the checks and name a certificate file"),
+    "PY-STYLE-001": ("tabs and spaces are mixed", "indent by four spaces"),
+    "PY-STYLE-002": ("the line is very long", "break it at a bracket"),
+    "PY-STYLE-003": ("check the name and size of this function", "name functions in small letters and keep them short"),
+    "PY-STYLE-004": ("a function without a result type", "add type hints"),
+    "PY-STYLE-005": ("imports are not in groups", "group imports by origin and sort them"),
+    "PY-STYLE-006": ("check the case of this name", "use capitals for constants only"),
+    "PY-PERF-001": ("a list grows by concatenation in a loop", "append or use a comprehension"),
+    "PY-PERF-002": ("a file may stay open", "open it in a with block"),
+    "PY-PERF-003": ("membership is tested in a list", "use a set"),
+    "PY-PERF-004": ("every exception is caught", "name the exceptions that are expected"),
+    "PY-PERF-005": ("a global variable is written", "pass the value in and return it"),
+}
 # Grades from worst to mildest.
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 # Severity, priority, deadline.

@@ -100,3 +100,18 @@ def test_whole_lines_and_clean_projects(spark):
     found = spark.createDataFrame([("p", "critical"), ("p", "info")], "project string, severity string")
     got = {r.project: (r.failed, r.blocking) for r in S.scan_gate(files, found).collect()}
     assert got == {"p": (True, 1), "clean": (False, 0)}
+
+
+def test_rules_over_two_lines(spark):
+    text = ["import a\nfrom b import c\nx\r\nimport d\nfrom e import f", "for i in y:\n  z += [i]\n\n# for i in y:\n  z += [i]\n FOR i in y:\n  z += [i]\n", "", None, "import a\n"]
+    rows = [("p", f"d{i}", f"p/{i}", "python", t) for i, t in enumerate(text)] + [("p", "j", "p/j", "java", text[0])]
+    files = spark.createDataFrame(rows, "project string, doc_id string, path string, language string, text string")
+    got = sorted((r.doc_id, r.line_no, r.rule_id, r.code) for r in S.scan_texts(files).collect())
+    assert got == [
+        ("d0", 1, "PY-STYLE-005", "import a"), ("d0", 4, "PY-STYLE-005", "import d"),
+        ("d1", 1, "PY-PERF-001", "for i in y:"), ("d1", 6, "PY-PERF-001", "FOR i in y:"),
+    ]
+    assert S.scan_texts(files.filter("false")).count() == 0
+    told = S.with_messages(S.scan_texts(files)).select("rule_id", "message", "suggestion").distinct().collect()
+    assert {(r.rule_id, r.message, r.suggestion) for r in told} == {(k, *C.MESSAGES[k]) for k in ("PY-STYLE-005", "PY-PERF-001")}
+    assert set(C.MESSAGES) == {r[0] for r in C.RULES}
