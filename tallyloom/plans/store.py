@@ -13,6 +13,7 @@ from ..sources import files as X
 from ..sources import records as R
 from ..sources import sinks as K
 from ..sources.growing import Transcripts
+from ..sources.store import Store
 from ..streaming import jobs as J
 from .base import CTES, cte, half_up, ratio2, sql
 from .scan import ORACLES as SCAN_ORACLES
@@ -173,6 +174,19 @@ def snk_upsert(spark, sf):
     )
 
 
+@query("snk_store", ORACLES["snk_upsert"])
+def snk_store(spark, sf):
+    # the same through a stored table of which only the touched buckets are written anew
+    old = _existing(spark, sf)
+    store = Store(spark, new_path(spark, "store"), "id", old.schema, buckets=8)
+    store.write(old, lambda known, new: new)
+    store.write(_incoming(spark, sf), lambda known, new: K.upsert_sessions(known, new))
+    return store.read().select(
+        "id", "source", "source_id", "model", "total_input_tokens", "total_output_tokens", "input_output_ratio",
+        "message_count", "start_time", "end_time", F.col("context.total_chars").alias("context_chars"),
+    )
+
+
 @query("snk_guard", sql(("old_sessions", "new_sessions"), """SELECT n.id, n.source_id, n.model FROM new_sessions n LEFT JOIN old_sessions o USING (id)
   WHERE o.id IS NULL OR o.source_id = n.source_id"""))
 def snk_guard(spark, sf):

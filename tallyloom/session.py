@@ -65,3 +65,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    """File system and path, in any store that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return bool(files.exists(place))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder; whether it was there."""
+    files, place = _place(spark, path)
+    return bool(files.delete(place, True))
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Delete all that ``new_path`` and ``materialise`` made below the shared folder.
+
+    For the end of a session: results that were not written elsewhere read these files.
+    """
+    return delete(spark, f"{shared_folder(spark)}/tallyloom")

@@ -21,6 +21,7 @@ from ..rules import models as M
 from ..session import materialise, new_path
 from ..sources import records as R
 from ..sources.files import document_lines
+from ..sources.store import read_batches
 
 
 def _run(writer: DataStreamWriter, checkpoint: str) -> None:
@@ -101,7 +102,7 @@ def usage_by_window(requests: DataFrame, length: str = "1 day", slide: str | Non
         _step_sums(batch, step).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     _run(requests.writeStream.foreachBatch(write), checkpoint)
-    steps = spark.read.parquet(path).groupBy("step", "channel").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    steps = read_batches(spark, path).groupBy("step", "channel").agg(*[F.sum(c).alias(c) for c in _SUMS])
     span = F.window("step", length, slide) if slide else F.window("step", length)
     out = steps.groupBy(span.alias("span"), "channel").agg(*[F.sum(c).alias(c) for c in _SUMS])
     return out.select(
@@ -140,7 +141,7 @@ def activity_sessions(events: DataFrame, key: str, gap: str, delay: str) -> Data
         pieces.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     _run(events.writeStream.foreachBatch(write), checkpoint)
-    return _runs(spark.read.parquet(path), key, gap, delay)
+    return _runs(read_batches(spark, path), key, gap, delay)
 
 
 def _runs(pieces: DataFrame, key: str, gap: str, delay: str, size: int = ordered.CHUNK) -> DataFrame:
