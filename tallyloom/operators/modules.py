@@ -10,6 +10,7 @@ from ..functions import ordered
 from ..functions.containment import contained_in_list
 from ..functions.joins import salted_join
 from ..functions.needles import containing
+from ..functions.ruletable import as_groups, as_rules
 from ..functions.text import SPACE, col, contains_any, first_match, half_up, strip, sub
 from ..rules import tasks as R
 from ..session import materialise
@@ -22,9 +23,9 @@ def _without_suffix(c: Column, suffixes=R.SECTION_SUFFIXES) -> Column:
     return first_match([(c.endswith(s), strip(F.substring(c, F.lit(1), F.length(c) - F.lit(len(s))))) for s in suffixes], c)
 
 
-def _first_keyword(condition) -> Column:
+def _first_keyword(condition, keywords) -> Column:
     """Module of the first keyword for which ``condition(keyword)`` holds."""
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in R.MODULE_KEYWORDS])
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in keywords])
     return F.get(F.filter(table, lambda e: condition(e["k"])), F.lit(0))
 
 
@@ -37,10 +38,10 @@ def _match(module: Column, confidence: Column, source: str, rank: int) -> Column
     )
 
 
-def by_content(content: Column) -> Column:
+def by_content(content: Column, keywords=R.MODULE_KEYWORDS) -> Column:
     """First keyword in the text; longer keywords are more certain."""
     low = F.lower(content)
-    hit = _first_keyword(lambda k: F.contains(low, F.lower(k)))
+    hit = _first_keyword(lambda k: F.contains(low, F.lower(k)), keywords)
     return _match(hit["m"], F.least(F.lit(0.5) + F.length(hit["k"]) * F.lit(0.05), F.lit(0.95)), "content", 0)
 
 
@@ -51,10 +52,10 @@ def section_name(section: Column) -> tuple[Column, Column]:
     return plain, _without_suffix(plain)
 
 
-def by_section(plain: Column, name: Column) -> Column:
+def by_section(plain: Column, name: Column, keywords=R.MODULE_KEYWORDS) -> Column:
     """Module from the section title: keyword 0.7, own name 0.5, bare title 0.3."""
     marks = F.lit("，,。；;：:")
-    hit = _first_keyword(lambda k: F.contains(name, k) | F.contains(k, name))
+    hit = _first_keyword(lambda k: F.contains(name, k) | F.contains(k, name), keywords)
     tidy, bare = F.btrim(name, marks), F.btrim(strip(plain), marks)
     module = F.when(
         name == "", F.when(F.length(bare) > 2, bare)
@@ -107,13 +108,13 @@ def canonical_module(c: Column | str) -> Column:
     return F.coalesce(F.nullif(sub(name, f"{SPACE}+"), F.lit("")), F.lit(R.UNSORTED))
 
 
-def assign_modules(tasks: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
+def assign_modules(tasks: DataFrame, whitelist: DataFrame | None = None, keywords=R.MODULE_KEYWORDS) -> DataFrame:
     """Module, confidence, deciding source and conflict flag per task.
 
     ``tasks``: content, section_path, ...; the whitelist is scored once per
-    distinct text.
+    distinct text. ``keywords``: pairs, or a table keyword, module, ord.
     """
-    keep = tasks.columns
+    keep, keywords = tasks.columns, as_rules(keywords, ["keyword", "module"])
     df = tasks
     if whitelist is not None:
         df = df.join(whitelist_scores(tasks.select("content").distinct(), whitelist), "content", "left")
@@ -123,8 +124,8 @@ def assign_modules(tasks: DataFrame, whitelist: DataFrame | None = None) -> Data
     df = df.withColumns({"_plain": plain, "_name": name})
     df = df.withColumns(
         {
-            "_c": by_content(F.col("content")),
-            "_s": by_section(F.col("_plain"), F.col("_name")),
+            "_c": by_content(F.col("content"), keywords),
+            "_s": by_section(F.col("_plain"), F.col("_name"), keywords),
             "_w": _match(F.col("wl_module"), F.col("wl_score"), "whitelist", 2),
         }
     )
@@ -190,20 +191,24 @@ def assign_modules(tasks: DataFrame, whitelist: DataFrame | None = None) -> Data
     )
 
 
-def sub_module(module: Column, content: Column) -> Column:
+def sub_module(module: Column, content: Column, words=R.SUB_MODULES) -> Column:
     """``module - sub`` by the first sub-module word in the text."""
-    name = first_match([(content.contains(w), F.lit(s)) for w, s in R.SUB_MODULES])
+    name = first_match([(content.contains(w), F.lit(s)) for w, s in words])
     return F.when(name.isNotNull(), F.concat_ws(" - ", module, name)).otherwise(module)
 
 
-def split_modules(tasks: DataFrame, most: int = 10) -> DataFrame:
-    """Tasks of modules with more than ``most`` tasks get a sub-module. Counts are pre-aggregated, not windowed."""
+def split_modules(tasks: DataFrame, most: int = 10, words=R.SUB_MODULES) -> DataFrame:
+    """Tasks of modules with more than ``most`` tasks get a sub-module. Counts are pre-aggregated, not windowed.
+
+    ``words``: pairs of word and sub-module, or a table word, module, ord.
+    """
+    words = as_rules(words, ["word", "module"])
     sizes = tasks.groupBy("project", "module").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > most).select("project", "module", F.lit(True).alias("_large"))
     df = salted_join(tasks, large, ["project", "module"], "content")
     return df.select(
         *[c for c in tasks.columns if c != "module"],
-        F.when(F.col("_large"), sub_module(F.col("module"), F.col("content"))).otherwise(F.col("module")).alias("module"),
+        F.when(F.col("_large"), sub_module(F.col("module"), F.col("content"), words)).otherwise(F.col("module")).alias("module"),
     )
 
 
@@ -231,8 +236,22 @@ def sequence_tasks(tasks: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     )
 
 
-def acceptance(content: Column | str) -> Column:
-    """Acceptance lines of the first word group that applies."""
+def acceptance(content: Column | str, groups=R.ACCEPTANCE) -> Column:
+    """Acceptance lines of the first word group that applies; the last group is the default.
+
+    ``groups``: (words, lines); from a table see ``acceptance_groups``.
+    """
     low = F.lower(col(content))
-    cases = [(contains_any(low, words), F.lit("；".join(lines[:5]))) for words, lines in R.ACCEPTANCE[:-1]]
-    return first_match(cases, F.lit("；".join(R.ACCEPTANCE[-1][1][:5])))
+    cases = [(contains_any(low, words), F.lit("；".join(lines[:5]))) for words, lines in groups[:-1]]
+    return first_match(cases, F.lit("；".join(groups[-1][1][:5])))
+
+
+def acceptance_groups(words: DataFrame, lines: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """Groups for ``acceptance`` from tables ``words`` (name, word, ord) and ``lines`` (name, line, ord).
+
+    A name without words is the default; without one, texts that no group fits have no lines.
+    """
+    groups, texts = as_groups(words, "name", "word"), dict(as_groups(lines, "name", "line"))
+    named = {n for n, _ in groups}
+    default = next((t for n, t in texts.items() if n not in named), [""])
+    return [([w.lower() for w in found], texts[n]) for n, found in groups if n in texts] + [([], default)]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.containment import contained_in_list, contained_pairs, one_edit_pairs
-from ..functions.staging import staged
 from ..functions.needles import containing
+from ..functions.ruletable import as_groups, as_rules
+from ..functions.staging import staged
 from ..functions.survivors import ruled_out
 from ..functions.text import (
     SPACE,
@@ -211,8 +212,8 @@ def clean_content(raw: Column) -> Column:
 
 
 def first_type(content: Column, raw: Column, types=R.TYPE_WORDS) -> Column:
-    """First type with a word in content or raw text."""
-    both = F.lower(F.concat_ws(" ", content, raw))
+    """First type with a word in content or raw text. ``types``: name and words, or a table name, word, ord."""
+    both, types = F.lower(F.concat_ws(" ", content, raw)), as_groups(types, "name", "word")
     return first_match([(contains_any(both, [w.lower() for w in words]), F.lit(n)) for n, words in types], F.lit(R.DEFAULT_TYPE))
 
 
@@ -283,8 +284,11 @@ def drop_noise(tasks: DataFrame) -> DataFrame:
 
 
 def scored_type(c: Column | str, types=R.SCORED_TYPES) -> Column:
-    """Type with the most words in the text; a tie goes to the first of the list, no word to the default."""
-    low = F.lower(col(c))
+    """Type with the most words in the text; a tie goes to the first of the list, no word to the default.
+
+    ``types``: name and words, or a table name, word, ord.
+    """
+    low, types = F.lower(col(c)), as_groups(types, "name", "word")
     scores = F.array(
         *[
             F.struct(
@@ -459,21 +463,26 @@ def clean_rule_text(c: Column, longest: int | None = None) -> Column:
     return F.when(F.length(out) > longest, shortened).otherwise(out)
 
 
-def legacy_tasks(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
+def legacy_tasks(lines: DataFrame, size: int = ordered.CHUNK, rules=R.LINE_RULES, modules=R.LINE_MODULES) -> DataFrame:
     """First matching line rule per line, with the module of the latest module line.
 
+    ``rules``: pattern, type, text, or a table pattern, task_type, text, ord; ``modules``: pattern, module, or a
+    table pattern, module, ord.
+
     Lines that neither name a module nor match a rule are left out before the
     carry-forward.
     """
     t = F.col("raw_text")
-    # all rules name a CJK word or radical, an API path or a language model
-    possible = r"[\x{2e80}-\x{9fff}]|/api/|LLM"
-    df = lines.filter(matches("line", possible)).select("doc_id", "line_no", strip("line").alias("raw_text"))
-    module = first_match([(_hit(t, p), F.lit(m)) for p, m in R.LINE_MODULES])
+    # all packaged rules name a CJK word or radical, an API path or a language model
+    packaged = rules is R.LINE_RULES and modules is R.LINE_MODULES
+    df = lines.filter(matches("line", r"[\x{2e80}-\x{9fff}]|/api/|LLM")) if packaged else lines
+    rules, modules = as_rules(rules, ["pattern", "task_type", "text"]), as_rules(modules, ["pattern", "module"])
+    df = df.select("doc_id", "line_no", strip("line").alias("raw_text"))
+    module = first_match([(_hit(t, p), F.lit(m)) for p, m in modules])
     rule = first_match(
         [
             (_rule_hit(t, p), F.struct(F.lit(kind).alias("task_type"), _filled(t, p, text).alias("content")))
-            for p, kind, text in R.LINE_RULES
+            for p, kind, text in rules
         ]
     )
     df = staged(df, {"_module": module, "_rule": rule})

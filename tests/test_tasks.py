@@ -189,3 +189,47 @@ def test_section_paths_of_forty_levels(spark, size):
     got = L.section_paths(df, size)
     assert {(r.doc_id, r.line_no): r.section_path for r in got.collect()} == want
     assert got.schema["line_no"].dataType == df.schema["line_no"].dataType
+
+
+def rule_table(spark, columns, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, " + ", ".join(f"{c} string" for c in columns))
+
+
+def test_user_tables_of_types(spark):
+    types = rule_table(spark, ["name", "word"], [("red", "Rose"), ("blue", "sky"), ("red", "fire"), ("none", None)])
+    df = spark.createDataFrame([("a rose and fire in the SKY",), ("sky",), ("x",), ("",)], "c string")
+    assert [r.t for r in df.select(T.scored_type("c", types).alias("t")).collect()] == ["red", "blue", "功能任务", "功能任务"]
+    few = rule_table(spark, ["name", "word"], [("blue", "sky"), ("red", "rose")])
+    assert [r.t for r in df.select(T.first_type(F.col("c"), F.lit(None), few).alias("t")).collect()] == ["blue", "blue", "功能任务", "功能任务"]
+    # The packaged list and the same rules as a table agree.
+    same = rule_table(spark, ["name", "word"], [(n, w) for n, words in T.R.SCORED_TYPES for w in words])
+    text = spark.createDataFrame([("新增接口 POST 表 字段",), ("缓存 Redis",), ("配置 页面",)], "c string")
+    assert text.select(T.scored_type("c", same)).collect() == text.select(T.scored_type("c")).collect()
+
+
+def test_user_tables_of_modules(spark):
+    words = rule_table(spark, ["keyword", "module"], [("alpha", "A"), ("beta", "B")])
+    df = tasks(spark, ("beta alpha task", "", "", ""), ("plain", "", "", "1.1 beta 功能"), ("用户列表", "", "", ""))
+    got = [r.module for r in M.assign_modules(df, keywords=words).orderBy("seq").collect()]
+    assert got == ["A", "B", "未分类"]
+    many = tasks(spark, *[(f"zeta {i}", "", "n", "") for i in range(11)])
+    assert {r.module for r in M.split_modules(many, words=rule_table(spark, ["word", "module"], [("zeta", "Z")])).collect()} == {"n - Z"}
+
+
+def test_user_tables_of_acceptance_and_line_rules(spark):
+    groups = M.acceptance_groups(
+        rule_table(spark, ["name", "word"], [("pay", "Fee"), ("api", "http")]),
+        rule_table(spark, ["name", "line"], [("api", "answers"), ("pay", "adds up"), ("rest", "works"), ("pay", "is logged")]),
+    )
+    df = spark.createDataFrame([("http fee",), ("HTTP",), ("x",)], "c string")
+    assert [r.a for r in df.select(M.acceptance("c", groups).alias("a")).collect()] == ["adds up；is logged", "answers", "works"]
+    rules = rule_table(spark, ["pattern", "task_type", "text"], [(r"do (\w+)", "DO", "done {1}"), ("see", "SEE", "seen")])
+    found = T.legacy_tasks(lines(spark, "Part one", "do this", "see", "other"), rules=rules, modules=rule_table(spark, ["pattern", "module"], [("Part one", "P1")]))
+    assert sorted((r.line_no, r.module, r.task_type, r.content) for r in found.collect()) == [(2, "P1", "DO", "done this"), (3, "P1", "SEE", "seen")]
+
+
+def test_a_table_above_the_bound_is_refused(spark):
+    from tallyloom.functions.ruletable import as_rules
+
+    with pytest.raises(ValueError, match="more than 3"):
+        as_rules(rule_table(spark, ["word"], [(str(k),) for k in range(4)]), ["word"], 3)
