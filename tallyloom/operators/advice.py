@@ -31,6 +31,7 @@ THRESHOLDS: dict[str, Any] = {
     "imbalance_turns": 20,
     "imbalance_ratio": 3.0,
     "zombie_days": 7,
+    "idle_since": "time_start",  # or "time_end": the session's last message
     "zombie_token": 50_000,
     "fragmentation_threshold": 20,
     "fragmentation_avg_turns": 5,
@@ -214,8 +215,8 @@ def rule_c3(t: Mapping) -> Column:
 
 
 def rule_d1(t: Mapping, as_of) -> Column:
-    """An old session still holds a large context."""
-    start = F.unix_micros(_ctx("time_start"))
+    """An old session still holds a large context; ``idle_since`` names the time of the context that counts."""
+    start = F.unix_micros(_ctx(t["idle_since"]))
     idle = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - start) / 86_400_000_000)
     fires = (idle >= t["zombie_days"]) & (_inputs() >= t["zombie_token"])
     return _fire("D1", fires, F.when(_inputs() > 100_000, "warning").otherwise("info"), idle, tokens=_inputs())

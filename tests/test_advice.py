@@ -101,3 +101,13 @@ def test_fragmentation(spark):
     many = [session(id=f"b{i}", source="b") for i in range(30)]
     got = V.fragmentation(spark.createDataFrame(few + many, SCHEMA), AS_OF).collect()
     assert [(r.source, r.sessions) for r in got] == [("a", 21)]
+
+
+def test_idle_days_by_last_message(spark):
+    from pyspark.sql import functions as F
+
+    old = session(time_start=datetime(2024, 1, 2), total_input_tokens=60_000)
+    df = spark.createDataFrame([old], SCHEMA)
+    late = df.withColumn("context", F.col("context").withField("time_end", F.lit(datetime(2024, 1, 31))))
+    by = lambda since: V.advise(late, AS_OF, rules=["D1"], thresholds={"idle_since": since}).count()
+    assert by("time_start") == 1 and by("time_end") == 0
