@@ -15,8 +15,10 @@ Spark brings those documents together that can link at all:
    shingles only) are left out where enough others remain; a document with
    too few of them gives all. Documents that share a part are candidates.
 3. Connected candidates form a block. A block with more shingles than ``BLOCK_SHINGLES``
-   is split: first all its documents are compared with the one that most others met,
-   then those that did not link with it are searched in every chunk of the block.
+   is taken apart: shingles are ordered by how often its documents have them, two that link share
+   one of their rarest, and only what connects that way stays together. If a block is still too
+   large, all its documents are compared with the one that most others met, and
+   those that did not link with it are searched in every chunk of the block.
 4. Links are reduced to connected components.
 
 All links between different sets are found. What is common is estimated on a
@@ -54,6 +56,9 @@ SPARE_PARTS = 1.2
 # Parts that a map task collects before it sends them, and parts of a slice of the hash range, which one task compares.
 BLOCK_PARTS = 1 << 19
 SLICE_PARTS = 1 << 20
+TASK_SLICES = 8
+TASK_NODES = 500_000
+SKETCH_BITS = 24
 
 
 def shingles(texts: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
@@ -298,24 +303,29 @@ def packed(part: np.ndarray, doc: np.ndarray, count: int) -> Iterator[tuple[int,
         yield name, ids.tobytes(), counts.astype("<u4").tobytes(), prints[a:b][by_doc].tobytes()
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The pairs that connect what ``a`` and ``b`` connect, each document with the smallest one it hangs together with."""
-    parent: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int] | None = None) -> np.ndarray:
+    """The pairs that connect what ``a`` and ``b`` connect, fewer than documents.
+
+    ``parent`` holds what is connected already, so that only what is new comes out.
+    """
+    parent = {} if parent is None else parent
 
     def root(x: int) -> int:
         while (above := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[above]
         return x
 
+    found = []
     for x, y in np.unique(np.stack([a, b]), axis=1).T.tolist():
         x, y = root(x), root(y)
-        parent[max(x, y)] = min(x, y)
-    found = [(x, root(x)) for x in parent]
-    return np.array([f for f in found if f[0] != f[1]], "<i8").reshape(-1, 2).T
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((max(x, y), min(x, y)))
+    return np.array(found, "<i8").reshape(-1, 2).T
 
 
-def meetings(rows: list[dict]) -> np.ndarray:
-    """Pairs that connect the documents with equal parts, from a slice's blobs."""
+def meetings(rows: list[dict], parent: dict[int, int] | None = None) -> np.ndarray:
+    """Pairs that connect the documents with equal parts, from a slice's blobs; see ``forest``."""
     doc = np.concatenate([np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
     prints = np.concatenate([np.frombuffer(r["prints"], "<u4") for r in rows])
     order = np.argsort(prints, kind="stable")
@@ -323,21 +333,20 @@ def meetings(rows: list[dict]) -> np.ndarray:
     first = np.concatenate([[True], prints[1:] != prints[:-1]])
     heads = doc[first][np.cumsum(first) - 1]
     other = doc != heads
-    return forest(doc[other], heads[other])
+    return forest(doc[other], heads[other], parent)
 
 
-def candidates(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, count: int) -> DataFrame:
-    """``doc_id`` and ``first``: pairs that connect all documents with equal parts; equal sets once per task.
+def meet(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]], count: int) -> DataFrame:
+    """``doc_id`` and ``first``: pairs that connect all documents with equal parts.
 
-    Parts travel in blobs of about five bytes a part. Their 32 bits and the slice's name may
+    ``start`` gives for each task what makes the documents and parts of a batch. Parts travel in
+    blobs of about five bytes a part. Their 32 bits and the slice's name may
     agree by chance for different parts, which adds a candidate and loses none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(common)
     columns = ["slice", "ids", "counts", "prints"]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen, common = Bands(num, den), set(), shared.value
-        parts, ids, size = [], [], 0
+        make, parts, ids, size = start(), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for row in packed(np.concatenate(parts), np.concatenate(ids), count):
@@ -346,33 +355,122 @@ def candidates(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray,
                 )
 
         for batch in slices(source):
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingles(texts(batch), n)):
-                key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if len(found) and key not in seen:
-                    seen.add(key)
-                    parts.append(signatures(found, bands, common))
-                    ids.append(np.full(len(parts[-1]), doc_id, "<i8"))
-                    size += len(parts[-1])
+            for doc_id, own in make(batch):
+                parts.append(own)
+                ids.append(np.full(len(own), doc_id, "<i8"))
+                size += len(own)
                 if size >= BLOCK_PARTS:
                     yield from flush()
                     parts, ids, size = [], [], 0
-        if parts:
+        if size:
             yield from flush()
 
     def met(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
         for (name,), rows in groups(source, ["slice"]):
+            if len(parent) > TASK_NODES:  # what was found stays found, it may only come again
+                parent = {}
             if name < 0:
-                found = np.concatenate([np.stack([np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["prints"], "<i8")]) for r in rows], 1)
+                both = np.concatenate([np.stack([np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["prints"], "<i8")]) for r in rows], 1)
+                found = forest(*both, parent)
             else:
-                found = meetings(rows)
+                found = meetings(rows, parent)
             for at in range(0, found.shape[1], 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[:, at : at + (1 << 16)]], ["doc_id", "first"])
 
-    blobs = docs.mapInArrow(batches, "slice long, ids binary, counts binary, prints binary")
-    blobs = blobs.repartition(count, "slice").sortWithinPartitions("slice")
+    blobs = df.mapInArrow(batches, "slice long, ids binary, counts binary, prints binary")
+    # A task takes several slices, one after the other, and tells each connection once.
+    tasks = -(-count // TASK_SLICES)
+    blobs = blobs.repartition(tasks, F.floor(F.col("slice") / TASK_SLICES)).sortWithinPartitions("slice")
     return blobs.mapInArrow(met, "doc_id long, first long").distinct()
 
 
+def candidates(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, count: int) -> DataFrame:
+    """Documents that share a part of their sets, see ``meet``; equal sets once per task."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def start():
+        bands, seen, common = Bands(num, den), set(), shared.value
+
+        def make(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingles(texts(batch), n)):
+                key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                if len(found) and key not in seen:
+                    seen.add(key)
+                    yield doc_id, signatures(found, bands, common)
+
+        return make
+
+    return meet(docs, start, count)
+
+
+def often(sets: DataFrame, held: int) -> np.ndarray:
+    """For each hash range of a shingle how often its most frequent one occurs in ``sets``, as the bits of that number;
+    0 where every shingle occurs once. ``held``: shingles of all sets. 16 MB whatever the input."""
+    bits = min(SKETCH_BITS - 4, max(6, (held >> 20).bit_length()))
+    columns = ["slice", "shingle", "n"]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(source, 512):
+            found = [np.frombuffer(x, "<u8") for x in batch.column("found").to_pylist()]
+            names, counts = np.unique(np.concatenate(found), return_counts=True)
+            cuts = np.searchsorted(names, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            rows = [(k, a, c) for k, (a, c) in enumerate(zip(np.split(names, cuts), np.split(counts, cuts))) if len(a)]
+            arrays = [[k for k, *_ in rows], [a.tobytes() for _, a, _ in rows], [c.astype("<u4").tobytes() for *_, c in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int64(), pa.binary(), pa.binary()))], columns)
+
+    def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name,), rows in groups(source, ["slice"]):
+            shingle = np.concatenate([np.frombuffer(r["shingle"], "<u8") for r in rows])
+            n = np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows])
+            names, at = np.unique(shingle, return_inverse=True)
+            total = np.bincount(at, n)
+            place = (names[total > 1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) & ((1 << (SKETCH_BITS - bits)) - 1)
+            out = np.zeros(1 << (SKETCH_BITS - bits), np.uint8)
+            np.maximum.at(out, place, np.ceil(np.log2(total[total > 1])).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.tobytes()], pa.binary())], ["slice", "most"])
+
+    rows = sets.select("found").mapInArrow(batches, "slice long, shingle binary, n binary")
+    rows = rows.repartition(1 << bits, "slice").sortWithinPartitions("slice").mapInArrow(summed, "slice long, most binary")
+    out = np.zeros((1 << bits, 1 << (SKETCH_BITS - bits)), np.uint8)
+    for r in rows.collect():
+        out[r["slice"]] = np.frombuffer(bytes(r["most"]), np.uint8)
+    return out.reshape(-1)
+
+
+def rare_prefix(found: np.ndarray, sketch: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles of which two linking sets share one: the rarest ``a - T + 1`` of each, in one order for all sets.
+
+    Those that no other set has are left out.
+    """
+    a = len(found)
+    seen = sketch[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    first = np.lexsort((found, seen))[: a - max(1, -(-num * a // den)) + 1]
+    return found[first[seen[first] > 0]]
+
+
+def rare_candidates(sets: DataFrame, num: int, den: int, held: int) -> DataFrame:
+    """Documents (``node``) of ``sets`` that share one of their rarest shingles, see ``meet``."""
+    shared = sets.sparkSession.sparkContext.broadcast(often(sets, held))
+
+    def start():
+        def make(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            for node, found in zip(batch.column("node").to_pylist(), batch.column("found").to_pylist()):
+                yield node, mix(rare_prefix(np.frombuffer(found, "<u8"), shared.value, num, den))
+
+        return make
+
+    return meet(sets.select("node", "found"), start, max(16, held * (den - num) // den // SLICE_PARTS))
+
+
+def in_blocks(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``node``, ``block`` (the component) and into how many ``chunks`` a block of that many shingles is cut."""
+    blocks = components(edges).select("node", F.col("component").alias("block")).join(sizes, "node")
+    totals = blocks.groupBy("block").agg(F.sum("size").alias("total"))
+    chunks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long").alias("chunks")
+    return blocks.join(totals.select("block", chunks), "block").select("node", "block", "chunks")
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """``nodes`` (with ``node`` = a document's id) and the sets ``found`` of those documents."""
 
@@ -451,15 +549,17 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     met = materialise(met.distinct(), "candidates")
 
     sizes = members.filter("doc_id = node").groupBy("node").agg(F.max("size").alias("size"))
-    blocks = components(met).select("node", F.col("component").alias("block")).join(sizes, "node")
-    totals = blocks.groupBy("block").agg(F.sum("size").alias("total"))
-    chunks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long").alias("chunks")
-    blocks = blocks.join(totals.select("block", chunks), "block").select("node", "block", "chunks")
-    found = materialise(sets_of(named, blocks, n), "block_sets")
-
-    small = found.filter("chunks = 1").withColumn("role", F.lit(2))
-    links = _links(small.select("block", "node", "role", "found"), ["block"], num, den)
-    large = found.filter("chunks > 1")
+    found = materialise(sets_of(named, in_blocks(met, sizes), n), "block_sets")
+    small, large = found.filter("chunks = 1"), found.filter("chunks > 1")
+    wide = large.agg(F.sum(F.length("found") / 8)).first()[0]
+    if wide:
+        # What only hangs together by passages comes apart when documents have to share one of their rarest shingles.
+        met = materialise(rare_candidates(large, num, den, int(wide)), "rare_candidates")
+        met = met.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        finer = large.select("node", "found").join(in_blocks(met, sizes), "node").select(*found.columns)
+        finer = materialise(finer, "finer_sets")
+        small, large = small.unionByName(finer.filter("chunks = 1")), finer.filter("chunks > 1")
+    links = _links(small.select("block", "node", F.lit(2).alias("role"), "found"), ["block"], num, den)
     if large.limit(1).count():
         degree = met.groupBy("b").agg(F.count("*").alias("k")).withColumnRenamed("b", "node")
         pivots = large.select("block", "node").join(degree, "node").groupBy("block").agg(

@@ -92,8 +92,46 @@ def test_blobs_keep_all_meetings():
             else:
                 assert 0 <= name < 7
                 slices.setdefault(name, []).append({"ids": ids, "counts": counts, "prints": prints})
-    pairs += [jaccard_join.meetings(rows) for rows in slices.values()]
-    a, b = np.concatenate(pairs, 1)
-    want = jaccard_join.forest(doc, np.array([doc[part == p].min() for p in part]))
-    got = jaccard_join.forest(a, b)
-    assert set(zip(*got.tolist())) == set(zip(*want.tolist()))
+    parent = {}
+    alone = sum(jaccard_join.meetings(rows).shape[1] for rows in slices.values())
+    pairs += [jaccard_join.meetings(rows, parent) for rows in slices.values()]
+    assert sum(p.shape[1] for p in pairs[-len(slices) :]) < alone  # a connection is told once
+
+    def groups(a, b):
+        names = {}
+        jaccard_join.forest(a, b, names)
+
+        def root(x):
+            return x if names[x] == x else root(names[x])
+
+        return {x: root(x) for x in names if root(x) != x}
+
+    heads = np.array([doc[part == p].min() for p in part])
+    assert groups(*np.concatenate(pairs, 1)) == groups(doc, heads)
+
+
+def test_linking_sets_share_a_rare_shingle():
+    draw = np.random.default_rng(6)
+    sketch = draw.integers(0, 4, 1 << jaccard_join.SKETCH_BITS).astype(np.uint8)
+    for num in (70, 80, 90):
+        for _ in range(200):
+            a = np.unique(draw.integers(0, 2**63, draw.integers(1, 80)).astype(np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[draw.random(len(a)) > 0.1], draw.integers(0, 2**63, draw.integers(0, 8)).astype(np.uint64)]))
+            if len(b) and jaccard_join.linked(a, b, num, 100):
+                # A shingle of both sets occurs more than once.
+                sketch[(np.intersect1d(a, b) >> np.uint64(64 - jaccard_join.SKETCH_BITS)).astype(np.int64)] |= 1
+                prefixes = [jaccard_join.rare_prefix(x, sketch, num, 100) for x in (a, b)]
+                assert len(np.intersect1d(*prefixes))
+
+
+def test_counts_of_shingles(spark):
+    draw = np.random.default_rng(7)
+    names = draw.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(draw.choice(names, 60)) for _ in range(700)]
+    df = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "found binary").repartition(3)
+    got, every = jaccard_join.often(df, 42_000), np.concatenate(sets)
+    found, counts = np.unique(every, return_counts=True)
+    place = (found >> np.uint64(64 - jaccard_join.SKETCH_BITS)).astype(np.int64)
+    want = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)
+    np.maximum.at(want, place[counts > 1], np.ceil(np.log2(counts[counts > 1])).astype(np.uint8))
+    assert (got == want).all()
