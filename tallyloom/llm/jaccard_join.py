@@ -56,7 +56,7 @@ SPARE_PARTS = 1.2
 # Parts that a map task collects before it sends them, and parts of a slice of the hash range, which one task compares.
 BLOCK_PARTS = 1 << 19
 SLICE_PARTS = 1 << 20
-TASK_SLICES = 8
+TASK_SLICES = 4
 TASK_NODES = 500_000
 SKETCH_BITS = 24
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.shipping import by_value
+from tallyloom.llm.common import slices as row_slices
 from tallyloom.llm.common import texts
 from tallyloom.llm.words import windows, word_hashes
 
@@ -188,7 +189,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
 
         def batches(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             here = Slice(shared.value, min_match)
-            for batch in source:
+            for batch in row_slices(source):
                 rows = [(i, *r) for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch)) for r in here.check(t)]
                 columns = zip(*rows) if rows else [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names)
@@ -211,7 +212,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
 
         def batches(source: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             here = Slice(shared.value, MIN_MATCH)
-            for batch in source:
+            for batch in row_slices(source):
                 good = [all(r[2] < min_coverage for r in here.check(t)) for t in texts(batch)]
                 yield batch.filter(pa.array(good, pa.bool_()))
 
