@@ -26,8 +26,6 @@ from ..rules import models as M
 from ..session import materialise
 from .lookup import source_channel, with_pricing
 
-HEAD = 6  # messages at the start of a session that advice looks at; ``message_sizes`` has the sizes of all
-
 
 def zero(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(0))
@@ -191,10 +189,10 @@ def message_sizes(messages: DataFrame) -> DataFrame:
 
 
 def session_context(messages: DataFrame) -> DataFrame:
-    """First, second and last real user message, turns, characters, head and time span per session.
+    """First, second and last real user message, turns, characters, sizes and time span per session.
 
-    ``message_sizes`` lists the sizes of the session's head, its first ``HEAD`` messages that count; all
-    sizes are rows of the operator of that name. Messages are measured once and written.
+    ``message_sizes`` lists the sizes of all messages that count, in order; the operator of that name has
+    them as rows. Messages are measured once and written.
     """
     df = materialise(_measured(messages), "measured_messages")
     index = F.col("message_index")
@@ -220,8 +218,7 @@ def session_context(messages: DataFrame) -> DataFrame:
     )
     sized = df.filter("sized").select("conversation_id", "message_index", "role", "est")
     sizes = (
-        ordered.first_rows(sized, ["conversation_id"], ["message_index"], HEAD)
-        .groupBy("conversation_id")
+        sized.groupBy("conversation_id")
         .agg(F.sort_array(F.collect_list(F.struct("message_index", "role", "est"))).alias("_sizes"))
         .select(
             "conversation_id",

@@ -255,7 +255,7 @@ LEFT JOIN (SELECT conversation_id, body AS second_msg FROM (SELECT *, row_number
 LEFT JOIN (SELECT conversation_id, string_agg(role || ':' || est, ',' ORDER BY pos) AS sizes, count(*) AS n_sizes,
     CAST(coalesce(sum(est) FILTER (WHERE role = 'user' AND pos <= 6), 0) AS BIGINT) AS first6_user,
     CAST(coalesce(sum(est) FILTER (WHERE role = 'assistant' AND pos <= 6), 0) AS BIGINT) AS first6_assistant
-  FROM sized WHERE pos <= 6 GROUP BY conversation_id) c USING (conversation_id)""",
+  FROM sized GROUP BY conversation_id) c USING (conversation_id)""",
 )
 cte(
     "origins",

@@ -136,6 +136,12 @@ def test_all_message_sizes_are_rows(spark):
     assert [tuple(s) for s in listed] == [g[2:] for g in got[: len(listed)]] and len(listed) >= 6
 
 
+def test_context_lists_the_sizes_of_all_messages(spark):
+    rows = [("a", i, ("user", "assistant")[i % 2], "x" * (3 * i + 3), "text", "m", datetime(2024, 1, 1)) for i in range(250)]
+    listed = U.session_context(spark.createDataFrame(rows, MESSAGES).repartition(5)).first().context.message_sizes
+    assert [tuple(s) for s in listed] == [(("user", "assistant")[i % 2], i + 1) for i in range(250)]
+
+
 SESSION = "id string, source string, source_id string, model string, total_input_tokens bigint, total_output_tokens bigint, " \
     "input_output_ratio double, message_count bigint, cost_estimate double, start_time timestamp, context struct<total_messages:bigint>"
 
