@@ -2,116 +2,183 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import materialise
+from .shipping import by_value
 
 GRAM = 4
 # Long texts of a piece that one task meets.
 HOT = 20_000
-# Characters of a listed text whose parts are joined one by one.
+# Characters of a listed text up to which its parts were once joined one by one; listed texts of any length meet alike now.
 LISTED = 80
+# Counters of how often pieces occur, over all texts and once more within their keys.
+COUNTERS = 1 << 19
 
 
 def substrings(c: Column, n: int) -> Column:
     """All distinct substrings of length ``n``."""
+    return F.array_distinct(_grams(c, n))
+
+
+def _grams(c: Column, n: int) -> Column:
+    """Substrings of length ``n`` by place."""
     last = F.length(c) - F.lit(n - 1)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _pieces(longs: DataFrame, keys: Sequence[str], n: int, small: float | None | bool) -> DataFrame:
-    """Every long text with each of its distinct pieces of ``n`` characters; below ``GRAM`` only if ``small`` is not False."""
+def _pieces(n: int, shorter: Sequence[int], longest: float | None) -> Column:
+    """The distinct pieces of a long text: those of ``n`` characters and, for short texts below that, of ``shorter`` ones."""
     text = F.col("l_text")
     found = substrings(text, n)
-    if small is not False:
-        less = F.concat(*[substrings(text, k) for k in range(1, GRAM)])
-        if small is not None:
-            # texts below GRAM characters can only lie in texts up to this length
-            less = F.when(F.length(text) <= F.lit((GRAM - 1) * small), less).otherwise(F.array().cast("array<string>"))
+    for k in shorter:
+        less = substrings(text, k)
+        if longest is not None:  # a text of k characters can only lie in texts up to this length
+            less = F.when(F.length(text) <= F.lit(k * longest), less).otherwise(F.array().cast("array<string>"))
         found = F.concat(found, less)
-    return longs.select(*keys, "l_id", "l_text", F.explode(found).alias("piece"))
-
-
-def _met(anchors: DataFrame, pieces: DataFrame, keys: Sequence[str], hot: bool) -> DataFrame:
-    """Short and long texts with one piece; where a piece is ``hot``, both sides are cut by the long text's hash."""
-    keys = [*keys, "piece"]
+    return found
+
+
+def _counters(pieces: Column, keys: Sequence[str]) -> Column:
+    """The counters of an array of pieces: one each over all texts, then, if there are keys, one each within them."""
+    of = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(COUNTERS))).cast("int")
+    out = F.transform(pieces, lambda p: of(p))
+    return F.concat(out, F.transform(pieces, lambda p: of(*keys, p) + COUNTERS)) if keys else out
+
+
+def _counted(longs: DataFrame, keys: Sequence[str], pieces: Column) -> np.ndarray:
+    """How often pieces fall on each counter; at least as often as any piece that falls there."""
+
+    def totals(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * COUNTERS, np.int64)
+        for batch in source:
+            sums += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=2 * COUNTERS)
+        at = np.flatnonzero(sums)
+        for k in range(0, len(at), 65_536):
+            part = at[k : k + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], ["at", "n"])
+
+    sums = longs.select(_counters(pieces, keys).alias("at")).mapInArrow(totals, "at int, n long")
+    sums = sums.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # two rows a counter at most
+    out = np.zeros(2 * COUNTERS, np.int64)
+    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _anchored(shorts: DataFrame, keys: Sequence[str], n: int, counts: np.ndarray) -> DataFrame:
+    """Short texts with their rarest piece and how often it occurs at most (``_df``); without those that lie in no long text."""
+    shared, keyed = shorts.sparkSession.sparkContext.broadcast(counts), bool(keys)
+    text = F.col("s_text")
+    own = F.when(F.length(text) >= n, _grams(text, n)).otherwise(F.array(text))
+    asked = shorts.select(*keys, "s_id", "s_text", _counters(own, keys).alias("_at"))
+    kept = asked.schema.fields[:-1]
+
+    def rarest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("_at")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            found = shared.value[lists.flatten().to_numpy(zero_copy_only=False)]
+            if keyed:  # a list holds the counters over all texts, then those within the keys
+                starts = np.cumsum(sizes) - sizes
+                sizes //= 2
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+                found = np.minimum(found[place], found[place + np.repeat(sizes, sizes)])
+            starts = np.cumsum(sizes) - sizes
+            least = np.minimum.reduceat(found, starts)
+            hits = np.flatnonzero(found == np.repeat(least, sizes))
+            first = hits[np.searchsorted(hits, starts)] - starts
+            columns = [batch.column(f.name) for f in kept] + [pa.array(first.astype(np.int32)), pa.array(least)]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["_place", "_df"]).filter(pa.array(least > 0))
+
+    out = asked.mapInArrow(rarest, StructType([*kept, StructField("_place", IntegerType()), StructField("_df", LongType())]))
+    piece = F.when(F.length(text) >= n, F.substring(text, F.col("_place") + 1, F.lit(n))).otherwise(text)
+    return out.select(*keys, "s_id", "s_text", F.xxhash64(*keys, piece).alias("_piece"), "_df")
+
+
+def _met(anchors: DataFrame, pieces: DataFrame, hot: bool, near: Column) -> DataFrame:
+    """Short texts and long texts' marks with one piece; where a piece is ``hot``, both sides are cut by the mark."""
     if not hot:
-        return anchors.drop("_df").join(pieces, keys)
-    cuts = F.ceil(F.col("_df") / HOT).cast("long")
-    wide = anchors.filter(F.col("_df") > HOT).select(*keys, cuts.alias("_cuts")).distinct()
-    pieces = pieces.join(wide, keys, "left").withColumn("_cut", F.pmod(F.xxhash64("l_id", "l_text"), F.coalesce("_cuts", F.lit(1))))
-    anchors = anchors.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1))).drop("_df")
-    return anchors.join(pieces.drop("_cuts"), [*keys, "_cut"]).drop("_cut")
-
-
-def contained_pairs(shorts: DataFrame, longs: DataFrame, keys: Sequence[str] = (), longest: float | None = None) -> DataFrame:
+        return anchors.drop("_df").join(pieces.hint("merge"), "_piece").filter(near)
+    # pieces on one counter are as hot as all of them, so a piece is cut by the largest count
+    wide = anchors.groupBy("_piece").agg(F.max("_df").alias("_df")).filter(F.col("_df") > HOT)
+    wide = wide.select("_piece", F.ceil(F.col("_df") / HOT).cast("long").alias("_cuts"))
+    one = F.coalesce("_cuts", F.lit(1).cast("long"))
+    pieces = pieces.join(wide, "_piece", "left").withColumn("_cut", F.pmod("_mark", one)).drop("_cuts")
+    anchors = anchors.drop("_df").join(wide, "_piece", "left")
+    anchors = anchors.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("_cuts")
+    return anchors.join(pieces.hint("merge"), ["_piece", "_cut"]).filter(near)
+
+
+def contained_pairs(
+    shorts: DataFrame, longs: DataFrame, keys: Sequence[str] = (), longest: float | None = None, *, equal: bool = True
+) -> DataFrame:
     """Pairs where ``s_text`` occurs in ``l_text``; both sides should hold distinct texts.
 
     ``shorts``: keys, s_id, s_text; ``longs``: keys, l_id, l_text. A text lies
     inside another only if all its pieces do, so each short text meets the long
-    ones through its rarest piece alone. Pieces have ``GRAM`` characters; short texts whose
+    ones through its rarest piece alone. Which one is rarest is told by a table of counters of
+    fixed size; pieces and long texts travel as hashes, and a pair that met is compared with the texts themselves.
+    Pieces have ``GRAM`` characters; short texts whose
     rarest one lies in more than ``HOT`` long texts try again with pieces twice as long, as long
     as they have such pieces. What is left with a hot piece meets its long texts in parts of ``HOT``.
-    ``longest`` limits the long text to a multiple of the short one.
+    ``longest`` limits the long text to a multiple of the short one; without ``equal``, equal texts make no pair.
+    Neither side is sent to the driver or whole to the tasks. Both are read more than once.
     """
-    keys, size, small = list(keys), GRAM, longest
-    inside = F.contains("l_text", "s_text")
+    keys, size, out = list(keys), GRAM, None
+    marked = longs.withColumn("_mark", F.xxhash64(*keys, "l_id", "l_text"))
+    shorts = shorts.filter(F.col("s_text") != "")
+    small = shorts.filter(F.length("s_text") < GRAM).select(F.length("s_text").alias("n")).distinct()
+    shorter = sorted(r.n for r in small.collect())
+    n = F.length("s_text")
+    near = (F.col("_chars") >= n) if equal else (F.col("_chars") > n)
     if longest is not None:
-        inside = inside & (F.length("l_text") <= F.length("s_text") * F.lit(longest))
-    shorts, out = shorts.filter(F.col("s_text") != ""), None
+        near = near & (F.col("_chars") <= n * F.lit(longest))
     while True:
-        own = F.when(F.length("s_text") >= size, substrings(F.col("s_text"), size)).otherwise(F.array("s_text"))
-        asked = shorts.select(*keys, "s_id", "s_text", F.explode(own).alias("piece"))
-        pieces = _pieces(longs, keys, size, small)
-        if size > GRAM:  # few texts are left, so only pieces that one of them has are counted
-            pieces = pieces.join(asked.select(*keys, "piece").distinct(), [*keys, "piece"], "left_semi")
-        frequency = pieces.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("_df"))
-        anchors = (
-            asked.join(frequency, [*keys, "piece"], "left")
-            .groupBy(*keys, "s_id", "s_text")
-            .agg(
-                F.min_by(F.struct("piece", "_df"), F.struct("_df", "piece")).alias("_rarest"),
-                F.bool_and(F.col("_df").isNotNull()).alias("_possible"),
-            )
-            .filter("_possible")
-            .select(*keys, "s_id", "s_text", "_rarest.*")
-        )
-        anchors = materialise(anchors, "anchors")
+        found = _pieces(size, shorter, longest)
+        anchors = materialise(_anchored(shorts, keys, size, _counted(longs, keys, found)), "anchors")
         most = anchors.agg(F.max("_df")).first()[0] or 0
         longer = (F.col("_df") > HOT) & (F.length("s_text") >= 2 * size)
-        met = _met(anchors.filter(~longer), pieces, keys, most > HOT).filter(inside)
-        met = met.select(*keys, "s_id", "s_text", "l_id", "l_text")
+        marks = F.transform(found, lambda p: F.xxhash64(*keys, p))
+        pieces = marked.select("_mark", F.length("l_text").alias("_chars"), F.explode(marks).alias("_piece"))
+        met = _met(anchors.filter(~longer), pieces, most > HOT, near).select(*keys, "s_id", "s_text", "_mark")
         out = met if out is None else out.unionByName(met)
         if most <= HOT or not anchors.filter(longer).limit(1).count():
-            return out
-        shorts, size, small = anchors.filter(longer).drop("piece", "_df"), 2 * size, False
+            break
+        shorts, size, shorter = anchors.filter(longer).drop("_piece", "_df"), 2 * size, []
+    whole = marked.select("_mark", *[F.col(k).alias(f"_l_{k}") for k in keys], "l_id", "l_text").hint("merge")
+    inside = F.contains("l_text", "s_text")
+    for k in keys:
+        inside = inside & (F.col(k) == F.col(f"_l_{k}"))
+    return out.join(whole, "_mark").filter(inside).select(*keys, "s_id", "s_text", "l_id", "l_text")
 
 
 def contained_in_list(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
     """``text`` and the smallest ``value`` of a listed text that contains it.
 
-    ``texts``: text (distinct); ``listed``: l_text, ``value``. A listed text is short, so its parts are
-    joined by equality: the smallest value is known for each part before the join, and no pair is made.
-    Listed texts above ``LISTED`` characters go through ``contained_pairs``. ``longest`` as there.
+    ``texts``: text (distinct); ``listed``: l_text, ``value``. ``longest`` as in ``contained_pairs``.
     """
-    n = F.length("l_text")
-    shortest = F.lit(1) if longest is None else F.greatest(F.ceil(n / F.lit(longest)).cast("int"), F.lit(1))
-    starts = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("l_text"), i, k))
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(shortest, n), starts)))
-    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull())
-    near = listed.filter(n <= LISTED).select(value, F.explode(parts).alias("text")).groupBy("text").agg(F.min(value).alias(value))
-    found = texts.filter(F.col("text") != "").join(near, "text")
-    long = listed.filter(n > LISTED)
-    if long.limit(1).count():
-        shorts = texts.select(F.col("text").alias("s_id"), F.col("text").alias("s_text"))
-        pairs = contained_pairs(shorts, long.select(F.struct(value).alias("l_id"), "l_text"), (), longest)
-        found = found.unionByName(pairs.select(F.col("s_text").alias("text"), F.col(f"l_id.{value}").alias(value)))
-        found = found.groupBy("text").agg(F.min(value).alias(value))
-    return found.select("text", value)
+    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull()).groupBy("l_text").agg(F.min(value).alias(value))
+    shorts = texts.select(F.lit(0).alias("s_id"), F.col("text").alias("s_text"))
+    pairs = contained_pairs(shorts, listed.select(F.struct(value).alias("l_id"), "l_text"), (), longest)
+    return pairs.groupBy(F.col("s_text").alias("text")).agg(F.min(f"l_id.{value}").alias(value))
+
+
+def list_within(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
+    """``text`` and the smallest ``value`` of a listed text that lies in it; arguments as for ``contained_in_list``."""
+    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull()).groupBy("l_text").agg(F.min(value).alias(value))
+    longs = texts.select(F.lit(0).alias("l_id"), F.col("text").alias("l_text"))
+    shorts = listed.select(F.struct(value).alias("s_id"), F.col("l_text").alias("s_text"))
+    pairs = contained_pairs(shorts, longs, (), longest)
+    return pairs.groupBy(F.col("l_text").alias("text")).agg(F.min(f"s_id.{value}").alias(value))
 
 
 def one_edit_pairs(texts: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
@@ -127,8 +194,12 @@ def one_edit_pairs(texts: DataFrame, keys: Sequence[str], longest: int) -> DataF
         lambda i: F.concat(F.substring(F.col("text"), F.lit(1), i - 1), F.substring(F.col("text"), i + 1, n)),
     )
     forms = F.array_distinct(F.concat(F.array("text"), left_out))
+    forms = F.transform(forms, lambda f: F.xxhash64(f))  # texts that meet by chance are told apart by their distance
     df = texts.filter(n <= longest).select(*keys, "id", "text", F.explode(forms).alias("form"))
     a = df.withColumnsRenamed({"id": "a_id", "text": "a_text"})
     b = df.withColumnsRenamed({"id": "b_id", "text": "b_text"})
     near = (F.col("a_id") < F.col("b_id")) & (F.levenshtein("a_text", "b_text") <= 1)
-    return a.join(b, [*keys, "form"]).filter(near).select(*keys, "a_id", "b_id").distinct()
+    return a.join(b.hint("merge"), [*keys, "form"]).filter(near).select(*keys, "a_id", "b_id").distinct()
+
+
+by_value(__name__)

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.containment import contained_in_list
+from ..functions.containment import contained_in_list, list_within
 from ..functions.joins import salted_join
-from ..functions.needles import containing
 from ..functions.ruletable import as_groups, as_rules
 from ..functions.text import SPACE, col, contains_any, first_match, half_up, strip, sub
 from ..rules import tasks as R
@@ -83,17 +82,16 @@ def whitelist_scores(contents: DataFrame, whitelist: DataFrame) -> DataFrame:
     mine = materialise(mine, "core_contents")
     shares = (
         mine.select("content", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
-        .join(words, "word")
+        .join(words.hint("merge"), "word")
         .groupBy("content", "module", "ord")
         .agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
     )
     # A long word and a text of near equal length, one inside the other; the first module of a word stands for it.
     first = words.filter(F.length("word") >= 4).groupBy("word").agg(F.min(F.struct("ord", "module")).alias("_m"))
     first = materialise(first, "long_words")
-    near = F.length("content") <= F.length("word") * F.lit(1.5)
-    one = containing(mine.select("content"), "content", first, "word").filter(near).select("content", "_m")
-    two = contained_in_list(mine.select(F.col("content").alias("text")), first.withColumnRenamed("word", "l_text"), "_m", longest=1.5)
-    inside = one.unionByName(two.withColumnRenamed("text", "content")).groupBy("content").agg(F.min("_m").alias("_m"))
+    texts, listed = mine.select(F.col("content").alias("text")), first.withColumnRenamed("word", "l_text")
+    inside = list_within(texts, listed, "_m", longest=1.5).unionByName(contained_in_list(texts, listed, "_m", longest=1.5))
+    inside = inside.groupBy(F.col("text").alias("content")).agg(F.min("_m").alias("_m"))
     inside = inside.select("content", "_m.module", "_m.ord", F.lit(0.5).alias("score"))
     scored = shares.unionByName(inside)
     best = scored.groupBy("content").agg(F.min_by(F.struct("module", "score"), F.struct(-F.col("score"), "ord")).alias("b"))
@@ -117,7 +115,7 @@ def assign_modules(tasks: DataFrame, whitelist: DataFrame | None = None, keyword
     keep, keywords = tasks.columns, as_rules(keywords, ["keyword", "module"])
     df = tasks
     if whitelist is not None:
-        df = df.join(whitelist_scores(tasks.select("content").distinct(), whitelist), "content", "left")
+        df = df.join(whitelist_scores(tasks.select("content").distinct(), whitelist).hint("merge"), "content", "left")
     else:
         df = df.withColumns({"wl_module": F.lit(None).cast("string"), "wl_score": F.lit(None).cast("double")})
     plain, name = section_name(F.coalesce("section_path", F.lit("")))

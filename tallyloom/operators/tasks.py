@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.containment import contained_in_list, contained_pairs, one_edit_pairs
-from ..functions.needles import containing
+from ..functions.containment import contained_in_list, contained_pairs, list_within, one_edit_pairs
 from ..functions.ruletable import as_groups, as_rules
 from ..functions.staging import staged
 from ..functions.survivors import ruled_out
@@ -339,46 +338,55 @@ def _distinct_contents(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("project", "content").agg(F.min("seq").alias("seq"), F.min_by(step, "seq").alias("step"))
 
 
+def _without(texts: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``project`` and ``seq`` that stay. Both tables grow with the tasks, so neither is sent to all of them."""
+    return texts.select("project", "seq").join(dropped.hint("merge"), ["project", "seq"], "left_anti")
+
+
+def _only(tasks: DataFrame, kept: DataFrame) -> DataFrame:
+    return tasks.join(kept.hint("merge"), ["project", "seq"], "left_semi")
+
+
 def dedup_tasks(tasks: DataFrame) -> DataFrame:
     """Drop a task when an earlier one that is kept has the same text, contains it or lies in it (at least half
     as long; not for step titles), or is one edit away when both have at most ten characters; per project.
     """
-    texts = _distinct_contents(tasks)
+    texts = materialise(_distinct_contents(tasks), "distinct_contents")
     pairs = contained_pairs(
         texts.select("project", F.col("seq").alias("s_id"), F.col("content").alias("s_text")),
         texts.select("project", F.col("seq").alias("l_id"), F.col("content").alias("l_text")),
         ["project"],
         longest=2.0,
+        equal=False,
     ).filter("s_id <> l_id")
     plain = texts.filter(~F.col("step")).select("project", F.col("seq").alias("late"))
     contained = pairs.select("project", F.least("s_id", "l_id").alias("early"), F.greatest("s_id", "l_id").alias("late"))
-    contained = contained.join(plain, ["project", "late"])
+    contained = contained.join(plain.hint("merge"), ["project", "late"])
     near = one_edit_pairs(texts.select("project", F.col("seq").alias("id"), F.col("content").alias("text")), ["project"], 10)
     near = near.select("project", F.col("a_id").alias("early"), F.col("b_id").alias("late"))
     dropped = ruled_out(contained.unionByName(near), ["project"])
-    kept = texts.select("project", "seq").join(dropped, ["project", "seq"], "left_anti")
-    return tasks.join(kept, ["project", "seq"], "left_semi")
+    return _only(tasks, _without(texts, dropped))
 
 
 def dedup_keep_longer(tasks: DataFrame) -> DataFrame:
     """Per project: first of equal texts, and of two texts where one contains the other the longer."""
     texts = tasks.withColumn("content", strip("content")).filter(F.col("content") != "")
-    first = texts.groupBy("project", "content").agg(F.min("seq").alias("seq"))
+    first = materialise(texts.groupBy("project", "content").agg(F.min("seq").alias("seq")), "distinct_contents")
     pairs = contained_pairs(
         first.select("project", F.col("seq").alias("s_id"), F.col("content").alias("s_text")),
         first.select("project", F.col("seq").alias("l_id"), F.col("content").alias("l_text")),
         ["project"],
+        equal=False,
     ).filter("s_id <> l_id")
     inner = pairs.select("project", F.col("s_id").alias("seq")).distinct()
-    kept = first.select("project", "seq").join(inner, ["project", "seq"], "left_anti")
-    return tasks.join(kept, ["project", "seq"], "left_semi")
+    return _only(tasks, _without(first, inner))
 
 
 def match_whitelist(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Add the first whitelist entry whose key contains the task's key or lies in it.
 
-    ``whitelist``: ord, module, content. Distinct task keys meet the list through an index of
-    its keys and by equality with parts of them, the result returns by an equi-join.
+    ``whitelist``: ord, module, content. Distinct task keys and distinct keys of the list meet through
+    their rarest pieces, either one inside the other; the result returns by an equi-join.
     """
     df = tasks.withColumn("key", norm_key("content"))
     keys = materialise(df.select("key").filter(F.col("key") != "").distinct(), "task_keys")
@@ -387,10 +395,10 @@ def match_whitelist(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
     )
     listed = listed.filter(F.col("wl_key") != "")
     first = materialise(listed.groupBy("wl_key").agg(F.min("_w").alias("_w")), "whitelist_keys")
-    one = containing(keys, "key", first, "wl_key").select("key", "_w")
-    two = contained_in_list(keys.withColumnRenamed("key", "text"), first.withColumnRenamed("wl_key", "l_text"), "_w")
-    best = one.unionByName(two.withColumnRenamed("text", "key")).groupBy("key").agg(F.min("_w").alias("_w"))
-    return df.join(best, "key", "left").select(
+    texts, listed = keys.withColumnRenamed("key", "text"), first.withColumnRenamed("wl_key", "l_text")
+    both = list_within(texts, listed, "_w").unionByName(contained_in_list(texts, listed, "_w"))
+    best = both.groupBy(F.col("text").alias("key")).agg(F.min("_w").alias("_w"))
+    return df.join(best.hint("merge"), "key", "left").select(
         *tasks.columns, "key", F.col("_w.std_module").alias("std_module"), F.col("_w.std_content").alias("std_content")
     )
 
@@ -409,6 +417,7 @@ def merge_tasks(tasks: DataFrame, whitelist: DataFrame, head: int | None = None)
         first.select("project", F.col("seq").alias("s_id"), F.col("key").alias("s_text")),
         first.select("project", F.col("seq").alias("l_id"), F.col("key").alias("l_text")),
         ["project"],
+        equal=False,
     ).filter("s_id <> l_id")
     pairs = pairs.select("project", F.least("s_id", "l_id").alias("early"), F.greatest("s_id", "l_id").alias("late"))
     if head:
@@ -417,9 +426,8 @@ def merge_tasks(tasks: DataFrame, whitelist: DataFrame, head: int | None = None)
         same_head = long.join(heads, ["project", "_head"]).filter("seq > early").select("project", "early", F.col("seq").alias("late"))
         pairs = pairs.unionByName(same_head)
     unlisted = first.filter(~F.col("listed")).select("project", F.col("seq").alias("late"))
-    dropped = ruled_out(pairs.join(unlisted, ["project", "late"]), ["project"])
-    kept = first.select("project", "seq").join(dropped, ["project", "seq"], "left_anti")
-    df = df.join(kept, ["project", "seq"], "left_semi")
+    dropped = ruled_out(pairs.join(unlisted.hint("merge"), ["project", "late"]), ["project"])
+    df = _only(df, _without(first, dropped))
     return df.select(
         "project",
         "seq",

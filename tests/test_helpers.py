@@ -162,3 +162,34 @@ def test_survivors_of_long_chains_in_few_jobs(spark, monkeypatch):
             gone.add(late)
     got = {(r.project, r.seq) for r in survivors.ruled_out(spark.createDataFrame(pairs, df.schema), ["project"]).collect()}
     assert got == {("p", k) for k in gone} | {("q", 2)}
+
+
+def test_no_side_of_a_containment_goes_through_the_driver(spark, monkeypatch):
+    """Texts and lists grow with the tasks, so none is collected, put into a plan or broadcast, however small it looks."""
+    from tallyloom.functions import needles
+    from tallyloom.operators import modules, tasks
+
+    def refuse(*_):
+        raise AssertionError("a list went through the driver")
+
+    monkeypatch.setattr(needles, "slices", refuse)
+    kind = "project string, seq bigint, module string, content string, task_type string, section_path string, raw_text string"
+    rows = [(f"p{i % 3}", i, "m", f"查询列表{i}编号{i % 7}", "t", "", "a. x") for i in range(30)] + [("p0", 60, "m", "查询列表1", "t", "", "")]
+    df = spark.createDataFrame(rows, kind)
+    wl = spark.createDataFrame([(0, "w", "列表12编号5"), (1, "v", "查询列表2编号2和其他")], "ord bigint, module string, content string")
+    listed = tasks.match_whitelist(df, wl)
+    plans = [listed, tasks.dedup_keep_longer(df), modules.assign_modules(df, wl)]
+    for plan in plans:
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r.seq: r.std_module for r in listed.filter("std_module is not null").collect()} == {12: "w", 2: "v"}
+    assert 60 not in {r.seq for r in plans[1].collect()}
+
+
+def test_pieces_on_one_counter_only_make_more_texts_meet(spark, monkeypatch):
+    from tallyloom.functions import containment
+
+    monkeypatch.setattr(containment, "COUNTERS", 2)
+    texts = ["ab", "abc", "xabcx", "abcdeabcde", "cdeab", "q", "zzzz"]
+    a = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)], "k string, s_id int, s_text string")
+    got = {(r.s_id, r.l_id) for r in contained_pairs(a, a.toDF("k", "l_id", "l_text"), ["k"], equal=False).collect()}
+    assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t and s != t}
