@@ -113,8 +113,7 @@ def src_calls(spark, sf):
   WHERE NOT contains(source, 'src1')""")
 def src_tree(spark, sf):
     root = new_path(spark, "tree")
-    docs = A.document_texts(spark, sf).select("text", "project")
-    docs.write.option("maxRecordsPerFile", 1).partitionBy("project").text(root)
+    X.write_tree(A.document_texts(spark, sf), root)
     df = X.read_sources(spark, root, "python", exclude=["project=src1"], extension=".txt")
     return df.select(
         F.regexp_extract("path", "project=([^/]*)/", 1).alias("project"),

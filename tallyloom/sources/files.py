@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..functions.shipping import by_value
 from ..functions.text import any_of, contains_any, matches, strip, sub
 from ..rules import code as C
 
@@ -31,6 +36,37 @@ def read_sources(
     return df.select(F.md5("path").alias("doc_id"), "path", F.lit(language).alias("language"), "text")
 
 
+def write_tree(docs: DataFrame, root: str, folder: str = "project", extension: str = ".txt") -> None:
+    """A file for every row of ``docs`` (folder, text), text and a line break, below ``root/folder=value``.
+
+    The tasks write with Arrow's file systems: on local and mounted folders Spark's own writer starts processes to set
+    rights for each file. A store that Arrow cannot open goes through that writer.
+    """
+    try:
+        pyarrow.fs.FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        docs.select(folder, "text").write.option("maxRecordsPerFile", 1).partitionBy(folder).text(root)
+        return
+
+    def files(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pyarrow.fs.FileSystem.from_uri(root)
+        made, task, n = set(), TaskContext.get().partitionId(), 0
+        for batch in source:
+            for value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # names of folders as Spark's writer gives them
+                name = re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+                at = f"{base}/{folder}={name}"
+                if at not in made:
+                    store.create_dir(at, recursive=True)
+                    made.add(at)
+                with store.open_output_stream(f"{at}/f{task:05d}-{n}{extension}") as out:
+                    out.write(f"{text or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    docs.select(F.col(folder).cast("string"), "text").mapInArrow(files, "n long").agg(F.sum("n")).collect()
+
+
 def document_lines(docs: DataFrame, *, last_empty: bool = True) -> DataFrame:
     """One row per line, numbered from 1; every other column of the document is kept.
 
@@ -101,3 +137,6 @@ def interface_tasks(tables: DataFrame) -> DataFrame:
     return df.filter(F.col("kind").isNotNull() & F.col("content").isNotNull()).select(
         "doc_id", "table_no", "line_no", "kind", "content", F.lit(PLAIN_TASK).alias("task_type")
     )
+
+
+by_value(__name__)
