@@ -15,11 +15,12 @@ from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .shipping import by_value
+from .text import alternation, matches
 
 SLICE_RULES = 20_000
 SLICE_CHARS = 4_000_000
@@ -78,6 +79,15 @@ def required(pattern: str) -> tuple[list[str], bool] | None:
     return ([fold(n) for n in found], True) if "i" in names else (found, False)
 
 
+def matches_needed(c: Column, pattern: str, flags: str = "") -> Column:
+    """Whether ``pattern`` matches, tried only on a text that holds what every match must hold."""
+    found = required(pattern)
+    hit = matches(c, flags + pattern)
+    if not found or found[1]:
+        return hit
+    return (c.contains(found[0][0]) if len(found[0]) == 1 else matches(c, alternation(found[0]))) & hit
+
+
 def slices(rules: DataFrame, text: str) -> Iterator[list[dict]]:
     """The rules in bounded slices, each rule with a ``_rule`` number; ``text`` is their long column."""
     part, size = [], 0

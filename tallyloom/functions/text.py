@@ -35,6 +35,15 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
 
+def alternation(words) -> str:
+    """A pattern of ``words`` that tries them only where a character begins one of them."""
+    words = list(words)
+    pattern = "(?:" + "|".join(rf"\Q{w}\E" for w in words) + ")"
+    if not all(words):
+        return pattern
+    return "(?=[" + "".join(rf"\x{{{ord(x):x}}}" for x in sorted({w[0] for w in words})) + "])" + pattern
+
+
 def contains_any(c: Column | str, words) -> Column:
     """True when any of ``words`` occurs.
 
@@ -43,7 +52,7 @@ def contains_any(c: Column | str, words) -> Column:
     """
     words = list(words)
     if len(words) > 3:
-        return matches(c, "|".join(rf"\Q{w}\E" for w in words))
+        return matches(c, alternation(words))
     out = col(c).contains(words[0])
     for w in words[1:]:
         out = out | col(c).contains(w)

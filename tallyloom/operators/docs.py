@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.needles import containing
+from ..functions.needles import containing, matches_needed
 from ..functions.text import (
     CJK,
     SPACE,
@@ -34,7 +34,7 @@ _UNIX = "(?dU)"
 
 def _captured(c: Column, patterns: Sequence[str]) -> Column:
     """Trimmed group of the first pattern that matches, else NULL."""
-    return F.coalesce(*[F.when(matches(c, _UNIX + p), strip(F.regexp_extract(c, _UNIX + p, 1))) for p in patterns])
+    return F.coalesce(*[F.when(matches_needed(c, p, _UNIX), strip(F.regexp_extract(c, _UNIX + p, 1))) for p in patterns])
 
 
 def _check(name: str, required: bool, passed: Column, value: Column) -> Column:
@@ -56,7 +56,7 @@ def _checks(text: Column) -> list[Column]:
         lambda p: p.isNotNull(),
     )
     complete = F.size(missing) == 0
-    has_path = any_of([matches(text, _UNIX + p) for p in D.PATHS])
+    has_path = any_of([matches_needed(text, p, _UNIX) for p in D.PATHS])
     has_method = contains_any(text, D.METHODS)
     accepted = contains_any(text, D.ACCEPTANCE) & any_of([matches(text, "(?m)" + _UNIX + p) for p in D.CHECKLIST])
     effort, priority = _captured(text, D.EFFORT), _captured(text, D.PRIORITY)
