@@ -14,6 +14,7 @@ from ..functions.staging import staged
 from ..functions.survivors import ruled_out
 from ..functions.text import (
     SPACE,
+    alternation,
     any_of,
     col,
     contains_any,
@@ -46,7 +47,7 @@ def _starts_any(c: Column, words: Sequence[str]) -> Column:
 
 
 def _ends_any(c: Column, words: Sequence[str]) -> Column:
-    return matches(c, "(?:" + "|".join(rf"\Q{w}\E" for w in words) + r")\z")
+    return matches(c, alternation(words) + r"\z")
 
 
 # -- sections -------------------------------------------------------------------
@@ -164,8 +165,11 @@ def task_candidates(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     keep = [c for c in ("project",) if c in lines.columns]
     # every point of the score needs a CJK character or one of the Latin words, so prose in other scripts stops here
     latin = [w for w in R.TECH if w.isascii()] + ["POST", "GET", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
-    possible = rf"[\x{{4e00}}-\x{{9fff}}]|```|~~~|(?i:step)|{'|'.join(latin)}|alt|\["
-    df = lines.filter(matches("line", possible))
+    possible = rf"[\x{{4e00}}-\x{{9fff}}]|(?=[`~sSa\[{''.join(sorted({w[0] for w in latin}))}])(?:```|~~~|(?i:step)|{'|'.join(latin)}|alt|\[)"
+    # the few lines left are read twice, by score and as marks
+    lines = lines.select(*keep, "doc_id", "line_no", "line", matches("line", possible).alias("_possible"))
+    lines = materialise(lines.filter(F.col("_possible") | F.col("line").contains("-->>")), "possible_lines")
+    df = lines.filter("_possible")
     df = df.select(*keep, "doc_id", "line_no", strip("line").alias("raw_text"))
     t = F.col("raw_text")
     fence = any_of([t.startswith(f) for f in R.FENCES])
@@ -185,7 +189,7 @@ def task_candidates(lines: DataFrame, size: int = ordered.CHUNK) -> DataFrame:
     )
     found = picked.filter(~F.col("_fence") & (F.col("_open") % 2 == 0))
     found = found.withColumn("_step", _hit(t, R.STEP) & ~contains_any(t, R.BUILD_VERBS))
-    marks = lines.filter(matches("line", possible) | F.col("line").contains("-->>")).filter(_hit_any(strip("line"), R.FLOW_MARKERS))
+    marks = lines.filter(_hit_any(strip("line"), R.FLOW_MARKERS))
     around = F.sequence(F.col("line_no") - R.FLOW_REACH, F.col("line_no") + R.FLOW_REACH)
     zone = marks.select("doc_id", F.explode(around).alias("line_no")).distinct().withColumn("_step", F.lit(True))
     found = found.join(zone, ["doc_id", "line_no", "_step"], "left_anti")

@@ -193,3 +193,30 @@ def test_pieces_on_one_counter_only_make_more_texts_meet(spark, monkeypatch):
     a = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)], "k string, s_id int, s_text string")
     got = {(r.s_id, r.l_id) for r in contained_pairs(a, a.toDF("k", "l_id", "l_text"), ["k"], equal=False).collect()}
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t and s != t}
+
+
+def test_guarded_patterns_match_what_the_plain_ones_do(spark):
+    from tallyloom.functions.needles import matches_needed
+    from tallyloom.functions.text import alternation, contains_any
+    from tallyloom.rules import documents as D
+
+    words = ["加个方法", "^a]", "x-y", "\\d", "😀b"]
+    assert alternation(words).startswith("(?=[") and "(?=" not in alternation([*words, ""])
+    texts = ["a x-y", "加个方法", "加个", "q^a]", "\\d", "5", "😀b", "", None, "src/main/java/A.java", "jobs/a.py", "a.py", "**依赖**: 无"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", contains_any("t", words).alias("hit")).collect():
+        assert r.hit == (None if r.t is None else any(w in r.t for w in words))
+    for p in [*D.PATHS, *D.DEPENDENCY, *D.EFFORT]:
+        both = df.select(matches_needed(F.col("t"), p).alias("a"), F.regexp_like("t", F.lit(p)).alias("b")).collect()
+        assert all(r.a == r.b for r in both), p
+
+
+def test_tree_has_a_file_for_every_row(spark, tmp_path):
+    from tallyloom.sources import files
+
+    rows = [("a", "x\ny"), ("a", "x\ny"), ("b/c", ""), (None, "表"), ("", None)]
+    files.write_tree(spark.createDataFrame(rows, "project string, text string").repartition(2), f"file://{tmp_path}/tree")
+    got = sorted((p.parent.name, p.read_text()) for p in tmp_path.glob("tree/*/*.txt"))
+    assert got == [("project=__HIVE_DEFAULT_PARTITION__", "\n"), ("project=__HIVE_DEFAULT_PARTITION__", "表\n"), ("project=a", "x\ny\n"), ("project=a", "x\ny\n"), ("project=b%2Fc", "\n")]
+    read = files.read_sources(spark, f"file://{tmp_path}/tree", "python", exclude=[], extension=".txt")
+    assert sorted(r.text for r in read.collect()) == sorted(t for _, t in got)
