@@ -13,7 +13,9 @@ Spark brings those documents together that can link at all:
 2. Each set is cut into more parts than two linking sets can have differences, so
    linking sets agree in a whole part. Parts that say nothing (empty, or of common
    shingles only) are left out where enough others remain; a document with
-   too few of them gives all. Documents that share a part are candidates.
+   too few of them gives all. Sets that link agree in several parts, so a document of which
+   fewer parts occur elsewhere is done: what shares a phrase by chance goes here. Two of the others
+   are candidates if they share as many parts, or a part that more than ``FEW`` documents have.
 3. Connected candidates form a block. A block with more shingles than ``BLOCK_SHINGLES``
    is taken apart: shingles are ordered by how often its documents have them, two that link share
    one of their rarest, and only what connects that way stays together. If a block is still too
@@ -58,6 +60,8 @@ BLOCK_PARTS = 1 << 19
 SLICE_PARTS = 1 << 20
 TASK_SLICES = 4
 TASK_NODES = 500_000
+# Parts of so many documents are counted for each pair; those of more connect all that have them.
+FEW = 8
 SKETCH_BITS = 24
 
 
@@ -95,7 +99,12 @@ class Bands:
 
 def signatures(found: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
     """Hashes of the parts of a sorted set, for its band and the next."""
-    out, own = [], bands.of(len(found))
+    return signed(found, bands, common)[0]
+
+
+def signed(found: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """``signatures``, and how many of them a set that links with this one has too, at least."""
+    out, least, own = [], [], bands.of(len(found))
     place = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
     rare = common[place] != found if len(common) else np.ones(len(found), bool)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(0x5851F42D4C957F2D)))])
@@ -107,12 +116,14 @@ def signatures(found: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarra
         borders = np.searchsorted(found >> np.uint64(24), np.arange(k + 1, dtype=np.uint64) * np.uint64((1 << 40) // k))
         borders[0], borders[k] = 0, len(found)
         telling = np.diff(rares[borders]) > 0
+        # A difference spoils one part. Of a set that gives all, the other one may give only what tells.
+        least.append(max(1, int(telling.sum()) - differences))
         if telling.sum() <= differences:
             telling[:] = True
         sums = total[borders[1:]] - total[borders[:-1]]
         part = np.arange(k, dtype=np.uint64) + np.uint64(band << 32)
         out.append(mix(sums ^ mix(part + np.uint64(1)))[telling])
-    return np.concatenate(out)
+    return np.concatenate(out), min(least)
 
 
 def occurrences(
@@ -279,28 +290,66 @@ def slice_count(shingles_held: int, num: int, den: int) -> int:
     return max(16, int(parts / SLICE_PARTS))
 
 
-def packed(part: np.ndarray, doc: np.ndarray, count: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Parts of a block of documents, one blob for each slice; documents that meet within the block as pairs.
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, first all lowest ones: high bytes of small numbers are runs of zeros, which compress."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
-    A blob holds document ids, how many parts each has, and 32 bits of each part. Of the documents
-    that share a part only the first is sent with it, so a part of very many documents is a few rows
-    for a block. The others follow as pairs, under negative slices.
-    """
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def heads_of(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts in order with their documents, the first row of each part, and the document there."""
     order = np.lexsort((doc, part))
     part, doc = part[order], doc[order]
     first = np.concatenate([[True], part[1:] != part[:-1]])
-    heads = doc[first][np.cumsum(first) - 1]
-    other = doc != heads
-    pairs = forest(doc[other], heads[other])
-    if pairs.shape[1]:
-        yield -1 - int(pairs[0, 0] & 0xFFFF), pairs[0].tobytes(), b"", pairs[1].tobytes()
-    part, doc = part[first], doc[first]
+    return part, doc, first, doc[first][np.cumsum(first) - 1]
+
+
+def blobs_of(part: np.ndarray, doc: np.ndarray, count: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Sorted parts as one blob for each slice: document ids, how many parts each has, 32 bits of each part."""
     names, starts = np.unique((part >> np.uint64(32)) * np.uint64(count) >> np.uint64(32), return_index=True)
     prints = part.astype("<u4")
     for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]):
         by_doc = np.argsort(doc[a:b], kind="stable")
         ids, counts = np.unique(doc[a:b], return_counts=True)
-        yield name, ids.tobytes(), counts.astype("<u4").tobytes(), prints[a:b][by_doc].tobytes()
+        yield name, planes(np.diff(ids, prepend=0).astype("<i8")), planes(counts.astype("<u4")), prints[a:b][by_doc].tobytes()
+
+
+def of_blobs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The prints of a slice's blobs and their documents."""
+    doc = [np.repeat(np.cumsum(from_planes(r["ids"], "<i8")), from_planes(r["counts"], "<u4")) for r in rows]
+    return np.concatenate([np.frombuffer(r["prints"], "<u4") for r in rows]), np.concatenate(doc)
+
+
+def packed(part: np.ndarray, doc: np.ndarray, count: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Parts of a block of documents, one blob for each slice; documents that meet within the block as pairs.
+
+    Of the documents that share a part only the first is sent with it, so a part of very many
+    documents is a few rows for a block. The others follow as pairs, under negative slices.
+    """
+    part, doc, first, heads = heads_of(part, doc)
+    other = doc != heads
+    pairs = forest(doc[other], heads[other])
+    if pairs.shape[1]:
+        yield -1 - int(pairs[0, 0] & 0xFFFF), pairs[0].tobytes(), b"", pairs[1].tobytes()
+    yield from blobs_of(part[first], doc[first], count)
+
+
+def tallied(part: np.ndarray, doc: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, bytes, bytes, bytes]]]:
+    """Documents of a block with the number of parts that they share there, and the blobs of ``packed``."""
+    part, doc, first, heads = heads_of(part, doc)
+    return *shared_parts(part, doc), blobs_of(part[first], doc[first], count)
+
+
+def shared_parts(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of which a part occurs in another one too, and in how many parts."""
+    part, doc, first, heads = heads_of(part, doc)
+    once = first | np.concatenate([[True], doc[1:] != doc[:-1]])
+    part, doc, first = part[once], doc[once], first[once]
+    sizes = np.diff(np.append(np.flatnonzero(first), len(part)))
+    return np.unique(doc[np.repeat(sizes, sizes) > 1], return_counts=True)
 
 
 def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int] | None = None) -> np.ndarray:
@@ -326,16 +375,38 @@ def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int] | None = None) -
 
 def meetings(rows: list[dict], parent: dict[int, int] | None = None) -> np.ndarray:
     """Pairs that connect the documents with equal parts, from a slice's blobs; see ``forest``."""
-    doc = np.concatenate([np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
-    prints = np.concatenate([np.frombuffer(r["prints"], "<u4") for r in rows])
-    order = np.argsort(prints, kind="stable")
-    prints, doc = prints[order], doc[order]
-    first = np.concatenate([[True], prints[1:] != prints[:-1]])
-    heads = doc[first][np.cumsum(first) - 1]
+    prints, doc, _, heads = heads_of(*of_blobs(rows))
     other = doc != heads
     return forest(doc[other], heads[other], parent)
 
 
+def in_tasks(blobs: DataFrame, count: int) -> DataFrame:
+    """A task takes several slices, one after the other."""
+    tasks = -(-count // TASK_SLICES)
+    return blobs.repartition(tasks, F.floor(F.col("slice") / TASK_SLICES)).sortWithinPartitions("slice")
+
+
+def in_batches(row: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], ["slice", "ids", "counts", "prints"]
+    )
+
+
+def blocks_of(source: Iterator[pa.RecordBatch], make: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts and documents of what ``make`` gives for the batches, in blocks of about ``BLOCK_PARTS``."""
+    parts, ids, size = [], [], 0
+    for batch in slices(source):
+        for doc_id, own in make(batch):
+            parts.append(own)
+            ids.append(np.full(len(own), doc_id, "<i8"))
+            size += len(own)
+            if size >= BLOCK_PARTS:
+                yield np.concatenate(parts), np.concatenate(ids)
+                parts, ids, size = [], [], 0
+    if size:
+        yield np.concatenate(parts), np.concatenate(ids)
+
+
 def meet(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]], count: int) -> DataFrame:
     """``doc_id`` and ``first``: pairs that connect all documents with equal parts.
 
@@ -343,27 +414,10 @@ def meet(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[
     blobs of about five bytes a part. Their 32 bits and the slice's name may
     agree by chance for different parts, which adds a candidate and loses none.
     """
-    columns = ["slice", "ids", "counts", "prints"]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, parts, ids, size = start(), [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for row in packed(np.concatenate(parts), np.concatenate(ids), count):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], columns
-                )
-
-        for batch in slices(source):
-            for doc_id, own in make(batch):
-                parts.append(own)
-                ids.append(np.full(len(own), doc_id, "<i8"))
-                size += len(own)
-                if size >= BLOCK_PARTS:
-                    yield from flush()
-                    parts, ids, size = [], [], 0
-        if size:
-            yield from flush()
+        for part, doc in blocks_of(source, start()):
+            yield from map(in_batches, packed(part, doc, count))
 
     def met(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -379,29 +433,134 @@ def meet(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[:, at : at + (1 << 16)]], ["doc_id", "first"])
 
     blobs = df.mapInArrow(batches, "slice long, ids binary, counts binary, prints binary")
-    # A task takes several slices, one after the other, and tells each connection once.
-    tasks = -(-count // TASK_SLICES)
-    blobs = blobs.repartition(tasks, F.floor(F.col("slice") / TASK_SLICES)).sortWithinPartitions("slice")
-    return blobs.mapInArrow(met, "doc_id long, first long").distinct()
+    # Each task tells a connection once.
+    return in_tasks(blobs, count).mapInArrow(met, "doc_id long, first long").distinct()
 
 
-def candidates(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, count: int) -> DataFrame:
-    """Documents that share a part of their sets, see ``meet``; equal sets once per task."""
+def linkable(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, count: int) -> DataFrame:
+    """Documents that share so many parts of their sets with others that they may link, and what they need (``signed``).
+
+    A part that a block holds several times counts there and may count once more in its slice.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def start():
-        bands, seen, common = Bands(num, den), set(), shared.value
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, common, least = Bands(num, den), shared.value, {}
+
+        def make(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingles(texts(batch), n)):
+                if len(found):
+                    parts, needed = signed(found, bands, common)
+                    least[doc_id] = min(needed, least.get(doc_id, needed))
+                    yield doc_id, parts
+
+        for part, doc in blocks_of(source, make):
+            ids, here, rows = tallied(part, doc, count)
+            asked = np.fromiter(least, "<i8", len(least))
+            needed = np.fromiter(least.values(), "<u4", len(least))
+            least.clear()
+            # Under negative slices: what each document needs, and what it shares within the block.
+            yield in_batches((-1 - int(asked[0] & 0xFFFF), asked.tobytes(), needed.tobytes(), b""))
+            if len(ids):
+                yield in_batches((-1 - int(ids[0] & 0xFFFF), ids.astype("<i8").tobytes(), b"", here.astype("<u4").tobytes()))
+            yield from map(in_batches, rows)
+
+    def told(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name,), rows in groups(source, ["slice"]):
+            if name < 0:
+                for r in rows:
+                    ids = np.frombuffer(r["ids"], "<i8")
+                    needed = np.frombuffer(r["counts"], "<u4") if r["counts"] else None
+                    yield from tally(ids, needed, np.frombuffer(r["prints"], "<u4") if r["prints"] else None)
+            else:
+                ids, here = shared_parts(*of_blobs(rows))
+                yield from tally(ids, None, here)
+
+    def tally(ids: np.ndarray, needed: np.ndarray | None, here: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), 1 << 16):
+            columns = [pa.nulls(len(ids), pa.int64()) if x is None else pa.array(x.astype("<i8")) for x in (needed, here)]
+            columns = [pa.array(ids.astype("<i8")), *columns]
+            yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in columns], ["doc_id", "needed", "shared"])
+
+    blobs = docs.mapInArrow(batches, "slice long, ids binary, counts binary, prints binary")
+    rows = in_tasks(blobs, count).mapInArrow(told, "doc_id long, needed long, shared long")
+    sums = rows.groupBy("doc_id").agg(F.min("needed").alias("needed"), F.sum("shared").alias("shared"))
+    return sums.filter("shared >= needed").select("doc_id", "needed")
+
+
+def with_few(part: np.ndarray, doc: np.ndarray, count: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """As ``packed``, but parts of up to ``FEW`` documents go with all of them; of the others, the first document goes twice."""
+    part, doc, first, heads = heads_of(part, doc)
+    once = first | np.concatenate([[True], doc[1:] != doc[:-1]])
+    part, doc, first, heads = part[once], doc[once], first[once], heads[once]
+    sizes = np.diff(np.append(np.flatnonzero(first), len(part)))
+    many = np.repeat(sizes, sizes) > FEW
+    other = many & ~first
+    pairs = forest(doc[other], heads[other])
+    if pairs.shape[1]:
+        yield -1 - int(pairs[0, 0] & 0xFFFF), pairs[0].tobytes(), b"", pairs[1].tobytes()
+    times = np.where(many, np.where(first, 2, 0), 1)
+    yield from blobs_of(np.repeat(part, times), np.repeat(doc, times), count)
+
+
+def pairs_and_stars(rows: list[dict], parent: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From a slice's blobs of ``with_few``: pairs with the number of parts of few documents that they share, and
+    the pairs that connect the documents of all other parts; see ``forest``."""
+    part, doc, first, heads = heads_of(*of_blobs(rows))
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(part)))
+    twice = np.concatenate([[False], (doc[1:] == doc[:-1]) & ~first[1:]])
+    few = np.repeat((sizes <= FEW) & (np.add.reduceat(twice, starts, dtype=np.int64) == 0), sizes)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(part))
+    found = [np.empty((2, 0), "<i8")]
+    for step in range(1, FEW):
+        at = np.flatnonzero(few & (left > step))
+        found.append(np.stack([doc[at + step], doc[at]]))
+    a, b = np.concatenate(found, 1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    other = ~few & (doc != heads)
+    return np.stack([a[new], b[new]]), np.diff(np.append(new, len(a))), forest(doc[other], heads[other], parent)
+
+
+def candidates(docs: DataFrame, able: DataFrame, n: int, num: int, den: int, common: np.ndarray, count: int) -> DataFrame:
+    """``doc_id`` and ``first``: pairs that connect the documents of ``able`` (see ``linkable``) that may link."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, common = Bands(num, den), shared.value
 
         def make(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), shingles(texts(batch), n)):
-                key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if len(found) and key not in seen:
-                    seen.add(key)
+                if len(found):
                     yield doc_id, signatures(found, bands, common)
 
-        return make
+        for part, doc in blocks_of(source, make):
+            yield from map(in_batches, with_few(part, doc, count))
 
-    return meet(docs, start, count)
+    def met(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        for (name,), rows in groups(source, ["slice"]):
+            if len(parent) > TASK_NODES:
+                parent = {}
+            if name < 0:
+                both = np.concatenate([np.stack([np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["prints"], "<i8")]) for r in rows], 1)
+                pairs, often, stars = np.empty((2, 0), "<i8"), np.empty(0, "<i8"), forest(*both, parent)
+            else:
+                pairs, often, stars = pairs_and_stars(rows, parent)
+            columns = [*np.concatenate([pairs, stars], 1), np.concatenate([often, np.full(stars.shape[1], 1 << 40)])]
+            for at in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["doc_id", "first", "k"])
+
+    rows = docs.join(small_side(able, 16).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    blobs = rows.mapInArrow(batches, "slice long, ids binary, counts binary, prints binary")
+    pairs = in_tasks(blobs, count).mapInArrow(met, "doc_id long, first long, k long")
+    pairs = pairs.groupBy("doc_id", "first").agg(F.sum("k").alias("k"))
+    for end in ("doc_id", "first"):
+        needs = able.select(F.col("doc_id").alias(end), "needed")
+        pairs = pairs.join(small_side(needs, 16), end).filter("k >= needed").drop("needed")
+    return pairs.select("doc_id", "first")
 
 
 def often(sets: DataFrame, held: int) -> np.ndarray:
@@ -541,9 +700,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     sampled = members.filter("doc_id = node").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
     common = common_shingles(named, sampled, n)
     held = classes.agg(F.sum("size")).first()[0] or 0
-    met = materialise(candidates(named, n, num, den, common, slice_count(held, num, den)), "candidates")
-    # From documents to their classes.
     nodes = members.filter("node is not null").select("doc_id", "node").distinct()
+    # One document of each class is enough.
+    surplus = nodes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("node")).alias("own")).filter("not own").select("doc_id")
+    named = named.join(small_side(surplus, 16), "doc_id", "left_anti").select("doc_id", "text")
+    able = materialise(linkable(named, n, num, den, common, slice_count(held, num, den)), "linkable")
+    held = members.join(able, "doc_id", "left_semi").agg(F.sum("size")).first()[0] or 0
+    met = materialise(candidates(named, able, n, num, den, common, slice_count(held, num, den)), "candidates")
+    # From documents to their classes.
     met = met.join(nodes, "doc_id").select("first", F.col("node").alias("a"))
     met = met.join(nodes.withColumnRenamed("doc_id", "first"), "first").select("a", F.col("node").alias("b")).filter("a != b")
     met = materialise(met.distinct(), "candidates")

@@ -135,3 +135,58 @@ def test_counts_of_shingles(spark):
     want = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)
     np.maximum.at(want, place[counts > 1], np.ceil(np.log2(counts[counts > 1])).astype(np.uint8))
     assert (got == want).all()
+
+
+def by_phrases(seed: int):
+    """Documents of words of their own that hang together by chance phrases, near copies and exact copies of some."""
+    draw, rows = random.Random(seed), []
+    for k in range(60):
+        words = prose(1000 + k, 60).split()
+        for chance in (k // 2, 100 + k // 3, 200 + k // 20):  # phrases of two, three and twenty documents
+            at = draw.randrange(0, 50)
+            words[at : at + 7] = prose(chance, 7).split()
+        rows.append(" ".join(words))
+    for k in range(0, 60, 6):
+        words = rows[k].split()
+        words[draw.randrange(60)] = "changed"
+        rows += [" ".join(words), rows[k]] + ([" ".join(words[:-1])] * 2 if k % 4 else [])
+    for _ in range(30):  # more near copies than are counted for each pair
+        words = rows[1].split()
+        words[draw.randrange(60)] = prose(draw.random(), 1)
+        rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
+def test_chance_phrases_make_no_candidates(spark, monkeypatch):
+    rows, sizes = by_phrases(3), []
+    sets_of = jaccard_join.sets_of
+
+    def counted(docs, nodes, n):
+        sizes.append(nodes.count())
+        return sets_of(docs, nodes, n)
+
+    monkeypatch.setattr(jaccard_join, "sets_of", counted)
+    want = jaccard_components(rows, 5, 80, 100)
+    assert found(spark, rows, n=5, num=80, den=100) == want
+    alone = sum(1 for i, (_, first) in want.items() if i == first and [f for _, f in want.values()].count(i) == 1)
+    assert alone > 40 and sizes[0] <= len(rows) - alone + 5
+
+
+def test_small_blocks_and_many_slices_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_PARTS", 200)
+    monkeypatch.setattr(jaccard_join, "FEW", 3)
+    for rows, n, num in ((near_copies(5), 3, 60), (by_phrases(6), 5, 80)):
+        assert found(spark, rows, n=n, num=num, den=100) == jaccard_components(rows, n, num, 100)
+
+
+def test_linking_sets_share_the_parts_they_need():
+    draw = np.random.default_rng(9)
+    for num in (60, 80, 90):
+        bands = jaccard_join.Bands(num, 100)
+        for _ in range(300):
+            a = np.unique(draw.integers(0, 2**63, draw.integers(1, 120)).astype(np.uint64))
+            b = np.unique(np.concatenate([a[draw.random(len(a)) > 0.1], draw.integers(0, 2**63, draw.integers(0, 12)).astype(np.uint64)]))
+            common = np.sort(draw.choice(a, int(len(a) * draw.random()), replace=False))
+            if len(b) and jaccard_join.linked(a, b, num, 100):
+                (x, least_a), (y, least_b) = (jaccard_join.signed(s, bands, common) for s in (a, b))
+                assert len(np.intersect1d(x, y)) >= max(least_a, least_b)
