@@ -62,6 +62,8 @@ TASK_SLICES = 4
 TASK_NODES = 500_000
 # Parts of so many documents are counted for each pair; those of more connect all that have them.
 FEW = 8
+# Ranges of documents in which the shared parts are summed up.
+SUM_RANGES = 64
 SKETCH_BITS = 24
 
 
@@ -468,24 +470,46 @@ def linkable(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray, co
     def told(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name,), rows in groups(source, ["slice"]):
             if name < 0:
-                for r in rows:
-                    ids = np.frombuffer(r["ids"], "<i8")
-                    needed = np.frombuffer(r["counts"], "<u4") if r["counts"] else None
-                    yield from tally(ids, needed, np.frombuffer(r["prints"], "<u4") if r["prints"] else None)
+                asked = [r for r in rows if r["counts"]]
+                needed = [(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in asked]
+                here = [(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["prints"], "<u4")) for r in rows if r["prints"]]
             else:
-                ids, here = shared_parts(*of_blobs(rows))
-                yield from tally(ids, None, here)
+                needed, here = [], [shared_parts(*of_blobs(rows))]
+            for column, found in ((2, needed), (3, here)):
+                for ids, counts in found:
+                    yield from map(in_batches, in_ranges(ids, counts, column))
 
-    def tally(ids: np.ndarray, needed: np.ndarray | None, here: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(ids), 1 << 16):
-            columns = [pa.nulls(len(ids), pa.int64()) if x is None else pa.array(x.astype("<i8")) for x in (needed, here)]
-            columns = [pa.array(ids.astype("<i8")), *columns]
-            yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in columns], ["doc_id", "needed", "shared"])
+    def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(source, ["slice"]):
+            ids = np.concatenate([np.cumsum(from_planes(r["ids"], "<i8")) for r in rows])
+            names, at = np.unique(ids, return_inverse=True)
+            needed, here, start = np.full(len(names), 1 << 40), np.zeros(len(names), np.int64), 0
+            for r in rows:
+                data = from_planes(r["counts"] or r["prints"], "<u4").astype(np.int64)
+                own = at[start : start + len(data)]  # a document comes once in a row
+                start += len(data)
+                if r["counts"]:
+                    needed[own] = np.minimum(needed[own], data)
+                else:
+                    here[own] += data
+            may = here >= needed
+            yield pa.RecordBatch.from_arrays([pa.array(names[may]), pa.array(needed[may])], ["doc_id", "needed"])
 
     blobs = docs.mapInArrow(batches, "slice long, ids binary, counts binary, prints binary")
-    rows = in_tasks(blobs, count).mapInArrow(told, "doc_id long, needed long, shared long")
-    sums = rows.groupBy("doc_id").agg(F.min("needed").alias("needed"), F.sum("shared").alias("shared"))
-    return sums.filter("shared >= needed").select("doc_id", "needed")
+    rows = in_tasks(blobs, count).mapInArrow(told, "slice long, ids binary, counts binary, prints binary")
+    rows = rows.repartition(SUM_RANGES, "slice").sortWithinPartitions("slice")
+    return rows.mapInArrow(summed, "doc_id long, needed long")
+
+
+def in_ranges(ids: np.ndarray, counts: np.ndarray, column: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Counts of documents as one row for each of ``SUM_RANGES``, in the given column."""
+    place = mix(ids.astype(np.uint64)) % np.uint64(SUM_RANGES)
+    order = np.lexsort((ids, place))
+    ids, counts, place = ids[order], counts[order], place[order]
+    names, starts = np.unique(place, return_index=True)
+    for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+        data = planes(np.diff(ids[a:b], prepend=0).astype("<i8")), planes(counts[a:b].astype("<u4"))
+        yield (name, data[0], data[1], b"") if column == 2 else (name, data[0], b"", data[1])
 
 
 def with_few(part: np.ndarray, doc: np.ndarray, count: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
