@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.shipping import by_value
 from tallyloom.llm.common import groups, slices, small_side, texts
-from tallyloom.llm.components import components
+from tallyloom.llm.components import components, forest
 from tallyloom.llm.words import mix, window_lists
 from tallyloom.session import materialise
 
@@ -354,27 +354,6 @@ def shared_parts(part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.unique(doc[np.repeat(sizes, sizes) > 1], return_counts=True)
 
 
-def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int] | None = None) -> np.ndarray:
-    """The pairs that connect what ``a`` and ``b`` connect, fewer than documents.
-
-    ``parent`` holds what is connected already, so that only what is new comes out.
-    """
-    parent = {} if parent is None else parent
-
-    def root(x: int) -> int:
-        while (above := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[above]
-        return x
-
-    found = []
-    for x, y in np.unique(np.stack([a, b]), axis=1).T.tolist():
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            found.append((max(x, y), min(x, y)))
-    return np.array(found, "<i8").reshape(-1, 2).T
-
-
 def meetings(rows: list[dict], parent: dict[int, int] | None = None) -> np.ndarray:
     """Pairs that connect the documents with equal parts, from a slice's blobs; see ``forest``."""
     prints, doc, _, heads = heads_of(*of_blobs(rows))

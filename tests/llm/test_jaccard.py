@@ -80,6 +80,29 @@ def test_components_of_paths_stars_and_loops(spark):
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    written, materialise = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    draw = random.Random(3)
+    edges = [(draw.randrange(-400, 400) << 40, draw.randrange(-400, 400) << 40) for _ in range(350)] + [(k, k + 1) for k in range(99, 0, -1)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    few = sorted(map(tuple, components.components(df).collect()))
+    assert written == ["edges", "components"]
+    assert components.components(df.filter("false")).collect() == []
+    monkeypatch.setattr(components, "TASK_EDGES", 10)
+    written.clear()
+    assert sorted(map(tuple, components.components(df).collect())) == few and len(written) > 3
+    # Other kinds of nodes go in rounds.
+    names = components.components(spark.createDataFrame([("x", "b"), ("b", "c"), ("y", "z")], "a string, b string"))
+    assert sorted(map(tuple, names.collect())) == [("b", "b"), ("c", "b"), ("x", "b"), ("y", "y"), ("z", "y")]
+
+
+def test_join_in_rounds_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 0)
+    rows = near_copies(4)
+    assert found(spark, rows, n=3, num=80, den=100) == jaccard_components(rows, 3, 80, 100)
+
+
 def test_blobs_keep_all_meetings():
     draw = np.random.default_rng(5)
     part = draw.integers(0, 300, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
