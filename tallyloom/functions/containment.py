@@ -2,183 +2,323 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ..session import materialise
 from .shipping import by_value
 
-GRAM = 4
-# Long texts of a piece that one task meets.
+# Long texts that are gone through at a time and that one row names, at most.
 HOT = 20_000
+# Bytes of long texts that are gone through at a time, and of parts found there; a single text may have more.
+CHUNK = 1 << 19
+FOUND = 1 << 24
 # Characters of a listed text up to which its parts were once joined one by one; listed texts of any length meet alike now.
 LISTED = 80
-# Counters of how often pieces occur, over all texts and once more within their keys.
-COUNTERS = 1 << 19
+# 64-bit words of the filter that holds the short texts, at most.
+COUNTERS = 1 << 22
+# Words of the filter that travel in one row.
+BLOCK = 1 << 14
+# Entries of the filter that a task holds before it sends them.
+HELD = 1 << 20
+
+BASE = 0x9E3779B97F4A7C15
+BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
+WHOLE, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class _Texts:
+    """Texts of a batch as one run of characters: row ``r`` has those from ``first[r]`` to ``first[r + 1]``."""
+
+    def __init__(self, texts: pa.Array, seeds: pa.Array | None):
+        texts = texts.cast(pa.string())
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        self.raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at -= at[0]
+        begins = (self.raw & 0xC0) != 0x80
+        begins[at[:-1][at[:-1] < at[1:]]] = True
+        self.places = np.append(np.flatnonzero(begins), len(self.raw))
+        self.first = np.searchsorted(self.places, at)
+        self.chars = np.diff(self.first)
+        powers = lambda base: np.cumprod(np.append(np.uint64(1), np.full(len(self.raw), base, np.uint64)))
+        sums = np.append(np.uint64(0), np.cumsum(BYTES[self.raw] * powers(BASE)[:-1]))
+        self._sums, self._back = sums[self.places], powers(pow(BASE, -1, 1 << 64))[self.places]
+        self.seeds = np.zeros(len(texts), np.uint64) if seeds is None else _mixed(seeds.to_numpy(zero_copy_only=False).view(np.uint64))
+
+    def codes(self, begin: np.ndarray, end: np.ndarray, rows: np.ndarray, kind: np.uint64) -> np.ndarray:
+        """Hashes of the parts from ``begin`` to ``end``; equal parts with equal keys have equal ones."""
+        h = (self._sums[end] - self._sums[begin]) * self._back[begin]
+        return _mixed((h + (end - begin).astype(np.uint64) * kind) ^ self.seeds[rows])
+
+    def parts(self, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The parts themselves."""
+        start = self.places[begin]
+        sizes = self.places[end] - start
+        to = np.append(0, np.cumsum(sizes))
+        raw = self.raw[np.arange(to[-1]) + np.repeat(start - to[:-1], sizes)]
+        return pa.StringArray.from_buffers(len(begin), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(raw))
+
+
+def _widths(chars: np.ndarray) -> np.ndarray:
+    """The largest power of two up to each length."""
+    return np.int64(1) << (np.frexp(chars.astype(np.float64))[1].astype(np.int64) - 1)
+
+
+def _spots(codes: np.ndarray) -> np.ndarray:
+    """The three bits of a word that a hash sets."""
+    one, six = np.uint64(1), np.uint64(63)
+    return (one << (codes & six)) | (one << ((codes >> np.uint64(6)) & six)) | (one << ((codes >> np.uint64(12)) & six))
+
+
+def _held(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold; never misses one that was put in."""
+    spots = _spots(codes)
+    return (words[((codes >> np.uint64(32)) & np.uint64(len(words) - 1)).astype(np.int64)] & spots) == spots
+
+
+def _filter(shorts: DataFrame, keyed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A filter of fixed size that holds all short texts and their beginnings (a power of two long), and the lengths
+    that occur. Only blocks of bits come to the driver."""
+    count = shorts.count()
+    size = 1
+    while size < min(count, COUNTERS):
+        size *= 2
+
+    def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = np.unique(np.concatenate(held))
+        block = (found >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+        for a, b in zip(starts, np.append(starts[1:], len(found))):
+            data = (found[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+
+    def entries(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, lengths = [], 0, np.zeros(0, np.int64)
+        for part in _chunks(source, "s_text"):
+            texts = _Texts(part.column("s_text"), part.column("_seed") if keyed else None)
+            begin, rows = texts.first[:-1], np.arange(part.num_rows)
+            codes = texts.codes(begin, texts.first[1:], rows, WHOLE), texts.codes(begin, begin + _widths(texts.chars), rows, BEGIN)
+            codes = np.concatenate(codes)
+            word = (codes >> np.uint64(32)) & np.uint64(size - 1)
+            # block of the filter, then word of the block, then the bits that tell the three spots
+            held.append((word // np.uint64(BLOCK) << np.uint64(32)) | (word % np.uint64(BLOCK) << np.uint64(18)) | (codes & np.uint64(0x3FFFF)))
+            n, lengths = n + len(codes), np.union1d(lengths, texts.chars)
+            if n > HELD:
+                yield from sent(held)
+                held, n = [], 0
+        if held:
+            yield from sent(held)
+        if len(lengths):
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([lengths.tobytes()], pa.binary())], ["block", "data"])
+
+    def merged(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, lengths = {}, np.zeros(0, np.int64)
+        for batch in source:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                if block < 0:
+                    lengths = np.union1d(lengths, np.frombuffer(data.as_buffer(), np.int64))
+                    continue
+                found = np.frombuffer(data.as_buffer(), np.uint32).astype(np.uint64)
+                words = blocks.setdefault(block, np.zeros(BLOCK, np.uint64))
+                np.bitwise_or.at(words, (found >> np.uint64(18)).astype(np.int64), _spots(found))
+        if len(lengths):
+            blocks[-1] = lengths
+        for block, data in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["block", "data"])
+
+    kind = "block int, data binary"
+    found = shorts.mapInArrow(entries, kind).repartition("block").mapInArrow(merged, kind).toArrow()
+    words, lengths = np.zeros(max(size, BLOCK), np.uint64), np.zeros(0, np.int64)
+    for block, data in zip(found.column("block").to_pylist(), found.column("data").to_pylist()):
+        if block < 0:
+            lengths = np.frombuffer(data, np.int64)
+        else:
+            words[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(data, np.uint64)
+    return words[:size], lengths
+
+
+def _chunks(source: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``HOT`` rows and about ``CHUNK`` bytes of text."""
+    for batch in source:
+        sizes = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = sizes[at - 1] if at else 0
+            to = min(max(int(np.searchsorted(sizes, before + CHUNK, "right")), at + 1), at + HOT)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _found(texts: _Texts, words: np.ndarray, lengths: np.ndarray, longest: float | None, equal: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows, begins and ends of the parts that the filter holds, about ``FOUND`` bytes at a time."""
+    every = np.arange(texts.first[-1])
+    rows = np.repeat(np.arange(len(texts.chars)), texts.chars)
+    room = texts.first[1:][rows] - every
+    out, size = [], 0
+    for width in np.unique(_widths(lengths)).tolist():
+        some = lengths[(lengths >= width) & (lengths < 2 * width)]
+        fits = room >= some[0]
+        if longest is not None:
+            fits &= texts.chars[rows] <= some[-1] * longest
+        at = every[fits]
+        at = at[_held(texts.codes(at, at + width, rows[at], BEGIN), words)]
+        for n in some[some <= room[at].max(initial=0)].tolist():
+            whole = texts.chars[rows[at]]
+            fits = room[at] >= n
+            if longest is not None:
+                fits &= whole <= n * longest
+            if not equal:
+                fits &= whole > n
+            begin = at[fits]
+            codes = texts.codes(begin, begin + n, rows[begin], WHOLE)
+            hit = _held(codes, words)
+            begin, codes = begin[hit], codes[hit]
+            if len(begin) * n > FOUND:  # the same part over and over in one text
+                begin = begin[np.sort(np.unique(np.stack([rows[begin].astype(np.uint64), codes]), axis=1, return_index=True)[1])]
+            if len(begin):
+                out.append((rows[begin], begin, begin + n))
+                size += len(begin) * n
+            if size > FOUND:
+                yield tuple(np.concatenate(x) for x in zip(*out))
+                out, size = [], 0
+    if out:
+        yield tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _hits(shorts: DataFrame, longs: DataFrame, keys: Sequence[str], longest: float | None, equal: bool) -> DataFrame:
+    """Parts of long texts that may be short texts: keys, s_text, the long texts that hold it (``l_ids``), ``_batch``.
+
+    A batch of long texts is gone through at once and names a part once, however many of its texts hold it.
+    Every long text is in one batch.
+    """
+    seed = [F.xxhash64(*keys).alias("_seed")] if keys else []
+    words, lengths = _filter(shorts.filter(F.col("s_text") != "").select("s_text", *seed), bool(keys))
+    shared: Broadcast = longs.sparkSession.sparkContext.broadcast(words)
+    for k in keys:
+        longs = longs.filter(F.col(k).isNotNull())
+    longs = longs.filter(F.col("l_text") != "").select(*keys, "l_id", "l_text", *seed)
+    kept = [longs.schema[k] for k in keys]
+    to = StructType([*kept, StructField("s_text", StringType()), StructField("l_ids", ArrayType(longs.schema["l_id"].dataType)), StructField("_batch", LongType())])
+
+    def named(part: pa.RecordBatch, number: int, found: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+        coded = found.dictionary_encode()
+        group = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for k in keys:
+            key = part.column(k).dictionary_encode()
+            _, group = np.unique(group * len(key.dictionary) + key.indices.to_numpy(zero_copy_only=False)[rows], return_inverse=True)
+        _, some = np.unique(group, return_index=True)
+        pairs = np.unique(group * part.num_rows + rows)
+        ids = part.column("l_id").take(pa.array(pairs % part.num_rows))
+        ends = np.append(0, np.cumsum(np.bincount(pairs // part.num_rows, minlength=len(some))))
+        columns = [part.column(k).take(pa.array(rows[some])) for k in keys]
+        columns += [found.take(pa.array(some)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), pa.array(np.full(len(some), number))]
+        return pa.RecordBatch.from_arrays(columns, to.names)
+
+    def hits(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = shared.value, TaskContext.get().partitionId() << 33
+        for number, part in enumerate(_chunks(source, "l_text"), number):
+            texts = _Texts(part.column("l_text"), part.column("_seed") if keys else None)
+            for rows, begin, end in _found(texts, words, lengths, longest, equal):
+                yield named(part, number, texts.parts(begin, end), rows)
+
+    return longs.mapInArrow(hits, to)
+
+
+def _met(hits: DataFrame, shorts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hits that are short texts, with ``s_id``; those of a batch of long texts lie together, so that no short text
+    however frequent makes all its pairs in one task."""
+    met = hits.join(shorts.filter(F.col("s_text") != "").select(*keys, "s_id", "s_text").hint("merge"), [*keys, "s_text"])
+    return met.drop("s_text").repartition("_batch")
 
 
-def substrings(c: Column, n: int) -> Column:
-    """All distinct substrings of length ``n``."""
-    return F.array_distinct(_grams(c, n))
+def contained_pairs(
+    shorts: DataFrame, longs: DataFrame, keys: Sequence[str] = (), longest: float | None = None, *, equal: bool = True
+) -> DataFrame:
+    """Pairs where ``s_text`` occurs in ``l_text``, as (keys, s_id, l_id); both sides should hold distinct texts.
 
+    ``shorts``: keys, s_id, s_text; ``longs``: keys, l_id, l_text. A filter of fixed size holds the short texts and
+    their beginnings. Every long text is gone through once: where a beginning may start, the parts of the lengths
+    that occur are looked up, and what the filter may hold is joined with the short texts as text, so what
+    it holds by chance is told apart. Neither pieces nor pairs that only might meet are shuffled.
+    ``longest`` limits the long text to a multiple of the short one; without ``equal``, equal texts make no pair.
+    Neither side is sent to the driver or whole to the tasks. The short side is read more than once.
+    """
+    met = _met(_hits(shorts, longs, list(keys), longest, equal), shorts, keys)
+    return met.select(*keys, "s_id", F.explode("l_ids").alias("l_id"))
 
-def _grams(c: Column, n: int) -> Column:
-    """Substrings of length ``n`` by place."""
-    last = F.length(c) - F.lit(n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
+def _smallest(listed: DataFrame, value: str) -> DataFrame:
+    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull())
+    return listed.groupBy("l_text").agg(F.min(value).alias(value))
 
-def _pieces(n: int, shorter: Sequence[int], longest: float | None) -> Column:
-    """The distinct pieces of a long text: those of ``n`` characters and, for short texts below that, of ``shorter`` ones."""
-    text = F.col("l_text")
-    found = substrings(text, n)
-    for k in shorter:
-        less = substrings(text, k)
-        if longest is not None:  # a text of k characters can only lie in texts up to this length
-            less = F.when(F.length(text) <= F.lit(k * longest), less).otherwise(F.array().cast("array<string>"))
-        found = F.concat(found, less)
-    return found
 
+def _in_list(texts: DataFrame, listed: DataFrame, value: str, longest: float | None, equal: bool) -> DataFrame:
+    """``texts`` with the smallest ``value`` of a listed text that contains them."""
+    shorts = texts.select(F.col("text").alias("s_text"))
+    hits = _hits(shorts, listed.select(F.struct(value).alias("l_id"), "l_text"), (), longest, equal)
+    hits = hits.select(F.col("s_text").alias("text"), F.array_min("l_ids")[value].alias(value))
+    hits = hits.groupBy("text").agg(F.min(value).alias(value))
+    return texts.filter(F.col("text") != "").join(hits.hint("merge"), "text")
 
-def _counters(pieces: Column, keys: Sequence[str]) -> Column:
-    """The counters of an array of pieces: one each over all texts, then, if there are keys, one each within them."""
-    of = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(COUNTERS))).cast("int")
-    out = F.transform(pieces, lambda p: of(p))
-    return F.concat(out, F.transform(pieces, lambda p: of(*keys, p) + COUNTERS)) if keys else out
 
+def contained_in_list(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
+    """``text`` and the smallest ``value`` of a listed text that contains it.
 
-def _counted(longs: DataFrame, keys: Sequence[str], pieces: Column) -> np.ndarray:
-    """How often pieces fall on each counter; at least as often as any piece that falls there."""
+    ``texts``: text (distinct); ``listed``: l_text, ``value``. ``longest`` as in ``contained_pairs``.
+    """
+    return _in_list(texts.select("text"), _smallest(listed, value), value, longest, True)
 
-    def totals(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(2 * COUNTERS, np.int64)
-        for batch in source:
-            sums += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=2 * COUNTERS)
-        at = np.flatnonzero(sums)
-        for k in range(0, len(at), 65_536):
-            part = at[k : k + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], ["at", "n"])
-
-    sums = longs.select(_counters(pieces, keys).alias("at")).mapInArrow(totals, "at int, n long")
-    sums = sums.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # two rows a counter at most
-    out = np.zeros(2 * COUNTERS, np.int64)
-    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    return out
-
-
-def _anchored(shorts: DataFrame, keys: Sequence[str], n: int, counts: np.ndarray) -> DataFrame:
-    """Short texts with their rarest piece and how often it occurs at most (``_df``); without those that lie in no long text."""
-    shared, keyed = shorts.sparkSession.sparkContext.broadcast(counts), bool(keys)
-    text = F.col("s_text")
-    own = F.when(F.length(text) >= n, _grams(text, n)).otherwise(F.array(text))
-    asked = shorts.select(*keys, "s_id", "s_text", _counters(own, keys).alias("_at"))
-    kept = asked.schema.fields[:-1]
-
-    def rarest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _least(value: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first ``value`` of every long text; rows come sorted by batch of long texts and value."""
+
+    def least(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, np.zeros(0, np.int64)
         for batch in source:
             if not batch.num_rows:
                 continue
-            lists = batch.column("_at")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            found = shared.value[lists.flatten().to_numpy(zero_copy_only=False)]
-            if keyed:  # a list holds the counters over all texts, then those within the keys
-                starts = np.cumsum(sizes) - sizes
-                sizes //= 2
-                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-                found = np.minimum(found[place], found[place + np.repeat(sizes, sizes)])
-            starts = np.cumsum(sizes) - sizes
-            least = np.minimum.reduceat(found, starts)
-            hits = np.flatnonzero(found == np.repeat(least, sizes))
-            first = hits[np.searchsorted(hits, starts)] - starts
-            columns = [batch.column(f.name) for f in kept] + [pa.array(first.astype(np.int32)), pa.array(least)]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["_place", "_df"]).filter(pa.array(least > 0))
-
-    out = asked.mapInArrow(rarest, StructType([*kept, StructField("_place", IntegerType()), StructField("_df", LongType())]))
-    piece = F.when(F.length(text) >= n, F.substring(text, F.col("_place") + 1, F.lit(n))).otherwise(text)
-    return out.select(*keys, "s_id", "s_text", F.xxhash64(*keys, piece).alias("_piece"), "_df")
-
-
-def _met(anchors: DataFrame, pieces: DataFrame, hot: bool, near: Column) -> DataFrame:
-    """Short texts and long texts' marks with one piece; where a piece is ``hot``, both sides are cut by the mark."""
-    if not hot:
-        return anchors.drop("_df").join(pieces.hint("merge"), "_piece").filter(near)
-    # pieces on one counter are as hot as all of them, so a piece is cut by the largest count
-    wide = anchors.groupBy("_piece").agg(F.max("_df").alias("_df")).filter(F.col("_df") > HOT)
-    wide = wide.select("_piece", F.ceil(F.col("_df") / HOT).cast("long").alias("_cuts"))
-    one = F.coalesce("_cuts", F.lit(1).cast("long"))
-    pieces = pieces.join(wide, "_piece", "left").withColumn("_cut", F.pmod("_mark", one)).drop("_cuts")
-    anchors = anchors.drop("_df").join(wide, "_piece", "left")
-    anchors = anchors.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("_cuts")
-    return anchors.join(pieces.hint("merge"), ["_piece", "_cut"]).filter(near)
+            lists, number = batch.column("l_ids"), batch.column("_batch").to_numpy(zero_copy_only=False)
+            ids, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(batch.num_rows), sizes)
+            if number[0] != last:
+                seen = np.zeros(0, np.int64)
+            new, first = np.unique(ids, return_index=True)
+            first = first[~np.isin(new, seen)]
+            seen = np.union1d(ids[number[at] == number[-1]], seen if number[0] == number[-1] else seen[:0])
+            last = number[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first]), batch.column("s_id").take(pa.array(at[first]))], ["id", value])
 
-
-def contained_pairs(
-    shorts: DataFrame, longs: DataFrame, keys: Sequence[str] = (), longest: float | None = None, *, equal: bool = True
-) -> DataFrame:
-    """Pairs where ``s_text`` occurs in ``l_text``; both sides should hold distinct texts.
-
-    ``shorts``: keys, s_id, s_text; ``longs``: keys, l_id, l_text. A text lies
-    inside another only if all its pieces do, so each short text meets the long
-    ones through its rarest piece alone. Which one is rarest is told by a table of counters of
-    fixed size; pieces and long texts travel as hashes, and a pair that met is compared with the texts themselves.
-    Pieces have ``GRAM`` characters; short texts whose
-    rarest one lies in more than ``HOT`` long texts try again with pieces twice as long, as long
-    as they have such pieces. What is left with a hot piece meets its long texts in parts of ``HOT``.
-    ``longest`` limits the long text to a multiple of the short one; without ``equal``, equal texts make no pair.
-    Neither side is sent to the driver or whole to the tasks. Both are read more than once.
-    """
-    keys, size, out = list(keys), GRAM, None
-    marked = longs.withColumn("_mark", F.xxhash64(*keys, "l_id", "l_text"))
-    shorts = shorts.filter(F.col("s_text") != "")
-    small = shorts.filter(F.length("s_text") < GRAM).select(F.length("s_text").alias("n")).distinct()
-    shorter = sorted(r.n for r in small.collect())
-    n = F.length("s_text")
-    near = (F.col("_chars") >= n) if equal else (F.col("_chars") > n)
-    if longest is not None:
-        near = near & (F.col("_chars") <= n * F.lit(longest))
-    while True:
-        found = _pieces(size, shorter, longest)
-        anchors = materialise(_anchored(shorts, keys, size, _counted(longs, keys, found)), "anchors")
-        most = anchors.agg(F.max("_df")).first()[0] or 0
-        longer = (F.col("_df") > HOT) & (F.length("s_text") >= 2 * size)
-        marks = F.transform(found, lambda p: F.xxhash64(*keys, p))
-        pieces = marked.select("_mark", F.length("l_text").alias("_chars"), F.explode(marks).alias("_piece"))
-        met = _met(anchors.filter(~longer), pieces, most > HOT, near).select(*keys, "s_id", "s_text", "_mark")
-        out = met if out is None else out.unionByName(met)
-        if most <= HOT or not anchors.filter(longer).limit(1).count():
-            break
-        shorts, size, shorter = anchors.filter(longer).drop("_piece", "_df"), 2 * size, []
-    whole = marked.select("_mark", *[F.col(k).alias(f"_l_{k}") for k in keys], "l_id", "l_text").hint("merge")
-    inside = F.contains("l_text", "s_text")
-    for k in keys:
-        inside = inside & (F.col(k) == F.col(f"_l_{k}"))
-    return out.join(whole, "_mark").filter(inside).select(*keys, "s_id", "s_text", "l_id", "l_text")
+    return least
 
 
-def contained_in_list(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
-    """``text`` and the smallest ``value`` of a listed text that contains it.
+def list_matches(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
+    """``id`` and the smallest ``value`` of a listed text that contains the text or lies in it.
 
-    ``texts``: text (distinct); ``listed``: l_text, ``value``. ``longest`` as in ``contained_pairs``.
+    ``texts``: id (bigint, one of its own for every row), text (distinct), written, as both are read more than once;
+    ``listed``: l_text, ``value``. ``longest`` as in ``contained_pairs``.
     """
-    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull()).groupBy("l_text").agg(F.min(value).alias(value))
-    shorts = texts.select(F.lit(0).alias("s_id"), F.col("text").alias("s_text"))
-    pairs = contained_pairs(shorts, listed.select(F.struct(value).alias("l_id"), "l_text"), (), longest)
-    return pairs.groupBy(F.col("s_text").alias("text")).agg(F.min(f"l_id.{value}").alias(value))
-
-
-def list_within(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
-    """``text`` and the smallest ``value`` of a listed text that lies in it; arguments as for ``contained_in_list``."""
-    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull()).groupBy("l_text").agg(F.min(value).alias(value))
-    longs = texts.select(F.lit(0).alias("l_id"), F.col("text").alias("l_text"))
-    shorts = listed.select(F.struct(value).alias("s_id"), F.col("l_text").alias("s_text"))
-    pairs = contained_pairs(shorts, longs, (), longest)
-    return pairs.groupBy(F.col("l_text").alias("text")).agg(F.min(f"s_id.{value}").alias(value))
+    listed = _smallest(listed, value)
+    shorts = listed.select(F.col(value).alias("s_id"), F.col("l_text").alias("s_text"))
+    longs = texts.select(F.col("id").alias("l_id"), F.col("text").alias("l_text"))
+    met = _met(_hits(shorts, longs, (), longest, True), shorts, ()).sortWithinPartitions("_batch", "s_id")
+    within = met.select("_batch", "s_id", "l_ids").mapInArrow(
+        _least(value), StructType([StructField("id", LongType()), StructField(value, listed.schema[value].dataType)])
+    )
+    around = _in_list(texts, listed, value, longest, False).select("id", value)
+    return within.unionByName(around).groupBy("id").agg(F.min(value).alias(value))
 
 
 def one_edit_pairs(texts: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.containment import contained_in_list, list_within
+from ..functions.containment import list_matches
 from ..functions.joins import salted_join
 from ..functions.ruletable import as_groups, as_rules
 from ..functions.text import SPACE, col, contains_any, first_match, half_up, strip, sub
@@ -79,23 +79,23 @@ def whitelist_scores(contents: DataFrame, whitelist: DataFrame) -> DataFrame:
     order = whitelist.groupBy("module").agg(F.min("ord").alias("ord"))
     words = materialise(whitelist.select("module", F.explode(core_words("content")).alias("word")).distinct().join(order, "module"), "core_words")
     mine = contents.select("content", core_words("content").alias("_w")).filter(F.size("_w") > 0)
-    mine = materialise(mine, "core_contents")
+    mine = materialise(mine.withColumn("id", F.monotonically_increasing_id()), "core_contents")
     shares = (
-        mine.select("content", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+        mine.select("id", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
         .join(words.hint("merge"), "word")
-        .groupBy("content", "module", "ord")
+        .groupBy("id", "module", "ord")
         .agg((F.count(F.lit(1)) / F.max("_n")).alias("score"))
     )
     # A long word and a text of near equal length, one inside the other; the first module of a word stands for it.
     first = words.filter(F.length("word") >= 4).groupBy("word").agg(F.min(F.struct("ord", "module")).alias("_m"))
     first = materialise(first, "long_words")
-    texts, listed = mine.select(F.col("content").alias("text")), first.withColumnRenamed("word", "l_text")
-    inside = list_within(texts, listed, "_m", longest=1.5).unionByName(contained_in_list(texts, listed, "_m", longest=1.5))
-    inside = inside.groupBy(F.col("text").alias("content")).agg(F.min("_m").alias("_m"))
-    inside = inside.select("content", "_m.module", "_m.ord", F.lit(0.5).alias("score"))
+    texts, listed = mine.select("id", F.col("content").alias("text")), first.withColumnRenamed("word", "l_text")
+    inside = list_matches(texts, listed, "_m", longest=1.5)
+    inside = inside.select("id", "_m.module", "_m.ord", F.lit(0.5).alias("score"))
     scored = shares.unionByName(inside)
-    best = scored.groupBy("content").agg(F.min_by(F.struct("module", "score"), F.struct(-F.col("score"), "ord")).alias("b"))
-    return best.filter(F.col("b.score") > 0.3).select(
+    best = scored.groupBy("id").agg(F.min_by(F.struct("module", "score"), F.struct(-F.col("score"), "ord")).alias("b"))
+    best = best.filter(F.col("b.score") > 0.3)
+    return mine.select("id", "content").join(best.hint("merge"), "id").select(
         "content", F.col("b.module").alias("wl_module"), F.least(F.col("b.score"), F.lit(0.9)).alias("wl_score")
     )
 

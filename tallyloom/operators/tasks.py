@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.containment import contained_in_list, contained_pairs, list_within, one_edit_pairs
+from ..functions.containment import contained_pairs, list_matches, one_edit_pairs
 from ..functions.ruletable import as_groups, as_rules
 from ..functions.staging import staged
 from ..functions.survivors import ruled_out
@@ -389,19 +389,19 @@ def dedup_keep_longer(tasks: DataFrame) -> DataFrame:
 def match_whitelist(tasks: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Add the first whitelist entry whose key contains the task's key or lies in it.
 
-    ``whitelist``: ord, module, content. Distinct task keys and distinct keys of the list meet through
-    their rarest pieces, either one inside the other; the result returns by an equi-join.
+    ``whitelist``: ord, module, content. Distinct task keys and distinct keys of the list meet,
+    either one inside the other; the result returns by an equi-join.
     """
     df = tasks.withColumn("key", norm_key("content"))
-    keys = materialise(df.select("key").filter(F.col("key") != "").distinct(), "task_keys")
+    keys = df.select(F.col("key").alias("text")).filter(F.col("text") != "").distinct()
+    keys = materialise(keys.withColumn("id", F.monotonically_increasing_id()), "task_keys")
     listed = whitelist.select(
         F.struct("ord", F.col("module").alias("std_module"), F.col("content").alias("std_content")).alias("_w"), norm_key("content").alias("wl_key")
     )
     listed = listed.filter(F.col("wl_key") != "")
     first = materialise(listed.groupBy("wl_key").agg(F.min("_w").alias("_w")), "whitelist_keys")
-    texts, listed = keys.withColumnRenamed("key", "text"), first.withColumnRenamed("wl_key", "l_text")
-    both = list_within(texts, listed, "_w").unionByName(contained_in_list(texts, listed, "_w"))
-    best = both.groupBy(F.col("text").alias("key")).agg(F.min("_w").alias("_w"))
+    best = list_matches(keys, first.withColumnRenamed("wl_key", "l_text"), "_w")
+    best = keys.join(best.hint("merge"), "id").select(F.col("text").alias("key"), "_w")
     return df.join(best.hint("merge"), "key", "left").select(
         *tasks.columns, "key", F.col("_w.std_module").alias("std_module"), F.col("_w.std_content").alias("std_content")
     )

@@ -1,6 +1,7 @@
 """Chunked windows, containment and overlap against plain implementations."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window as W
@@ -195,6 +196,59 @@ def test_pieces_on_one_counter_only_make_more_texts_meet(spark, monkeypatch):
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t and s != t}
 
 
+def _on_disk(spark):
+    """Bytes of shuffles and written tables so far."""
+    places = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    places.append(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return sum(f.stat().st_size for p in places for f in Path(p).rglob("*") if f.is_file())
+
+
+def test_texts_that_share_all_pieces_take_little_disk(spark):
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choices("ab", k=rng.randint(14, 24))) for _ in range(2500)})
+    a = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "k string, s_id long, s_text string")
+    before = _on_disk(spark)
+    got = {(r.s_id, r.l_id) for r in contained_pairs(a, a.toDF("k", "l_id", "l_text"), ["k"], equal=False).collect()}
+    assert _on_disk(spark) - before < 2_000_000
+    assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t and s != t}
+
+
+def test_contained_pairs_of_odd_texts_and_small_parts(spark, monkeypatch):
+    """Characters of any width, repeats inside a text, nulls, and limits so low that every part is cut."""
+    from tallyloom.functions import containment
+
+    for name, low in (("CHUNK", 40), ("FOUND", 60), ("HELD", 7), ("BLOCK", 2), ("HOT", 3)):
+        monkeypatch.setattr(containment, name, low)
+    texts = ["", "é", "😀", "😀b😀b😀", "b😀", "a" * 90, "a" * 37, "aa", "表a表a表", "a表", "ab" * 33, "ba" * 16, "\x00", "x\x00", "é\n", None]
+    rows = [(k, i, t) for i, t in enumerate(texts) for k in (1, 2, None)]
+    a = spark.createDataFrame(rows, "k int, s_id int, s_text string").repartition(3)
+    got = [(r.k, r.s_id, r.l_id) for r in contained_pairs(a, a.toDF("k", "l_id", "l_text"), ["k"]).collect()]
+    want = {(k, i, j) for k in (1, 2) for i, s in enumerate(texts) for j, t in enumerate(texts) if s and t and s in t}
+    assert set(got) == want and len(got) == len(want)
+    bare = contained_pairs(a.drop("k").distinct(), a.toDF("k", "l_id", "l_text").drop("k").distinct(), longest=3.0, equal=False)
+    assert {(r.s_id, r.l_id) for r in bare.collect()} == {(i, j) for _, i, j in want if i != j and len(texts[j]) <= 3 * len(texts[i])}
+
+
+@pytest.mark.parametrize("longest", [None, 1.5])
+def test_list_matches_equals_all_pairs(spark, longest, monkeypatch):
+    from tallyloom.functions import containment
+
+    monkeypatch.setattr(containment, "HOT", 7)
+    rng = random.Random(13)
+    listed = [("".join(rng.choices("ab表", k=rng.randint(0, 9))), (k % 9, f"v{k}")) for k in range(70)] + [("表", None), (None, (0, "n"))]
+    texts = sorted({"".join(rng.choices("ab表", k=rng.randint(0, 7))) for _ in range(90)})
+    got = containment.list_matches(
+        spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(listed, "l_text string, v struct<o int, n string>"), "v", longest
+    )
+    want = {}
+    for i, t in enumerate(texts):
+        near = lambda x: longest is None or max(len(x), len(t)) <= longest * min(len(x), len(t))
+        found = [v for x, v in listed if t and x and v is not None and (t in x or x in t) and near(x)]
+        if found:
+            want[i] = min(found)
+    assert {r.id: (r.v.o, r.v.n) for r in got.collect()} == want
+
+
 def test_guarded_patterns_match_what_the_plain_ones_do(spark):
     from tallyloom.functions.needles import matches_needed
     from tallyloom.functions.text import alternation, contains_any
