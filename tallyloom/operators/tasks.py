@@ -411,6 +411,7 @@ def merge_tasks(tasks: DataFrame, whitelist: DataFrame, head: int | None = None)
     """Standard names for listed tasks, then repeats off: same key, and for unlisted tasks also containment in
     either direction, or the same first ``head`` characters if asked for, of an earlier kept task of the project.
     """
+    tasks = tasks.select("project", "seq", "module", "content", "task_type")  # source texts are long and not asked for
     df = materialise(match_whitelist(tasks, whitelist), "whitelisted")
     df = df.withColumn("key", F.coalesce(norm_key("std_content"), F.col("key"))).filter(F.col("key") != "")
     listed = F.col("std_content").isNotNull()

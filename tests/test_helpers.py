@@ -213,6 +213,19 @@ def test_texts_that_share_all_pieces_take_little_disk(spark):
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t and s != t}
 
 
+def test_merging_does_not_move_source_texts(spark):
+    from tallyloom.operators import tasks
+
+    rng = random.Random(17)
+    rows = [("p", i, "m", f"任务{i % 40}号", "t", "s", "".join(rng.choices("abcdefghijklmnop", k=20_000))) for i in range(120)]
+    df = spark.createDataFrame(rows, "project string, seq long, module string, content string, task_type string, section_path string, raw_text string")
+    wl = spark.createDataFrame([(0, "w", "任务3号和其他")], "ord long, module string, content string")
+    before = _on_disk(spark)
+    got = {(r.seq, r.module, r.content, r.listed) for r in tasks.merge_tasks(df, wl).collect()}
+    assert _on_disk(spark) - before < 500_000
+    assert got == {(i, "m", f"任务{i}号", False) for i in range(40) if i != 3} | {(3, "w", "任务3号和其他", True)}
+
+
 def test_contained_pairs_of_odd_texts_and_small_parts(spark, monkeypatch):
     """Characters of any width, repeats inside a text, nulls, and limits so low that every part is cut."""
     from tallyloom.functions import containment
