@@ -213,6 +213,20 @@ def test_texts_that_share_all_pieces_take_little_disk(spark):
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s in t and s != t}
 
 
+def test_tasks_and_a_list_that_share_all_pieces_take_little_disk(spark):
+    from tallyloom.operators import tasks
+
+    rng = random.Random(19)
+    texts = sorted({"".join(rng.choices("ab", k=rng.randint(9, 24))) for _ in range(2500)})
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq long, content string")
+    wl = spark.createDataFrame([(i, "w", t) for i, t in enumerate(texts[:2000])], "ord long, module string, content string")
+    before = _on_disk(spark)
+    got = {r.seq: r.std_content for r in tasks.match_whitelist(df, wl).collect()}
+    assert _on_disk(spark) - before < 2_000_000
+    assert got == {i: next((w for w in texts[:2000] if w in t or t in w), None) for i, t in enumerate(texts)}
+
+
 def test_merging_does_not_move_source_texts(spark):
     from tallyloom.operators import tasks
 
