@@ -260,11 +260,6 @@ def contained_pairs(
     return met.select(*keys, "s_id", F.explode("l_ids").alias("l_id"))
 
 
-def _smallest(listed: DataFrame, value: str) -> DataFrame:
-    listed = listed.filter((F.col("l_text") != "") & F.col(value).isNotNull())
-    return listed.groupBy("l_text").agg(F.min(value).alias(value))
-
-
 def _in_list(texts: DataFrame, listed: DataFrame, value: str, longest: float | None, equal: bool) -> DataFrame:
     """``texts`` with the smallest ``value`` of a listed text that contains them."""
     shorts = texts.select(F.col("text").alias("s_text"))
@@ -279,7 +274,7 @@ def contained_in_list(texts: DataFrame, listed: DataFrame, value: str, longest:
 
     ``texts``: text (distinct); ``listed``: l_text, ``value``. ``longest`` as in ``contained_pairs``.
     """
-    return _in_list(texts.select("text"), _smallest(listed, value), value, longest, True)
+    return _in_list(texts.select("text"), listed.filter(F.col(value).isNotNull()), value, longest, True)
 
 
 def _least(value: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -307,10 +302,10 @@ def _least(value: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def list_matches(texts: DataFrame, listed: DataFrame, value: str, longest: float | None = None) -> DataFrame:
     """``id`` and the smallest ``value`` of a listed text that contains the text or lies in it.
 
-    ``texts``: id (bigint, one of its own for every row), text (distinct), written, as both are read more than once;
-    ``listed``: l_text, ``value``. ``longest`` as in ``contained_pairs``.
+    ``texts``: id (bigint, one of its own for every row), text (distinct); ``listed``: l_text, ``value``. Both are read
+    more than once and should be written. ``longest`` as in ``contained_pairs``.
     """
-    listed = _smallest(listed, value)
+    listed = listed.filter(F.col(value).isNotNull())
     shorts = listed.select(F.col(value).alias("s_id"), F.col("l_text").alias("s_text"))
     longs = texts.select(F.col("id").alias("l_id"), F.col("text").alias("l_text"))
     met = _met(_hits(shorts, longs, (), longest, True), shorts, ()).sortWithinPartitions("_batch", "s_id")
